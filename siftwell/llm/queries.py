@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, shards, simhash
+from . import bpe, chunks, decontam, langid, lines, neighbours, shards, simhash, wrappers
 from .common import col, table
 
 
@@ -40,6 +40,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -49,6 +53,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return found.select("page_id", "url", col(name).alias("text"), F.length(col(name)).cast("long").alias("n_chars"))
+
+
 def held_out(key: str = "doc_id"):
     """True for the third of documents that no model may learn from."""
     return F.coalesce(F.pmod(F.crc32(col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -61,12 +70,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out().alias("held_out"), col(r)["lang"].alias("lang_pred"), col(r)["score"].alias("score"), col(r)["rejected"].alias("rejected"))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
+    "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
+    "op9_chunk_dedup": op9_chunk_dedup,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
