@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 #: Keys that hold more than one row in HEAVY_SHARE are joined by broadcast; there can be at most HEAVY_SHARE of them.
 HEAVY_SHARE = 2000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table in the shared checkpoint folder, and read back: smaller than a checkpoint of rows.
+
+    Shuffle files of the write are dropped as soon as it ends; the table doesn't need them.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-checkpoint-"))
+    path = f"{sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()}/siftwell-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def annotate(df: DataFrame, text: str, field: T.StructField, build: Callable[[], Callable[[pa.Array], pa.Array]], keep: Sequence[str] | None = None) -> DataFrame:
     """df's columns ``keep`` (default: all) and a column ``field`` that is computed batch by batch from the text column.
 

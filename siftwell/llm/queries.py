@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontam, langid, lines, neighbours, shards, simhash, wrappers
+from . import bpe, chunks, decontam, langid, lines, neighbours, shards, simhash, suffixes, wrappers
 from .common import col, table
 
 
@@ -53,6 +53,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
     return found.select("page_id", "url", col(name).alias("text"), F.length(col(name)).cast("long").alias("n_chars"))
@@ -84,6 +88,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_chunk_dedup": op9_chunk_dedup,
