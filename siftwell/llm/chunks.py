@@ -54,9 +54,14 @@ def cuts(text: bytes, gear: np.ndarray, bits: int = BITS, least: int = LEAST, mo
 
 
 def _firsts(a: np.ndarray, b: np.ndarray, d: np.ndarray, u: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by digest, then place; and which of the ordered rows are the first of their digest."""
+    """Order by digest, then place; and which of the ordered rows stand at the first place of their digest (rows that repeat all do)."""
     order = np.lexsort((s, u, d, b, a))
-    return order, starts_of(a[order], b[order])
+    new = starts_of(a[order], b[order])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.ones(len(order), bool)
+    for x in (d, u, s):
+        first &= x[order] == x[order[lead]]
+    return order, first
 
 
 def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", gather: int = GATHER) -> DataFrame:

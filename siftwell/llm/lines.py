@@ -65,7 +65,7 @@ def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 ab = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(u, pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int64()), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["d", "u", "p", "size", "a", "b"])
 
-    return placed(docs, text, key).distinct().mapInArrow(run, "d long, u long, p int, size long, a long, b long")
+    return placed(docs, text, key).mapInArrow(run, "d long, u long, p int, size long, a long, b long")
 
 
 def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -74,7 +74,7 @@ def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     Blank lines carry no id and end a run. Equal texts with equal ids are one document. The number of rounds is the logarithm of the
     longest repeated run; each round's classes are written to the checkpoint folder, so lineage doesn't grow.
     """
-    now = cut(_classed(line_ids(docs, text, key), ["a", "b"]))
+    now = cut(_classed(line_ids(docs, text, key), ["a", "b"]).dropDuplicates(_KEY))  # rows that repeat stand at one place
     found, k = None, 0
     while not now.isEmpty():
         copies = now.where((F.col("size") >= least_bytes) & ~((F.col("d") == F.col("fd")) & (F.col("u") == F.col("fu")) & (F.col("p") == F.col("fp"))))
