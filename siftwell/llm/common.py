@@ -72,16 +72,18 @@ def annotate(df: DataFrame, text: str, field: T.StructField, build: Callable[[],
     """
     keep = list(df.columns if keep is None else keep)
     sent = list(dict.fromkeys([*keep, text]))
-    schema = T.StructType([*(df.schema[c] for c in keep), field])
+    inner = [f"k{i}" for i in range(len(sent))]  # names of columns may be anything, so they travel under numbers
+    numbered = df.select(*(col(c).alias(k) for c, k in zip(sent, inner, strict=True)))
+    schema = T.StructType([*numbered.schema.fields[: len(keep)], T.StructField("new", field.dataType)])
 
     def run(batches):
         fn = build()
         for batch in batches:
             raw = batch.column(sent.index(text))
             raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), fn(raw)], names=[*keep, field.name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), fn(raw)], names=schema.names)
 
-    return df.select(*map(col, sent)).mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema).toDF(*keep, field.name)
 
 
 _built: dict[str, object] = {}

@@ -31,6 +31,8 @@ REJECT_MARGIN = 0.15
 STEADY, EVIDENCE = 400, 30
 #: Training texts for that calibration, those of smallest hash; words that a worker remembers.
 CALIBRATION_TEXTS, MEMORY = 2_000, 500_000
+#: One training text in so many is kept from the counts, for calibration.
+CALIBRATION_SHARE = 10
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _EDGE = "\x02"
@@ -227,26 +229,35 @@ def count_words(train: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """Of (l, w, n) the commonest words of each l, ``most`` at most. Only tallies are ordered: words by count, and those at the limit by hash."""
+    by_n = counts.groupBy("l", "n").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("l").orderBy(F.desc("n")))
+    edge = by_n.withColumn("upto", upto).where(F.col("upto") > most).groupBy("l").agg(F.max(F.struct("n", (most - F.col("upto") + F.col("c")).alias("room"))).alias("e"))
+    marked = counts.join(F.broadcast(edge), "l", "left").withColumn("h", F.pmod(F.xxhash64("w"), F.lit(4096)))
+    ties = marked.where(F.col("n") == F.col("e.n")).groupBy("l", "h").agg(F.count("*").alias("c"), F.first("e.room").alias("room"))
+    within = ties.withColumn("upto", F.sum("c").over(Window.partitionBy("l").orderBy("h"))).where(F.col("upto") <= F.col("room")).groupBy("l").agg(F.max("h").alias("last"))
+    told = marked.join(F.broadcast(within), "l", "left")
+    return told.where(F.col("e").isNull() | (F.col("n") > F.col("e.n")) | (F.col("n") == F.col("e.n")) & (F.col("h") <= F.coalesce("last", F.lit(-1)))).select("l", "w", "n")
+
+
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, words_per_language: int = WORDS_PER_LANGUAGE, calibration_texts: int = CALIBRATION_TEXTS, sigmas: float = REJECT_SIGMAS, margin: float = REJECT_MARGIN) -> Model:
     """Fit on the rows with a text and a language; no such row gives a model that calls everything ``und``.
 
-    Words are counted over every training text. The model takes at most ``words_per_language`` of each language, the commonest (equally
-    common ones by their hash), and at most ``calibration_texts`` texts, those of smallest hash, set the rejection limit. These two are
-    the bounds of the sample that is collected.
+    One text in CALIBRATION_SHARE, chosen by hash, is set aside; words are counted over all others. The model takes at most
+    ``words_per_language`` of each language, the commonest (equally common ones by their hash), and at most ``calibration_texts`` of the
+    texts set aside, those of smallest hash, set the rejection limit. These two are the bounds of the sample that is collected. A
+    language without texts aside rejects nothing.
     """
-    # commonest first; 4096 classes of hash break ties, so a threshold on this rank is fine enough
-    ranked = cut(count_words(train, text, lang).withColumn("rank", F.col("n") * 4096 + F.pmod(F.xxhash64("w"), F.lit(4096))))
-    sizes = ranked.groupBy("l", "rank").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("l").orderBy(F.desc("rank")))
-    least = sizes.withColumn("upto", upto).where(F.col("upto") <= words_per_language).groupBy("l").agg(F.min("rank").alias("least"))
-    chosen = ranked.join(F.broadcast(least), "l").where(F.col("rank") >= F.col("least")).select("l", "w", "n")
+    usable = train.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(text).alias("t"), col(lang).alias("l")).withColumn("h", F.xxhash64("t", "l"))
+    aside = F.pmod("h", F.lit(CALIBRATION_SHARE)) == 0
+    words = commonest(cut(count_words(usable.where(~aside), "t", "l")), words_per_language)
     learned: dict[str, dict[str, int]] = defaultdict(dict)
-    got = chosen.toArrow()
+    got = words.toArrow()
     for name, w, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
         learned[name][w] = n
     model = Model({name: dict(sorted(learned[name].items())) for name in learned}, order)
-    usable = train.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(text).alias("t"), col(lang).alias("l"))
-    picked = usable.withColumn("h", F.xxhash64("t", "l")).orderBy("h").limit(calibration_texts).collect()
+    picked = usable.where(aside).orderBy("h").limit(calibration_texts).collect()
     model.calibrate([r.t for r in picked], [r.l for r in picked], sigmas, margin)
     return model
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, free_name
+from .common import col
 
 SHARDS = 8
 #: Rows in a cell, at most; a cell is permuted by one task.
@@ -71,14 +71,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, cell_rows: int =
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-    part, cell, order = (free_name(docs.columns, x) for x in ("part", "cell", "order"))
-    source = docs.select(*map(col, kept), F.spark_partition_id().alias(part))
+    inner = [f"k{i}" for i in range(len(kept))]  # names of columns may be anything, so they travel under numbers
+    part, cell, order = "part", "cell", "order"
+    source = docs.select(*(col(c).alias(k) for c, k in zip(kept, inner, strict=True)), F.spark_partition_id().alias(part))
     counted = {r[0]: r[1] for r in source.groupBy(part).count().collect()}
     counts = np.array([counted.get(p, 0) for p in range(max(counted, default=-1) + 1)], np.int64)
     cells = cell_sizes(int(counts.sum()), shards, cell_rows)
     caps = cells[:, 2].copy()
     shared = spark.sparkContext.broadcast((counts, caps))
-    schema = T.StructType([*docs.select(*map(col, kept)).schema.fields, T.StructField(cell, T.IntegerType()), T.StructField(order, T.LongType())])
+    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField(cell, T.IntegerType()), T.StructField(order, T.LongType())])
 
     def deal(batches):
         counts, caps = shared.value
@@ -102,4 +103,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, cell_rows: int =
     first = spark.createDataFrame([(i, int(s), int(f)) for i, (s, f, _) in enumerate(cells)], f"`{cell}` int, `_shard` int, `_first` long")
     number = F.row_number().over(Window.partitionBy(col(cell)).orderBy(col(order))) - 1
     numbered = dealt.withColumn("_slot", number).join(F.broadcast(first), cell)
-    return numbered.select(*map(col, kept), F.col("_shard").alias(names[0]), (F.col("_first") + F.col("_slot")).alias(names[1]))
+    return numbered.select(*(F.col(k).alias(c) for c, k in zip(kept, inner, strict=True)), F.col("_shard").alias(names[0]), (F.col("_first") + F.col("_slot")).alias(names[1]))
