@@ -231,26 +231,30 @@ def _sort_bucket(batches):
         j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         return b"".join(strings), (np.cumsum(sizes) - sizes)[row] + j, row, j
 
-    def work(d, u, first, shape, strings):
+    def work(d, u, first, shape, strings, edge=False):
+        """Spans that are settled here. At an edge of the bucket, of equal windows those in the first document are left to be decided."""
+        if not len(strings):
+            return
         data, at, row, j = expand(d, u, first, shape, strings)
         order, group = equal_suffixes(data, at)
-        if not len(order):
-            return None
-        new = np.flatnonzero(starts_of(group))
-        dd = d[row[order]]
-        least = np.repeat(np.minimum.reduceat(dd, new), np.diff(np.append(new, len(dd))))
-        hit = np.sort(order[dd > least])
+        hit = order
+        if len(order):
+            new = np.flatnonzero(starts_of(group))
+            dd = d[row[order]]
+            least = np.repeat(np.minimum.reduceat(dd, new), np.diff(np.append(new, len(dd))))
+            hit = np.sort(order[dd > least])
+        if edge:
+            open_ = np.ones(len(row), bool)
+            open_[hit] = False
+            for s in range(0, len(row), 50_000):
+                k = s + np.flatnonzero(open_[s : s + 50_000])
+                r = row[k]
+                yield batch_of(d[r], u[r], first[r] + j[k], np.full(len(k), LENGTH), [data[a : a + LENGTH] for a in at[k].tolist()])
         if not len(hit):
-            return None
+            return
         new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]))
         r, n = row[hit[new]], np.diff(np.append(new, len(hit)))
-        return batch_of(d[r], u[r], first[r] + j[hit[new]], n + LENGTH - 1)
-
-    def undecided(d, u, first, shape, strings):
-        for s in range(0, len(strings), 5_000):
-            c = slice(s, s + 5_000)
-            data, at, row, j = expand(d[c], u[c], first[c], shape[c], strings[c])
-            yield batch_of(d[c][row], u[c][row], first[c][row] + j, np.full(len(row), LENGTH), [data[a : a + LENGTH] for a in at.tolist()])
+        yield batch_of(d[r], u[r], first[r] + j[hit[new]], n + LENGTH - 1)
 
     held, first_lead = [], None
     for batch in batches:
@@ -270,10 +274,8 @@ def _sort_bucket(batches):
         rows = [np.concatenate(x) for x in list(zip(*held, strict=True))[:5]]
         strings = [s for x in held for s in x[5]]
         a, e = np.searchsorted(rows[0], first_lead, "right"), np.searchsorted(rows[0], rows[0][-1])
-        if a:
-            yield from undecided(*(x[:a] for x in rows[1:]), strings[:a])
-        if e > a and (out := work(*(x[a:e] for x in rows[1:]), strings[a:e])) is not None:
-            yield out
+        yield from work(*(x[:a] for x in rows[1:]), strings[:a], edge=True)
+        yield from work(*(x[a:e] for x in rows[1:]), strings[a:e])
         e = max(a, e)
         held = [(*(x[e:] for x in rows), strings[e:])] if e < len(strings) else []
     if held and (n := sum(len(x[0]) for x in held)):
@@ -281,10 +283,9 @@ def _sort_bucket(batches):
         strings = [s for x in held for s in x[5]]
         a, e = np.searchsorted(rows[0], first_lead, "right"), np.searchsorted(rows[0], rows[0][-1])
         e = max(a, e)
-        if e > a and (out := work(*(x[a:e] for x in rows[1:]), strings[a:e])) is not None:
-            yield out
+        yield from work(*(x[a:e] for x in rows[1:]), strings[a:e])
         for c in (slice(0, a), slice(e, n)):
-            yield from undecided(*(x[c] for x in rows[1:]), strings[c])
+            yield from work(*(x[c] for x in rows[1:]), strings[c], edge=True)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
