@@ -35,7 +35,7 @@ def scores(content: Column, url: Column, title: Column) -> dict[str, Column]:
     short = F.length(F.trim(content)) < 500
     return {
         "serp": _points([
-            (urls.netloc(url).isin(*V.SERP_ROOTS) & (F.rtrim(F.lit("/"), urls.path(url)) == "") & (urls.query(url) == ""), 5),
+            (urls.netloc(url).isin(*V.SERP_ROOTS) & (F.rtrim(urls.path(url), F.lit("/")) == "") & (urls.query(url) == ""), 5),
             (title.rlike(alternation(V.SERP_TITLES)), 3), (of(V.SERP_URLS), 3), (content.rlike("|".join(V.SERP_UI)), 2),
             ((result_links >= 4) & (result_links / n_lines > 0.3), 3), (title.rlike(alternation(V.SERP_TITLE_WORDS)), 1),
         ]),

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import values as V
 
@@ -38,7 +39,7 @@ def simhash_of(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(found)).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """simhash_of over Arrow batches; as 64 conditional sums over exploded features it takes many times as long in SQL."""
     for s in batches:
@@ -77,6 +78,6 @@ def title_similarity_of(a: str | None, b: str | None) -> float:
     return 0.6 * len(x & y) / len(x | y) + 0.4 * difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

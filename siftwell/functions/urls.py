@@ -17,9 +17,9 @@ def _any(conditions) -> Column:
 def normalize_url(url: Column) -> Column:
     """Lower case, without scheme, leading www, trailing slashes and tracking parameters. Null stays null."""
     x = F.regexp_replace(F.lower(F.trim(url)), r"^https?://", "")
-    x = F.rtrim(F.lit("/"), F.regexp_replace(x, r"^www\.", ""))
+    x = F.rtrim(F.regexp_replace(x, r"^www\.", ""), F.lit("/"))
     x = F.regexp_replace(x, r"[?&](utm_[^&=]*|ref|source)=[^&]*", "")
-    return F.rtrim(F.lit("?"), x)
+    return F.rtrim(x, F.lit("?"))
 
 
 def url_hash(url: Column) -> Column:

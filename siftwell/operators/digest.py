@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .dedup import keep_first
 
@@ -20,7 +21,7 @@ def distinct_items(items: DataFrame) -> DataFrame:
 
 
 def bare(url: Column) -> Column:
-    return F.rtrim(F.lit("/"), F.regexp_replace(url, r"^https?://", ""))
+    return F.rtrim(F.regexp_replace(url, r"^https?://", ""), F.lit("/"))
 
 
 def repair_urls(items: DataFrame, pages: DataFrame, group: str = "task_id") -> DataFrame:
@@ -29,7 +30,7 @@ def repair_urls(items: DataFrame, pages: DataFrame, group: str = "task_id") -> D
     base = items.withColumn("_n", F.monotonically_increasing_id())
     exact = pages.select(group, "url").distinct().select(group, F.col("url").alias("e"))
     loose = pages.groupBy(group, bare(F.col("url")).alias("_b")).agg(F.min("url").alias("l"))
-    out = base.join(exact, [base[group] == exact[group], base.url == exact.e], "left").drop(exact[group])
+    out = base.withColumn("e", F.col("url")).join(exact.withColumn("_hit", F.lit(True)), [group, "e"], "left").withColumn("e", F.when(F.col("_hit"), F.col("e"))).drop("_hit")
     out = out.withColumn("_b", bare(F.col("url"))).join(loose, [group, "_b"], "left").drop("_b")
     # a page that the address continues: candidates are the address cut after each slash or mark
     cuts = F.transform(F.sequence(F.lit(8), F.greatest(F.length("url"), F.lit(8))), lambda i: F.substring(F.col("url"), F.lit(1), i))
@@ -82,7 +83,7 @@ def json_in(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(s: pd.Series) -> pd.Series:
     return s.map(json_in)
 

@@ -68,9 +68,9 @@ def effective(rounds: DataFrame, least: float = 0.05, most: int = 20) -> DataFra
     return rounds.where((F.col("score_delta") > least) & (F.col("round_num") > 1)).orderBy(F.desc("score_delta"), "id").limit(most)
 
 
-def deltas(rounds: DataFrame) -> DataFrame:
-    """Gain of each round over the one before it in its task; the first has none."""
-    w = Window.partitionBy("task_id").orderBy("round_num")
+def deltas(rounds: DataFrame, *ties: str) -> DataFrame:
+    """Gain of each round over the one before it in its task; the first has none. ``ties`` settle the order of rounds of one number."""
+    w = Window.partitionBy("task_id").orderBy("round_num", *ties)
     return rounds.withColumn("delta", F.round(F.col("overall_score") - F.lag("overall_score").over(w), 4))
 
 
