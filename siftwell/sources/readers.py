@@ -199,7 +199,7 @@ def _metadata(html: pd.Series, url: pd.Series) -> pd.DataFrame:
 def page_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """pages with title, description, keywords (array), author, published (ISO or null), language and canonical."""
     out = pages.withColumn("_m", _metadata(F.col(html), F.col(url)))
-    keywords = F.filter(F.transform(F.split(F.coalesce("_m.keywords", F.lit("")), ","), F.trim), lambda k: k != "")
+    keywords = F.filter(F.transform(F.split(F.coalesce("_m.keywords", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
     return out.select(*pages.columns, *(F.col(f"_m.{c}").alias(c) for c in ("title", "description", "author", "language", "canonical")), keywords.alias("keywords"), normalize_datetime(F.col("_m.published")).alias("published"))
 
 
