@@ -41,8 +41,11 @@ def _first(cls: list[str], rows: DataFrame) -> DataFrame:
 
 
 def _classed(rows: DataFrame, cls: list[str]) -> DataFrame:
-    """The rows that share their class with others, with the class's first place as its name. A hot class is split by skew handling of the join."""
-    named = rows.join(_first(cls, rows), cls)
+    """The rows that share their class with others, with the class's first place as its name.
+
+    First places are stored before the join: with plain rows on both sides Spark's skew handling can split a hot class.
+    """
+    named = rows.join(cut(_first(cls, rows)), cls)
     return named.select(*_KEY, "size", "fd", "fu", "fp")
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import cut, store
 from .spans import cut_out, placed, removed, sha256, sorted_groups, starts_of
 
 LENGTH, GRAM = 50, 20
@@ -297,7 +297,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sorted_ = strings.repartitionByRange("lead", "d").sortWithinPartitions("lead", "d").mapInArrow(_sort_bucket, "d long, u long, start long, size long, window binary")
     spans = store(sorted_)
     open_ = spans.where(F.col("window").isNotNull())
-    least = open_.groupBy("window").agg(F.min("d").alias("least"))
+    least = cut(open_.groupBy("window").agg(F.min("d").alias("least")))  # stored, so that a hot window can be split in the join
     across = open_.join(least, "window").where("d > least").select("d", "u", "start", "size")
     return spans.where(F.col("window").isNull()).select("d", "u", "start", "size").union(across)
 
