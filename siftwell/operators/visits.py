@@ -40,8 +40,9 @@ def by_period(articles: DataFrame, ts: str = "publish_time") -> DataFrame:
 def rate_limited(requests: DataFrame, most: int = 60, seconds: int = 60, key: str = "ip", ts: str = "ts", order: str = "id") -> DataFrame:
     """requests with ``allowed``: windows begin at a key's first request and end when a later one comes more than ``seconds`` after.
 
-    Where windows begin depends on the one before, so times are folded in order; a fold over sorted gaps, not a window frame. Long-lived
-    keys are folded by hour-long pieces only if no window can reach from one into the next, that is after a silence longer than a window.
+    Where a window begins depends on the one before, so a key's requests are taken in order. A silence longer than a window always ends
+    one, so requests are cut there into pieces, and only a piece is folded as a whole: what one fold holds is a burst without such a
+    silence, as pairs of time and id.
     """
     w = Window.partitionBy(key).orderBy(ts, order)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
