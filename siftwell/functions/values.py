@@ -162,5 +162,11 @@ TITLE_STOPWORDS = tuple(
 )
 POSITIVE_WORDS = ("推荐", "最佳", "优秀", "优点", "亮点", "best", "great", "awesome", "recommended")
 NEGATIVE_WORDS = ("缺点", "问题", "踩坑", "避坑", "风险", "限制", "downside", "issue", "problem", "limitation")
+# Names of answer categories by alias, and those that are allowed.
+CATEGORY_ALIASES = {
+    "backend": "后端开发", "frontend": "前端开发", "mobile": "移动开发", "database": "数据库", "devops": "DevOps", "cloud": "云计算", "ai": "AI与机器学习", "ai/ml": "AI与机器学习",
+    "machine learning": "AI与机器学习", "security": "安全", "blockchain": "区块链", "other": "其他",
+}
+ALLOWED_CATEGORIES = ("后端开发", "前端开发", "移动开发", "数据库", "DevOps", "云计算", "AI与机器学习", "安全", "区块链", "其他")
 # Weights of the coverage score.
 COVERAGE_WEIGHTS = {"angle": 0.25, "diversity": 0.20, "depth": 0.15, "temporal": 0.15, "perspective": 0.15, "language": 0.10}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, pages, quality, similarity, text, urls
-from ..operators import articles, coverage, dedup, digest, tasks, trees, visits
+from ..functions import dates, keywords, pages, quality, similarity, text, urls
+from ..functions import values as V
+from ..operators import articles, coverage, dedup, digest, lists, strategy, tasks, trees, visits
 from ..sources.readers import table
 from . import views as W
 
@@ -499,6 +500,66 @@ def digest_pack(spark, d):
     return digest.pack(p, 20_000).select("task_id", "page_id", F.coalesce(F.length("packed"), F.lit(0)).cast("long").alias("packed_chars"))
 
 
+# Lists
+
+
+@query
+def url_window(spark, d):
+    p = table(spark, d, "events").select(F.md5((F.col("user_id") % 97).cast("string").cast("binary")).alias("url_hash"), F.col("ts").alias("created_at"))
+    h = spark.range(0, 120).select(F.md5(F.col("id").cast("string").cast("binary")).alias("url_hash"))
+    return lists.seen_lately(p, h, "2024-01-20 00:00:00", 5)
+
+
+@query
+def usable_results(spark, d):
+    r = W.pages(spark, d).select(F.col("page_id").alias("position"), F.regexp_replace("url", "[?#].*$", "").alias("url"), (F.col("page_id") % 6 != 0).alias("success"), "content")
+    seen = table(spark, d, "pages").where("page_id % 9 = 1").select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct()
+    return lists.usable_results(r, seen, 300, 50).select("position", "url")
+
+
+@query
+def log_stats(spark, d):
+    return lists.log_stats(table(spark, d, "orders").select(F.floor("o_totalprice").alias("word_count"), F.to_date("o_orderdate").alias("log_date")))
+
+
+@query
+def logs_by_month(spark, d):
+    return lists.by_month(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("log_date")))
+
+
+@query
+def engine_health(spark, d):
+    return lists.engine_health(table(spark, d, "events").select(F.col("event_type").alias("engine"), F.struct("ts", "event_id").alias("at"), (F.col("event_id") % 4).alias("results")))
+
+
+@query
+def similar_keyword_rounds(spark, d):
+    return lists.similar_keyword_rounds(W.rounds(spark, d), "11 22 33", 10).select("id", "search_keyword", F.round("score_delta", 6).alias("score_delta"))
+
+
+@query
+def answer_category(spark, d):
+    c = F.element_at(F.array(*map(F.lit, ["Backend", "ai", "DevOps", "cooking", " security ", ""])), (F.col("doc_id") % 6 + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", lists.aliased(c, V.CATEGORY_ALIASES, V.ALLOWED_CATEGORIES).alias("category"))
+
+
+@query
+def keyword_relevance(spark, d):
+    return W.pages(spark, d).select("page_id", keywords.is_relevant("the and", F.col("title"), F.substring("content", 1, 80)).alias("relevant"))
+
+
+@query
+def section_overrides(spark, d):
+    s = _runs(spark, d).groupBy("source_id").agg(F.count("*").alias("total_runs"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.avg("score").alias("avg_quality"))
+    return strategy.overrides(s.withColumn("dead", F.col("source_id") % 5 == 0)).select("source_id", "freshness_multiplier", "items_multiplier")
+
+
+@query
+def stop_rule(spark, d):
+    r = W.rounds(spark, d).groupBy("task_id", "round_num").agg(F.max("overall_score").alias("overall_score"))
+    return strategy.should_stop(r, 0.9)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by language and verdict: address, title, text, type and quality in one pass over the table."""
     return quality_verdict_by_lang(spark, sf_dir)

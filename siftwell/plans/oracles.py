@@ -251,6 +251,16 @@ ORACLE_SQL: dict[str, str] = {
     "shannon_diversity": "WITH c AS (SELECT doc_id % 7 AS g, source, count(*) AS c FROM documents GROUP BY 1, 2), t AS (SELECT g, sum(c) AS n, count(*) AS k, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1) SELECT g, round(CASE WHEN n > 1 THEN least(1.0, e / log2(n) * least(1.0, k / 5)) ELSE 0.0 END, 6) AS diversity FROM t",
     "language_mix": sql("pages", RESULTS + ", t AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE regexp_matches(title, '[一-鿿]')) / count(*) AS a, count(*) FILTER (WHERE regexp_matches(title, '[a-zA-Z]{3,}')) / count(*) AS b FROM r GROUP BY 1) SELECT g, round(CASE WHEN a > 0.1 AND b > 0.1 THEN round(least(1.0, 2 * a * b / (a + b) * 1.4), 3) WHEN a > 0.1 OR b > 0.1 THEN round(0.3 + 0.15 * least(1.0, n / 10), 3) ELSE 0.0 END, 2) AS mix FROM t"),
     "coverage_overall": sql("pages", RESULTS + f", w AS (SELECT *, regexp_extract_all(lower(title), '[一-鿿a-zA-Z]+') AS ws FROM r), c AS (SELECT g, domain, count(*) AS c FROM r GROUP BY 1, 2), e AS (SELECT g, sum(c) AS n, count(*) AS k, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1), b AS (SELECT g, max(len(list_intersect(ws, [{', '.join(map(lit, V.POSITIVE_WORDS))}])) > 0) AS pos, max(len(list_intersect(ws, [{', '.join(map(lit, V.NEGATIVE_WORDS))}])) > 0) AS neg FROM w GROUP BY 1) SELECT e.g, CAST(n AS BIGINT) AS n, k AS sources, round(CASE WHEN n > 1 THEN least(1.0, e / log2(n) * least(1.0, k / 5)) ELSE 0.0 END, 4) AS diversity, round(CASE WHEN n >= 3 THEN least(1.0, k / 5) ELSE least(1.0, n / 3) END, 2) AS angle, round(CASE WHEN k >= 2 THEN least(1.0, k / 3) ELSE 0.2 END * 0.5 + CASE WHEN pos AND neg THEN 0.8 WHEN pos OR neg THEN 0.4 ELSE 0.2 END * 0.5, 2) AS perspective, concat_ws(',', CASE WHEN n < 3 THEN 'few results' END, CASE WHEN k < 3 AND n >= 3 THEN 'few sources' END) AS weaknesses FROM e JOIN b ON e.g = b.g"),
+    "url_window": "SELECT md5(CAST(i AS VARCHAR)) AS url_hash FROM range(120) r(i) WHERE i IN (SELECT user_id % 97 FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 5 DAYS)",
+    "usable_results": sql("pages", f", r AS (SELECT page_id AS position, regexp_replace(url, '[?#].*$', '') AS u, page_id % 6 <> 0 AS ok, content FROM v_pages) SELECT position, u AS url FROM r WHERE ok AND length(content) >= 300 AND {words_of('content')} >= 50 AND u NOT IN (SELECT u FROM r WHERE position % 9 = 1) QUALIFY row_number() OVER (PARTITION BY u ORDER BY position) = 1"),
+    "log_stats": "SELECT count(*) AS logs, CAST(sum(floor(o_totalprice)) AS BIGINT) AS words, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, CAST(floor(sum(floor(o_totalprice)) / count(*) + 0.5) AS BIGINT) AS mean_words FROM orders",
+    "logs_by_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, max(o_orderkey) AS last_id FROM orders GROUP BY 1",
+    "engine_health": "SELECT event_type AS engine, count(*) AS attempts, count(*) FILTER (WHERE event_id % 4 = 0) AS empty, last(event_id % 4 ORDER BY ts, event_id) AS last_results FROM events GROUP BY 1",
+    "similar_keyword_rounds": sql("rounds", "SELECT id, search_keyword, round(score_delta, 6) AS score_delta FROM v_rounds r WHERE (contains(search_keyword, '11') OR contains(search_keyword, '22') OR contains(search_keyword, '33')) AND r.score_delta > 0 ORDER BY r.score_delta DESC, id LIMIT 10"),
+    "answer_category": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '后端开发' WHEN 1 THEN 'AI与机器学习' WHEN 2 THEN 'DevOps' WHEN 4 THEN '安全' ELSE '其他' END AS category FROM documents",
+    "keyword_relevance": sql("pages", f", p AS (SELECT page_id, lower(title) AS t, lower(title) || ' ' || lower(substr(content, 1, 80)) AS b FROM v_pages) SELECT page_id, trim(t) NOT IN ('', 'no title') AND NOT {matches('b', T.alternation(V.EXCLUDED_KEYWORDS))} AND (regexp_matches(b, '\\bthe and\\b') OR contains(t, 'the') OR contains(t, 'and') OR CAST(contains(b, 'the') AS INTEGER) + CAST(contains(b, 'and') AS INTEGER) >= 2) AS relevant FROM p"),
+    "section_overrides": sql("visits", OK_RUNS + ", s AS (SELECT source_id, count(*) AS n, avg(CAST(ok AS INTEGER)) AS r, avg(score) AS q, source_id % 5 = 0 AS dead FROM runs GROUP BY 1) SELECT source_id, CASE WHEN dead OR n < 3 THEN 1.0::DOUBLE WHEN q >= 60 AND r >= 0.6 THEN 2.0::DOUBLE WHEN q >= 40 AND r >= 0.5 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS freshness_multiplier, CASE WHEN NOT dead AND n >= 3 AND q >= 60 AND r >= 0.6 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS items_multiplier FROM s"),
+    "stop_rule": sql("rounds", ", r AS (SELECT task_id, round_num, max(overall_score) AS s FROM v_rounds GROUP BY 1, 2), g AS (SELECT *, s - lag(s) OVER (PARTITION BY task_id ORDER BY round_num) AS gain FROM r QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY round_num DESC) = 1) SELECT task_id, s >= 0.9 OR (round_num >= 3 AND coalesce(gain < 0.03, false)) AS stop FROM g"),
     "digest_item_dedup": ITEMS + "SELECT section, position, url FROM i QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(one_liner) DESC, section, position) = 1 OR url = ''",
     "url_repair": """WITH p AS (SELECT page_id % 7 AS task_id, page_id AS position, url FROM pages), i AS (SELECT *, CASE position % 4 WHEN 0 THEN regexp_replace(url, '^https?', 'ftp') WHEN 1 THEN regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') WHEN 2 THEN url || 'zz' ELSE url END AS b FROM p)
         SELECT task_id, position, coalesce((SELECT min(url) FROM p WHERE p.task_id = i.task_id AND p.url = i.b), (SELECT min(url) FROM p WHERE p.task_id = i.task_id AND starts_with(i.b, p.url)), (SELECT min(url) FROM p WHERE p.task_id = i.task_id AND rtrim(regexp_replace(p.url, '^https?://', ''), '/') = rtrim(regexp_replace(i.b, '^https?://', ''), '/')), '') AS fixed FROM i""",
