@@ -24,7 +24,7 @@ from .common import Shared, annotate, free_name
 #: Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's memory of encoded words holds before it starts anew, and characters that it encodes at a time.
-MEMORY, BLOCK_CHARS = 300_000, 2_000_000
+MEMORY, BLOCK_CHARS = 100_000, 1_000_000
 #: Bytes up to which a word is merged by rescanning instead of with a heap.
 SHORT = 32
 _NEVER = np.int64(1) << 40

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .spans import cut_out, placed, removed, sha256, sorted_groups, starts_of
 
 #: Mean distance of cut candidates is 2 ** BITS bytes; a chunk has LEAST to MOST bytes (a text's last one may have fewer).
@@ -81,7 +82,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", ga
 
     def emit(batches):
         gear, digest, parts, size = gear_table(), xxhash.xxh3_128_digest, [], 0
-        for batch in batches:
+        for batch in slices(batches, 2):
             for d, u, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ends = cuts(t, gear)
                 if ends and ends[-1] - (ends[-2] if len(ends) > 1 else 0) < SHORTEST:

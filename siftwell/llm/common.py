@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Keys that hold more than one row in HEAVY_SHARE are joined by broadcast; there can be at most HEAVY_SHARE of them.
 HEAVY_SHARE = 2000
+#: Text that a Python task works on at a time.
+SLICE_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,6 +69,17 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable[pa.RecordBatch], at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about ``most`` bytes in column ``at``, one row at least: what a task makes of a part stays small."""
+    for batch in batches:
+        n = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(at)), 0).cast(pa.int64())).to_numpy() if batch.num_rows else []
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(n, (n[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def annotate(df: DataFrame, text: str, field: T.StructField, build: Callable[[], Callable[[pa.Array], pa.Array]], keep: Sequence[str] | None = None) -> DataFrame:
     """df's columns ``keep`` (default: all) and a column ``field`` that is computed batch by batch from the text column.
 
@@ -78,7 +94,7 @@ def annotate(df: DataFrame, text: str, field: T.StructField, build: Callable[[],
 
     def run(batches):
         fn = build()
-        for batch in batches:
+        for batch in slices(batches, sent.index(text)):
             raw = batch.column(sent.index(text))
             raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), fn(raw)], names=schema.names)
@@ -99,6 +115,8 @@ class Shared:
         """make(value), once in each worker process."""
         if self.key not in _built:
             _built.clear()
+            gc.collect()  # what an earlier stage built shouldn't stay with the worker
+            pa.default_memory_pool().release_unused()
             _built[self.key] = make(self.broadcast.value)
         return _built[self.key]
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, annotate, col, cut, free_name
+from .common import Shared, annotate, col, cut, free_name, slices
 
 ORDER = 4
 #: Bound of the model: so many of the commonest words of each language are fitted. A documented sample bound of the classifier.
@@ -30,7 +30,7 @@ REJECT_MARGIN = 0.15
 #: Characters beyond which a longer text's cross-entropy isn't expected to stray less; characters of evidence in a score.
 STEADY, EVIDENCE = 400, 30
 #: Training texts for that calibration, those of smallest hash; words that a worker remembers.
-CALIBRATION_TEXTS, MEMORY = 2_000, 500_000
+CALIBRATION_TEXTS, MEMORY = 2_000, 100_000
 #: One training text in so many is kept from the counts, for calibration.
 CALIBRATION_SHARE = 10
 UNKNOWN = "und"
@@ -124,10 +124,11 @@ class Model:
             weight = back[np.searchsorted(contexts, shape[:, 0])] if len(grams) else back[:0]
             self.grams.append((grams, np.log(own + np.exp(weight + lower))))
         self.mean, self.noise, self.margin, self.sigmas = np.zeros(len(self.languages)), np.full(len(self.languages), np.inf), 0.0, 0.0
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}  # words that were looked up before -> their row
+        self.rows = np.empty((0, len(self.languages)))
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "rows": self.rows[:0]}
 
     def _level(self, k: int, gram: np.ndarray) -> np.ndarray:
         """Log probabilities of n-grams that are known at this order."""
@@ -166,16 +167,17 @@ class Model:
         chars, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
         counted = [Counter(text_words(t)) for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.known, self.rows = {}, self.rows[:0].copy()
         new = list(set().union(*counted).difference(self.known))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.known.update(zip(part, self.log_probability(part), strict=True))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.known.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
+            self.rows = np.concatenate([self.rows, self.log_probability(part)])
         for i, c in enumerate(counted):
             if c:
                 n = np.fromiter(c.values(), np.int64, len(c))
                 chars[i] = n @ np.fromiter((len(w) + 1 for w in c), np.int64, len(c))
-                total[i] = n @ np.array([self.known[w] for w in c])
+                total[i] = n @ self.rows[[self.known[w] for w in c]]
         return chars, total
 
     def calibrate(self, texts: Sequence[str], languages: Sequence[str], sigmas: float, margin: float) -> None:
@@ -216,7 +218,7 @@ def count_words(train: DataFrame, text: str, lang: str) -> DataFrame:
     def count(batches):
         counts: Counter = Counter()
         flush = lambda: pa.RecordBatch.from_pydict({"l": [k[0] for k in counts], "w": [k[1] for k in counts], "n": list(counts.values())}, _COUNTED)
-        for b in batches:
+        for b in slices(batches, 0):
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(text_words(t)).items():
                     counts[name, w] += n

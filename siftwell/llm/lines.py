@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .spans import cut_out, merged, placed, sha256
 
 #: A block of lines is deleted only if it has at least so many characters that aren't blank (bytes of UTF-8).
@@ -53,20 +53,18 @@ def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """(d, u, p, size, a, b): place of each line, its bytes that aren't blank, and its 128-bit id. Lines without any have no id and no row."""
 
     def run(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                part = batch.slice(s, 500)
-                d, u, p, size, ids = [], [], [], [], []
-                for x, y, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    for i, line in enumerate(lines_of(t)):
-                        if n := len(line.translate(None, _BLANK)):
-                            d.append(x)
-                            u.append(y)
-                            p.append(i)
-                            size.append(n)
-                            ids.append(xxhash.xxh3_128_digest(line))
-                ab = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(u, pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int64()), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["d", "u", "p", "size", "a", "b"])
+        for part in slices(batches, 2):
+            d, u, p, size, ids = [], [], [], [], []
+            for x, y, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for i, line in enumerate(lines_of(t)):
+                    if n := len(line.translate(None, _BLANK)):
+                        d.append(x)
+                        u.append(y)
+                        p.append(i)
+                        size.append(n)
+                        ids.append(xxhash.xxh3_128_digest(line))
+            ab = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(u, pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int64()), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["d", "u", "p", "size", "a", "b"])
 
     return placed(docs, text, key).mapInArrow(run, "d long, u long, p int, size long, a long, b long")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name
+from .common import col, free_name, slices
 
 #: A document's place in the order of documents: its id (null: after all others), then a hash of its text for ids that repeat.
 LAST = 2**63 - 1
@@ -67,7 +67,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, text: str, key: str, keep: Sequen
 
     def run(batches):
         none = np.empty(0, np.int64)
-        for b in batches:
+        for b in slices(batches, len(keep)):
             at = len(keep)
             texts, a, n = b.column(at).to_pylist(), b.column(at + 1), b.column(at + 2)
             rows = [work(t, none if (x := a[i].values) is None else x.to_numpy(zero_copy_only=False).astype(np.int64), none if (y := n[i].values) is None else y.to_numpy(zero_copy_only=False).astype(np.int64)) for i, t in enumerate(texts)]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, store
+from .common import cut, slices, store
 from .spans import cut_out, placed, removed, sha256, sorted_groups, starts_of
 
 LENGTH, GRAM = 50, 20
@@ -114,7 +114,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     def emit(batches):
         parts, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             d, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for s in _chunks(texts):
                 own, h, first, offset, count = minimizers(texts[s])
@@ -167,7 +167,7 @@ def _strings(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.where(settled, spread, lead)), pa.array(d), pa.array(u), pa.array(first), pa.array(shape), blobs], names=["lead", "d", "u", "first", "shape", "string"])
 
     parts, size = [], 0
-    for batch in batches:
+    for batch in slices(batches, 2):
         d, u, texts, lists = (batch.column(i) for i in range(4))
         for i in range(batch.num_rows):
             p = lists[i].values
