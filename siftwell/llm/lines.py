@@ -40,12 +40,14 @@ def _first(cls: list[str], rows: DataFrame) -> DataFrame:
     return rows.groupBy(*cls).agg(F.min(F.struct("d", "u", "p")).alias("f"), F.count("*").alias("c")).where("c > 1").select(*cls, F.col("f.d").alias("fd"), F.col("f.u").alias("fu"), F.col("f.p").alias("fp"))
 
 
-def _classed(rows: DataFrame, cls: list[str]) -> DataFrame:
+def _classed(rows: DataFrame, cls: list[str], stored: bool = False) -> DataFrame:
     """The rows that share their class with others, with the class's first place as its name.
 
-    First places are stored before the join: with plain rows on both sides Spark's skew handling can split a hot class.
+    If first places are stored before the join, plain rows stand on both sides and Spark's skew handling can split a hot class. That is
+    done for lines themselves; doing it in every round holds more plans than a small driver has room for.
     """
-    named = rows.join(cut(_first(cls, rows)), cls)
+    first = _first(cls, rows)
+    named = rows.join(cut(first) if stored else first, cls)
     return named.select(*_KEY, "size", "fd", "fu", "fp")
 
 
@@ -75,7 +77,7 @@ def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     Blank lines carry no id and end a run. Equal texts with equal ids are one document. The number of rounds is the logarithm of the
     longest repeated run; each round's classes are written to the checkpoint folder, so lineage doesn't grow.
     """
-    now = cut(_classed(line_ids(docs, text, key), ["a", "b"]).dropDuplicates(_KEY))  # rows that repeat stand at one place
+    now = cut(_classed(line_ids(docs, text, key), ["a", "b"], stored=True).dropDuplicates(_KEY))  # rows that repeat stand at one place
     found, k = None, 0
     while not now.isEmpty():
         copies = now.where((F.col("size") >= least_bytes) & ~((F.col("d") == F.col("fd")) & (F.col("u") == F.col("fu")) & (F.col("p") == F.col("fp"))))
