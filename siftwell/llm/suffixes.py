@@ -94,32 +94,33 @@ def _pack(first: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(d, p): packed runs of windows of rows (d, u, t) whose minimizer string has the hash of one in a document with another d.
+    """(d, v, p): packed runs of windows of rows (d, u, t) whose minimizer string has the hash of one in a document with another d; v is the
+    low half of u, so that rows with one d, null ids above all, don't gather each other's windows.
 
     What a task knows to be shared among its own documents needs no partner elsewhere: of these only one row for each string is dealt by
     the string's hash, so a hot string never gathers more rows than there are such lots. Kinds: 0 asks, 1 knows and tells, 2 knows.
     """
 
     def settle(parts):
-        h, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, d, v, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h)
-        h, d, p = h[order], d[order], p[order]
+        h, d, v, p = h[order], d[order], v[order], p[order]
         new = starts_of(h)
         at = np.flatnonzero(new)
         shared = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), np.diff(np.append(at, len(h))))
         kind = np.where(shared, np.where(new, 1, 2), 0)
         with np.errstate(over="ignore"):
-            key = np.where(kind == 2, (d.astype(np.uint64) * _B ^ p.astype(np.uint64)) * _C, h)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d), pa.array(p << 2 | kind)], names=["key", "d", "p"])
+            key = np.where(kind == 2, ((d ^ v).astype(np.uint64) * _B ^ p.astype(np.uint64)) * _C, h)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d), pa.array(v), pa.array(p << 2 | kind)], names=["key", "d", "v", "p"])
 
     def emit(batches):
         parts, size = [], 0
-        for batch in slices(batches, 1):
-            d, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for batch in slices(batches, 2):
+            d, v, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for s in _chunks(texts):
                 own, h, first, offset, count = minimizers(texts[s])
                 if len(own):
-                    parts.append((h, d[s][own], _pack(first, offset, count)))
+                    parts.append((h, d[s][own], v[s][own], _pack(first, offset, count)))
                     size += len(own)
                 if size >= GATHER:
                     yield settle(parts)
@@ -128,7 +129,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield settle(parts)
 
     def decide(batches):
-        for key, d, p in sorted_groups(batches, 1):
+        for key, d, v, p in sorted_groups(batches, 1):
             kind = p & 3
             open_ = np.flatnonzero(kind < 2)
             good = kind == 2
@@ -137,10 +138,10 @@ def candidates(rows: DataFrame) -> DataFrame:
                 dd, known = d[open_], kind[open_]
                 shared = (np.minimum.reduceat(dd, new) != np.maximum.reduceat(dd, new)) | (np.maximum.reduceat(known, new) == 1)
                 good[open_] = np.repeat(shared, np.diff(np.append(new, len(open_))))
-            yield pa.RecordBatch.from_arrays([pa.array(d[good]), pa.array(p[good] >> 2)], names=["d", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[good]), pa.array(v[good]), pa.array(p[good] >> 2)], names=["d", "v", "p"])
 
-    sent = rows.select("d", "t").mapInArrow(emit, "key long, d long, p long")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(decide, "d long, p long")
+    sent = rows.select("d", F.expr("cast((u & 4294967295) - 2147483648 as int)").alias("v"), "t").mapInArrow(emit, "key long, d long, v int, p long")
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(decide, "d long, v int, p long")
 
 
 def _strings(batches):
@@ -292,8 +293,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """(d, u, start, size): byte spans made of 50-byte windows that also start in a document with a smaller d."""
     rows = placed(docs, text, key)
     found = store(candidates(rows))
-    lists = found.groupBy("d").agg(F.collect_list("p").alias("p"))
-    strings = rows.join(lists, "d").select("d", "u", "t", "p").mapInArrow(_strings, "lead long, d long, u long, first long, shape long, string binary")
+    lists = found.groupBy("d", "v").agg(F.collect_set("p").alias("p"))  # repeated rows tell their windows once
+    strings = rows.withColumn("v", F.expr("cast((u & 4294967295) - 2147483648 as int)")).join(lists, ["d", "v"]).select("d", "u", "t", "p").mapInArrow(_strings, "lead long, d long, u long, first long, shape long, string binary")
     sorted_ = strings.repartitionByRange("lead", "d").sortWithinPartitions("lead", "d").mapInArrow(_sort_bucket, "d long, u long, start long, size long, window binary")
     spans = store(sorted_)
     open_ = spans.where(F.col("window").isNotNull())

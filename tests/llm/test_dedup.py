@@ -9,7 +9,7 @@ import pytest
 from siftwell.llm import chunks, lines, suffixes
 from siftwell.llm.spans import LAST, merged, removed
 
-from .helpers import corpus, frame
+from .helpers import corpus, frame, prose
 
 ROWS = corpus()
 
@@ -58,6 +58,16 @@ def test_suffix_dedup_with_small_lots_and_many_buckets(spark, seed, monkeypatch)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_rows_of_one_id_gather_only_their_own_windows(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60)) for i in range(20)]
+    rows += [(None, t) for _, t in rows] + [(None, rows[0][1])] * 30 + [(7, rows[3][1])] * 30
+    assert result(suffixes.digest_columns(frame(spark, rows))) == brute_suffixes(rows)
+    found = suffixes.candidates(suffixes.placed(frame(spark, rows), "text", "doc_id"))
+    lists = found.groupBy("d", "v").count().where(f"d = {LAST}").collect()
+    assert len(lists) == 20
+
+
 def test_multikey_quicksort_finds_all_ties():
     rng = random.Random(0)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"c" * 200
