@@ -39,27 +39,37 @@ def free_name(columns: Sequence[str], base: str) -> str:
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and forget its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or the one that was set on the context.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine tests) a temporary one is used.
+    Only a session on one machine (a local master, as in tests) gets a temporary folder where neither is set; on a cluster that would be
+    another folder on each machine, so it raises.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-checkpoint-"))
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not told:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        told = tempfile.mkdtemp(prefix="siftwell-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(told)
+    return told
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and forget its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared checkpoint folder, and read back: smaller than a checkpoint of rows.
 
-    Shuffle files of the write are dropped as soon as it ends; the table doesn't need them.
+    Shuffle files of the write are dropped as soon as it ends; the table doesn't need them. Later plans read the table lazily, so it stays
+    until the folder is emptied, as checkpoints do.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-checkpoint-"))
-    path = f"{sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()}/siftwell-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/siftwell-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -131,35 +131,66 @@ def test_chunks_resist_shifts():
 
 
 def brute_lines(rows, hashes, least=lines.LEAST_BYTES):
+    """Runs of every length, each compared with all that start before it; blank lines are passed over."""
+    visible = lambda x: len(x.translate(None, b" \t\n\r\v\f"))
     places = sorted({(LAST if d is None else d, hashes[t or ""], t or "") for d, t in rows})
-    first, out, k = {}, {}, 1
-    split = [(p, lines.lines_of(p[2].encode())) for p in places]
-    size = lambda x: len(x.translate(None, b" \t\n\r\v\f"))
+    split = {p: p[2].encode().split(b"\n") if p[2] else [] for p in places}
+    full = {p: [i for i, x in enumerate(split[p]) if visible(x)] for p in places}
     gone = {p: set() for p in places}
-    while k <= max(len(x) for _, x in split):
-        for p, x in split:
-            for i in range(len(x) - k + 1):
-                block = tuple(x[i : i + k])
-                if all(map(size, block)):
-                    if first.setdefault(block, (p, i)) != (p, i) and sum(map(size, block)) >= least:
-                        gone[p].update(range(i, i + k))
-        k *= 2
-    for p, x in split:
-        g = gone[p]
-        out[p[0], p[2]] = (len(x), len(g), sum(i - 1 not in g for i in g), sha(b"\n".join(y for i, y in enumerate(x) if i not in g)))
+    for n in range(1, max(map(len, full.values())) + 1):
+        seen = set()
+        for p in places:
+            for i in range(len(full[p]) - n + 1):
+                at = full[p][i : i + n]
+                run = tuple(split[p][j] for j in at)
+                if run in seen and sum(map(visible, run)) >= least:
+                    gone[p].update(at)
+                seen.add(run)
+    out = {}
+    for p in places:
+        g = set(gone[p])
+        for j in set(range(len(split[p]))) - set(full[p]) if g else ():
+            sides = [max((x for x in full[p] if x < j), default=None), min((x for x in full[p] if x > j), default=None)]
+            if all(x is None or x in gone[p] for x in sides):
+                g.add(j)
+        out[p[0], p[2]] = (len(split[p]), len(g), sum(i - 1 not in g for i in g), sha(b"\n".join(y for i, y in enumerate(split[p]) if i not in g)))
     return sorted(((d, *out[LAST if d is None else d, t or ""]) for d, t in rows), key=repr)
 
 
-def test_line_dedup_matches_brute_force(spark):
+def short_lines(seed):
+    rng = random.Random(seed)
+    stock = ["ab", "cde", "f g", "hello there", "x" * 15, "y" * 39, "z" * 40, "w" * 100, "", "  "]
+    return [(rng.randint(0, 30) if rng.random() < 0.9 else None, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 25)))) for _ in range(50)]
+
+
+@pytest.mark.parametrize("rows", [ROWS, short_lines(7), short_lines(8)], ids=["corpus", "short lines", "more short lines"])
+def test_line_dedup_matches_brute_force(spark, rows):
     from pyspark.sql import functions as F
 
-    df = frame(spark, ROWS)
+    df = frame(spark, rows)
     hashes = {r[0]: r[1] for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
-    want = brute_lines(ROWS, hashes)
+    want = brute_lines(rows, hashes)
     assert result(lines.digest_columns(df)) == want
     assert sum(w[2] for w in want) > 50
 
 
+def test_runs_of_three_short_lines_pass_over_blank_lines(spark):
+    run = ["a" * 14, "b" * 14, "c" * 13]
+    rows = [(1, "\n".join(run)), (2, "x\n\n" + "\n\n".join(run) + "\nend"), (3, "\n".join(run[:2]) + "\nz")]
+    got = {r.doc_id: bytes(r.kept_text).decode() for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "x\n\nend", 3: rows[2][1]}
+
+
+def test_a_very_long_text_and_shortest_windows(spark):
+    rng = random.Random(3)
+    long_text = "\n".join(prose(rng, 6, 6) for _ in range(20_000))
+    rows = [(1, long_text), (2, "own line of forty visible bytes, more or less, yes\n" + long_text)]
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.n_runs) for r in lines.digest_columns(frame(spark, rows)).collect()}
+    assert got[2] == (20_001, 20_000, 1)
+    ahead, back, wide = lines.windows(np.array([10, 40, 5, 35, 1]), 40)
+    assert ahead.tolist() == [2, 1, 2, 0, 0] and back.tolist() == [0, 1, 2, 2, 3] and wide.tolist() == [True] * 5
+
+
 def test_short_lines_go_only_in_longer_runs(spark):
     rows = [(1, "aaa\nbbb\n" + "c" * 30 + "\n" + "d" * 20), (2, "aaa\nother\n" + "c" * 30 + "\n" + "d" * 20 + "\nend"), (3, "aaa\nx")]
     got = {r.doc_id: bytes(r.kept_text).decode() for r in lines.dedup_lines(frame(spark, rows)).collect()}
