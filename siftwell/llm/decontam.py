@@ -140,10 +140,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         case when size(a) > 0 and x.start <= a[size(a) - 1].end
              then concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end))))
              else concat(a, array(x)) end)""")
-    key = free_name(docs.columns, "text_key")
+    key, spans, ids = (free_name([*docs.columns, name], n) for n in ("text_key", "text_spans", "text_ids"))
     counted = _search(docs.withColumn(key, F.sha2(col(text), 256)), text, name, [], size, [*keep, key])
-    joined = counted.join(one.select(F.col("k").alias(key), merged.alias("_spans"), F.col("ids").alias("_ids")), key, "left")
-    value = F.struct(col(name)["n_words"].alias("n_words"), F.coalesce("_spans", col(name)["spans"]).alias("spans"), F.coalesce("_ids", col(name)["item_ids"]).alias("item_ids"))
+    joined = counted.join(one.select(F.col("k").alias(key), merged.alias(spans), F.col("ids").alias(ids)), key, "left")
+    value = F.struct(col(name)["n_words"].alias("n_words"), F.coalesce(col(spans), col(name)["spans"]).alias("spans"), F.coalesce(col(ids), col(name)["item_ids"]).alias("item_ids"))
     return joined.select(*map(col, keep), value.alias(name)), name
 
 

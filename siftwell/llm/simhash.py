@@ -198,5 +198,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with the smallest id of each component. Rows that repeat that id stay as they are; so do rows without id."""
-    gone = near_duplicates(docs, text, key).where(col(key) != F.col("component_id")).select(col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "gone")
+    gone = near_duplicates(docs, text, key).where(col(key) != F.col("component_id")).select(col(key).alias(name)).distinct()
+    return docs.join(gone, col(key).cast("long") == F.col(name), "left_anti")
