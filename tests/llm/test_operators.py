@@ -198,6 +198,24 @@ def test_kneser_ney_probabilities_sum_to_one():
     assert 0 < np.exp(model.log_probability(words_)).sum() <= 1 + 1e-9
 
 
+def cosines(x, q):
+    return (x @ q) / np.linalg.norm(x, axis=1) / np.linalg.norm(q)
+
+
+def recall(got, ids, x, queries, k=5):
+    """Share of the true k nearest that were found; every query must have k rows, in order, with exact scores."""
+    place, hits = {v: i for i, v in enumerate(ids)}, 0
+    for q in queries:
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, k + 1))
+        s = cosines(x, x[place[q]])
+        assert all(abs(r.score - s[place[r.vec_id]]) < 1e-12 for r in mine)
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+        s[place[q]] = -9
+        hits += len({r.vec_id for r in mine} & {ids[i] for i in np.lexsort((ids, -s))[:k]})
+    return hits / (k * len(queries))
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 24))
@@ -205,30 +223,40 @@ def test_neighbours_match_brute_force(spark):
     x[10] = x[0]
     x[20] = x[0]
     rows = [(i, [float(v) for v in x[i]]) for i in range(1500)]
-    bad = [(50_000, None), (50_050, [0.0] * 24), (50_100, [float("nan")] * 24), (50_150, [None] * 24), (50_200, [float("inf")] + [1.0] * 23), (50_250, [1.0, 2.0]), (None, rows[3][1]), rows[7]]
+    bad = [(50_000, None), (50_050, [0.0] * 24), (50_100, [float("nan")] * 24), (50_150, [None] * 24), (50_200, [float("inf")] + [1.0] * 23), (None, rows[3][1]), rows[7]]
     df = frame(spark, [*rows, *bad], "vec_id long, embedding array<float>")
-    y = x.astype(np.float64)
-    unit = y / np.linalg.norm(y, axis=1)[:, None]
-    for block in (4096, 40):
-        got = neighbours.search(df, F.col("vec_id") % 50 == 0, block=block).collect()
-        hits = 0
-        for q in range(0, 1500, 50):
-            mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-            assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
-            s = unit @ unit[q]
-            assert all(abs(r.score - s[r.vec_id]) < 1e-12 for r in mine)
-            assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
-            s[q] = -9
-            hits += len({r.vec_id for r in mine} & set(np.lexsort((np.arange(1500), -s))[:5].tolist()))
-        assert hits / 150 >= 0.95 and len(got) == 150
+    for part, substrings in ((4096, None), (7, 4), (4096, 8)):
+        got = neighbours.search(df, F.col("vec_id") % 50 == 0, part=part, substrings=substrings).collect()
+        assert len(got) == 150 and recall(got, list(range(1500)), x.astype(np.float64), range(0, 1500, 50)) >= 0.95
         assert [r.vec_id for r in sorted(got) if r.query_id == 0][:2] == [10, 20]
 
 
+def test_outliers_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(5, 16))
+    x = np.concatenate([centres[rng.integers(0, 5, 1000)] + 0.01 * rng.normal(size=(1000, 16)), -10 * centres.sum(0)[None], rng.normal(size=(1, 16))])
+    ids = [*range(1, 1001), 5000, 5050]
+    df = frame(spark, [(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert recall(got, ids, x, [i for i in ids if i % 50 == 0]) >= 0.9
+
+
+def test_neighbours_of_the_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = queries.op10_neighbours(spark, "/root/testdata/sf0.01").collect()
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    assert recall(got, ids, x, [i for i in ids if i % 50 == 0]) >= 0.9
+
+
 def test_neighbours_of_few_vectors(spark):
     schema = "vec_id long, embedding array<float>, id int, v int, piece int"
     assert neighbours.search(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
     got = neighbours.search(spark.createDataFrame([(0, [1.0, 0.0], 1, 1, 1), (1, [0.0, 2.0], 1, 1, 1), (2, [3.0, 3.0], 1, 1, 1)], schema), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in sorted(got)] == [(0, 1, 2, 0.707107), (0, 2, 1, 0.0)]
+    got = neighbours.search(spark.createDataFrame([(0, [1.0, 0.0], 1, 1, 1), (1, [1.0], 1, 1, 1), (2, [1.0, 0.0, 1.0], 1, 1, 1)], schema), F.col("vec_id") % 50 == 0).collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in sorted(got)] == [(1, 1.0), (2, 0.707107)]
+    assert neighbours.search(spark.createDataFrame([(0, [1.0, 0.0], 1, 1, 1)], schema), F.col("vec_id") % 50 == 0).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op1_decontamination", "op2_bpe", "op3_simhash", "op4_line_dedup", "op5_sharding", "op6_suffix_dedup", "op7_html_text", "op8_language_id", "op9_chunk_dedup", "op10_neighbours"])
