@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from .common import Shared, annotate, col, cut, free_name
 
 WINDOW = 13
-#: Bytes of benchmark text that one pass over the documents searches for; a larger benchmark takes several passes.
-PASS_BYTES = 24 << 20
+#: Windows (about 1 KB each in a task) that one pass over the documents searches for; a larger benchmark takes several passes. Windows
+#: of a piece of an item; longer items are cut, so that passes can be of equal size.
+PASS_WINDOWS, PIECE = 400_000, 2_000
 
 #: Words are runs of digits, letters and all bytes beyond ASCII; A-Z become a-z and every other byte a blank.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,6 +102,17 @@ class Matcher:
         return {"n_words": len(w), "spans": spans, "item_ids": sorted(items)}
 
 
+def _pieces(batches, size: int):
+    """(item, words, number of windows) of rows (item, text): an item of many windows as several pieces, each window in one of them."""
+    for batch in batches:
+        out = []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = words(t)
+            n = max(1, len(w) - size + 1) if w else 0
+            out += [(i, b" ".join(w[at : at + PIECE + size - 1]), min(PIECE, n - at)) for at in range(0, n, PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], names=["i", "t", "n"])
+
+
 def _search(docs: DataFrame, text: str, name: str, items: list, size: int, keep: Sequence[str]) -> DataFrame:
     shared = Shared(docs.sparkSession, items)
 
@@ -111,22 +123,23 @@ def _search(docs: DataFrame, text: str, name: str, items: list, size: int, keep:
     return annotate(docs, text, T.StructField(name, RESULT), build, keep)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", result: str | None = None, size: int = WINDOW, keep: Sequence[str] | None = None, pass_bytes: int = PASS_BYTES) -> tuple[DataFrame, str]:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", result: str | None = None, size: int = WINDOW, keep: Sequence[str] | None = None, pass_windows: int = PASS_WINDOWS) -> tuple[DataFrame, str]:
     """docs with a struct column: n_words, spans of word positions inside any occurrence of a benchmark window, ids of the items that occur.
 
     Returns the frame and the struct's name: ``result``, or a free name like ``contamination``. One row comes out for each row
     that goes in, repeated rows and nulls included. A null or wordless document has no words; a null or wordless item has no window;
     windows of an item without id mark words but name no item; an empty benchmark marks nothing.
 
-    The benchmark is cut by a hash into passes of about ``pass_bytes``; that measured size bounds what is collected and broadcast.
-    With one pass the documents are read once and nothing is shuffled. With more, passes search all distinct texts and their findings
+    The benchmark is cut by a hash into passes of about ``pass_windows``; that measured number bounds what is collected and broadcast. A
+    very long item is cut into pieces that share no window, a very long document is searched whole. With one pass the documents are read once and nothing is shuffled. With more, passes search all distinct texts and their findings
     are joined by the text's digest.
     """
     keep = list(docs.columns if keep is None else keep)
     name = free_name([*docs.columns], result or "contamination")
-    items = benchmark.select(col(item).cast("string").alias("i"), col(item_text).alias("t")).where(F.col("t").isNotNull()).distinct()
-    passes = 1 + (benchmark.agg(F.sum(F.octet_length(col(item_text)))).first()[0] or 0) // pass_bytes
-    part = lambda k: [(r.i, r.t.encode()) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).toLocalIterator()]
+    items = benchmark.select(col(item).cast("string").alias("i"), col(item_text).cast("string").cast("binary").alias("t")).where(F.col("t").isNotNull())
+    pieces = cut(items.mapInArrow(lambda b: _pieces(b, size), "i string, t binary, n long").distinct())
+    passes = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // pass_windows))
+    part = lambda k: [(r.i, bytes(r.t)) for r in pieces.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).toLocalIterator()]
     if passes == 1:
         return _search(docs, text, name, part(0), size, keep), name
     texts = docs.select(col(text).alias("t")).where(F.col("t").isNotNull())

@@ -14,25 +14,24 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, annotate, col, cut, free_name, slices
+from .common import Shared, annotate, col, free_name, slices
 
 ORDER = 4
-#: Bound of the model: so many of the commonest words of each language are fitted. A documented sample bound of the classifier.
-WORDS_PER_LANGUAGE = 50_000
-#: A text is rejected if its cross-entropy is so many standard deviations of training texts of its length above their mean ...
+#: A text is rejected if its cross-entropy is so many standard deviations of calibration texts of its length above their mean ...
 REJECT_SIGMAS = 8.0
 #: ... and by this share of the mean, since topics differ.
 REJECT_MARGIN = 0.15
 #: Characters beyond which a longer text's cross-entropy isn't expected to stray less; characters of evidence in a score.
 STEADY, EVIDENCE = 400, 30
-#: Training texts for that calibration, those of smallest hash; words that a worker remembers.
-CALIBRATION_TEXTS, MEMORY = 2_000, 100_000
-#: One training text in so many is kept from the counts, for calibration.
-CALIBRATION_SHARE = 10
+#: Words that a worker remembers.
+MEMORY = 100_000
+#: Texts of a language that are kept from its counts, for calibration: one distinct text in CALIBRATION_SHARE, and about CALIBRATION_TEXTS
+#: at most. A language of fewer than FEW_TEXTS keeps none; it is calibrated on texts that were counted, with twice the margin.
+CALIBRATION_SHARE, CALIBRATION_TEXTS, FEW_TEXTS = 10, 2_000, 100
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _EDGE = "\x02"
@@ -64,28 +63,36 @@ def _rolled(flat: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def gram_counts(words: dict[str, int], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_grams(word: str, order: int = ORDER) -> list[str]:
+    """What a model counts of a word: all runs of ``order`` characters, border marks included, and shorter ones at its beginning."""
+    w = _EDGE + word + _EDGE
+    return [w[i : i + order] for i in range(len(w) - order + 1)] + [w[:k] for k in range(2, min(order, len(w) + 1))]
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """Hash of each row of code points, the same as that of a running n-gram."""
+    h = np.zeros(len(codes), np.uint64)
+    for column in codes.T:
+        h = h * _BASE + column + np.uint64(1)
+    return h
+
+
+def gram_counts(grams: dict[str, int], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For k = 1 .. order, of the distinct n-grams: hash, hash of the context, hash without the first character, count.
 
     Only the highest order and n-grams at a word's beginning count occurrences; all others count the distinct characters before them.
     """
-    names = list(words)
-    flat, place, owner = _codes(names)
-    n = np.fromiter(words.values(), np.int64, len(words))
-    h, out, carried = _rolled(flat, order), [], None
+    out, longer = [], np.empty((0, order + 1), np.uint64)
+    by_size: dict[int, list[str]] = defaultdict(list)
+    for g in grams:
+        by_size[len(g)].append(g)
     for k in range(order, 0, -1):
-        own = np.flatnonzero(place >= k - 1 if k == order else place == k - 1)
-        own = own[place[own] > 0]
-        g, c, s, w = h[k][own], h[k - 1][own - 1], h[k - 1][own], n[owner[own]]
-        if carried is not None:  # one for each distinct n-gram of the next order, without its first character
-            g, c, s, w = (np.concatenate(x) for x in zip((g, c, s, w), carried, strict=True))
-        kinds, first, which = np.unique(g, return_index=True, return_inverse=True)
-        out.append((kinds, c[first], s[first], np.bincount(which, w, len(kinds)).astype(np.int64)))
-        if k > 1:
-            where = np.flatnonzero(place >= k - 1)
-            seen, at = np.unique(h[k][where], return_index=True)
-            at = where[at[np.isin(seen, kinds)]]
-            carried = (h[k - 1][at], h[k - 2][at - 1] if k > 1 else at, h[max(0, k - 2)][at], np.ones(len(at), np.int64))
+        own = np.frombuffer("".join(by_size[k]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, k)
+        n = np.concatenate([np.fromiter((grams[g] for g in by_size[k]), np.int64, len(own)), np.ones(len(longer), np.int64)])
+        codes = np.concatenate([own, longer[:, 1:]])
+        kinds, first, which = np.unique(_hashed(codes), return_index=True, return_inverse=True)
+        longer = codes[first]
+        out.append((kinds, _hashed(longer[:, :-1]), _hashed(longer[:, 1:]), np.bincount(which, n, len(kinds)).astype(np.int64)))
     return out[::-1]
 
 
@@ -96,9 +103,9 @@ class Model:
     back-off weights. An n-gram that a language lacks has its backed-off probability filled in, so a lookup serves all languages.
     """
 
-    def __init__(self, words: dict[str, dict[str, int]], order: int = ORDER):
-        self.order, self.languages = order, sorted(words)
-        counts = [gram_counts(words[x], order) for x in self.languages]
+    def __init__(self, grams: dict[str, dict[str, int]], order: int = ORDER):
+        self.order, self.languages = order, sorted(grams)
+        counts = [gram_counts(grams[x], order) for x in self.languages]
         self.grams, self.contexts = [], []
         self.floor = np.array([-np.log(len(c[0][0]) + 1.0) for c in counts])
         for k in range(1, order + 1):
@@ -123,7 +130,7 @@ class Model:
             lower = self._level(k - 1, shape[:, 1]) if k > 1 else np.broadcast_to(self.floor, own.shape)
             weight = back[np.searchsorted(contexts, shape[:, 0])] if len(grams) else back[:0]
             self.grams.append((grams, np.log(own + np.exp(weight + lower))))
-        self.mean, self.noise, self.margin, self.sigmas = np.zeros(len(self.languages)), np.full(len(self.languages), np.inf), 0.0, 0.0
+        self.mean, self.noise, self.margin, self.sigmas = np.zeros(len(self.languages)), np.full(len(self.languages), np.inf), np.zeros(len(self.languages)), 0.0
         self.known: dict[str, int] = {}  # words that were looked up before -> their row
         self.rows = np.empty((0, len(self.languages)))
 
@@ -180,21 +187,22 @@ class Model:
                 total[i] = n @ self.rows[[self.known[w] for w in c]]
         return chars, total
 
-    def calibrate(self, texts: Sequence[str], languages: Sequence[str], sigmas: float, margin: float) -> None:
-        """Mean cross-entropy of training texts by language, and how it strays with a text's length."""
-        self.sigmas, self.margin = sigmas, margin
-        chars, total = self.sums(texts)
+    def calibrate(self, stats: dict[str, tuple[float, float, float, float, float, float]], sigmas: float, margins: dict[str, float]) -> None:
+        """Mean cross-entropy by language, and how it strays with a text's length, from sums over texts with letters: texts, characters,
+        their bits, and w, w * e, w * e * e of each text's cross-entropy e and its characters w, STEADY at most."""
+        self.sigmas = sigmas
         for j, name in enumerate(self.languages):
-            mine = np.flatnonzero((np.array(languages, object) == name) & (chars > 0))
-            if len(mine) > 1:
-                e = -total[mine, j] / chars[mine]
-                self.mean[j] = np.average(e, weights=chars[mine])
-                self.noise[j] = np.sqrt(np.mean((e - self.mean[j]) ** 2 * np.minimum(chars[mine], STEADY)))
+            n, chars, bits, w, we, wee = stats.get(name, (0,) * 6)
+            self.margin[j] = margins.get(name, 0.0)
+            if n > 1:
+                self.mean[j] = bits / chars
+                self.noise[j] = np.sqrt(max(0.0, wee - 2 * self.mean[j] * we + self.mean[j] ** 2 * w) / n)
 
     def predict(self, texts: Sequence[str | None]) -> list[dict]:
         """Language, its share of the evidence, cross-entropy for each character, characters and rejection of each text.
 
-        The evidence is that of at most EVIDENCE characters, so that a score of nearly 1 needs a clear text.
+        The evidence is that of at most EVIDENCE characters, so that a score of nearly 1 needs a clear text. Of languages that tie the
+        first in order of names wins.
         """
         out, (chars, total) = [], self.sums(texts)
         for n, x in zip(chars.tolist(), total, strict=True):
@@ -203,71 +211,81 @@ class Model:
                 continue
             entropy = -x / n
             best = int(np.argmin(entropy))
-            limit = self.mean[best] * (1 + self.margin) + self.sigmas * self.noise[best] / np.sqrt(min(n, STEADY))
+            limit = self.mean[best] * (1 + self.margin[best]) + self.sigmas * self.noise[best] / np.sqrt(min(n, STEADY))
             score = 1 / np.exp((entropy[best] - entropy) * min(n, EVIDENCE)).sum()
             out.append({"lang": self.languages[best], "score": float(score), "entropy": float(entropy[best]), "n_chars": n, "rejected": bool(entropy[best] > limit)})
         return out
 
 
-_COUNTED = pa.schema([("l", pa.string()), ("w", pa.string()), ("n", pa.int64())])
+_COUNTED = pa.schema([("l", pa.string()), ("g", pa.string()), ("n", pa.int64())])
 
 
-def count_words(train: DataFrame, text: str, lang: str) -> DataFrame:
-    """(l, w, n): how often each language's texts hold each word. Tasks add up what they see before the shuffle."""
+def count_grams(train: DataFrame, text: str, lang: str, order: int = ORDER) -> DataFrame:
+    """(l, g, n): how often each language's words hold each n-gram that a model counts. Tasks add up what they see before the shuffle."""
+
+    def flush(words: Counter) -> pa.RecordBatch:
+        grams: Counter = Counter()
+        for (name, w), n in words.items():
+            for g in word_grams(w, order):
+                grams[name, g] += n
+        return pa.RecordBatch.from_pydict({"l": [k[0] for k in grams], "g": [k[1] for k in grams], "n": list(grams.values())}, _COUNTED)
 
     def count(batches):
-        counts: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_pydict({"l": [k[0] for k in counts], "w": [k[1] for k in counts], "n": list(counts.values())}, _COUNTED)
+        words: Counter = Counter()
         for b in slices(batches, 0):
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(text_words(t)).items():
-                    counts[name, w] += n
-                if len(counts) > MEMORY:
-                    yield flush()
-                    counts.clear()
-        yield flush()
+                    words[name, w] += n
+                if len(words) > MEMORY:
+                    yield flush(words)
+                    words.clear()
+        yield flush(words)
 
     rows = train.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(text), col(lang))
-    return rows.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-
+    return rows.mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
 
-def commonest(counts: DataFrame, most: int) -> DataFrame:
-    """Of (l, w, n) the commonest words of each l, ``most`` at most. Only tallies are ordered: words by count, and those at the limit by hash."""
-    by_n = counts.groupBy("l", "n").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("l").orderBy(F.desc("n")))
-    edge = by_n.withColumn("upto", upto).where(F.col("upto") > most).groupBy("l").agg(F.max(F.struct("n", (most - F.col("upto") + F.col("c")).alias("room"))).alias("e"))
-    marked = counts.join(F.broadcast(edge), "l", "left").withColumn("h", F.pmod(F.xxhash64("w"), F.lit(4096)))
-    ties = marked.where(F.col("n") == F.col("e.n")).groupBy("l", "h").agg(F.count("*").alias("c"), F.first("e.room").alias("room"))
-    within = ties.withColumn("upto", F.sum("c").over(Window.partitionBy("l").orderBy("h"))).where(F.col("upto") <= F.col("room")).groupBy("l").agg(F.max("h").alias("last"))
-    told = marked.join(F.broadcast(within), "l", "left")
-    return told.where(F.col("e").isNull() | (F.col("n") > F.col("e.n")) | (F.col("n") == F.col("e.n")) & (F.col("h") <= F.coalesce("last", F.lit(-1)))).select("l", "w", "n")
 
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, calibration_texts: int = CALIBRATION_TEXTS, sigmas: float = REJECT_SIGMAS, margin: float = REJECT_MARGIN) -> Model:
+    """Fit on all rows with a text and a language; no such row gives a model that calls everything ``und``.
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, words_per_language: int = WORDS_PER_LANGUAGE, calibration_texts: int = CALIBRATION_TEXTS, sigmas: float = REJECT_SIGMAS, margin: float = REJECT_MARGIN) -> Model:
-    """Fit on the rows with a text and a language; no such row gives a model that calls everything ``und``.
-
-    One text in CALIBRATION_SHARE, chosen by hash, is set aside; words are counted over all others. The model takes at most
-    ``words_per_language`` of each language, the commonest (equally common ones by their hash), and at most ``calibration_texts`` of the
-    texts set aside, those of smallest hash, set the rejection limit. These two are the bounds of the sample that is collected. A
-    language without texts aside rejects nothing.
+    n-grams are counted in Spark over all texts but those that calibrate, and the tallies, as many as an alphabet has runs of ``order``
+    characters, are collected; so are six sums a language. Distinct texts chosen by hash calibrate: one in CALIBRATION_SHARE of each
+    language, at most about ``calibration_texts`` of it; they stay in their tasks. Texts are never collected. A language whose texts hold
+    no letter rejects nothing.
     """
     usable = train.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(text).alias("t"), col(lang).alias("l")).withColumn("h", F.xxhash64("t", "l"))
-    aside = F.pmod("h", F.lit(CALIBRATION_SHARE)) == 0
-    words = commonest(cut(count_words(usable.where(~aside), "t", "l")), words_per_language)
-    learned: dict[str, dict[str, int]] = defaultdict(dict)
-    got = words.toArrow()
-    for name, w, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
-        learned[name][w] = n
-    model = Model({name: dict(sorted(learned[name].items())) for name in learned}, order)
-    picked = usable.where(aside).orderBy("h").limit(calibration_texts).collect()
-    model.calibrate([r.t for r in picked], [r.l for r in picked], sigmas, margin)
+    sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    share = {name: min(1 / CALIBRATION_SHARE, calibration_texts / n) if n >= FEW_TEXTS else 0.0 for name, n in sizes.items()}
+    told = train.sparkSession.createDataFrame([(name, int(x * (1 << 30)), not x) for name, x in share.items()], "l string, below long, few boolean")
+    usable = usable.join(F.broadcast(told), "l").withColumn("aside", F.pmod("h", F.lit(1 << 30)) < F.col("below"))
+    learned: dict[str, dict[str, int]] = {name: {} for name in sizes}
+    got = count_grams(usable.where(~F.col("aside")), "t", "l", order).toArrow()
+    for name, g, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
+        learned[name][g] = n
+    model = Model({name: dict(sorted(grams.items())) for name, grams in learned.items() if grams}, order)
+    shared = Shared(train.sparkSession, model)
+
+    def measure(batches):
+        model = shared.build(lambda model: model)
+        for b in slices(batches, 1):
+            chars, total = model.sums(b.column(1).to_pylist())
+            place = {name: j for j, name in enumerate(model.languages)}
+            at = np.array([place.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
+            good = np.flatnonzero((at >= 0) & (chars > 0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), pa.array(chars[good].astype(np.float64)), pa.array(-total[good, at[good]])], names=["l", "chars", "bits"])
+
+    texts = usable.where(F.col("aside") | F.col("few")).dropDuplicates(["l", "h"]).select("l", "t")
+    e, w = F.col("bits") / F.col("chars"), F.least("chars", F.lit(float(STEADY)))
+    sums = texts.mapInArrow(measure, "l string, chars double, bits double").groupBy("l").agg(F.count("*"), F.sum("chars"), F.sum("bits"), F.sum(w), F.sum(w * e), F.sum(w * e * e))
+    model.calibrate({r[0]: tuple(r)[1:] for r in sums.collect()}, sigmas, {name: margin if x else 2 * margin for name, x in share.items()})
     return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", result: str | None = None, keep: Sequence[str] | None = None) -> tuple[DataFrame, str]:
     """docs with a struct column (lang, score, entropy, n_chars, rejected), and that column's name.
 
-    Null texts and texts without a letter are ``und``, score 0, rejected. Only the text is looked at. No shuffle.
+    Null texts and texts without a letter are ``und``, score 0, rejected. Only the text is looked at, however long, and read as a whole.
+    Repeated rows come out as often as they go in; an empty frame gives an empty one. No shuffle.
     """
     shared, name = Shared(docs.sparkSession, model), free_name(docs.columns, result or "language")
     shape = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("n_chars", pa.int64()), ("rejected", pa.bool_())])

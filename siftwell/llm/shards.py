@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 from .common import col
 
 SHARDS = 8
-#: Rows in a cell, at most; a cell is permuted by one task.
-CELL_ROWS = 20_000
+#: Bytes of text in a cell, about; a cell is permuted by one task.
+CELL_BYTES = 32 << 20
+#: Numbers of rows that numpy's generator takes.
+LIBRARY_RANGE = 10**9
 
 
-def cell_sizes(rows: int, shards: int = SHARDS, cell_rows: int = CELL_ROWS) -> np.ndarray:
+def cell_sizes(rows: int, shards: int, cell_rows: int) -> np.ndarray:
     """(shard, first slot, size) of each cell; shards' sizes, and the sizes of a shard's cells, differ by one at most."""
     out = []
     for s in range(shards):
@@ -36,18 +38,32 @@ def cell_sizes(rows: int, shards: int = SHARDS, cell_rows: int = CELL_ROWS) -> n
     return np.array(out, np.int64).reshape(-1, 3)
 
 
+def hypergeometric(rng: np.random.Generator, left: int, right: int, n: int) -> int:
+    """How many of n rows drawn without replacement from left + right are of the left.
+
+    Beyond the library's range the distribution is summed up around its mode, from ratios of neighbouring probabilities: all that lies
+    within 14 standard deviations, which is all but 1e-40 of it.
+    """
+    if max(left, right) < LIBRARY_RANGE:
+        return int(rng.hypergeometric(left, right, n))
+    total, mode = left + right, (n + 1) * (left + 1) // (left + right + 2)
+    reach = 20 + int(14 * np.sqrt(n * (left / total) * (right / total) * ((total - n) / max(1, total - 1))))
+    low, high = max(0, n - right, mode - reach), min(left, n, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratio = np.log((left - k) / (k + 1)) + np.log((n - k) / (right - n + k + 1))
+    p = np.concatenate([[0.0], np.cumsum(ratio)])
+    p = np.cumsum(np.exp(p - p.max()))
+    return low + int(np.searchsorted(p, rng.random() * p[-1], "right"))
+
+
 def draw(rng: np.random.Generator, caps: np.ndarray, n: int) -> np.ndarray:
     """How many of n rows drawn without replacement fall to each cell of sizes ``caps``."""
-    if caps.sum() < 10**9:
+    if caps.sum() < LIBRARY_RANGE:
         return rng.multivariate_hypergeometric(caps, n, method="marginals")
     half = len(caps) // 2
     if not half:
         return np.array([n])
-    left, right = int(caps[:half].sum()), int(caps[half:].sum())
-    # beyond the generator's range the count is drawn from the normal limit and held within its bounds; sums stay exact
-    total = left + right
-    mean, sd = n * left / total, np.sqrt(n * (left / total) * (right / total) * max(0, total - n) / max(1, total - 1))
-    k = int(min(max(round(rng.normal(mean, sd)), n - right, 0), left, n))
+    k = hypergeometric(rng, int(caps[:half].sum()), int(caps[half:].sum()), n)
     return np.concatenate([draw(rng, caps[:half], k), draw(rng, caps[half:], n - k)])
 
 
@@ -62,11 +78,12 @@ def matrix_row(counts: np.ndarray, caps: np.ndarray, part: int, seed: int) -> np
     return caps
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, cell_rows: int = CELL_ROWS, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, cell_rows: int | None = None, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
     """docs with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard); all columns and rows kept, one exchange.
 
     Law ``rows``: shard sizes differ by at most one. Columns that already have these names are replaced. An empty frame gives an empty one.
-    Shards of fewer rows than ``shards`` may be empty. The frame must read the same rows in the same partitions each time, as a stored
+    Nulls, empty and very long texts and repeated rows are rows like all others; a row has to fit a task. Fewer rows than ``shards`` leave
+    shards empty. A cell holds ``cell_rows`` rows, or as many as CELL_BYTES of text hold on average. The frame must read the same rows in the same partitions each time, as a stored
     table does; a task that meets another number of rows than was counted fails instead of dealing wrongly.
     """
     spark = docs.sparkSession
@@ -74,7 +91,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, cell_rows: int =
     inner = [f"k{i}" for i in range(len(kept))]  # names of columns may be anything, so they travel under numbers
     part, cell, order = "part", "cell", "order"
     source = docs.select(*(col(c).alias(k) for c, k in zip(kept, inner, strict=True)), F.spark_partition_id().alias(part))
-    counted = {r[0]: r[1] for r in source.groupBy(part).count().collect()}
+    texts = [F.coalesce(F.octet_length(k), F.lit(0)) for k in inner if isinstance(source.schema[k].dataType, T.StringType | T.BinaryType)]
+    tallies = source.groupBy(part).agg(F.count("*"), F.sum(sum(texts, F.lit(64)).cast("long"))).collect()
+    counted = {r[0]: r[1] for r in tallies}
+    if cell_rows is None:
+        cell_rows = max(1, CELL_BYTES * sum(counted.values()) // max(1, sum(r[2] for r in tallies)))
     counts = np.array([counted.get(p, 0) for p in range(max(counted, default=-1) + 1)], np.int64)
     cells = cell_sizes(int(counts.sum()), shards, cell_rows)
     caps = cells[:, 2].copy()

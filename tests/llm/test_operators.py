@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -43,9 +44,12 @@ ITEMS = [(1, prose(random.Random(9), 40)), (2, "one two three"), (3, "ÀB c1"),
 DOCS = [(1, "x " + ITEMS[0][1].upper() + " y"), (2, "One,TWO  three one two-three"), (3, "Àb C1 b a four five six"), (4, None), (5, ""), (6, "la " * 30), (7, "nothing here"), (8, " ".join(ITEMS[0][1].split()[3:16]) + " q" * 300), (9, "ÀB\x00C1"), (9, "ÀB\x00C1"), (None, "one two three")]
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 60])
-def test_decontamination_matches_brute_force(spark, pass_bytes):
-    found, r = decontam.find_contamination(frame(spark, DOCS), frame(spark, ITEMS, "item_id long, text string"), pass_bytes=pass_bytes)
+@pytest.mark.parametrize("pass_windows", [10_000, 12])
+def test_decontamination_matches_brute_force(spark, monkeypatch, pass_windows):
+    monkeypatch.setattr(decontam, "PIECE", 5 if pass_windows == 12 else 2_000)
+    docs = frame(spark, [(*d, "own", 1, 2) for d in DOCS], "doc_id long, text string, _spans string, _ids int, text_key int")
+    found, r = decontam.find_contamination(docs, frame(spark, ITEMS, "item_id long, text string"), pass_windows=pass_windows)
+    assert {(x["_spans"], x["_ids"], x["text_key"]) for x in found.collect()} == {("own", 1, 2)}
     got = sorted([(x.doc_id, x.text, x.n, x.h, x.i) for x in found.select("doc_id", "text", col(r)["n_words"].alias("n"), decontam.hit_words(r).alias("h"), col(r)["item_ids"].alias("i")).collect()], key=repr)
     assert got == sorted([(d, t, *brute_hits(t, ITEMS)) for d, t in DOCS], key=repr)
 
@@ -133,8 +137,8 @@ def test_near_duplicates_edge_cases(spark):
     rows = [(3, None), (2, ""), (None, " "), (7, "A b"), (8, "a B"), (8, "a B"), (None, "zzz q")]
     got = Counter((x.doc_id, x.component_id) for x in simhash.near_duplicates(frame(spark, rows)).collect())
     assert got == Counter([(3, 2), (2, 2), (None, 2), (7, 7), (8, 7), (8, 7), (None, None)])
-    left = simhash.drop_near_duplicates(frame(spark, rows))
-    assert Counter(x.doc_id for x in left.collect()) == Counter([2, None, 7, None])
+    left = simhash.drop_near_duplicates(frame(spark, [(*r, "own", 1) for r in rows], "doc_id long, text string, _gone string, gone int"))
+    assert Counter((x.doc_id, x["_gone"], x.gone) for x in left.collect()) == Counter((d, "own", 1) for d in [2, None, 7, None])
 
 
 def test_components_of_a_long_path(spark):
@@ -158,6 +162,32 @@ def test_shards_are_exact_and_gapless(spark):
     assert shards.shard(spark.createDataFrame([], CLASH)).count() == 0
 
 
+def test_sharding_query_columns(spark, tmp_path):
+    rows = [*ROWS, (9_000, "long " * 200_000)]
+    frame(spark, rows).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_sharding(spark, str(tmp_path)).collect()
+    measure = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((x.doc_id, x.size, x.text_crc32) for x in got) == Counter((d, *measure(t)) for d, t in rows)
+    assert {x.law for x in got} == {"rows"} and {x.grown_shard for x in got} == {None}
+    slots = {s: sorted(x.slot for x in got if x.shard == s) for s in range(8)}
+    assert all(v == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_counts_beyond_the_library_follow_the_same_law(monkeypatch):
+    draws = {}
+    for limit in (10**9, 10):
+        monkeypatch.setattr(shards, "LIBRARY_RANGE", limit)
+        rng = np.random.default_rng(4)
+        draws[limit] = np.array([shards.hypergeometric(rng, 300, 500, 120) for _ in range(6000)])
+    a, b = draws.values()
+    assert abs(a.mean() - b.mean()) < 0.3 and abs(a.std() - b.std()) < 0.2 and abs(b.mean() - 45) < 0.2
+    rng = np.random.default_rng(5)
+    big = np.array([shards.hypergeometric(rng, 3 * 10**10, 5 * 10**10, 8 * 10**9) for _ in range(40)])
+    sd = np.sqrt(8e9 * 0.375 * 0.625 * 0.9)
+    assert abs(big.mean() - 3e9) < sd and 0.6 * sd < big.std() < 1.5 * sd
+    assert shards.draw(rng, np.array([5, 2 * 10**9, 0, 10**9]), 3 * 10**9 + 5).tolist() == [5, 2 * 10**9, 0, 10**9]
+
+
 def test_shard_places_are_uniform():
     counts = np.array([400, 0, 100, 500])
     caps = shards.cell_sizes(1000, 4, 300)[:, 2]
@@ -190,12 +220,84 @@ def test_language_model_and_rejection(spark):
     assert {x[r].lang for x in told.collect()} == {"und"}
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    model = langid.Model({"aa": {"abab": 3, "abc": 2, "b": 1, "ccab": 4}}, 3)
-    h_letters = ["a", "b", "c"]
-    # all words of up to two letters and the mass that goes on beyond them add up to at most one
-    words_ = [x + y for x in h_letters for y in ["", *h_letters]]
-    assert 0 < np.exp(model.log_probability(words_)).sum() <= 1 + 1e-9
+class DictionaryModel:
+    """Interpolated Kneser-Ney straight from its definition, over dictionaries of strings."""
+
+    def __init__(self, words, order):
+        self.order, self.n = order, {k: Counter() for k in range(1, order + 1)}
+        before = {k: {} for k in range(1, order)}
+        for w, n in words.items():
+            padded = "\x02" + w + "\x02"
+            for end in range(2, len(padded) + 1):
+                for k in range(1, order + 1):
+                    if end >= k and (k == order or end == k):
+                        self.n[k][padded[end - k : end]] += n
+                    elif end > k:
+                        before[k].setdefault(padded[end - k : end], set()).add(padded[end - k - 1])
+        for k in before:
+            for g, kinds in before[k].items():
+                self.n[k][g] += len(kinds)
+
+    def p(self, ctx, c):
+        if ctx is None:
+            return 1 / (len(self.n[1]) + 1)
+        k = len(ctx) + 1
+        lower = self.p(ctx[1:] if ctx else None, c)
+        follow = {g: n for g, n in self.n[k].items() if g[:-1] == ctx}
+        if not follow:
+            return lower
+        ones, twos = (sum(n == x for n in self.n[k].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total = sum(follow.values())
+        return (max(0, follow[ctx + c] - d) if ctx + c in follow else 0) / total + d * len(follow) / total * lower
+
+    def log_probability(self, word):
+        padded = "\x02" + word + "\x02"
+        return sum(np.log(self.p(padded[max(0, i - self.order + 1) : i], padded[i])) for i in range(1, len(padded)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_equals_its_definition(order):
+    counts = {"aa": {"abab": 3, "abc": 2, "b": 1, "ccab": 4, "bacab": 1, "ca": 2}, "bb": {"xyx": 2, "aby": 1, "y": 5, "yyxab": 1}}
+    grams = {}
+    for lang, words_ in counts.items():
+        grams[lang] = Counter()
+        for w, n in words_.items():
+            for g in langid.word_grams(w, order):
+                grams[lang][g] += n
+    model = langid.Model(grams, order)
+    asked = ["abab", "b", "zz", "abyx", "ccabxy", "a", "yy", "q", "bacabac"]
+    got = model.log_probability(asked)
+    for j, lang in enumerate(model.languages):
+        brute = DictionaryModel(counts[lang], order)
+        assert np.allclose(got[:, j], [brute.log_probability(w) for w in asked], atol=1e-9)
+        seen = {c for w in counts[lang] for c in w} | {"\x02"}
+        assert all(sum(brute.p(ctx, c) for c in seen) <= 1 + 1e-9 for ctx in ["", "a", "ab"[: order - 1]])
+
+
+def test_grams_are_counted_over_all_texts(spark):
+    rows = [(i, t, lang) for i, t, lang in language_rows(30, 5)]
+    want = Counter((lang, g) for _, t, lang in rows for w in langid.text_words(t) for g in langid.word_grams(w))
+    got = langid.count_grams(frame(spark, rows, "doc_id long, text string, lang string"), "text", "lang").collect()
+    assert {(r.l, r.g): r.n for r in got} == dict(want)
+
+
+def test_rare_and_hot_languages_still_reject(spark):
+    rows = [*language_rows(150, 6), *((10_000 + i, "mnop qrst " * 30, "bb") for i in range(3000)), *((20_000 + i, t.translate(str.maketrans("abcdefgh", "ijkluvwy")), "dd") for i, t, lang in language_rows(20, 7) if lang == "aa")]
+    model = langid.fit(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc", "dd"] and np.isfinite(model.noise).all()
+    junk = [(1, "жщ цъъ " * 40), (2, "iжjщ kцl uъ " * 40), (3, "mжnщ oцp qъ " * 40)]
+    told, r = langid.predict(frame(spark, junk), model)
+    assert all(x[r].rejected for x in told.collect())
+
+
+def test_held_out_accuracy_and_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    got = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
+    held = [x for x in got if x.held_out and x.lang is not None and langid.text_words(x.text)]
+    assert len(held) > 250 and np.mean([x.lang_pred == x.lang for x in held]) > 0.97
+    assert all(0 <= x.score <= 1 and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in got)
+    assert {x.lang_pred for x in got} <= {x.lang for x in got} | {"und"}
 
 
 def cosines(x, q):
