@@ -1,8 +1,10 @@
 """Main text of web pages by wrappers: union-free regular expressions over the pages of one host.
 
 A page is parsed into a tree of elements and text slots. Trees of one host are aligned step by step: what only some pages have becomes
-optional, neighbours of one kind become a repeated group, and a text that differs between pages becomes a variable slot. The wrapper then
-tells template text, which all pages share, from content; element names and class words tell menus, adverts, forms, notices and comments.
+optional, neighbours of one kind become a repeated group, and a text that differs between pages becomes a variable slot. The wrapper tells
+where a host's pages hold their text: the part that is reached by going, from the page down, to the child whose slots hold most of the
+characters that vary and aren't links. It also tells template text: slots that pages of different articles fill alike. Element names and
+class words then take menus, adverts, forms, notices and comments out of that part.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, free_name, join_skewed
 
-#: Pages that must agree on a text before it counts as part of the template.
-SUPPORT = 3
-#: An ordered list of children that has grown beyond this is generalised to "any of these, repeated". Levels that a wrapper describes.
+#: Different articles whose pages must agree on a text before it counts as part of the template. Share of the varying characters that a
+#: child must hold for the search for the main part to go on there.
+SUPPORT, MOST = 3, 0.7
+#: An ordered list of children that has grown beyond LONGEST becomes a repeated group of any of these. Texts below DEEPEST levels stand in
+#: the list of the element there, each under a digest of the names of the elements between.
 LONGEST, DEEPEST = 48, 24
 #: Wrappers of all hosts together up to this size are broadcast; beyond it they are joined.
 BROADCAST_BYTES = 16 << 20
@@ -42,6 +46,8 @@ BOILERPLATE = frozenset(
     "masthead menu menubar nav navbar navigation newsletter notice notices pagination popup modal promo promotion related replies reply respond search share sharing "
     "sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert dialog".split()
 )
+#: Elements that stand in the flow of an article: their neighbours are part of it too.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure".split())
 #: Of these, the ones that mark even an article element as no main text; and the ones that don't count inside an article.
 NO_ARTICLE = frozenset("ad ads advert adverts advertisement comment comments promo related reply replies respond sponsored".split())
 HEADINGS = frozenset("header masthead".split())
@@ -50,15 +56,17 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[
 _MARK = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"\d+|(?<=[-_])[0-9a-f]{6,}")
 
 
 class Node:
-    """An element: its label (name and class), children (elements and texts in order), and whether it can hold main text."""
+    """An element: its label (name and class), children (elements and texts in order), whether it can hold main text, whether it is inside
+    an article, and whether the wrapper calls it the main part."""
 
-    __slots__ = ("name", "label", "children", "skip", "content")
+    __slots__ = ("name", "label", "children", "skip", "content", "main")
 
     def __init__(self, name: str, label: str, skip: bool, content: bool):
-        self.name, self.label, self.skip, self.content, self.children = name, label, skip, content, []
+        self.name, self.label, self.skip, self.content, self.main, self.children = name, label, skip, content, False, []
 
 
 class Text:
@@ -71,8 +79,9 @@ class Text:
         self.text, self.link, self.fixed = text, link, False
 
 
-def parse(page: str | None) -> Node:
-    """A tree of any text: unknown, misnested and unclosed tags are taken as they come; nothing raises."""
+def parse(page: str | None, names: bool = True) -> Node:
+    """A tree of any text: unknown, misnested and unclosed tags are taken as they come; nothing raises. Without ``names`` neither elements'
+    names nor class words tell what is main text, except for elements that never show text."""
     root = Node("", "", False, False)
     stack, page, at = [root], page or "", 0
     links = 0
@@ -122,18 +131,20 @@ def parse(page: str | None) -> Node:
             parent = stack[-1]
         found = {a.lower(): b or c or d for a, b, c, d in _MARK.findall(marks)} if marks else {}
         words = {w.lower() for v in found.values() for w in _WORD.findall(v)} if found else ()
-        content = parent.content or name in CONTENT or found.get("role", "").lower() == "main"
+        content = names and (parent.content or name in CONTENT or found.get("role", "").lower() == "main")
         told = NO_ARTICLE if name == "article" else BOILERPLATE - HEADINGS if parent.content else BOILERPLATE
-        skip = parent.skip or name in SKIPPED or name == "header" and not parent.content or not told.isdisjoint(words) and name not in ("body", "html", "main")
-        node = Node(name, f"{name}.{found['class']}" if found.get("class") else name, skip, content)
+        told = name in SKIPPED or name == "header" and not parent.content or not told.isdisjoint(words) and name not in ("body", "html", "main") if names else name in RAW or name == "head"
+        # numbers in class names tell pages apart, not kinds of elements
+        node = Node(name, f"{name}.{_NUMBER.sub('0', found['class'])}" if found.get("class") else name, parent.skip or told, content)
         parent.children.append(node)
         stack.append(node)
         links += name == "a"
     return root
 
 
-# A wrapper is [label, optional, repeated, pages, kids]; a text slot ["#", optional, repeated, pages, digest or null, characters outside links].
-# Kids are a list in order, or a dict by label for "any of these, repeated".
+# A wrapper is [label, optional, repeated, pages, kids]; a text slot ["#..", optional, repeated, pages, digest or null, characters outside
+# links, articles], where articles are up to SUPPORT different ones that agree on the digest. Kids are a list in order, or a dict by label
+# for "any of these, repeated".
 
 
 def _digest(text: str) -> int:
@@ -153,16 +164,46 @@ def _fold(items: list) -> list:
     return out
 
 
-def infer(node: Node, depth: int = 0) -> list:
+def described(node: Node, depth: int) -> list[tuple[str, Node | Text]]:
+    """Label and child of all that a wrapper describes below an element; beyond DEEPEST levels only the texts, under their elements' names."""
+    if depth < DEEPEST:
+        return [(x.label, x) for x in node.children if not isinstance(x, Text) or x.text.strip()]
+    out, stack = [], [("#", iter(node.children))]
+    while stack:
+        path, rest = stack[-1]
+        x = next(rest, None)
+        if x is None:
+            stack.pop()
+        elif isinstance(x, Text):
+            if x.text.strip():
+                out.append((path, x))
+        elif not x.skip:
+            stack.append((f"#{xxhash.xxh32_hexdigest(f'{path}/{x.name}')}", iter(x.children)))
+    return out
+
+
+def article_of(root: Node) -> int:
+    """Digest of the longest text outside links: what tells an article from another."""
+    best, stack = "", [root]
+    while stack:
+        for x in stack.pop().children:
+            if isinstance(x, Node):
+                if not x.skip:
+                    stack.append(x)
+            elif not x.link and (len(x.text), x.text) > (len(best), best):
+                best = x.text
+    return _digest(best)
+
+
+def infer(node: Node, depth: int = 0, article: int | None = None) -> list:
     """The wrapper of one page; what is never main text is not described any further."""
-    kids = []
-    if depth < DEEPEST and not node.skip:
-        for x in node.children:
-            if isinstance(x, Text):
-                if t := _SPACE.sub(" ", x.text).strip():
-                    kids.append(["#", 0, 0, 1, _digest(t), 0 if x.link else len(t)])
-            else:
-                kids.append(infer(x, depth + 1))
+    article, kids = article_of(node) if article is None else article, []
+    for label, x in [] if node.skip else described(node, depth):
+        if isinstance(x, Text):
+            t = _SPACE.sub(" ", x.text).strip()
+            kids.append([label, 0, 0, 1, _digest(t), 0 if x.link else len(t), [article]])
+        else:
+            kids.append(infer(x, depth + 1, article))
     return [node.label, 0, 0, 1, _general(_fold(kids))]
 
 
@@ -198,8 +239,9 @@ def common(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
 def merge(a: list, b: list, same_page: bool = False) -> list:
     """The least general wrapper that describes what either describes. Labels are equal."""
     pages = max(a[3], b[3]) if same_page else a[3] + b[3]
-    if a[0] == "#":
-        return ["#", a[1] | b[1], a[2] | b[2], pages, a[4] if a[4] == b[4] else None, a[5] + b[5]]
+    if a[0][:1] == "#":
+        same = a[4] is not None and a[4] == b[4]
+        return [a[0], a[1] | b[1], a[2] | b[2], pages, a[4] if same else None, a[5] + b[5], sorted({*a[6], *b[6]})[:SUPPORT] if same else []]
     x, y = a[4], b[4]
     if isinstance(x, dict) or isinstance(y, dict):
         x, y = (_general_dict(z) for z in (x, y))
@@ -224,14 +266,42 @@ def _general_dict(kids: list | dict) -> dict:
     return out
 
 
-def mark(node: Node, wrapper: list, support: int = SUPPORT) -> None:
-    """Align a page with its host's wrapper and mark the texts that stand in slots that every page fills alike."""
-    open_ = [(node, wrapper)]
+def is_fixed(slot: list) -> bool:
+    """Is a text slot part of the template: filled alike by pages of SUPPORT different articles?"""
+    return slot[4] is not None and not slot[2] and len(slot[6]) >= SUPPORT
+
+
+def kids_of(wrapper: list) -> list:
+    return [] if wrapper[0][:1] == "#" else list(wrapper[4].values() if isinstance(wrapper[4], dict) else wrapper[4])
+
+
+def main_part(wrapper: list) -> list | None:
+    """The part of a wrapper that holds the pages' text, None if none varies: from the page down to the child that holds MOST of it, as long
+    as nothing that varies in the flow of an article is left behind."""
+    weights: dict[int, int] = {}
+
+    def weigh(w: list) -> int:
+        weights[id(w)] = n = (0 if is_fixed(w) else w[5]) if w[0][:1] == "#" else sum(map(weigh, kids_of(w)))
+        return n
+
+    if not weigh(wrapper):
+        return None
+    while True:
+        below = [k for k in kids_of(wrapper) if k[0][:1] != "#" and not k[2] and k[0].split(".")[0] not in INLINE and weights[id(k)] >= MOST * weights[id(wrapper)]]
+        if not below or any(weights[id(k)] and k[0].split(".")[0] in FLOW for k in kids_of(wrapper) if k is not below[0]):
+            return wrapper
+        wrapper = below[0]
+
+
+def mark(node: Node, wrapper: list, main: list | None = None) -> None:
+    """Align a page with its host's wrapper; mark the texts that stand in slots of the template, and the main part."""
+    open_ = [(node, wrapper, 0)]
     while open_:
-        node, w = open_.pop()
+        node, w, depth = open_.pop()
+        node.main = w is main
         if node.skip:
             continue
-        runs = [(k, list(g)) for k, g in groupby((x for x in node.children if not isinstance(x, Text) or x.text.strip()), key=lambda x: x.label)]
+        runs = [(k, [x for _, x in g]) for k, g in groupby(described(node, depth), key=lambda x: x[0])]
         if isinstance(w[4], dict):
             pairs = [(g, w[4][k]) for k, g in runs if k in w[4]]
         else:
@@ -239,73 +309,79 @@ def mark(node: Node, wrapper: list, support: int = SUPPORT) -> None:
         for group, slot in pairs:
             for x in group:
                 if isinstance(x, Node):
-                    open_.append((x, slot))
+                    open_.append((x, slot, depth + 1))
                 else:
-                    x.fixed = slot[3] >= support and slot[4] is not None and not slot[2]
+                    x.fixed = is_fixed(slot)
 
 
-def varies(wrapper: list) -> bool:
-    """Does some text differ between pages? Where none does, all pages are copies and no text is told to be template."""
-    open_ = [wrapper]
-    while open_:
-        w = open_.pop()
-        if w[0] == "#":
-            if w[4] is None and not w[2]:
-                return True
-        else:
-            open_ += w[4].values() if isinstance(w[4], dict) else w[4]
-    return False
+def _path(root: Node, wanted) -> list[Node] | None:
+    """Nodes from the root to the first one, in page order, that is ``wanted``."""
+    stack = [(root, iter(root.children))]
+    while stack:
+        if wanted(stack[-1][0]):
+            return [x for x, _ in stack]
+        x = next((y for y in stack[-1][1] if isinstance(y, Node)), None)
+        while stack and x is None:
+            stack.pop()
+            x = next((y for y in stack[-1][1] if isinstance(y, Node)), None) if stack else None
+        if x is not None:
+            stack.append((x, iter(x.children)))
+    return None
 
 
 def blocks(root: Node) -> list[str]:
-    """Texts of the blocks of main text, in page order. With an article or main element only what is inside one counts; without, blocks
-    that are template text or mostly links are left out."""
-    has_content, look = False, [root]
-    while look and not has_content:
-        x = look.pop()
-        has_content = x.content and not x.skip
-        look += [y for y in x.children if isinstance(y, Node)]
+    """Texts of the blocks of main text, in page order.
+
+    The main part that the wrapper tells decides; an article or main element around it or inside it makes its borders exact. Where the
+    wrapper's part isn't on the page, any such element counts, and without one the whole page.
+    """
+    path = _path(root, lambda x: x.main and not x.skip)
+    around = next((x for x in path or [] if x.content), None)
+    inside = _path(path[-1] if path else root, lambda x: x.content and not x.skip) if around is None else None
+    has_content = around is not None or inside is not None
+    inside_main = path is not None and not has_content and path[-1].name not in ("", "html", "body")
+    roots = {id(path[-1])} if inside_main else {id(around)} if around is not None else set()
     out: list[str] = []
     now: list[str] = []
-    linked = plain = 0
 
     def flush() -> None:
-        nonlocal linked, plain
         text = _SPACE.sub(" ", "".join(now)).strip()
-        if text and (has_content or plain >= linked):
+        if text:
             out.append(text)
         now.clear()
-        linked = plain = 0
 
-    stack: list = [(root, iter(root.children))]
+    def counts(x: Text, node: Node, within: bool) -> bool:
+        if x.fixed or node.skip:
+            return False
+        return within or not roots and (node.content or not has_content)
+
+    stack: list = [(root, iter(root.children), not roots and not has_content)]
     while stack:
-        node, rest = stack[-1]
+        node, rest, within = stack[-1]
         x = next(rest, None)
         if x is None:
             stack.pop()
             if node.name not in INLINE:
                 flush()
         elif isinstance(x, Text):
-            if not node.skip and (node.content if has_content else not x.fixed):
+            if counts(x, node, within):
                 now.append(x.text)
-                n = len(x.text.strip())
-                linked, plain = linked + n * x.link, plain + n * (not x.link)
         elif x.name == "br":
             now.append(" ")
         elif not (x.skip and x.name in VOID and x.name != "hr"):
             if x.name not in INLINE:
                 flush()
             if not x.skip:
-                stack.append((x, iter(x.children)))
+                stack.append((x, iter(x.children), within or id(x) in roots))
     flush()
     return out
 
 
-def extract(page: str | None, wrapper: list | None) -> str:
-    """The main text of one page; blocks joined by an empty line."""
-    root = parse(page)
-    if wrapper is not None and varies(wrapper):
-        mark(root, wrapper)
+def extract(page: str | None, wrapper: list | None, main: list | None = None, names: bool = True) -> str:
+    """The main text of one page; blocks joined by an empty line. ``main`` is the wrapper's main part."""
+    root = parse(page, names)
+    if wrapper is not None:
+        mark(root, wrapper, main)
     return "\n\n".join(blocks(root))
 
 
@@ -336,7 +412,7 @@ def _merge_sorted(batches: Iterable[pa.RecordBatch], keep_salt: bool):
         yield row(key, held)
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", names: bool = True) -> DataFrame:
     """(host, wrapper, pages): one JSON wrapper for each host of all pages with html.
 
     A task merges what it sees of a host before anything is sent; a host's partial wrappers are then merged in salted groups and at last
@@ -347,7 +423,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         held: dict[str, list] = {}
         for b in batches:
             for h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = infer(parse(t))
+                w = infer(parse(t, names))
                 held[h] = merge(held[h], w) if h in held else w
             if len(held) > 2000:
                 yield send(held)
@@ -364,14 +440,16 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return rows.select(F.col("h").alias("host"), F.col("w").alias("wrapper"), F.get_json_object("w", "$[3]").cast("long").alias("pages"))
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", result: str | None = None, keep: Sequence[str] | None = None) -> tuple[DataFrame, str]:
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", result: str | None = None, keep: Sequence[str] | None = None, names: bool = True) -> tuple[DataFrame, str]:
     """pages' columns ``keep`` (default: all) with the main text, and that column's name. One row for each row that goes in.
 
-    Null and empty html give an empty text; pages without a host are aligned with each other. Nothing is cut off.
+    Null and empty html give an empty text; pages without a host are aligned with each other. Nothing is cut off; a very long page is one
+    row of one task. Repeated rows come out as often as they go in; equal pages count as one article, so copies are no template. ``names``:
+    whether element names and class words help the wrapper.
     """
     keep = list(pages.columns if keep is None else keep)
     name = free_name(pages.columns, result or "main_text")
-    wrappers = cut(infer_wrappers(pages, url, html))
+    wrappers = cut(infer_wrappers(pages, url, html, names))
     size, total = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0)), F.coalesce(F.sum("pages"), F.lit(0))).first()
     inner = [f"k{i}" for i in range(len(keep))]
     base = pages.select(*(col(c).alias(k) for c, k in zip(keep, inner, strict=True)), host(url).alias("host"), col(html).alias("html"))
@@ -384,15 +462,15 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", result: st
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "t string"])
 
     def run(batches):
-        known: dict[str, list] = {}
+        known: dict[str, tuple] = {}
         for b in batches:
             at, texts = len(inner), []
             for page, w in zip(b.column(len(inner)).to_pylist(), b.column(len(inner) + 1).to_pylist(), strict=True):
                 if w is not None and w not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[w] = json.loads(w)
-                texts.append(extract(page, known.get(w)))
+                    known[w] = (tree := json.loads(w), main_part(tree))
+                texts.append(extract(page, *known.get(w, (None, None)), names))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string())], names=[*inner, "t"])
 
     return joined.mapInArrow(run, schema).toDF(*keep, name), name

@@ -61,4 +61,51 @@ def test_partial_wrappers_merge_in_any_grouping(spark):
     df = frame(spark, rows, "page_id long, url string, html string")
     got = {r.host: (json.loads(r.wrapper), r.pages) for r in wrappers.infer_wrappers(df).collect()}
     assert {h: n for h, (_, n) in got.items()} == {f"h{i}.example": 10 for i in range(3)}
-    assert all(wrappers.varies(w) for w, _ in got.values())
+    assert {wrappers.main_part(w)[0] for w, _ in got.values()} == {"article"}
+
+
+def of_host(pages, names):
+    whole = None
+    for p in pages:
+        w = wrappers.infer(wrappers.parse(p, names))
+        whole = w if whole is None else wrappers.merge(whole, w)
+    return whole, wrappers.main_part(whole)
+
+
+def test_wrapper_alone_finds_the_same_text_on_the_pages_table(spark):
+    hosts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", wrappers.host("url").alias("h")).collect():
+        hosts.setdefault(r.h, []).append(r.html)
+    shown = removed = 0
+    for pages in hosts.values():
+        (w, main), (v, alone) = of_host(pages, True), of_host(pages, False)
+        for p in pages:
+            text = wrappers.extract(p, w, main)
+            assert text == wrappers.extract(p, v, alone, names=False)
+            shown, removed = shown + len(text), removed + len("\n\n".join(wrappers.blocks(wrappers.parse(p, names=False)))) - len(text)
+    assert removed > 10_000 and shown > 10 * removed
+
+
+LAYOUT = """<html><body><div id=top>{menu}</div><div class="box-{n}7"><div>{side}</div><section><h2>About {n}</h2><p>Read our rules before you write here.</p>
+<div><em>{body}</em>{more}</div></section></div><div>{end}</div></body></html>"""
+
+
+def test_template_text_goes_inside_the_main_part_without_any_class_word():
+    body = lambda n: f"Sentence {n} of a long text that only this page has, and it goes on for a while. " * 6
+    pages = [LAYOUT.format(n=n, menu=f"<a href=/{n}>menu {n}</a>", side=f"Offer {n} today", body=body(n), more="<i>kept by two</i>" if n < 2 else "", end=f"Seen {n} times") for n in range(6)]
+    w, main = of_host(pages, False)
+    assert main[0] in ("section", "div") and "box-07" not in json.dumps(main)
+    for n, p in enumerate(pages):
+        got = wrappers.extract(p, w, main, names=False)
+        assert body(n).strip() in got and "rules" not in got and "Offer" not in got and "Seen" not in got and "menu" not in got
+        assert ("kept by two" in got) == (n < 2)
+    copies = pages[:1] * 20
+    w, main = of_host(copies, True)
+    assert "Read our rules" in wrappers.extract(copies[0], w, main)  # copies of one article are no template
+
+
+def test_deep_text_is_described_and_told_to_be_template():
+    deep = lambda n: "<div>" * 60 + f"<b>{n} " + "own words of this page " * 9 + "</b><u>shared deep text</u>" + "</div>" * 60
+    pages = [f"<html><body>{deep(n)}</body></html>" for n in range(5)]
+    w, main = of_host(pages, True)
+    assert all(wrappers.extract(p, w, main) == f"{n} " + ("own words of this page " * 9).strip() for n, p in enumerate(pages))
