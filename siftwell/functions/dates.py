@@ -13,9 +13,20 @@ FORMATS = (
 
 
 def normalize_datetime(text: Column) -> Column:
-    """ISO 8601 without zone, or null if no format fits. A zone in the text is dropped, its local time stays."""
-    plain = F.regexp_replace(F.trim(text), r"(T\d{2}:\d{2}:\d{2})[+-]\d{2}:?\d{2}$", "$1")
-    return F.date_format(F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMATS]), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO 8601, or null if no format fits. A local time stays as it is, with its offset behind it where the text has one; a Z counts as
+    no offset, as in the formats that end in it."""
+    zone = r"^(.*T\d{2}:\d{2}:\d{2})([+-]\d{2}):?(\d{2})$"
+    trimmed = F.trim(text)
+    plain = F.regexp_replace(trimmed, zone, "$1")
+    offset = F.when(trimmed.rlike(zone), F.regexp_replace(trimmed, zone, "$2:$3")).otherwise("")
+    found = F.date_format(F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMATS]), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(found, offset)
+
+
+def utc(text: Column) -> Column:
+    """The moment of an ISO text, by its offset, or as UTC where it has none."""
+    iso = normalize_datetime(text)
+    return F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(F.concat(iso, F.lit("+00:00")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
 
 
 def month(ts: Column) -> Column:

@@ -20,13 +20,11 @@ _LATIN, _CJK = re.compile(r"[a-z0-9][a-z0-9._-]*[a-z0-9]|[a-z0-9]"), re.compile(
 
 
 def fragments(keyword: str) -> list[str]:
-    """Latin words of two letters or more, then each run of ideographs with its pairs; distinct pairs, in order. Keywords are few and short."""
+    """Latin words of two letters or more, then each run of ideographs with its pairs; no ideographs twice. Keywords are few and short."""
     low = keyword.strip().lower()
-    out = [w for w in _LATIN.findall(low) if len(w) > 1]
-    for run in _CJK.findall(low):
-        out.append(run)
-        out += [g for g in dict.fromkeys(run[i : i + 2] for i in range(len(run) - 1)) if len(run) > 2 and g not in out]
-    return out
+    runs = _CJK.findall(low)
+    pieces = (run[i : i + n] for run in runs for n in (len(run), 2) for i in range(len(run) - n + 1))
+    return [w for w in _LATIN.findall(low) if len(w) > 1] + list(dict.fromkeys(pieces))
 
 
 def is_relevant(keyword: str, title: Column, snippet: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -69,6 +69,29 @@ def authority_level(url: Column) -> Column:
     return F.when(authority_score(url) == 95, "official").when(authority_score(url) == 80, "high").when(authority_score(url) == 5, "spam").otherwise("medium")
 
 
+def rated(pages: DataFrame, url: str = "url", known: DataFrame | None = None) -> DataFrame:
+    """pages with authority and level. ``known`` (domain, score, level, is_active, is_deleted), a table of at most some thousand sources
+    that people keep, goes before the fixed lists; its rows that aren't active don't count."""
+    own, told = authority_score(F.col(url)), authority_level(F.col(url))
+    if known is None:
+        return pages.withColumn("authority", own).withColumn("level", told)
+    live = known.where(F.coalesce("is_active", F.lit(True)) & ~F.coalesce("is_deleted", F.lit(False))).groupBy(F.col("domain").alias("_d")).agg(F.max_by(F.struct("score", "level"), "score").alias("_known"))
+    joined = pages.withColumn("_d", domain(F.col(url))).join(live, "_d", "left")
+    return joined.withColumn("authority", F.coalesce("_known.score", own)).withColumn("level", F.coalesce("_known.level", told)).drop("_d", "_known")
+
+
+#: Second parts of country domains, as in co.uk (fixed values).
+SECOND_LEVEL = ("co", "com", "org", "net", "edu", "gov", "ac")
+
+
+def base_domain(url: Column) -> Column:
+    """The last two labels of the host, three below a country's second level."""
+    parts = F.split(netloc(url), r"\.")
+    n = F.size(parts)
+    deep = (n >= 3) & F.try_element_at(parts, n - 1).isin(*SECOND_LEVEL)
+    return F.array_join(F.slice(parts, F.greatest(n - F.when(deep, 2).otherwise(1), F.lit(1)), 3), ".")
+
+
 def infer_category(url: Column, title: Column) -> Column:
     """By path, then by exact domain, then by title; tech_article otherwise."""
     out = F.lit(None)

@@ -125,34 +125,32 @@ SOURCE_NAMES = {
 }
 
 # Lines that are boilerplate wherever they stand.
-BOILERPLATE_WORDS_EN = (
-    r"we use cookies|accept cookies|cookie policy|privacy policy|cookie consent|this site uses cookies|consent preferences",
-    r"subscribe to|newsletter|sign up for|email updates|join our mailing|get notified|never miss a post",
-    r"share on|share this|follow us on|tweet this|pin this|share this post|share this article",
-    r"copyright\s+\d{4}|all rights reserved|\(c\)|©",
-    r"page \d+ of \d+|previous page|next page|pagination|load more|show more",
-)
-BOILERPLATE_CN = (
-    r"ICP备\d+号|ICP证\d+|备案号|公安备案|公网安备\d+号|网站备案",
-    r"扫码关注|关注公众号|关注.*公众号|领取.*代金券|微信扫码|添加微信|扫描二维码",
-    r"请登录后发表评论|登录后即可评论|登录.*评论|您还未登录|请先登录|登录后才能",
-    r"本文参与.*同步曝光计划|同步曝光|曝光计划|参与.*社区激励",
-    r"编辑精选|精选文章|推荐阅读|相关文章|热门推荐|相关推荐|猜你喜欢|为你推荐",
-    r"AI生成内容|本文由AI辅助生成|AI辅助创作|由AI生成|本文使用AI|内容由AI|AI技术生成",
-    r"版权声明：本文为博主原创|CSDN博客|分类专栏|文章目录|展开全部|收起",
-    r"本文转载自|版权声明：本文|文章来源|原文链接|转载.*注明出处|著作权归作者所有|来源：",
-    r"举报反馈|意见反馈|投诉举报|侵权投诉|举报.*电话|反馈建议|我要反馈",
-    r"本文仅代表作者观点|不代表.*立场|免责声明|风险提示|投资有风险",
-    r"打赏作者|赏金|赞赏|投币|一键三连|求关注|给作者点赞|您的支持是我",
-    r"阅读[\s\d]+(次)?.*(点赞|收藏|评论|分享)[\s\d]+|点赞[\s\d]+.*阅读[\s\d]+|收藏[\s\d]+.*分享[\s\d]+",
-    r"限时优惠|点击购买|立即下单|免费试用|优惠券|折扣码|推广链接|赞助内容|广告合作|扫码领取|限量.*抢购|不容错过",
-    r"下载APP|打开APP|APP内打开|APP内阅读|使用APP|下载客户端",
-    r"点击查看原文|点击阅读原文|查看完整版|阅读完整版|查看原文链接|请阅读原文|去查看原文|查看全文",
-    r"解锁全文|展开剩余|点击展开全文|查看完整内容|购买继续阅读|本文需要付费|订阅后查看|开通会员.*阅读|剩余.*内容.*登录",
-    r"热门活动.*报名|参与活动.*赢|推荐课程.*元|精品课程.*折|课程推荐.*限时|近期活动.*报名|热门活动|活动推荐",
-    r"开通VIP|升级VIP|会员专享|VIP特权|VIP免费|超级会员|年费会员|月度会员",
-    r"长按识别|扫码入群|扫码下载|扫码关注|二维码入群|加入.*技术交流群|加入.*QQ群|加入.*微信群|扫码加群",
-    r"我们使用Cookie|本站使用Cookie|隐私偏好|Cookie设置|Cookie偏好|接受所有Cookie",
+BOILERPLATE = (
+    r"(?i)^.*\b(we use cookies|accept cookies|cookie policy|privacy policy|cookie consent|this site uses cookies|consent preferences)\b.*$",
+    r"(?i)^.*\b(subscribe to|newsletter|sign up for|email updates|join our mailing|get notified|never miss a post)\b.*$",
+    r"(?i)^.*\b(share on|share this|follow us on|tweet this|pin this|share this post|share this article)\b.*$",
+    r"(?i)^.*\b(copyright\s+\d{4}|all rights reserved|\(c\)|©)\b.*$",
+    r"(?i)^.*\b(page \d+ of \d+|previous page|next page|pagination|load more|show more)\b.*$",
+    r"^.*(ICP备\d+号|ICP证\d+|备案号|公安备案|公网安备\d+号|网站备案).*$",
+    r"^.*(扫码关注|关注公众号|关注.*公众号|领取.*代金券|微信扫码|添加微信|扫描二维码).*$",
+    r"^.*(请登录后发表评论|登录后即可评论|登录.*评论|您还未登录|请先登录|登录后才能).*$",
+    r"^.*(本文参与.*同步曝光计划|同步曝光|曝光计划|参与.*社区激励).*$",
+    r"^.*(编辑精选|精选文章|推荐阅读|相关文章|热门推荐|相关推荐|猜你喜欢|为你推荐).*$",
+    r"^.*(AI生成内容|本文由AI辅助生成|AI辅助创作|由AI生成|本文使用AI|内容由AI|AI技术生成).*$",
+    r"^.*(版权声明：本文为博主原创|CSDN博客|分类专栏|文章目录|展开全部|收起).*$",
+    r"^.*(本文转载自|版权声明：本文|文章来源|原文链接|转载.*注明出处|著作权归作者所有|来源：).*$",
+    r"^.*(举报反馈|意见反馈|投诉举报|侵权投诉|举报.*电话|反馈建议|我要反馈).*$",
+    r"^.*(本文仅代表作者观点|不代表.*立场|免责声明|风险提示|投资有风险).*$",
+    r"^.*(打赏作者|赏金|赞赏|投币|一键三连|求关注|给作者点赞|您的支持是我).*$",
+    r"^.*(阅读[\s\d]+(次)?.*(点赞|收藏|评论|分享)[\s\d]+|点赞[\s\d]+.*阅读[\s\d]+|收藏[\s\d]+.*分享[\s\d]+).*$",
+    r"^.*(限时优惠|点击购买|立即下单|免费试用|优惠券|折扣码|推广链接|赞助内容|广告合作|扫码领取|限量.*抢购|不容错过).*$",
+    r"^.*(下载APP|打开APP|APP内打开|APP内阅读|使用APP|下载客户端).*$",
+    r"^.*(点击查看原文|点击阅读原文|查看完整版|阅读完整版|查看原文链接|请阅读原文|去查看原文|查看全文).*$",
+    r"^.*(解锁全文|展开剩余|点击展开全文|查看完整内容|购买继续阅读|本文需要付费|订阅后查看|开通会员.*阅读|剩余.*内容.*登录).*$",
+    r"^.*(热门活动.*报名|参与活动.*赢|推荐课程.*元|精品课程.*折|课程推荐.*限时|近期活动.*报名|热门活动|活动推荐).*$",
+    r"^.*(开通VIP|升级VIP|会员专享|VIP特权|VIP免费|超级会员|年费会员|月度会员).*$",
+    r"^.*(长按识别|扫码入群|扫码下载|扫码关注|二维码入群|加入.*技术交流群|加入.*QQ群|加入.*微信群|扫码加群).*$",
+    r"^.*(我们使用Cookie|本站使用Cookie|隐私偏好|Cookie设置|Cookie偏好|接受所有Cookie).*$",
 )
 
 # Words that titles are compared without.
@@ -170,3 +168,13 @@ CATEGORY_ALIASES = {
 ALLOWED_CATEGORIES = ("后端开发", "前端开发", "移动开发", "数据库", "DevOps", "云计算", "AI与机器学习", "安全", "区块链", "其他")
 # Weights of the coverage score.
 COVERAGE_WEIGHTS = {"angle": 0.25, "diversity": 0.20, "depth": 0.15, "temporal": 0.15, "perspective": 0.15, "language": 0.10}
+
+# Strategies: thresholds below which a dimension is worked on, wider time ranges, kinds of strategy, directions, and words added to a keyword.
+STRATEGY_THRESHOLDS = {"diversity": 0.6, "perspective": 0.6, "language": 0.3, "depth": 0.6, "angle": 0.6, "temporal": 0.6}
+WIDER_RANGES = {"day": "week", "week": "month", "month": "year", "year": "all"}
+STRATEGY_KINDS = {"temporal": "time_adjust", "depth": "keyword_depth", "angle": "keyword_angle", "diversity": "engine_switch", "perspective": "keyword_perspective", "language": "cross_language"}
+DEPTH_DIMENSIONS, BREADTH_DIMENSIONS = ("depth", "angle", "temporal"), ("diversity", "perspective", "language")
+STRATEGY_SUFFIXES = {
+    "depth": ("architecture deep dive", "internals implementation", "how it works under the hood", "in-depth tutorial"),
+    "angle": ("comparison vs alternatives", "best practices", "performance optimization", "common issues troubleshooting"),
+}

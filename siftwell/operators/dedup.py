@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pages, quality, urls
 from ..functions import similarity as S
-from ..functions import urls
+from ..sources.stored import stored
 
 #: Hamming distances: within a task and against history, across sections, in the filter of a task, of a deep task.
 WITHIN, ACROSS, CASCADE, DEEP = 12, 5, 5, 3
@@ -30,80 +33,194 @@ def cap_per_domain(df: DataFrame, most: int, *order: Column, url: str = "url", w
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
+def _masks(most: int) -> list[int]:
+    """All words of a band's size with at most ``most`` bits."""
+    return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(S.BAND_BITS), k)]
+
+
+def close_prints(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(g, h) of fingerprints of left and of right (column h) that differ in at most ``most`` bits; all of them.
+
+    One of four bands differs in at most a quarter of the bits; there some word is at most half of that from one side and the rest from
+    the other. So both sides meet by words near their bands, in an equi-join that Spark may split.
+    """
+    radius = most // S.BANDS
+
+    def near(df: DataFrame, name: str, r: int) -> DataFrame:
+        bands = df.select(F.col("h").alias(name)).distinct().select(name, F.explode(S.bands(F.col(name))).alias("b")).select(name, "b.band", "b.bits")
+        return bands.select(name, "band", F.explode(F.transform(F.array(*map(F.lit, _masks(r))), lambda m: F.col("bits").bitwiseXOR(m))).alias("word"))
+
+    met = near(left, "g", radius // 2).join(near(right, "h", radius - radius // 2), ["band", "word"])
+    return met.where(S.hamming(F.col("g"), F.col("h")) <= most).select("g", "h").distinct()
+
+
+def print_classes(df: DataFrame, key: str = "id", fingerprint: str = "h") -> DataFrame:
+    """(key, class): rows of equal fingerprints are one class, named by its smallest key."""
+    first = df.groupBy(fingerprint).agg(F.min(key).alias("class"))
+    return df.select(key, fingerprint).join(first, fingerprint).select(key, "class")
+
+
 def near_pairs(df: DataFrame, most: int, key: str = "id", fingerprint: str = "h") -> DataFrame:
-    """(a, b, distance) of keys a < b whose fingerprints share one of four bands and differ in at most ``most`` bits.
+    """(a, b, distance) of classes a < b (print_classes tells who is in them) whose fingerprints differ in at most ``most`` bits.
 
-    Complete up to three bits; beyond that a pair may share no band. Rows meet by band value in an equi-join that Spark may split. Equal
-    fingerprints are joined as one, and their keys expanded at the end.
+    Copies are never expanded into pairs. df is read twice; store it where its fingerprints are still to be computed.
     """
-    prints = df.select(F.col(fingerprint).alias("h")).distinct()
-    banded = prints.select("h", F.explode(S.bands(F.col("h"))).alias("b")).select("h", "b.band", "b.bits")
-    met = banded.alias("x").join(banded.alias("y"), ["band", "bits"]).where("x.h < y.h").select(F.col("x.h").alias("g"), F.col("y.h").alias("h")).where(S.hamming(F.col("g"), F.col("h")) <= most).distinct()
-    met = met.union(prints.select(F.col("h").alias("g"), "h"))
-    keyed = df.select(F.col(key).alias("k"), F.col(fingerprint).alias("f"))
-    left, right = keyed.select(F.col("k").alias("p"), F.col("f").alias("g")), keyed.select(F.col("k").alias("q"), F.col("f").alias("h"))
-    pairs = met.join(left, "g").join(right, "h").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), S.hamming(F.col("g"), F.col("h")).alias("distance"))
-    return pairs.distinct()
+    classes = df.groupBy(F.col(fingerprint).alias("h")).agg(F.min(key).alias("k"))
+    links = close_prints(classes, classes, most).where("g < h")
+    left, right = classes.select(F.col("h").alias("g"), F.col("k").alias("p")), classes.select("h", F.col("k").alias("q"))
+    return links.join(left, "g").join(right, "h").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), S.hamming(F.col("g"), F.col("h")).alias("distance"))
 
 
-def similar_titles(df: DataFrame, key: str = "id", title: str = "title", least: float = SIMILAR_TITLE) -> DataFrame:
-    """(a, b, similarity) of titles at ``least`` or more.
+def title_links(left: DataFrame, right: DataFrame, least: float = SIMILAR_TITLE) -> DataFrame:
+    """(a, b, similarity) of titles (k, t) of left and of right at ``least`` or more.
 
     Similarity of 0.8 needs a Jaccard similarity of two thirds, so the rarest third of a title's words (prefix filter) holds a shared one.
     """
-    titles = df.select(F.col(key).alias("k"), F.col(title).alias("t"), S.title_words(F.col(title)).alias("w")).where(F.size("w") > 0)
-    words = titles.select("k", F.explode("w").alias("word"))
-    freq = words.groupBy("word").agg(F.count("*").alias("n"))
     jaccard = (least - 0.4) / 0.6
-    ranked = words.join(freq, "word").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "word"))).withColumn("m", F.count("*").over(Window.partitionBy("k")))
-    prefix = ranked.where(F.col("r") <= F.col("m") - F.ceil(jaccard * F.col("m") - 1e-9) + 1).select("k", "word")
-    pairs = prefix.alias("x").join(prefix.alias("y"), "word").where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
-    side = lambda name: titles.select(F.col("k").alias(name), F.col("t").alias(f"t{name}"), F.col("w").alias(f"w{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    words = lambda df: df.select("k", "t", S.title_words(F.col("t")).alias("w")).where(F.size("w") > 0)
+    freq = words(left).union(words(right)).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        ranked = words(df).select("k", F.size("w").alias("m"), F.explode("w").alias("word")).join(freq, "word")
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "word")))
+        return ranked.where(F.col("r") <= F.col("m") - F.ceil(jaccard * F.col("m") - 1e-9) + 1).select(F.col("k").alias(name), "word")
+
+    pairs = prefix(left, "a").join(prefix(right, "b"), "word").select("a", "b").distinct()
+    side = lambda df, name: words(df).select(F.col("k").alias(name), F.col("t").alias(f"t{name}"), F.col("w").alias(f"w{name}"))
+    joined = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
     near = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) >= jaccard - 1e-9
     return joined.where(near).withColumn("similarity", S.title_similarity("ta", "tb")).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def not_in_history(df: DataFrame, history: DataFrame, most: int = WITHIN) -> DataFrame:
-    """Rows (url, h) without an equal address or a near fingerprint (by band, as in near_pairs) in ``history`` (url, h)."""
-    seen = history.select(urls.normalize_url(F.col("url")).alias("u")).distinct()
-    left = df.withColumn("u", urls.normalize_url(F.col("url"))).join(seen, "u", "left_anti").drop("u")
-    old = history.where(F.col("h") != 0).select(F.col("h").alias("g")).distinct().select("g", F.explode(S.bands(F.col("g"))).alias("b")).select("g", "b.band", "b.bits")
-    mine = left.where(F.col("h") != 0).select("h").distinct().select("h", F.explode(S.bands(F.col("h"))).alias("b")).select("h", "b.band", "b.bits")
-    near = mine.join(old, ["band", "bits"]).where(S.hamming(F.col("g"), F.col("h")) <= most).select("h").distinct()
-    return left.join(near, "h", "left_anti")
+def similar_titles(df: DataFrame, key: str = "id", title: str = "title", least: float = SIMILAR_TITLE) -> DataFrame:
+    """(a, b, similarity) of classes a < b of equal titles, each named by its smallest key, at ``least`` or more."""
+    titles = df.groupBy(F.col(title).alias("t")).agg(F.min(key).alias("k"))
+    return title_links(titles, titles, least).where("a < b")
 
 
-def greedy(df: DataFrame, group: str, order: str, most: int = WITHIN, url: str = "url", title: str = "title", content: str = "content") -> DataFrame:
-    """df with ``reason``: null for rows that stay, else url, content or title. Each row is compared with the rows kept before it.
+def _plain_title(title: str) -> Column:
+    return F.lower(F.trim(F.coalesce(F.col(title), F.lit(""))))
 
-    What stays depends on what stayed before, so a group is folded row by row by one task. Groups are tasks of a few pages each; for
-    whole corpora use near_pairs.
-    """
-    marked = df.withColumn("_u", urls.normalize_url(F.col(url))).withColumn("_h", S.simhash(S.preview(F.coalesce(F.col(content), F.lit("")))))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "reason string"])
+
+def not_in_history(df: DataFrame, history: DataFrame, most: int = WITHIN, title: str | None = None) -> DataFrame:
+    """Rows (url, h) without an equal address, a near fingerprint or, where ``title`` names a column of both, a similar title in
+    ``history`` (url, h). A fingerprint of 0 is near none."""
+    seen = history.select(urls.normalize_url(F.col("url")).alias("_u")).distinct()
+    left = df.withColumn("_u", urls.normalize_url(F.col("url"))).join(seen, "_u", "left_anti").drop("_u")
+    near = close_prints(history.where(F.col("h") != 0), left.where(F.col("h") != 0), most).select("h").distinct()
+    left = left.join(near, "h", "left_anti")
+    if title is None:
+        return left
+    of = lambda x: x.select(_plain_title(title).alias("t")).where("t <> ''").distinct().select(F.col("t").alias("k"), "t")
+    known = title_links(of(history), of(left)).select(F.col("b").alias("_t")).distinct()
+    equal = of(left).select(F.col("k").alias("_t")).join(of(history).select(F.col("k").alias("_t")), "_t", "left_semi")
+    return left.withColumn("_t", _plain_title(title)).join(known.union(equal).distinct(), "_t", "left_anti").drop("_t")
+
+
+class _Seen:
+    """What a fold has kept so far, and why a page would repeat it. Pages are told by address, then fingerprint, then title."""
+
+    def __init__(self, most: int):
+        self.most, self.urls, self.prints, self.titles = most, set(), [], []
+
+    def reason(self, url: str | None, print_: int | None, title: str) -> str | None:
+        if url in self.urls:
+            return "url"
+        if print_ is not None and any(((print_ ^ g) & (2**64 - 1)).bit_count() <= self.most for g in self.prints):
+            return "content"
+        return "title" if title and any(S.title_similarity_of(title, x) >= SIMILAR_TITLE for x in self.titles) else None
+
+    def add(self, url: str | None, print_: int | None, title: str) -> None:
+        self.urls.add(url)
+        if print_ is not None:
+            self.prints.append(print_)
+        if title:
+            self.titles.append(title)
+
+
+def _told(df: DataFrame, url: str, title: str, content: str) -> DataFrame:
+    """df with what tells pages apart: _u, _h (null where the compared part of the text is short) and _t."""
+    part = S.preview(F.coalesce(F.col(content), F.lit("")))
+    return df.withColumn("_u", urls.normalize_url(F.coalesce(F.col(url), F.lit("")))).withColumn("_t", _plain_title(title)).withColumn("_h", F.when(F.length(part) >= LEAST_CONTENT, S.simhash(part)))
+
+
+def _folded(df: DataFrame, group: list[str], order: list[str], most: int, passes) -> DataFrame:
+    """df with ``reason`` by a fold over each group in order; ``passes(row)`` is null for a page that may be kept, else its own reason."""
+    kept = [c for c in df.columns if c not in ("_u", "_h", "_t", "_own")]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "reason string"])
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        seen, prints, titles, reasons = set(), [], [], []
-        for u, h, t, c in zip(rows["_u"], rows["_h"], rows[title], rows[content], strict=True):
-            long_enough = c is not None and len(c) >= LEAST_CONTENT
-            if u is not None and u in seen:
-                reason = "url"
-            elif long_enough and any(((h ^ g) & (2**64 - 1)).bit_count() <= most for g in prints):
-                reason = "content"
-            elif any(S.title_similarity_of(t, x) >= SIMILAR_TITLE for x in titles):
-                reason = "title"
-            else:
-                reason = None
-                seen.add(u)
-                titles.append(t)
-                if long_enough:
-                    prints.append(h)
+        seen, reasons = _Seen(most), []
+        for u, h, t, own in zip(rows["_u"], rows["_h"], rows["_t"], rows["_own"], strict=True):
+            h = None if pd.isna(h) else int(h)
+            reason = seen.reason(u, h, t) or (None if pd.isna(own) else own)
+            if reason is None:
+                seen.add(u, h, t)
             reasons.append(reason)
-        return rows.drop(columns=["_u", "_h"]).assign(reason=reasons)
+        return rows[kept].assign(reason=reasons)
 
-    return marked.groupBy(group).applyInPandas(fold, schema)
+    # fingerprints travel as strings, since a column of long with nulls would come as inexact floats
+    return df.withColumn("_own", passes).withColumn("_h", F.col("_h").cast("string")).groupBy(*group).applyInPandas(fold, schema)
+
+
+def greedy(df: DataFrame, group: str | list[str], order: str | list[str], most: int = WITHIN, url: str = "url", title: str = "title", content: str = "content", history: DataFrame | None = None) -> DataFrame:
+    """df with ``reason``: null for rows that stay, else history, url, content or title. Each row is compared with the rows kept before it.
+
+    What stays depends on what stayed before, so a group is folded row by row by one task. Groups are tasks of a few pages each; for
+    whole corpora use near_pairs. ``history`` (url, h, title) is looked up first, by joins over all groups; what it holds takes no part.
+    """
+    group, order = ([x] if isinstance(x, str) else list(x) for x in (group, order))
+    told = _told(df, url, title, content)
+    if history is None:
+        return _folded(told, group, order, most, F.lit(None).cast("string"))
+    told = stored(told.withColumn("_n", F.monotonically_increasing_id()))
+    new = not_in_history(told.select("_n", F.col(url).alias("url"), F.coalesce("_h", F.lit(0)).alias("h"), F.col(title).alias("title")), history, most, "title").select("_n")
+    fresh = _folded(told.join(new, "_n", "left_semi").drop("_n"), group, order, most, F.lit(None).cast("string"))
+    known = told.join(new, "_n", "left_anti").select(*df.columns, F.lit("history").alias("reason"))
+    return fresh.unionByName(known)
+
+
+def across_sections(df: DataFrame, task: str = "task_id", section: str = "section", order: str = "position", url: str = "url", title: str = "title", content: str = "content", history: DataFrame | None = None) -> DataFrame:
+    """The pages of a digest that stay: each section first by itself, then all sections of a task together, with the narrower radius.
+
+    Of the second step failed pages (column success), those without an address and those of under 100 characters take no part.
+    """
+    own = greedy(df, [task, section], order, WITHIN, url, title, content, history).where(F.col("reason").isNull()).drop("reason")
+    fit = own.where(F.coalesce("success", F.lit(True)) & (F.coalesce(url, F.lit("")) != "") & (F.length(F.coalesce(content, F.lit(""))) >= LEAST_CONTENT))
+    return greedy(fit, task, [section, order], ACROSS, url, title, content).where(F.col("reason").isNull()).drop("reason")
+
+
+#: Characters that a page must have, by type of task (fixed values); 100 for all others.
+LEAST_BY_TYPE = {"deep": 20, "digest": 50}
+
+
+def cascade(df: DataFrame, task_type: str, year: int, group: str = "task_id", order: str = "position", url: str = "url", title: str = "title", content: str = "content") -> DataFrame:
+    """df with ``reason``: null for pages that pass and for those that had failed before, else too_short, non_article, duplicate or low_quality.
+
+    The first two and the last are told by columns. Whether a page is a duplicate depends on which pages before it passed, so those that
+    are left are folded in order, task by task; pages of a digest aren't compared. A page that fails by quality leaves no trace.
+    """
+    text = F.coalesce(F.col(content), F.lit(""))
+    level, authority = urls.authority_level(F.col(url)), urls.authority_score(F.col(url))
+    score, paywall = quality.quality_score(F.col(title), text, F.col(url), year, task_type == "digest"), quality.has_paywall(text)
+    final = quality.final_score(authority, score, task_type == "digest")
+    early = F.when(F.length(text) < LEAST_BY_TYPE.get(task_type, 100), "too_short").when(pages.classify(text, F.col(url), F.col(title))["page_type"] != "unknown", "non_article")
+    low = F.when(quality.is_rejected(task_type, level, authority, final, score, paywall), "low_quality")
+    told = df.withColumn("_early", early)
+    done = ~F.col("success") | F.col("_early").isNotNull()
+    out = told.where(done).select(*df.columns, F.when(F.col("success"), F.col("_early")).alias("reason"))
+    rest = told.where(~done).drop("_early")
+    if task_type == "digest":
+        return out.unionByName(rest.withColumn("reason", low))
+    folded = _folded(_told(rest, url, title, content), [group], [order], DEEP if task_type == "deep" else CASCADE, low)
+    return out.unionByName(folded.withColumn("reason", F.when(F.col("reason").isin("url", "content", "title"), "duplicate").otherwise(F.col("reason"))))
+
+
+def cascade_counts(judged: DataFrame, *by: str) -> DataFrame:
+    """(by, total, passed, too_short, non_article, duplicate, low_quality) of judged pages that hadn't failed before."""
+    own = judged.where("success")
+    return own.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("passed"), *(F.count_if(F.col("reason") == r).alias(r) for r in ("too_short", "non_article", "duplicate", "low_quality")))
 
 
 def append_fingerprints(existing: DataFrame, new: DataFrame) -> DataFrame:

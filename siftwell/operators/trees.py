@@ -10,12 +10,20 @@ LEVELS = 5
 
 
 def closure(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(ancestor, descendant, distance), each node being its own ancestor at distance 0. ``levels`` bounds the joins, so a cycle ends too."""
+    """(ancestor, descendant, distance), each node being its own ancestor at distance 0. ``levels`` bounds the joins, so a cycle ends too.
+
+    Categories are made to have at most LEVELS levels (fits_below guards it). For a deeper tree give its depth; one step more than that is
+    taken, and a node found there fails the query instead of being cut off.
+    """
     edges = nodes.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
     now = nodes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance"))
     out = now
-    for _ in range(levels - 1):
+    for step in range(levels):
         now = now.join(edges, now.ancestor == edges.child).select(F.col("parent").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
+        if step == levels - 1:
+            # the condition needs both sides of the join, so it's asked of joined rows only
+            both = F.concat(F.col("ancestor").cast("string"), F.lit("/"), F.col("descendant").cast("string"))
+            now = now.where(F.when(both != "", F.raise_error(F.lit(f"a tree of more than {levels} levels")).cast("boolean")).otherwise(F.lit(True)))
         out = out.union(now)
     return out
 
@@ -60,6 +68,24 @@ def fits_below(nodes: DataFrame, node, new_parent, levels: int = LEVELS) -> bool
     return above + 1 + below < levels
 
 
+def may_hold_articles(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, allowed) of chosen ids: only leaves may hold articles; unknown ids may not."""
+    inner = nodes.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct().withColumn("_inner", F.lit(True))
+    known = nodes.select("id").withColumn("_known", F.lit(True))
+    return chosen.join(known, "id", "left").join(inner, "id", "left").select("id", (F.col("_known").isNotNull() & F.col("_inner").isNull()).alias("allowed"))
+
+
+def nested_tree(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(id, name, tree) of the roots: JSON of all levels below, children in order of sort, those without one last."""
+    rows = nodes.select("id", "name", "parent_id", "sort", F.lit(None).cast("string").alias("tree"))
+    for _ in range(levels - 1):
+        kids = rows.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("sort").isNull().alias("late"), "sort", F.col("id").alias("k"), "name", "tree"))).alias("s"))
+        child = lambda x: F.concat(F.lit('{"id":'), x["k"].cast("string"), F.lit(',"name":'), F.to_json(F.array(x["name"])), F.lit(',"children":'), F.coalesce(x["tree"], F.lit("[]")), F.lit("}"))
+        listed = kids.select("id", F.concat(F.lit("["), F.array_join(F.transform("s", child), ","), F.lit("]")).alias("t"))
+        rows = rows.join(listed, "id", "left").select("id", "name", "parent_id", "sort", F.coalesce("t", "tree").alias("tree"))
+    return rows.where(F.col("parent_id").isNull()).select("id", "name", F.coalesce("tree", F.lit("[]")).alias("tree"))
+
+
 def nested(nodes: DataFrame) -> DataFrame:
     """(id, name, children): direct children in order of sort, those without one last."""
     kids = nodes.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(
