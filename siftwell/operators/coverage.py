@@ -52,7 +52,18 @@ def evaluate(results: DataFrame, group: str, domain: str = "domain", title: str
     out = out.select(group, "n", "sources", angle.alias("angle"), "diversity", depth.alias("depth"), temporal.alias("temporal"), perspective.alias("perspective"), language_mix(n, F.col("cjk"), F.col("latin")).alias("language"))
     cols = [F.col(c) for c in ("angle", "diversity", "depth", "temporal", "perspective", "language")]
     weak = F.array_compact(F.array(F.when(n < 3, "few results"), F.when((s < 3) & (n >= 3), "few sources")))
-    return out.withColumn("overall", overall(*cols)).withColumn("weaknesses", F.array_join(weak, ","))
+    advice = F.array_compact(F.array(F.when(n < 3, "other keywords or engine"), F.when((s < 3) & (n >= 3), "other engine")))
+    return out.withColumn("overall", overall(*cols)).withColumn("weaknesses", F.array_join(weak, ",")).withColumn("suggestions", F.array_join(advice, ","))
+
+
+#: Weights of the first, second and third dimension of a direction (fixed values).
+DIRECTION_WEIGHTS = (0.4, 0.35, 0.25)
+
+
+def direction_scores(evaluated: DataFrame) -> DataFrame:
+    """evaluated with depth_score (depth, angle, temporal) and breadth_score (diversity, perspective, language)."""
+    weighted = lambda names: sum((F.col(c) * w for c, w in zip(names, DIRECTION_WEIGHTS, strict=True)), F.lit(0.0))
+    return evaluated.withColumn("depth_score", weighted(("depth", "angle", "temporal"))).withColumn("breadth_score", weighted(("diversity", "perspective", "language")))
 
 
 def weakest(df: DataFrame, threshold: float = 0.6, language_threshold: float = 0.3) -> DataFrame:

@@ -39,18 +39,77 @@ def repair_urls(items: DataFrame, pages: DataFrame, group: str = "task_id") -> D
     return out.select(*items.columns, F.coalesce("e", "h", "l", F.lit("")).alias("fixed"))
 
 
-def pack(pages: DataFrame, budget: int, group: str = "task_id", content: str = "content") -> DataFrame:
-    """pages with ``packed``: longest first, each cut to what is left of its task's budget; null when nothing is left.
+#: What is put after a text that was cut (a fixed value), and how much of a prompt is kept for instructions.
+CUT_MARK, RESERVED = "\n\n[...内容过长已截断]", 8000
+#: Categories of a digest in their order, and levels of sources (fixed values).
+CATEGORY_ORDER = ("hot_trend", "open_source", "tech_article", "dev_tool", "paper", "creative")
+LEVEL_ORDER = {"official": 0, "high": 1, "medium": 2, "low": 3, "spam": 4}
 
-    Cut lengths are told by a running sum: only the page that crosses the budget is cut, all later ones get nothing.
+
+def cut_text(text: str, limit: int) -> str:
+    """At most ``limit`` characters and a mark, cut before a blank line in the last fifth or a line end in the second half."""
+    if len(text) <= limit:
+        return text
+    blank, line = text.rfind("\n\n", 0, limit), text.rfind("\n", 0, limit)
+    at = blank if blank >= limit * 0.8 else line
+    return text[: at if at >= limit * 0.5 else limit] + CUT_MARK
+
+
+def pack(pages: DataFrame, budget: int = 150_000, per_page: int = 20_000, group: str = "task_id", content: str = "content") -> DataFrame:
+    """pages with ``packed``: longest first, each cut to ``per_page`` and to what is left of its task's budget; null when nothing is left.
+
+    A cut text is shorter than what was left, or longer by its mark, and the next page gets the rest, so a task's few pages are folded.
     """
-    from pyspark.sql import Window
+    schema = T.StructType([*pages.schema.fields, T.StructField("packed", T.StringType())])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(_n=rows[content].fillna("").str.len()).sort_values(["_n", "page_id"], ascending=[False, True], kind="stable")
+        left, out = budget, []
+        for text in rows[content].fillna(""):
+            room = min(per_page, left)
+            out.append(cut_text(text, room) if room > 0 else None)
+            left -= len(out[-1] or "")
+        return rows.drop(columns="_n").assign(packed=out)
+
+    return pages.groupBy(group).applyInPandas(fold, schema)
+
+
+def pack_digest(pages: DataFrame, budget: int = 100_000, per_page: int = 8000, group: str = "task_id") -> DataFrame:
+    """(task_id, category, place, page_id, mode, packed): pages of a digest by category, in its order, then by level of source and title.
 
-    size = F.length(F.coalesce(content, F.lit("")))
-    w = Window.partitionBy(group).orderBy(F.desc("_size"), "page_id").rowsBetween(Window.unboundedPreceding, -1)
-    left = budget - F.coalesce(F.sum("_size").over(w), F.lit(0))
-    sized = pages.withColumn("_size", size).withColumn("_left", left)
-    return sized.withColumn("packed", F.when(F.col("_left") > 0, F.substring(F.col(content), F.lit(1), F.col("_left").cast("int")))).drop("_size", "_left")
+    Categories share what is left after a reserve equally. The better half of a category (two at least) is sent as text, cut to what
+    is left; of the others the summary alone, where there is one. Blank pages are left out; a full budget omits the text.
+    """
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORY_ORDER) for x in (c, i)]), F.col("category")), F.lit(99))
+    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVEL_ORDER.items() for x in kv]), F.col("source_level")), F.lit(2))
+    rows = pages.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("category", F.when(F.coalesce("category", F.lit("")) == "", "tech_article").otherwise(F.col("category")))
+    rows = rows.select(group, "category", rank.alias("_rank"), level.alias("_level"), F.coalesce("title", F.lit("")).alias("_title"), "page_id", F.coalesce("summary", F.lit("")).alias("_summary"), "content")
+    kind = rows.schema
+    schema = f"{group} {kind[group].dataType.simpleString()}, category string, place int, page_id {kind['page_id'].dataType.simpleString()}, mode string, packed string"
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_rank", "category", "_level", "_title", "page_id"], kind="stable")
+        total = max(budget - RESERVED, budget // 2)
+        sizes = rows.groupby("category").size()
+        share, used, out, full = total // len(sizes), dict.fromkeys(sizes.index, 0), [], False
+        seen: dict[str, int] = {}
+        for task, c, page, summary, text in zip(*(rows[x] for x in (group, "category", "page_id", "_summary", "content")), strict=True):
+            place = seen[c] = seen.get(c, 0) + 1
+            if full:
+                out.append((task, c, place, page, "left_out", None))
+                continue
+            if place > max(2, sizes[c] // 2) and summary:
+                out.append((task, c, place, page, "summary", summary))
+                continue
+            room = min(per_page, max(0, min(total - sum(used.values()), share - used[c])))
+            packed = cut_text(text, room) if room > 0 else None
+            out.append((task, c, place, page, "text" if packed is not None else "omitted", packed))
+            if packed is not None:
+                used[c] += len(packed)
+                full = sum(used.values()) >= total and all(n >= share * 0.5 for n in used.values())
+        return pd.DataFrame(out, columns=[group, "category", "place", "page_id", "mode", "packed"])
+
+    return rows.groupBy(group).applyInPandas(fold, schema)
 
 
 def sections_with_items(sections: DataFrame, items: DataFrame) -> DataFrame:
@@ -67,11 +126,56 @@ def export_markdown(sections: DataFrame) -> DataFrame:
     return rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("sort_order", "id", "t"))).alias("s")).select("task_id", F.array_join("s.t", "\n\n").alias("markdown"))
 
 
+def export_task(tasks: DataFrame, pages: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """(id, markdown) of tasks: head lines, what a model wrote, and the texts of pages that succeeded (crawl_status 1), in their order."""
+    lines = lambda *c: F.array_compact(F.array(*c))
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("task_type")), F.col("task_type"))
+    quoted = lambda name, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"> {name}: "), c.cast("string")))
+    body = F.concat(F.lit("## "), F.coalesce(F.when(F.col("page_title") != "", F.col("page_title")), F.col("url")), F.lit("\n> 来源: "), F.col("url"), F.lit("\n\n"), F.coalesce("raw_markdown", F.lit("")), F.lit("\n\n---\n"))
+    good = pages.where("crawl_status = 1").groupBy("task_id").agg(F.count("*").alias("_good"), F.array_sort(F.collect_list(F.struct("sort_order", "url", body.alias("b")))).alias("_p"))
+    joined = tasks.join(good, tasks.id == good.task_id, "left")
+    count = F.concat(F.coalesce("_good", F.lit(0)).cast("string"), F.lit("/"), F.coalesce("total_pages", F.lit(0)).cast("string"))
+    head = lines(
+        F.concat(F.lit("# 爬取任务 #"), F.col("id").cast("string"), F.lit(" - "), named, F.lit("\n")), quoted("URL", F.col("source_url")), quoted("关键词", F.col("keyword")),
+        F.concat(F.lit("> 完成时间: "), F.coalesce(F.col("updated_at").cast("string"), F.lit("N/A"))), F.concat(F.lit("> 成功页面: "), count),
+        F.concat(F.lit("> 总字数: "), F.coalesce("total_word_count", F.lit(0)).cast("string")), F.lit("\n---\n"),
+    )
+    wrote = F.coalesce("ai_full_content", F.lit("")) != ""
+    title = F.when(F.coalesce("ai_title", F.lit("")) != "", F.concat(F.lit("## AI 整理: "), F.col("ai_title"))).otherwise("## AI 整理结果")
+    tags = F.when(F.size(F.coalesce("ai_tags", F.array().cast("array<string>"))) > 0, F.concat(F.lit("> 标签: "), F.array_join("ai_tags", ", ")))
+    model = F.when(wrote, F.array_join(lines(F.concat(title, F.lit("\n")), quoted("摘要", F.col("ai_summary")), tags, F.concat(F.lit("\n"), F.col("ai_full_content")), F.lit("\n---\n")), "\n"))
+    return joined.select("id", F.concat_ws("\n", head, model, F.coalesce(F.transform("_p", lambda x: x["b"]), F.array().cast("array<string>"))).alias("markdown"))
+
+
+def context_lines(tasks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, context): what a model is told about a task's aim. Search words where they are known, else the source's address, else up to
+    five page titles; null without any."""
+    meta = F.from_json("ai_search_metadata", "originalKeyword string, optimizedKeyword string, searchVariants array<string>")
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    words = F.array_compact(F.array(
+        F.when(full(meta["originalKeyword"]), F.concat(F.lit("原始关键词："), meta["originalKeyword"])),
+        F.when(full(meta["optimizedKeyword"]) & ~meta["optimizedKeyword"].eqNullSafe(meta["originalKeyword"]), F.concat(F.lit("优化关键词："), meta["optimizedKeyword"])),
+        F.when(F.size(F.coalesce(meta["searchVariants"], F.array().cast("array<string>"))) > 0, F.concat(F.lit("实际搜索词变体："), F.array_join(meta["searchVariants"], " | "))),
+    ))
+    url = F.col("source_url")
+    domain = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
+    deep = F.col("task_type") == "deep"
+    place = F.array_compact(F.array(
+        F.concat(F.when(deep, "深度爬取目标站点：").otherwise("爬取来源："), domain), F.when(path != "", F.concat(F.when(deep, "起始路径：/").otherwise("页面路径：/"), path)),
+        F.when(deep, "以上内容来自同一站点的多个页面，请综合分析并围绕站点主题组织内容。").otherwise("请围绕以上来源页面的实际主题组织内容，避免被页面中无关的导航、广告等噪音带偏。"),
+    ))
+    titled = pages.where(F.coalesce("page_title", F.lit("")) != "").groupBy("task_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "page_title"))), lambda x: x["page_title"]), 1, 5).alias("_t"))
+    joined = tasks.join(titled, tasks.id == titled.task_id, "left")
+    said = F.when(F.size(F.coalesce(words, F.array().cast("array<string>"))) > 0, F.array_join(words, "\n")).when(full(url), F.array_join(place, "\n")).when(F.col("_t").isNotNull(), F.concat(F.lit("页面标题："), F.array_join("_t", " | ")))
+    return joined.select("id", said.alias("context"))
+
+
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
 def json_in(text: str | None) -> str | None:
-    """The first JSON object in a model's answer: fenced, or from the first brace on. Null if there is none."""
+    """The first JSON object in a model's answer: fenced, or from a brace on that a parser can read to its end. Null if there is none."""
     for part in [*_FENCE.findall(text or ""), text or ""]:
         at = part.find("{")
         while at >= 0:
@@ -100,6 +204,20 @@ def parse_answer(text: Column) -> Column:
     return F.struct(x["title"].alias("title"), x["summary"].alias("summary"), capped(x["key_points"], 10).alias("key_points"), capped(x["tags"], 8).alias("tags"), x["category"].alias("category"), error.alias("error"))
 
 
+DIGEST = "highlight string, sections array<struct<category:string,items:array<struct<title:string,one_liner:string,source_url:string>>>>"
+
+
+def parse_digest(text: Column) -> Column:
+    """struct(highlight, sections, items, error) of a digest's answer: items without a title go, sections without items too; the error is
+    no_json, no_sections, or null."""
+    raw = extract_json(text)
+    x = F.from_json(raw, DIGEST)
+    titled = lambda s: F.filter(F.coalesce(s["items"], F.array()), lambda i: F.coalesce(F.trim(i["title"]), F.lit("")) != "")
+    sections = F.filter(F.transform(x["sections"], lambda s: F.struct(s["category"].alias("category"), titled(s).alias("items"))), lambda s: F.size(s["items"]) > 0)
+    n = F.coalesce(F.aggregate(sections, F.lit(0), lambda a, s: a + F.size(s["items"])), F.lit(0))
+    return F.struct(x["highlight"].alias("highlight"), sections.alias("sections"), n.alias("items"), F.when(raw.isNull(), "no_json").when(n == 0, "no_sections").alias("error"))
+
+
 def capped(list_: Column, most: int) -> Column:
     """Distinct non-blank entries in order, at most ``most``."""
     return F.slice(F.array_distinct(F.filter(F.coalesce(list_, F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")), 1, most)

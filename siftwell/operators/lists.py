@@ -53,6 +53,29 @@ def usable_results(results: DataFrame, seen: DataFrame, least_chars: int = 0, le
     return keep_first(good.join(seen.select("url"), "url", "left_anti"), F.col("url"), F.col("position"))
 
 
+def fail_short(results: DataFrame, least_words: int = 50) -> DataFrame:
+    """results whose texts have fewer words count as failed, and say so in ``error``."""
+    from ..functions.text import count_words
+
+    short = F.col("success") & (count_words(F.coalesce("content", F.lit(""))) < least_words)
+    return results.withColumn("error", F.when(short, "too few words")).withColumn("success", F.col("success") & ~short)
+
+
+def same_content(files: DataFrame, content: str = "content") -> DataFrame:
+    """(text_md5, n, first_id) of contents that occur more than once; counted before anything moves, by digests."""
+    return files.groupBy(F.md5(F.col(content).cast("binary")).alias("text_md5")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+
+
+def known_content(new: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, known_id): new files (id, md5) that are stored already, and the first such file."""
+    return new.join(files.groupBy("md5").agg(F.min("id").alias("known_id")), "md5").select("id", "known_id")
+
+
+def in_order(rows: DataFrame, group: str, by: str) -> DataFrame:
+    """rows with ``place``, 1-based, by ``by`` and id: pages of a task by sort order, rounds by their number."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last(by), "id")))
+
+
 def ranked(results: DataFrame, group: str, *order: Column) -> DataFrame:
     """results with their 1-based rank in each group."""
     return results.withColumn("search_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
@@ -80,6 +103,29 @@ def by_month(logs: DataFrame, date: str = "log_date") -> DataFrame:
     return logs.groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.max("id").alias("last_id")).orderBy(F.desc("month"))
 
 
+def by_year(articles: DataFrame, date: str = "publish_time") -> DataFrame:
+    """(year, n, ids): articles of each year, latest year first, latest article first in it; undated ones don't count."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col(date).cast("timestamp"))).alias("t"), "id"))), lambda x: x["id"])
+    return articles.where(F.col(date).isNotNull()).groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n"), ids.alias("ids")).orderBy(F.desc("year"))
+
+
+def logs_with_category(logs: DataFrame, categories: DataFrame) -> DataFrame:
+    """logs with the name of their category, null where there is none."""
+    return logs.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left")
+
+
+def representative_keyword(sections: DataFrame) -> DataFrame:
+    """(digest_id, keyword) of sections (digest_id, position, name, source_type, keyword): of the first keyword section the shortest of its
+    alternatives of 2 to 30 characters (else the shortest), else the first section with a name, else ``technology``."""
+    parts = F.filter(F.transform(F.split(F.coalesce("keyword", F.lit("")), " OR "), lambda p: F.trim(p)), lambda p: p != "")
+    fit = F.filter(parts, lambda p: F.length(p).between(2, 30))
+    shortest = lambda a: F.array_min(F.transform(a, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("p"))))["p"]
+    word = F.when(F.col("source_type").isin("keyword", "mixed") & (F.size(parts) > 0), F.substring(F.when(F.size(fit) > 0, shortest(fit)).otherwise(shortest(parts)), 1, 100))
+    first = lambda c: F.min(F.when(c.isNotNull(), F.struct("position", c.alias("w"))))["w"]
+    named = F.when(F.coalesce("name", F.lit("")) != "", F.col("name"))
+    return sections.groupBy("digest_id").agg(F.coalesce(first(word), first(named), F.lit("technology")).alias("keyword"))
+
+
 def engine_health(searches: DataFrame) -> DataFrame:
     """(engine, attempts, empty, last_results) of (engine, at, results)."""
     return searches.groupBy("engine").agg(F.count("*").alias("attempts"), F.count_if(F.col("results") == 0).alias("empty"), F.max_by("results", F.struct("at", "results")).alias("last_results"))

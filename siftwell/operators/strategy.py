@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Thresholds below which a dimension is worked on, and wider time ranges (fixed values).
-THRESHOLDS = {"diversity": 0.6, "perspective": 0.6, "language": 0.3, "depth": 0.6, "angle": 0.6, "temporal": 0.6}
-WIDER = {"day": "week", "week": "month", "month": "year", "year": "all"}
-KINDS = {"temporal": "time_adjust", "depth": "keyword_depth", "angle": "keyword_angle", "diversity": "engine_switch", "perspective": "keyword_perspective", "language": "cross_language"}
-DEPTH, BREADTH = ("depth", "angle", "temporal"), ("diversity", "perspective", "language")
-# Words that are added to a keyword, one for each attempt (fixed values).
-SUFFIXES = {
-    "depth": ("architecture deep dive", "internals implementation", "how it works under the hood", "in-depth tutorial"),
-    "angle": ("comparison vs alternatives", "best practices", "performance optimization", "common issues troubleshooting"),
-}
-
+from ..functions import values as V
 
 def exhausted(history: DataFrame, group: str = "task_id") -> DataFrame:
     """(group, dimension) of what the last two rounds both aimed at."""
@@ -24,10 +14,10 @@ def exhausted(history: DataFrame, group: str = "task_id") -> DataFrame:
     return last.groupBy(group, F.col("target_dimension").alias("dimension")).agg(F.count("*").alias("c")).where("c = 2").drop("c")
 
 
-def next_target(evaluations: DataFrame, history: DataFrame, dimensions: tuple[str, ...] = DEPTH + BREADTH, group: str = "task_id", near: float = 0.15) -> DataFrame:
+def next_target(evaluations: DataFrame, history: DataFrame, dimensions: tuple[str, ...] = V.DEPTH_DIMENSIONS + V.BREADTH_DIMENSIONS, group: str = "task_id", near: float = 0.15) -> DataFrame:
     """(group, dimension, score): the weakest dimension under its threshold that isn't exhausted. A task's ``hinted`` dimension, where the
     column exists, goes first if it is within ``near`` of the weakest."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"), F.lit(THRESHOLDS[d]).alias("least")) for d in dimensions]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"), F.lit(V.STRATEGY_THRESHOLDS[d]).alias("least")) for d in dimensions]))
     hinted = F.col("hinted") if "hinted" in evaluations.columns else F.lit(None).cast("string")
     rows = evaluations.select(group, hinted.alias("hinted"), pairs.alias("p")).select(group, "hinted", "p.*").where(F.col("score") < F.col("least"))
     rows = rows.join(exhausted(history, group), [group, "dimension"], "left_anti")
@@ -44,10 +34,10 @@ def propose(targets: DataFrame, tasks: DataFrame, group: str = "task_id") -> Dat
     attempt = F.col("attempts") % 4
     dim = F.col("dimension")
     word: Column = F.lit(None).cast("string")
-    for d, list_ in SUFFIXES.items():
+    for d, list_ in V.STRATEGY_SUFFIXES.items():
         word = F.when(dim == d, F.element_at(F.array(*map(F.lit, list_)), (attempt + 1).cast("int"))).otherwise(word)
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), dim)
-    wider = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WIDER.items() for x in kv]), F.col("time_range")), F.col("time_range"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in V.STRATEGY_KINDS.items() for x in kv]), dim)
+    wider = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.WIDER_RANGES.items() for x in kv]), F.col("time_range")), F.col("time_range"))
     out = targets.join(tasks, group)
     return out.select(group, "dimension", kind.alias("kind"), F.concat_ws(" ", "keyword", word).alias("keyword"), F.when(dim == "temporal", wider).otherwise(F.col("time_range")).alias("time_range"))
 

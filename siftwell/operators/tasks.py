@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from ..sources.stored import stored
+
 PENDING, CRAWLING, PROCESSING, COMPLETED, FAILED = range(5)
 
 
@@ -14,19 +19,23 @@ def stats(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count("*").alias("total"), of(COMPLETED).alias("completed"), of(FAILED).alias("failed"), of(PENDING, CRAWLING, PROCESSING).alias("pending"), F.coalesce(F.sum("total_word_count"), F.lit(0)).cast("long").alias("words"))
 
 
-def filtered(tasks: DataFrame, status: int | None = None, task_type: str | None = None, keyword: str | None = None) -> DataFrame:
-    """Only conditions that are given count; a keyword is looked for in address and keyword, taken literally."""
+def filtered(tasks: DataFrame, status: int | None = None, task_type: str | None = None, keyword: str | None = None, user: int | None = None) -> DataFrame:
+    """Only conditions that are given count; a keyword is looked for in address and keyword, taken literally. Newest first."""
+    if user is not None:
+        tasks = tasks.where(F.col("user_id") == user)
     if status is not None:
         tasks = tasks.where(F.col("status") == status)
     if task_type:
         tasks = tasks.where(F.col("task_type") == task_type)
     if keyword:
         tasks = tasks.where(F.col("source_url").contains(keyword) | F.col("keyword").contains(keyword))
-    return tasks
+    return tasks.orderBy(F.desc("created_at"), "id")
 
 
 def stale(tasks: DataFrame, now: str, minutes: int = 30, most: int = 20) -> DataFrame:
-    """Unfinished tasks that nobody has touched for a while, the oldest first."""
+    """Unfinished tasks with an external id (where the column exists) that nobody has touched for a while, the oldest first."""
+    if "external_id" in tasks.columns:
+        tasks = tasks.where(F.col("external_id").isNotNull())
     before = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {minutes} minutes")
     return tasks.where(F.col("status").isin(PENDING, CRAWLING, PROCESSING) & (F.col("updated_at") < before)).orderBy("updated_at", "id").limit(most)
 
@@ -35,9 +44,25 @@ def progress(completed: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(completed * 100 / total).cast("int")).otherwise(0)
 
 
-def effectiveness(rounds: DataFrame, by: str, most: int = 20) -> DataFrame:
-    """(by, rounds, avg_delta, avg_score, improved, max_delta) over all rounds after the first, best first."""
-    return rounds.where(F.col("round_num") > 1).groupBy(by).agg(
+def labelled(tasks: DataFrame, statuses: dict[int, str], types: dict[str, str]) -> DataFrame:
+    """(id, status_text, type_text, progress, source, summary) for lists: addresses cut at 60 characters, summaries at 200 with dots."""
+    name = lambda c, map_: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in map_.items() for x in kv]), c), c.cast("string"))
+    summary = F.coalesce("ai_summary", F.lit(""))
+    return tasks.select(
+        "id", name(F.col("status"), statuses).alias("status_text"), name(F.col("task_type"), types).alias("type_text"), progress(F.col("completed_pages"), F.col("total_pages")).alias("progress"),
+        F.substring("source_url", 1, 60).alias("source"), F.when(F.length(summary) > 200, F.concat(F.substring(summary, 1, 200), F.lit("..."))).otherwise(summary).alias("summary"),
+    )
+
+
+def crawl_summary(pages: DataFrame, group: str = "task_id") -> DataFrame:
+    """(group, succeeded, crawl_ms, words): durations of successful pages, words of all."""
+    return pages.groupBy(group).agg(F.count_if("success").alias("succeeded"), F.sum(F.when(F.col("success"), F.col("crawl_ms")).otherwise(0)).cast("long").alias("crawl_ms"), F.sum("word_count").cast("long").alias("words"))
+
+
+def effectiveness(rounds: DataFrame, by: str, most: int = 20, gains_only: bool = False) -> DataFrame:
+    """(by, rounds, avg_delta, avg_score, improved, max_delta) over all rounds after the first, or those with a gain, best first."""
+    counted = (F.col("round_num") > 1) & (F.col("score_delta") > 0) if gains_only else F.col("round_num") > 1
+    return rounds.where(counted).groupBy(by).agg(
         F.count("*").alias("rounds"), F.avg("score_delta").alias("avg_delta"), F.avg("overall_score").alias("avg_score"),
         F.count_if(F.col("score_delta") > 0).alias("improved"), F.max("score_delta").alias("max_delta"),
     ).orderBy(F.desc("avg_delta"), by).limit(most)
@@ -53,14 +78,25 @@ def knowledge_stats(rounds: DataFrame) -> DataFrame:
     )
 
 
-def hint(rounds: DataFrame, keywords: list[str], time_range: str, newest: int = 50) -> DataFrame:
-    """(engine, mean_delta, best_type) from the ``newest`` best rounds with a gain whose keyword holds one of the words, or of that range."""
-    like = F.lit(False)
-    for k in keywords:
-        like = like | F.col("search_keyword").contains(k)
-    best = rounds.where((F.col("score_delta") > 0) & (like | (F.col("time_range") == time_range))).orderBy(F.desc("score_delta"), "id").limit(newest)
-    per_type = best.groupBy("search_engine", "strategy_type").agg(F.avg("score_delta").alias("m"), F.count("*").alias("n"), F.sum("score_delta").alias("s"))
-    return per_type.groupBy(F.col("search_engine").alias("engine")).agg((F.sum("s") / F.sum("n")).alias("mean_delta"), F.max_by("strategy_type", F.struct("m", "strategy_type")).alias("best_type"))
+def hint(rounds: DataFrame, keyword: str, time_range: str, newest: int = 50) -> DataFrame:
+    """One row, or none where nothing was gained: the engine and the kind of strategy that gained most, all their mean gains (by name),
+    and up to five other keywords. It looks at the ``newest`` best later rounds of that time range or with one of the keyword's first
+    three words. Means are compared as they are: to bring them to one scale changes no order."""
+    words = keyword.split()[:3]
+    if not words:
+        return rounds.limit(0).select(F.lit("").alias("engine"))
+    like = reduce(lambda a, b: a | b, [F.col("search_keyword").contains(w) for w in words])
+    best = rounds.where((F.col("score_delta") > 0) & (F.col("round_num") > 1) & (like | (F.col("time_range") == time_range))).orderBy(F.desc("score_delta"), "id").limit(newest)
+    one = F.lit(1).alias("_one")
+
+    def means(by: str) -> DataFrame:
+        per = best.groupBy(by).agg(F.avg("score_delta").alias("m"))
+        scores = F.array_sort(F.collect_list(F.struct(F.col(by).alias("name"), F.bround("m", 4).alias("mean_delta"))))
+        return per.groupBy(one).agg(F.min_by(by, F.struct(-F.col("m"), by)).alias("best"), scores.alias("scores"))
+
+    engines, kinds = means("search_engine").toDF("_one", "engine", "engine_scores"), means("strategy_type").toDF("_one", "strategy_type", "type_scores")
+    others = best.groupBy(one).agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("search_keyword") != keyword, F.col("search_keyword")))), 1, 5).alias("related_keywords"))
+    return engines.join(kinds, "_one").join(others, "_one").drop("_one")
 
 
 def effective(rounds: DataFrame, least: float = 0.05, most: int = 20) -> DataFrame:
@@ -91,8 +127,11 @@ def moving_quality(runs: DataFrame, *order: str) -> DataFrame:
 
 
 def run_counters(runs: DataFrame, *order: str) -> DataFrame:
-    """(source_id, run_count, success_count, fail_count, last_status)."""
+    """(source_id, run_count, success_count, fail_count, last_status), and of runs with a column error last_error, cut at 500 characters."""
     last = F.max_by("ok", F.struct(*order))
+    if "error" in runs.columns:
+        failed = F.max_by(F.when(~F.col("ok"), F.struct(F.substring("error", 1, 500).alias("e"))), F.struct(*order))["e"]
+        return run_counters(runs.drop("error"), *order).join(runs.groupBy("source_id").agg(failed.alias("last_error")), "source_id")
     return runs.groupBy("source_id").agg(F.count("*").alias("run_count"), F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("fail_count"), F.when(last, "success").otherwise("failed").alias("last_status"))
 
 
@@ -125,18 +164,18 @@ def sections(sources: DataFrame) -> DataFrame:
     return grouped.select("name", source_type.alias("source_type"), "max_items", F.array_join("k", " OR ").alias("keyword"), time_range(F.col("hours")).alias("time_range"), "urls", "feeds")
 
 
-def crawl(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int, same_site: Column | None = None) -> DataFrame:
+def crawl(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int, same_site: bool = False) -> DataFrame:
     """(url, depth, position): pages reached from ``seeds`` (url) over ``links`` (src, dst), breadth first, each once at its least depth.
 
-    One join for each level, whose length is max_depth; ``same_site`` is a condition on src and dst. Pages are numbered by depth and
-    address, and cut at max_pages.
+    ``same_site`` follows only links whose ends have one registrable domain. One join for each level; what a level finds is stored, so
+    plans don't grow with depth. Pages are numbered by depth and address, and cut at max_pages.
     """
-    edges = links if same_site is None else links.where(same_site)
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    edges = links.where(urls.base_domain(F.col("src")) == urls.base_domain(F.col("dst"))) if same_site else links
+    front = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    seen = front
     for depth in range(1, max_depth + 1):
         found = front.join(edges, front.url == edges.src).select(F.col("dst").alias("url")).distinct()
-        front = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        front = stored(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.union(front)
     best = seen.orderBy("depth", "url").limit(max_pages)
     return best.withColumn("position", F.row_number().over(Window.orderBy("depth", "url")))

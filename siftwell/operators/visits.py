@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def totals(log: DataFrame, today: str) -> DataFrame:
@@ -40,25 +43,31 @@ def by_period(articles: DataFrame, ts: str = "publish_time") -> DataFrame:
 def rate_limited(requests: DataFrame, most: int = 60, seconds: int = 60, key: str = "ip", ts: str = "ts", order: str = "id") -> DataFrame:
     """requests with ``allowed``: windows begin at a key's first request and end when a later one comes more than ``seconds`` after.
 
-    Where a window begins depends on the one before, so a key's requests are taken in order. A silence longer than a window always ends
-    one, so requests are cut there into pieces, and only a piece is folded as a whole: what one fold holds is a burst without such a
-    silence, as pairs of time and id.
+    Where a window begins depends on the one before, so a key's requests pass by in order: one exchange, sorted, and a stream that holds
+    the window's beginning and its count. Rows without a time come first and are allowed.
     """
-    w = Window.partitionBy(key).orderBy(ts, order)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    silent = F.coalesce(at - F.lag(at).over(w) > seconds * 1_000_000, F.lit(True))
-    pieces = requests.withColumn("_at", at).withColumn("_piece", F.sum(silent.cast("int")).over(w))
-    times = F.array_sort(F.collect_list(F.struct("_at", order)))
-    state = F.aggregate(
-        times, F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast(f"array<struct<{order}:long,ok:boolean>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(a["start"].isNull() | (x["_at"] - a["start"] > seconds * 1_000_000), x["_at"]).otherwise(a["start"]).alias("start"),
-            F.when(a["start"].isNull() | (x["_at"] - a["start"] > seconds * 1_000_000), 1).otherwise(a["n"] + 1).alias("n"),
-            F.concat(a["out"], F.array(F.struct(x[order].alias(order), (F.when(a["start"].isNull() | (x["_at"] - a["start"] > seconds * 1_000_000), 1).otherwise(a["n"] + 1) <= most).alias("ok")))).alias("out"),
-        ),
-    )
-    told = pieces.groupBy(key, "_piece").agg(state["out"].alias("o")).select(F.explode("o").alias("o")).select(F.col(f"o.{order}").alias(order), F.col("o.ok").alias("allowed"))
-    return requests.join(told, order)
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    dealt = requests.select(*requests.columns, F.xxhash64(key).alias("_k"), F.coalesce(micros, F.lit(-(2**62))).alias("_at")).repartition(key).sortWithinPartitions(key, "_at", order)
+
+    def run(batches):
+        now, start, n = None, None, 0
+        for b in batches:
+            keys, at = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            allowed, i = np.ones(len(at), bool), 0
+            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+            for end in ends.tolist() if len(keys) else ():
+                if keys[i] != now:
+                    now, start, n = keys[i], None, 0
+                while i < end:
+                    if start is None or at[i] - start > seconds * 1_000_000:
+                        start, n = int(at[i]), 0
+                    stop = i + int(np.searchsorted(at[i:end], start + seconds * 1_000_000, "right"))
+                    allowed[i:stop] = (n + np.arange(1, stop - i + 1) <= most) | (at[i:stop] == -(2**62))
+                    n, i = n + stop - i, stop
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(allowed)], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def per_window(requests: DataFrame, seconds: int = 60, key: str = "ip", ts: str = "ts") -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from datetime import UTC
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import normalize_datetime
+from ..functions import text
+from ..functions.dates import normalize_datetime, utc
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -73,7 +75,8 @@ def feed_items(xml: str | None) -> list[tuple[str | None, str | None, str | None
             when = t.get("pubDate") or t.get("published") or t.get("updated") or t.get("date")
             if when and not re.match(r"\d{4}-", when):
                 try:
-                    when = parsedate_to_datetime(when).strftime("%Y-%m-%dT%H:%M:%S")
+                    at = parsedate_to_datetime(when)
+                    when = (at.astimezone(UTC) if at.tzinfo else at).strftime("%Y-%m-%dT%H:%M:%S")
                 except ValueError:
                     when = None
             out.append((t.get("title"), t.get("link"), when))
@@ -91,16 +94,21 @@ def read_feeds(feeds: DataFrame) -> DataFrame:
     return feeds.select("feed_url", "xml").mapInPandas(parse, FEED)
 
 
+@F.pandas_udf(T.StringType())
+def joined_url(base: pd.Series, link: pd.Series) -> pd.Series:
+    """An address as it is meant on a page of another address."""
+    return pd.Series([urljoin(b or "", x) for b, x in zip(base, link, strict=True)], dtype=object)
+
+
 def fresh_entries(entries: DataFrame, now: str, hours: int = 24, most: int = 10) -> DataFrame:
-    """Entries with a title and an absolute link, not older than ``hours`` and not over an hour ahead, newest first, ``most`` a feed.
+    """Entries with a link to a page (relative ones belong to the feed's address), not older than ``hours`` and not over an hour ahead,
+    newest first, ``most`` a feed. Times are UTC, ``now`` too; entries without a title stay, with an empty one.
 
     Undated entries count as new, but at most a fifth of ``most`` of them (at least one) stay.
     """
-    ts = F.lit(now).cast("timestamp")
-    dated = entries.withColumn("_t", normalize_datetime(F.col("published")).cast("timestamp"))
-    origin = F.regexp_extract("feed_url", r"^(https?://[^/]+)", 1)
-    link = F.when(F.col("link").startswith("/"), F.concat(origin, F.col("link"))).otherwise(F.col("link"))
-    good = dated.withColumn("url", link).where((F.coalesce("title", F.lit("")) != "") & F.col("url").rlike("^https?://"))
+    ts = F.to_timestamp(F.lit(f"{now}+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
+    dated = entries.withColumn("_t", utc(F.col("published"))).withColumn("title", F.coalesce("title", F.lit("")))
+    good = dated.where(F.coalesce("link", F.lit("")) != "").withColumn("url", joined_url(F.col("feed_url"), F.col("link"))).where(F.col("url").rlike("^https?://"))
     good = good.where(F.col("_t").isNull() | (F.col("_t") >= ts - F.expr(f"interval {hours} hours")) & (F.col("_t") <= ts + F.expr("interval 1 hour")))
     n = F.row_number().over(Window.partitionBy("feed_url", F.col("_t").isNull()).orderBy(F.desc("_t"), "position"))
     kept = good.withColumn("_n", n).where(F.col("_t").isNotNull() | (F.col("_n") <= max(1, most // 5)))
@@ -160,6 +168,11 @@ class _Head(HTMLParser):
                     return found[n]
         return None
 
+    def dated(self):
+        """A date that the text tells near its beginning."""
+        body = "".join(self.text)[:5000]
+        return next((m[1] for m in (re.search(x, body, re.I) for x in TEXT_DATES) if m), None)
+
     def article(self):
         """The first JSON-LD block about an article; none if a block before it is broken."""
         try:
@@ -175,32 +188,124 @@ class _Head(HTMLParser):
         return {}
 
 
+#: Where each field is looked for, in order: meta tags by name, or what else a page holds.
+SOURCES = {
+    "title": (("og:title", "twitter:title"), lambda p, ld: (p.title or "").strip()),
+    "description": (("og:description", "twitter:description", "description"), None),
+    "keywords": (("keywords",), None),
+    "author": (("author", "article:author", "twitter:creator"), lambda p, ld: ld.get("author", {}).get("name") if isinstance(ld.get("author"), dict) else ld.get("author") and str(ld["author"])),
+    "published": (PUBLISHED_NAMES, lambda p, ld: p.time or p.dated()),
+    "language": ((), lambda p, ld: p.lang),
+    "canonical": ((), lambda p, ld: p.canonical),
+}
+
+
 def metadata_of(html: str | None, url: str | None = None) -> tuple:
-    p = _Head()
-    p.feed(html or "")
-    ld = p.article()
-    author = p.meta("author", "article:author", "twitter:creator")
-    if not author and ld.get("author"):
-        author = ld["author"].get("name") if isinstance(ld["author"], dict) else str(ld["author"])
-    published = p.meta(*PUBLISHED_NAMES) or p.time
-    if not published:
-        body = "".join(p.text)[:5000]
-        published = next((m[1] for m in (re.search(x, body, re.I) for x in TEXT_DATES) if m), None)
-    title = p.meta("og:title", "twitter:title") or (p.title or "").strip() or None
-    canonical = urljoin(url or "", p.canonical) if p.canonical else None
-    return title, p.meta("og:description", "twitter:description", "description"), p.meta("keywords"), author, published or ld.get("datePublished"), p.lang, canonical
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in META]))
+    """The fields of META by SOURCES, and what JSON-LD says of the date, for pages whose own can't be read."""
+    page = _Head()
+    page.feed(html or "")
+    ld = page.article()
+    found = {}
+    for field, (tags, other) in SOURCES.items():
+        value = next((v for v in map(page.meta, tags) if v), None)
+        found[field] = value or (other(page, ld) if other else None) or None
+    if found["canonical"]:
+        found["canonical"] = urljoin(url or "", found["canonical"])
+    return (*(found[f] for f in META), ld.get("datePublished"))
+
+
+_FIELDS = (*META, "ld_published")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in _FIELDS]))
 def _metadata(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([metadata_of(h, u) for h, u in zip(html, url, strict=True)], columns=list(META), dtype=object)
+    return pd.DataFrame([metadata_of(h, u) for h, u in zip(html, url, strict=True)], columns=list(_FIELDS), dtype=object)
 
 
 def page_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """pages with title, description, keywords (array), author, published (ISO or null), language and canonical."""
     out = pages.withColumn("_m", _metadata(F.col(html), F.col(url)))
     keywords = F.filter(F.transform(F.split(F.coalesce("_m.keywords", F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
-    return out.select(*pages.columns, *(F.col(f"_m.{c}").alias(c) for c in ("title", "description", "author", "language", "canonical")), keywords.alias("keywords"), normalize_datetime(F.col("_m.published")).alias("published"))
+    return out.select(*pages.columns, *(F.col(f"_m.{c}").alias(c) for c in ("title", "description", "author", "language", "canonical")), keywords.alias("keywords"), F.coalesce(normalize_datetime(F.col("_m.published")), F.col("_m.ld_published")).alias("published"))
+
+
+class _Markdown(HTMLParser):
+    """Markdown of a page's body: headings, paragraphs, list items, links, emphasis and code; nothing of scripts, styles and heads."""
+
+    BLOCKS = frozenset("p div section article main header footer nav aside ul ol table tr blockquote figure form".split())
+    HIDDEN = frozenset("script style noscript template head svg".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.links: list[tuple[int, str]] = []
+        self.hidden = self.pre = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif tag == "pre":
+            self.pre += 1
+            self.out.append("\n\n```\n")
+        elif tag[0] == "h" and tag[1:].isdigit():
+            self.out.append("\n\n" + "#" * int(tag[1:]) + " ")
+        elif tag == "li":
+            self.out.append("\n- ")
+        elif tag == "br":
+            self.out.append("\n")
+        elif tag == "a":
+            self.links.append((len(self.out), dict(attrs).get("href") or ""))
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in self.BLOCKS:
+            self.out.append("\n\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "pre" and self.pre:
+            self.pre -= 1
+            self.out.append("\n```\n\n")
+        elif tag == "a" and self.links:
+            at, href = self.links.pop()
+            text = "".join(self.out[at:]).strip()
+            self.out[at:] = [f"[{text}]({href})" if text and href else text]
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in self.BLOCKS or tag[0] == "h" and tag[1:].isdigit():
+            self.out.append("\n\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+
+
+def markdown_of(html: str | None) -> str:
+    p = _Markdown()
+    p.feed(html or "")
+    p.close()
+    return re.sub(r"\n[ \t]*\n\s*", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(p.out))).strip()
+
+
+@F.pandas_udf(T.StringType())
+def markdown(html: pd.Series) -> pd.Series:
+    return html.map(markdown_of)
+
+
+def crawl_results(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """pages as results of a crawl: their metadata, raw_markdown, the cleaned markdown (or the raw one, where cleaning leaves too little),
+    word_count, success (there is text) and error."""
+    raw = page_metadata(pages, html, url).withColumn("raw_markdown", markdown(F.col(html)))
+    out = raw.withColumn("markdown", text.fit_or_raw(text.drop_boilerplate(text.drop_navigation(F.col("raw_markdown"))), F.col("raw_markdown")))
+    return out.withColumn("word_count", text.count_words(F.col("markdown"))).withColumn("success", F.length("markdown") > 0).withColumn("error", F.when(F.length("markdown") == 0, "no content"))
+
+
+def sections_of(config: Column, default: list[tuple[str, str, str]]) -> Column:
+    """Sections (name, source_type, keyword) of a stored JSON list; the default ones where it is null, broken or empty."""
+    found = F.from_json(config, "array<struct<name:string,source_type:string,keyword:string>>")
+    usual = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("source_type"), F.lit(k).alias("keyword")) for n, s, k in default])
+    good = F.filter(found, lambda x: x["name"].isNotNull())
+    return F.when(F.coalesce(F.size(good), F.lit(0)) > 0, good).otherwise(usual)
 
 
 # Result pages of search engines
@@ -238,5 +343,5 @@ def merged_results(results: DataFrame, most: int = 10) -> DataFrame:
 
     order = F.array_position(F.array(*map(F.lit, ENGINES)), F.col("engine"))
     once = keep_first(results, F.struct("query", "url"), order, F.col("rank"))
-    w = Window.partitionBy("query").orderBy(order, "rank")
+    w = Window.partitionBy("query").orderBy(order, "rank", "url")
     return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)

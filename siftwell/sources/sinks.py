@@ -28,7 +28,23 @@ def insert_fingerprints(new: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = spark.createDataFrame([], new.schema)
-    append_fingerprints(old.join(F.broadcast(new.select("digest_date").distinct().limit(1000)), "digest_date", "left_semi"), new).write.mode("append").partitionBy("digest_date").parquet(path)
+    append_fingerprints(old.join(new.select("digest_date").distinct(), "digest_date", "left_semi"), new).write.mode("append").partitionBy("digest_date").parquet(path)
+
+
+def append_rounds(rounds: DataFrame, path: str) -> None:
+    """Append optimisation rounds, partitioned by the month they were made in, so that old months can be dropped."""
+    rounds.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
+
+
+def write_markdown(documents: DataFrame, path: str) -> None:
+    """One Markdown text a line group, in files by task: documents (id, markdown)."""
+    documents.select(F.col("id").alias("task_id"), F.col("markdown").alias("value")).repartition("task_id").write.mode("overwrite").partitionBy("task_id").text(path)
+
+
+def to_daily_logs(tasks: DataFrame, converted: DataFrame) -> DataFrame:
+    """Drafts of daily logs of finished digests that have none yet (``converted`` holds task_id)."""
+    done = tasks.where((F.col("status") == 3) & (F.col("task_type") == "digest")).join(converted, tasks.id == converted.task_id, "left_anti")
+    return done.select(F.col("id").alias("task_id"), F.col("digest_date").alias("log_date"), F.col("ai_title").alias("title"), F.col("ai_full_content").alias("content"), F.lit(False).alias("is_public"))
 
 
 def to_articles(tasks: DataFrame, converted: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +35,50 @@ def unseen_pages(pages: DataFrame, keep: str = "3 days", ts: str = "crawled_at")
     return with_event_time(pages.withColumn("_u", urls.normalize_url(F.col("url"))), ts, keep).dropDuplicatesWithinWatermark(["_u"]).drop("_u")
 
 
+def unseen_across_days(pages: DataFrame, history: DataFrame, keep: str = "3 days", ts: str = "crawled_at") -> DataFrame:
+    """unseen_pages that a stored history (url) doesn't have either; the history is read anew for every micro-batch."""
+    known = history.select(urls.normalize_url(F.col("url")).alias("_u")).distinct().withColumn("_known", F.lit(True))
+    new = unseen_pages(pages, keep, ts).withColumn("_u", urls.normalize_url(F.col("url")))
+    return new.join(known, "_u", "left").where(F.col("_known").isNull()).drop("_u", "_known")
+
+
+def poll_feeds(spark, folder: str, now: str, hours: int = 24, most: int = 10, keep: str = "3 days") -> DataFrame:
+    """Fresh entries of feeds that a fetcher drops as JSON lines (feed_url, xml) into a folder; each address once within ``keep``.
+
+    Start it with trigger(availableNow=True) to poll: every file is read once, and the query's checkpoint tells which ones were. Caps by
+    feed need all of a feed's entries, which one file holds, so they are made where the file is parsed.
+    """
+    from ..sources.readers import FEED, feed_items, joined_url
+    from ..functions.dates import utc
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(u, i, *e) for u, x in zip(b["feed_url"], b["xml"], strict=True) for i, e in enumerate(feed_items(x))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEED.split(", ")])
+
+    at = F.to_timestamp(F.lit(f"{now}+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
+    entries = spark.readStream.schema("feed_url string, xml string").json(folder).mapInPandas(parse, FEED)
+    timed = entries.withColumn("published", F.coalesce(utc(F.col("published")), at)).withColumn("url", joined_url(F.col("feed_url"), F.coalesce("link", F.lit(""))))
+    fresh = timed.where(F.col("url").rlike("^https?://") & (F.coalesce("link", F.lit("")) != "") & F.col("published").between(at - F.expr(f"interval {hours} hours"), at + F.expr("interval 1 hour")) & (F.col("position") < most))
+    return unseen_pages(fresh.select("feed_url", "url", F.coalesce("title", F.lit("")).alias("title"), "published"), keep, "published")
+
+
+def moving_quality(runs: DataFrame) -> DataFrame:
+    """(source_id, quality, runs) after each micro-batch of runs (source_id, visit_time, score): state is one number and a count a source.
+
+    The first score counts as it is, later ones by three tenths; each step is rounded to two decimals, half up. A value of 0 is unset.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, n = state.get if state.exists else (0.0, 0)
+        for s in pd.concat(list(batches)).sort_values("visit_time")["score"].tolist():
+            value, n = floor((s if value == 0 else 0.7 * value + 0.3 * s) * 100 + 0.5) / 100, n + 1
+        state.update((value, n))
+        yield pd.DataFrame({"source_id": key[0], "quality": [value], "runs": [n]})
+
+    return runs.groupBy("source_id").applyInPandasWithState(fold, "source_id long, quality double, runs int", "quality double, runs int", "update", GroupStateTimeout.NoTimeout)
+
+
 def visitor_state(log: DataFrame) -> DataFrame:
     """Running first and last view and number of views of each article and visitor; for update mode."""
     return log.groupBy("article_id", "visitor_id").agg(F.min("visit_time").alias("first_view"), F.max("visit_time").alias("last_view"), F.count("*").alias("views"))
