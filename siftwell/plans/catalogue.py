@@ -9,6 +9,7 @@ from ..functions import dates, keywords, pages, quality, similarity, text, urls
 from ..functions import values as V
 from ..operators import articles, coverage, dedup, digest, lists, strategy, tasks, trees, visits
 from ..sources.readers import table
+from ..sources.stored import spread, stored
 from . import views as W
 
 #: The year, the day and the time that count as now.
@@ -113,7 +114,9 @@ def page_title_lang(spark, d):
 
 @query
 def page_link_density(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
+    items = F.aggregate(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">([^<]*)</a>'), F.lit(2)), F.lit(""), lambda a, x: F.concat(a, F.lit("["), x, F.lit("](u) ")))
+    md = F.concat(items, F.substring("content", 1, 300))
+    return W.pages(spark, d).select("page_id", F.round(text.link_text_ratio(md), 6).alias("ratio"))
 
 
 # Pages: types and quality
@@ -148,24 +151,52 @@ def freshness(spark, d):
     return W.pages(spark, d).select("page_id", quality.freshness_bonus(u, F.col("content"), YEAR).cast("long").alias("bonus"))
 
 
+def _cascade_pages(spark, d):
+    p = W.pages(spark, d)
+    content = F.when(F.col("page_id") % 11 == 0, F.substring("content", 1, 40)).when(F.col("page_id") % 7 == 0, F.concat("content", F.lit(" 楼主"))).otherwise(F.col("content"))
+    u = F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("/forum-1"))).when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/login"))).otherwise(F.col("url"))
+    return p.select((F.col("page_id") % 9).alias("task_id"), F.col("page_id").alias("position"), u.alias("url"), "title", content.alias("content"), (F.col("page_id") % 13 != 0).alias("success"))
+
+
+@query
+def filter_cascade_digest(spark, d):
+    return dedup.cascade(_cascade_pages(spark, d), "digest", YEAR).select("task_id", "position", "reason")
+
+
 @query
 def filter_cascade_stats(spark, d):
-    p = _scored(spark, d).join(W.pages(spark, d).select("page_id", F.length("content").alias("chars")), "page_id")
-    first = dedup.first_by_url(table(spark, d, "pages").select("page_id", "url"), F.col("page_id")).select("page_id", F.lit(True).alias("first"))
-    reason = F.when(F.col("chars") < 400, "too_short").when(F.col("first").isNull(), "duplicate").when(F.col("score") < 40, "low_quality").otherwise("passed")
-    return p.join(first, "page_id", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return dedup.cascade_counts(dedup.cascade(_cascade_pages(spark, d), "digest", YEAR), "task_id")
+
+
+@query
+def filter_cascade(spark, d):
+    return dedup.cascade(_cascade_pages(spark, d), "keyword", YEAR).select("task_id", "position", "reason")
+
+
+@query
+def content_verdict(spark, d):
+    e = quality.evaluate(W.pages(spark, d), YEAR)
+    return e.select("page_id", F.col("authority").cast("int").alias("authority"), "level", F.round("quality", 1).alias("quality"), F.round("final_score", 1).alias("final_score"), "verdict")
+
+
+@query
+def passing_pages(spark, d):
+    good, other = quality.split_by_verdict(quality.evaluate(W.pages(spark, d), YEAR))
+    count = lambda x, name: x.groupBy("lang").agg(F.count("*").alias(name))
+    return count(good, "passed").join(count(other, "rejected"), "lang", "full").select("lang", F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 
 # Duplicates
 
 
 def _prints(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), similarity.simhash(similarity.preview(F.col("text"))).alias("h"))
+    part = spread(_docs(spark, d).select(F.col("doc_id").alias("id"), similarity.preview(F.col("text")).alias("t")))
+    return stored(part.select("id", similarity.simhash(F.col("t")).alias("h")))
 
 
 @query
 def simhash(spark, d):
-    return _docs(spark, d).select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
+    return spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
 
 
 @query
@@ -173,21 +204,43 @@ def simhash_pairs_t3(spark, d):
     return dedup.near_pairs(_prints(spark, d).where("h <> 0"), 3).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
+@query
+def simhash_pairs_t5(spark, d):
+    return dedup.near_pairs(_prints(spark, d).where("h <> 0"), 5).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
 @query
 def simhash_pairs_t12(spark, d):
     return dedup.near_pairs(_prints(spark, d).where("h <> 0"), 12).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
+@query
+def simhash_classes(spark, d):
+    return dedup.print_classes(_prints(spark, d))
+
+
+def _judged(spark, d):
+    """Documents that have labels, as what was collected before, and all others."""
+    docs = _prints(spark, d).withColumn("url", F.concat(F.lit("http://h/"), "id"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(labels, "id", "left_anti"), docs.join(labels, "id", "left_semi")
+
+
 @query
 def history_anti(spark, d):
-    docs = _docs(spark, d).select("doc_id", F.concat(F.lit("http://h/"), F.col("source")).alias("url"), similarity.simhash(similarity.preview(F.col("text"))).alias("h"))
-    old = docs.where("doc_id % 2 = 0").withColumn("url", F.concat("url", F.lit("/old")))
-    return dedup.not_in_history(docs.where("doc_id % 2 = 1"), old, 3).select("doc_id")
+    new, old = _judged(spark, d)
+    return dedup.not_in_history(new, old).select("id")
+
+
+@query
+def history_semi(spark, d):
+    new, old = _judged(spark, d)
+    return dedup.close_prints(old.where("h <> 0"), new.where("h <> 0"), dedup.WITHIN).select("h").distinct().join(new, "h").select("id")
 
 
 @query
 def exact_dup_groups(spark, d):
-    return _docs(spark, d).groupBy(_md5(F.col("text")).alias("text_md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return lists.same_content(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "text")
 
 
 @query
@@ -196,6 +249,12 @@ def greedy_dedup(spark, d):
     return dedup.greedy(df, "task_id", "doc_id").select("task_id", "doc_id", "reason")
 
 
+@query
+def digest_sections_dedup(spark, d):
+    p = W.pages(spark, d).select((F.col("page_id") % 5).alias("task_id"), "lang", F.col("page_id").alias("position"), "url", "title", "content", F.lit(True).alias("success"))
+    return dedup.across_sections(p, section="lang").select("task_id", "lang", "position")
+
+
 @query
 def title_pairs(spark, d):
     return dedup.similar_titles(W.pages(spark, d).select(F.col("page_id").alias("id"), "title")).select("a", "b", F.round("similarity", 6).alias("similarity"))
@@ -280,14 +339,12 @@ def article_enriched(spark, d):
 
 @query
 def dashboard_totals(spark, d):
-    a = W.articles(spark, d).agg(F.count("*").alias("articles"))
-    return a.crossJoin(table(spark, d, "part").agg(F.count("*").alias("projects"))).crossJoin(visits.site(W.visits(spark, d)))  # three single rows
+    return articles.dashboard(W.articles(spark, d), table(spark, d, "part"), W.visits(spark, d))
 
 
 @query
 def status_distribution(spark, d):
-    c = W.categories(spark, d).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    return W.articles(spark, d).join(c, "category_id").groupBy("category", F.when(F.col("status") == 1, "published").when(F.col("status") == 2, "draft").otherwise("recycled").alias("status_name")).agg(F.count("*").alias("n"))
+    return articles.status_distribution(W.articles(spark, d), W.categories(spark, d))
 
 
 @query
@@ -373,7 +430,7 @@ def stale_tasks(spark, d):
 @query
 def crawl_summary(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.count_if(F.col("l_returnflag") == "N").alias("ok"), F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0)).cast("long").alias("ms"), F.sum("l_quantity").cast("long").alias("words"))
+    return tasks.crawl_summary(li.select(F.col("l_orderkey").alias("task_id"), (F.col("l_returnflag") == "N").alias("success"), F.floor("l_extendedprice").alias("crawl_ms"), F.col("l_quantity").alias("word_count")))
 
 
 def _effect(df):
@@ -388,19 +445,21 @@ def engine_effectiveness(spark, d):
 
 @query
 def strategy_effectiveness(spark, d):
-    e = tasks.effectiveness(W.rounds(spark, d), "strategy_type")
+    e = tasks.effectiveness(W.rounds(spark, d), "strategy_type", gains_only=True)
     return e.select(*_effect(e))
 
 
 @query
 def kb_stats(spark, d):
     s = tasks.knowledge_stats(W.rounds(spark, d))
-    return s.select("tasks", "rounds", "improved", F.round("avg_delta", 6).alias("avg_delta"), F.round(F.col("improved") / 1.0, 2).alias("improved_double"))
+    return s.select("tasks", "rounds", "improved", F.round("avg_delta", 6).alias("avg_delta"), "improvement_rate")
 
 
 @query
 def strategy_hint(spark, d):
-    return tasks.hint(W.rounds(spark, d), ["part 1", "part 2"], "week").select("engine", F.round("mean_delta", 6).alias("mean_delta"), "best_type")
+    h = tasks.hint(W.rounds(spark, d), "part 1", "week")
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), F.format_number(x["mean_delta"], 4))), ",").alias(c)
+    return h.select("engine", flat("engine_scores"), "strategy_type", flat("type_scores"), F.array_join("related_keywords", ",").alias("related_keywords"))
 
 
 @query
@@ -471,8 +530,9 @@ def language_mix(spark, d):
 
 @query
 def coverage_overall(spark, d):
-    e = coverage.evaluate(_results(spark, d), "g")
-    return e.select("g", "n", "sources", F.round("diversity", 4).alias("diversity"), F.round("angle", 2).alias("angle"), F.round("perspective", 2).alias("perspective"), "weaknesses")
+    e = coverage.direction_scores(coverage.evaluate(_results(spark, d), "g"))
+    wide = [F.round(c, 4).alias(c) for c in ("diversity", "language", "depth", "temporal", "overall", "depth_score", "breadth_score")]
+    return e.select("g", "n", "sources", F.round("angle", 2).alias("angle"), F.round("perspective", 2).alias("perspective"), *wide, "weaknesses", "suggestions")
 
 
 # Digests
@@ -496,8 +556,19 @@ def url_repair(spark, d):
 
 @query
 def digest_pack(spark, d):
-    p = W.pages(spark, d).select((F.col("page_id") % 7).alias("task_id"), "page_id", "content")
-    return digest.pack(p, 20_000).select("task_id", "page_id", F.coalesce(F.length("packed"), F.lit(0)).cast("long").alias("packed_chars"))
+    p = W.pages(spark, d).select((F.col("page_id") % 7).alias("task_id"), "page_id", F.regexp_replace("content", " ", "").alias("content"))
+    return digest.pack(p, 20_000, 4_000).select("task_id", "page_id", F.coalesce(F.length("packed"), F.lit(0)).cast("long").alias("packed_chars"))
+
+
+@query
+def digest_prompt(spark, d):
+    p = W.pages(spark, d)
+    names = F.array(*map(F.lit, ["hot_trend", "paper", "", "other"]))
+    rows = p.select(
+        (F.col("page_id") % 3).alias("task_id"), "page_id", F.element_at(names, (F.col("page_id") % 4 + 1).cast("int")).alias("category"), urls.authority_level(F.col("url")).alias("source_level"),
+        "title", F.when(F.col("page_id") % 2 == 0, F.substring("content", 1, 80)).alias("summary"), "content",
+    )
+    return digest.pack_digest(rows, 40_000, 2_000).select("task_id", "category", "place", "page_id", "mode", F.length("packed").cast("long").alias("packed_chars"))
 
 
 # Lists
@@ -513,7 +584,7 @@ def url_window(spark, d):
 @query
 def usable_results(spark, d):
     r = W.pages(spark, d).select(F.col("page_id").alias("position"), F.regexp_replace("url", "[?#].*$", "").alias("url"), (F.col("page_id") % 6 != 0).alias("success"), "content")
-    seen = table(spark, d, "pages").where("page_id % 9 = 1").select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct()
+    seen = W.pages(spark, d).where("lang = 'es'").select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct()
     return lists.usable_results(r, seen, 300, 50).select("position", "url")
 
 
@@ -565,4 +636,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdict_by_lang(spark, sf_dir)
 
 
-from .oracles import ORACLE_SQL  # noqa: E402, F401
+from . import entities  # noqa: E402
+from .oracles import ORACLE_SQL as _OWN_SQL  # noqa: E402
+
+QUERIES |= entities.QUERIES
+ORACLE_SQL = _OWN_SQL | entities.ORACLE_SQL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..functions import values as V
-from .views import sql
+from .views import SQL, sql
 
 YEAR, TODAY, NOW = 2025, "2024-01-15", "1998-01-01 00:00:00"
 
@@ -90,12 +90,13 @@ def fresh(u: str, c: str) -> str:
     return f"CASE WHEN {iu} IS NOT NULL THEN {points(f'({YEAR} - {iu})')} WHEN {dated} IS NOT NULL THEN {points(f'({YEAR} - {dated})')} ELSE 3 END"
 
 
-def quality(t: str, c: str, u: str) -> str:
+def quality(t: str, c: str, u: str, digest: bool = False) -> str:
     n = words_of(c)
     length = f"CASE WHEN {n} >= 2000 THEN 25.0 WHEN {n} >= 1000 THEN 20.0 WHEN {n} >= 500 THEN 15.0 WHEN {n} >= 200 THEN 10.0 ELSE {n} / 20.0 END"
     structure = " + ".join(f"CASE WHEN {matches(c, p)} THEN {k} ELSE 0 END" for p, k in ((r"#{2,4}\s+\S", 8), ("```", 8), (r"(?m)^\s*[-*]\s+\S", 4), (r"(?m)^\s*[-*]\s+.*\n\s{2,}[-*]\s+", 3), (r"\|[\s\-:]+\|", 2)))
     r = f"(CASE WHEN length({c}) > 0 THEN list_sum(list_transform(list_concat(['' ], regexp_extract_all({c}, '(?s)```.*?```')), lambda x: length(x))) / length({c}) ELSE 0 END)"
     code = f"CASE WHEN {r} BETWEEN 0.05 AND 0.5 THEN 25 WHEN {r} > 0.5 THEN greatest(5, CAST(trunc(25 - ({r} - 0.5) * 30) AS INTEGER)) WHEN {r} > 0.01 THEN greatest(5, CAST(trunc({r} / 0.05 * 25) AS INTEGER)) ELSE 5 END"
+    code = f"least(25, CAST(floor({authority(u)} / 4) AS INTEGER))" if digest else code
     ads = count_of(c, T.alternation(V.ADS))
     bait = f"least({count_of(f'lower({t})', T.alternation(V.CLICKBAIT))} * 15, 50)"
     return f"greatest(0.0, least(100.0, ({length}) + ({structure}) + ({code}) + 25 * (1 - least({ads} / 5.0, 1.0)) - {bait} - least({ads} * 10, 40) + ({fresh(u, c)})))"
@@ -114,7 +115,6 @@ def prints(text: str, name: str = "prints", rows: str = "documents") -> str:
 
 
 PREVIEW = "CASE WHEN length(text) > 200 THEN substr(text, 201, 800) ELSE substr(text, 1, 800) END"
-BAND = any_of(f"((x.h >> {16 * i}) & 65535) = ((y.h >> {16 * i}) & 65535)" for i in range(4))
 U_EXCL = "url || CASE WHEN page_id % 5 = 0 THEN '/login' ELSE '' END"
 U_AUTH = "(CASE page_id % 4 WHEN 0 THEN 'https://docs.python.org/' WHEN 1 THEN 'https://me.github.io/' WHEN 2 THEN 'https://www.youtube.com/' ELSE '' END || url)"
 U_NAME = "CASE WHEN page_id % 3 = 0 THEN 'https://x.github.com/a' ELSE url END"
@@ -136,7 +136,8 @@ def points(rules) -> str:
     return " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in rules)
 
 
-def classify() -> str:
+def page_kind() -> tuple[str, str, str]:
+    """Point columns, kind and confidence of pages (u, title, c)."""
     c, u, t = "c", "lower(u)", "lower(title)"
     lines = f"list_filter(string_split({c}, chr(10)), lambda x: trim(x) <> '')"
     path = f"regexp_extract({u}, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -157,12 +158,24 @@ def classify() -> str:
     cols = ", ".join(f"{v} AS {k}" for k, v in s.items())
     kind = "CASE WHEN c = '' THEN 'unknown' " + " ".join(f"WHEN {k} >= 5 THEN '{k}'" for k in s) + " ELSE 'unknown' END"
     conf = "CASE WHEN c = '' THEN 0.0 " + " ".join(f"WHEN {k} >= 5 THEN least({k} / 8, 0.95)" for k in s) + " ELSE 0.0 END"
+    return cols, kind, conf
+
+
+def classify() -> str:
+    cols, kind, conf = page_kind()
     return sql("pages", f", p AS (SELECT page_id, title, CASE WHEN page_id % 3 = 0 THEN url || '/forum-1' ELSE url END AS u, content || CASE WHEN page_id % 3 = 0 THEN ' 楼主' ELSE '' END AS c FROM v_pages), s AS (SELECT *, {cols} FROM p) SELECT page_id, {kind} AS page_type, round(CAST({conf} AS DOUBLE), 4) AS confidence FROM s")
 
 
 SCORED = f", scored AS (SELECT page_id, lang, url, length(content) AS chars, round(CAST({quality('title', 'content', 'url')} AS DOUBLE), 4) AS score, {matches('lower(content)', T.alternation(V.PAYWALL))} AS paywall FROM v_pages) "
+EVALUATED = sql("pages", f""", a AS (SELECT page_id, lang, {authority('url')} AS authority, CASE {authority('url')} WHEN 95 THEN 'official' WHEN 80 THEN 'high' WHEN 5 THEN 'spam' ELSE 'medium' END AS level,
+    round_even(CAST({quality('title', 'content', 'url')} AS DOUBLE), 1) AS quality FROM v_pages), e AS (SELECT *, round_even(0.4::DOUBLE * authority + 0.6::DOUBLE * quality, 1) AS final_score,
+    CASE WHEN level = 'spam' THEN 'reject' WHEN 0.4::DOUBLE * authority + 0.6::DOUBLE * quality >= 65 THEN 'pass' WHEN 0.4::DOUBLE * authority + 0.6::DOUBLE * quality >= 45 THEN 'review' ELSE 'reject' END AS verdict FROM a) """)
+CASCADE = sql("pages", f""", p AS (SELECT page_id % 9 AS task_id, page_id AS position, title, page_id % 13 <> 0 AS success, CASE WHEN page_id % 7 = 0 THEN url || '/forum-1' WHEN page_id % 5 = 0 THEN url || '/login' ELSE url END AS u,
+    CASE WHEN page_id % 11 = 0 THEN substr(content, 1, 40) WHEN page_id % 7 = 0 THEN content || ' 楼主' ELSE content END AS c FROM v_pages), pts AS (SELECT *, {page_kind()[0]} FROM p), k AS (SELECT *, {page_kind()[1]} AS kind FROM pts),
+    q AS (SELECT *, {authority('u')} AS a, CAST({quality('title', 'c', 'u', True)} AS DOUBLE) AS q FROM k), judged AS (SELECT task_id, position, success, CASE WHEN length(c) < 50 THEN 'too_short' WHEN kind <> 'unknown' THEN 'non_article'
+    WHEN a = 5 OR (round_even(0.55::DOUBLE * a + 0.45::DOUBLE * q, 1) < 35 AND a <> 95) THEN 'low_quality' END AS reason FROM q) """)
 VERDICT = "CASE WHEN score >= 70 AND NOT paywall THEN 'keep' WHEN score >= 50 OR (paywall AND score >= 60) THEN 'review' ELSE 'filter' END"
-PAIRS = ", a AS (SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.h, y.h)) AS distance FROM prints x JOIN prints y ON x.doc_id < y.doc_id AND x.h <> 0 AND y.h <> 0 AND bit_count(xor(x.h, y.h)) <= {t} AND {band}) SELECT a, b, CAST(distance AS BIGINT) AS distance FROM a"
+PAIRS = ", k AS (SELECT h, min(doc_id) AS k FROM prints WHERE h <> 0 GROUP BY 1) SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.h, y.h)) AS BIGINT) AS distance FROM k x JOIN k y ON x.k < y.k AND bit_count(xor(x.h, y.h)) <= {t}"
 EFFECT = "SELECT {by}, count(*) AS rounds, round(avg(score_delta), 6) AS avg_delta, round(avg(overall_score), 6) AS avg_score, count(*) FILTER (WHERE score_delta > 0) AS improved, round(max(score_delta), 6) AS max_delta FROM v_rounds WHERE round_num > 1 GROUP BY 1"
 OK_RUNS = ", runs AS (SELECT visitor_id AS source_id, visit_time, event_id, value AS score, event_type <> 'error' AS ok FROM v_visits) "
 TEXT_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')"
@@ -187,16 +200,24 @@ ORACLE_SQL: dict[str, str] = {
     "boilerplate_filter": f"WITH t AS (SELECT doc_id, array_to_string(list_filter(string_split('Subscribe to our newsletter' || chr(10) || text || chr(10) || '版权声明：本文' || chr(10) || 'end', chr(10)), lambda x: NOT {matches('x', BOILER)}), chr(10)) AS k FROM documents) SELECT doc_id, CAST(length(k) AS BIGINT) AS kept_chars, md5(k) AS kept_md5 FROM t",
     "keyword_exclusion": f"SELECT doc_id, {matches('lower(text)', 'the and|von der|que de')} AS excluded FROM documents",
     "page_title_lang": sql("pages", "SELECT page_id, title, lang, CAST(length(content) AS BIGINT) AS content_chars FROM v_pages"),
-    "page_link_density": f"SELECT page_id, CAST({count_of('html', '<a ')} AS BIGINT) AS links, CAST({count_of('html', '<p>')} AS BIGINT) AS paragraphs FROM pages",
+    "page_link_density": sql("pages", r""", m AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2), lambda x: '[' || x || '](u) '), '') || substr(content, 1, 300) AS md FROM v_pages),
+        s AS (SELECT page_id, list_sum(list_concat([0], list_transform(regexp_extract_all(md, '\[([^\]]*)\]\([^)]+\)', 1), lambda x: length(x)))) AS n, length(regexp_replace(regexp_replace(md, '\[([^\]]*)\]\([^)]+\)', '\1', 'g'), '[#*>\-\[\]\(\)!`|~\s]', '', 'g')) AS v FROM m)
+        SELECT page_id, round(CASE WHEN v > 0 THEN n / v ELSE 0.0 END, 6) AS ratio FROM s"""),
     "page_classify": classify(),
     "quality_score": sql("pages", SCORED + f"SELECT page_id, score, paywall, {VERDICT} AS recommendation FROM scored"),
     "quality_verdict_by_lang": sql("pages", SCORED + f"SELECT lang, {VERDICT} AS verdict, count(*) AS n, round(avg(score), 4) AS mean_score FROM scored GROUP BY 1, 2"),
     "freshness": sql("pages", ", p AS (SELECT page_id, content, url || CASE page_id % 3 WHEN 0 THEN '/2024/' WHEN 1 THEN '/2019/' ELSE '' END AS u FROM v_pages) " + f"SELECT page_id, CAST({fresh('u', 'content')} AS BIGINT) AS bonus FROM p"),
-    "filter_cascade_stats": sql("pages", SCORED + f", k AS (SELECT *, row_number() OVER (PARTITION BY {normalize('url')} ORDER BY page_id) AS n FROM scored) SELECT CASE WHEN chars < 400 THEN 'too_short' WHEN n > 1 THEN 'duplicate' WHEN score < 40 THEN 'low_quality' ELSE 'passed' END AS reason, count(*) AS n FROM k GROUP BY 1"),
+    "filter_cascade_digest": CASCADE + "SELECT task_id, position, CASE WHEN success THEN reason END AS reason FROM judged",
+    "filter_cascade_stats": CASCADE + "SELECT task_id, count(*) AS total, count(*) FILTER (WHERE reason IS NULL) AS passed, " + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS {r}" for r in ("too_short", "non_article", "duplicate", "low_quality")) + " FROM judged WHERE success GROUP BY 1",
+    "content_verdict": EVALUATED + "SELECT page_id, authority, level, quality, final_score, verdict FROM e",
+    "passing_pages": EVALUATED + "SELECT lang, count(*) FILTER (WHERE verdict = 'pass') AS passed, count(*) FILTER (WHERE verdict <> 'pass') AS rejected FROM e GROUP BY 1",
     "simhash": f"WITH {prints('text')} SELECT doc_id, h AS simhash FROM prints",
-    "simhash_pairs_t3": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=3, band="true"),
-    "simhash_pairs_t12": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=12, band=BAND),
-    "history_anti": f"WITH {prints(PREVIEW)} SELECT doc_id FROM prints x WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM prints y WHERE y.doc_id % 2 = 0 AND y.h <> 0 AND x.h <> 0 AND bit_count(xor(x.h, y.h)) <= 3)",
+    "simhash_pairs_t3": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=3),
+    "simhash_pairs_t5": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=5),
+    "simhash_pairs_t12": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=12),
+    "simhash_classes": f"WITH {prints(PREVIEW)} SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY h) AS class FROM prints",
+    "history_anti": f"WITH {prints(PREVIEW)} SELECT doc_id AS id FROM prints x WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND NOT EXISTS (SELECT 1 FROM prints y WHERE y.doc_id IN (SELECT doc_id FROM labels) AND y.h <> 0 AND x.h <> 0 AND bit_count(xor(x.h, y.h)) <= 12)",
+    "history_semi": f"WITH {prints(PREVIEW)} SELECT doc_id AS id FROM prints x WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND EXISTS (SELECT 1 FROM prints y WHERE y.doc_id IN (SELECT doc_id FROM labels) AND y.h <> 0 AND x.h <> 0 AND bit_count(xor(x.h, y.h)) <= 12)",
     "exact_dup_groups": "SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "pv_uv_per_article": sql("visits", f"SELECT article_id, count(*) AS pv, count(DISTINCT visitor_id) AS uv, count(*) FILTER (WHERE CAST(visit_time AS DATE) = DATE '{TODAY}') AS pv_today, count(DISTINCT CASE WHEN CAST(visit_time AS DATE) = DATE '{TODAY}' THEN visitor_id END) AS uv_today FROM v_visits GROUP BY 1"),
     "site_uv": "SELECT count(*) AS pv, count(DISTINCT user_id) AS uv FROM events",
@@ -231,11 +252,14 @@ ORACLE_SQL: dict[str, str] = {
     "count_drift": sql("articles categories own", "SELECT c.id, c.id * 10 AS article_count, coalesce(n, 0) AS actual, coalesce(n, 0) - c.id * 10 AS difference FROM v_categories c LEFT JOIN v_own o ON c.id = o.id WHERE parent_id IS NOT NULL AND c.id * 10 <> coalesce(n, 0)"),
     "task_stats": sql("tasks", "SELECT count(*) AS total, count(*) FILTER (WHERE status = 3) AS completed, count(*) FILTER (WHERE status = 4) AS failed, count(*) FILTER (WHERE status IN (0, 1, 2)) AS pending, CAST(coalesce(sum(total_word_count), 0) AS BIGINT) AS words FROM v_tasks"),
     "stale_tasks": sql("tasks", f"SELECT id, status FROM v_tasks WHERE status IN (0, 1, 2) AND updated_at < TIMESTAMP '{NOW}' - INTERVAL 30 MINUTES ORDER BY updated_at, id LIMIT 20"),
-    "crawl_summary": "SELECT l_orderkey AS task_id, count(*) FILTER (WHERE l_returnflag = 'N') AS ok, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS BIGINT) AS ms, CAST(sum(l_quantity) AS BIGINT) AS words FROM lineitem GROUP BY 1",
+    "crawl_summary": "SELECT l_orderkey AS task_id, count(*) FILTER (WHERE l_returnflag = 'N') AS succeeded, CAST(sum(CASE WHEN l_returnflag = 'N' THEN floor(l_extendedprice) ELSE 0 END) AS BIGINT) AS crawl_ms, CAST(sum(l_quantity) AS BIGINT) AS words FROM lineitem GROUP BY 1",
     "engine_effectiveness": sql("rounds", EFFECT.format(by="search_engine")),
-    "strategy_effectiveness": sql("rounds", EFFECT.format(by="strategy_type")),
-    "kb_stats": sql("rounds", "SELECT count(DISTINCT task_id) AS tasks, count(*) AS rounds, count(*) FILTER (WHERE round_num > 1 AND score_delta > 0) AS improved, round(avg(CASE WHEN round_num > 1 THEN score_delta END), 6) AS avg_delta, round(CAST(count(*) FILTER (WHERE round_num > 1 AND score_delta > 0) AS DOUBLE), 2) AS improved_double FROM v_rounds"),
-    "strategy_hint": sql("rounds", ", b AS (SELECT * FROM v_rounds WHERE score_delta > 0 AND (contains(search_keyword, 'part 1') OR contains(search_keyword, 'part 2') OR time_range = 'week') ORDER BY score_delta DESC, id LIMIT 50), t AS (SELECT search_engine, strategy_type, avg(score_delta) AS m FROM b GROUP BY 1, 2) SELECT b.search_engine AS engine, round(avg(score_delta), 6) AS mean_delta, (SELECT strategy_type FROM t WHERE t.search_engine = b.search_engine ORDER BY m DESC, strategy_type DESC LIMIT 1) AS best_type FROM b GROUP BY 1"),
+    "strategy_effectiveness": sql("rounds", EFFECT.format(by="strategy_type").replace("round_num > 1", "round_num > 1 AND score_delta > 0")),
+    "kb_stats": sql("rounds", "SELECT count(DISTINCT task_id) AS tasks, count(*) AS rounds, count(*) FILTER (WHERE round_num > 1 AND score_delta > 0) AS improved, round(avg(CASE WHEN round_num > 1 THEN score_delta END), 6) AS avg_delta, round_even(count(*) FILTER (WHERE round_num > 1 AND score_delta > 0) / count(*) FILTER (WHERE round_num > 1), 2) AS improvement_rate FROM v_rounds"),
+    "strategy_hint": sql("rounds", """, b AS (SELECT *, v_rounds.score_delta AS delta FROM v_rounds WHERE score_delta > 0 AND round_num > 1 AND (contains(search_keyword, 'part') OR contains(search_keyword, '1') OR time_range = 'week') ORDER BY score_delta DESC, id LIMIT 50),
+        e AS (SELECT search_engine AS k, avg(delta) AS m FROM b GROUP BY 1), t AS (SELECT strategy_type AS k, avg(delta) AS m FROM b GROUP BY 1)
+        SELECT (SELECT k FROM e ORDER BY m DESC, k LIMIT 1) AS engine, (SELECT string_agg(k || ':' || printf('%.4f', m), ',' ORDER BY k) FROM e) AS engine_scores, (SELECT k FROM t ORDER BY m DESC, k LIMIT 1) AS strategy_type,
+        (SELECT string_agg(k || ':' || printf('%.4f', m), ',' ORDER BY k) FROM t) AS type_scores, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT search_keyword AS k FROM b WHERE search_keyword <> 'part 1' ORDER BY 1 LIMIT 5)) AS related_keywords"""),
     "effective_strategies": sql("rounds", "SELECT id, search_engine, round(score_delta, 6) AS score_delta FROM v_rounds r WHERE r.score_delta > 0.05 AND round_num > 1 ORDER BY r.score_delta DESC, id LIMIT 20"),
     "round_delta": sql("rounds", "SELECT task_id, round_num, round(overall_score - lag(overall_score) OVER (PARTITION BY task_id ORDER BY round_num, overall_score), 4) AS delta FROM v_rounds"),
     "source_ema": sql("visits", OK_RUNS + "SELECT source_id, list_reduce(list(score ORDER BY visit_time, event_id), lambda a, x: CASE WHEN a = 0 THEN floor(x * 100 + 0.5) / 100 ELSE floor((0.7 * a + 0.3 * x) * 100 + 0.5) / 100 END, 0.0::DOUBLE) AS quality, count(*) AS runs FROM runs WHERE ok GROUP BY 1"),
@@ -250,9 +274,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT url, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY depth, url) AS position FROM u ORDER BY depth, url LIMIT 500""",
     "shannon_diversity": "WITH c AS (SELECT doc_id % 7 AS g, source, count(*) AS c FROM documents GROUP BY 1, 2), t AS (SELECT g, sum(c) AS n, count(*) AS k, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1) SELECT g, round(CASE WHEN n > 1 THEN least(1.0, e / log2(n) * least(1.0, k / 5)) ELSE 0.0 END, 6) AS diversity FROM t",
     "language_mix": sql("pages", RESULTS + ", t AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE regexp_matches(title, '[一-鿿]')) / count(*) AS a, count(*) FILTER (WHERE regexp_matches(title, '[a-zA-Z]{3,}')) / count(*) AS b FROM r GROUP BY 1) SELECT g, round(CASE WHEN a > 0.1 AND b > 0.1 THEN round(least(1.0, 2 * a * b / (a + b) * 1.4), 3) WHEN a > 0.1 OR b > 0.1 THEN round(0.3 + 0.15 * least(1.0, n / 10), 3) ELSE 0.0 END, 2) AS mix FROM t"),
-    "coverage_overall": sql("pages", RESULTS + f", w AS (SELECT *, regexp_extract_all(lower(title), '[一-鿿a-zA-Z]+') AS ws FROM r), c AS (SELECT g, domain, count(*) AS c FROM r GROUP BY 1, 2), e AS (SELECT g, sum(c) AS n, count(*) AS k, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1), b AS (SELECT g, max(len(list_intersect(ws, [{', '.join(map(lit, V.POSITIVE_WORDS))}])) > 0) AS pos, max(len(list_intersect(ws, [{', '.join(map(lit, V.NEGATIVE_WORDS))}])) > 0) AS neg FROM w GROUP BY 1) SELECT e.g, CAST(n AS BIGINT) AS n, k AS sources, round(CASE WHEN n > 1 THEN least(1.0, e / log2(n) * least(1.0, k / 5)) ELSE 0.0 END, 4) AS diversity, round(CASE WHEN n >= 3 THEN least(1.0, k / 5) ELSE least(1.0, n / 3) END, 2) AS angle, round(CASE WHEN k >= 2 THEN least(1.0, k / 3) ELSE 0.2 END * 0.5 + CASE WHEN pos AND neg THEN 0.8 WHEN pos OR neg THEN 0.4 ELSE 0.2 END * 0.5, 2) AS perspective, concat_ws(',', CASE WHEN n < 3 THEN 'few results' END, CASE WHEN k < 3 AND n >= 3 THEN 'few sources' END) AS weaknesses FROM e JOIN b ON e.g = b.g"),
+    "coverage_overall": sql("pages", RESULTS + f""", w AS (SELECT *, regexp_extract_all(lower(title), '[一-鿿a-zA-Z]+') AS ws, length(content) AS size FROM r), c AS (SELECT g, domain, count(*) AS c FROM r GROUP BY 1, 2),
+        e AS (SELECT g, CAST(sum(c) AS BIGINT) AS n, count(*) AS k, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1),
+        b AS (SELECT g, max(len(list_intersect(ws, [{', '.join(map(lit, V.POSITIVE_WORDS))}])) > 0) AS pos, max(len(list_intersect(ws, [{', '.join(map(lit, V.NEGATIVE_WORDS))}])) > 0) AS neg, max(size < 500) AS short, max(size > 3000) AS long, avg(size) AS mean,
+            count(*) FILTER (WHERE regexp_matches(title, '[一-鿿]')) / count(*) AS a, count(*) FILTER (WHERE regexp_matches(title, '[a-zA-Z]{{3,}}')) / count(*) AS l FROM w GROUP BY 1),
+        s AS (SELECT e.g, n, k AS sources, CASE WHEN n > 1 THEN least(1.0, e / log2(n) * least(1.0, k / 5)) ELSE 0.0 END AS diversity, round_even(CASE WHEN n >= 3 THEN least(1.0, k / 5) ELSE least(1.0, n / 3) END, 3) AS angle,
+            round_even(least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN short THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN long THEN 0.4::DOUBLE ELSE 0 END + least(0.15::DOUBLE, mean / 10000)), 3) AS depth,
+            round_even(CASE WHEN n >= 2 THEN least(1.0::DOUBLE, n / 6) ELSE 0.2 END * 0.6::DOUBLE + CASE WHEN k >= 2 THEN least(1.0::DOUBLE, k / 4) ELSE 0.3 END * 0.4::DOUBLE, 3) AS temporal,
+            round_even(CASE WHEN k >= 2 THEN least(1.0, k / 3) ELSE 0.2 END * 0.5 + CASE WHEN pos AND neg THEN 0.8 WHEN pos OR neg THEN 0.4 ELSE 0.2 END * 0.5, 3) AS perspective,
+            CASE WHEN a > 0.1 AND l > 0.1 THEN round_even(least(1.0::DOUBLE, 2 * a * l / (a + l) * 1.4::DOUBLE), 3) WHEN a > 0.1 OR l > 0.1 THEN round_even(0.3::DOUBLE + 0.15::DOUBLE * least(1.0, n / 10), 3) ELSE 0.0 END AS language FROM e JOIN b ON e.g = b.g)
+        SELECT g, n, sources, round(angle, 2) AS angle, round(perspective, 2) AS perspective, round(diversity, 4) AS diversity, round(language, 4) AS language, round(depth, 4) AS depth, round(temporal, 4) AS temporal,
+            round_even(0.25::DOUBLE * angle + 0.2::DOUBLE * diversity + 0.15::DOUBLE * depth + 0.15::DOUBLE * temporal + 0.15::DOUBLE * perspective + 0.1::DOUBLE * language, 3) AS overall,
+            round(0.4::DOUBLE * depth + 0.35::DOUBLE * angle + 0.25::DOUBLE * temporal, 4) AS depth_score, round(0.4::DOUBLE * diversity + 0.35::DOUBLE * perspective + 0.25::DOUBLE * language, 4) AS breadth_score,
+            concat_ws(',', CASE WHEN n < 3 THEN 'few results' END, CASE WHEN sources < 3 AND n >= 3 THEN 'few sources' END) AS weaknesses, concat_ws(',', CASE WHEN n < 3 THEN 'other keywords or engine' END, CASE WHEN sources < 3 AND n >= 3 THEN 'other engine' END) AS suggestions FROM s"""),
     "url_window": "SELECT md5(CAST(i AS VARCHAR)) AS url_hash FROM range(120) r(i) WHERE i IN (SELECT user_id % 97 FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 5 DAYS)",
-    "usable_results": sql("pages", f", r AS (SELECT page_id AS position, regexp_replace(url, '[?#].*$', '') AS u, page_id % 6 <> 0 AS ok, content FROM v_pages) SELECT position, u AS url FROM r WHERE ok AND length(content) >= 300 AND {words_of('content')} >= 50 AND u NOT IN (SELECT u FROM r WHERE position % 9 = 1) QUALIFY row_number() OVER (PARTITION BY u ORDER BY position) = 1"),
+    "usable_results": sql("pages", f", r AS (SELECT page_id AS position, regexp_replace(url, '[?#].*$', '') AS u, page_id % 6 <> 0 AS ok, lang, content FROM v_pages) SELECT position, u AS url FROM r WHERE ok AND length(content) >= 300 AND {words_of('content')} >= 50 AND u NOT IN (SELECT u FROM r WHERE lang = 'es') QUALIFY row_number() OVER (PARTITION BY u ORDER BY position) = 1"),
     "log_stats": "SELECT count(*) AS logs, CAST(sum(floor(o_totalprice)) AS BIGINT) AS words, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, CAST(floor(sum(floor(o_totalprice)) / count(*) + 0.5) AS BIGINT) AS mean_words FROM orders",
     "logs_by_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, max(o_orderkey) AS last_id FROM orders GROUP BY 1",
     "engine_health": "SELECT event_type AS engine, count(*) AS attempts, count(*) FILTER (WHERE event_id % 4 = 0) AS empty, last(event_id % 4 ORDER BY ts, event_id) AS last_results FROM events GROUP BY 1",
@@ -264,5 +300,8 @@ ORACLE_SQL: dict[str, str] = {
     "digest_item_dedup": ITEMS + "SELECT section, position, url FROM i QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(one_liner) DESC, section, position) = 1 OR url = ''",
     "url_repair": """WITH p AS (SELECT page_id % 7 AS task_id, page_id AS position, url FROM pages), i AS (SELECT *, CASE position % 4 WHEN 0 THEN regexp_replace(url, '^https?', 'ftp') WHEN 1 THEN regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') WHEN 2 THEN url || 'zz' ELSE url END AS b FROM p)
         SELECT task_id, position, coalesce((SELECT min(url) FROM p WHERE p.task_id = i.task_id AND p.url = i.b), (SELECT min(url) FROM p WHERE p.task_id = i.task_id AND starts_with(i.b, p.url)), (SELECT min(url) FROM p WHERE p.task_id = i.task_id AND rtrim(regexp_replace(p.url, '^https?://', ''), '/') = rtrim(regexp_replace(i.b, '^https?://', ''), '/')), '') AS fixed FROM i""",
-    "digest_pack": sql("pages", ", s AS (SELECT page_id % 7 AS task_id, page_id, length(content) AS n FROM v_pages), r AS (SELECT *, 20000 - coalesce(sum(n) OVER (PARTITION BY task_id ORDER BY n DESC, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM s) SELECT task_id, page_id, CAST(CASE WHEN l > 0 THEN least(n, l) ELSE 0 END AS BIGINT) AS packed_chars FROM r"),
+    "digest_pack": """WITH RECURSIVE """ + SQL["pages"] + """, s AS (SELECT page_id % 7 AS task_id, page_id, length(replace(content, ' ', '')) AS n, row_number() OVER (PARTITION BY page_id % 7 ORDER BY length(replace(content, ' ', '')) DESC, page_id) AS k FROM v_pages),
+        f AS (SELECT task_id, page_id, k, 20000 AS room, CASE WHEN n <= 4000 THEN n ELSE 4000 + 14 END AS used FROM s WHERE k = 1
+        UNION ALL SELECT s.task_id, s.page_id, s.k, f.room - f.used, CASE WHEN f.room - f.used <= 0 THEN 0 WHEN n <= least(4000, f.room - f.used) THEN n ELSE least(4000, f.room - f.used) + 14 END FROM f JOIN s ON f.task_id = s.task_id AND s.k = f.k + 1)
+        SELECT task_id, page_id, CAST(used AS BIGINT) AS packed_chars FROM f""",
 }
