@@ -1,5 +1,6 @@
 """Column functions against hand-written expectations."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,11 +78,11 @@ def test_markdown(spark):
 
 def test_menus():
     bullets = "\n".join(f"- [Item {i}](/i{i})" for i in range(9))
-    assert text.clean_menus(f"Intro\n{bullets}\nBody text") == "Intro\nBody text"
-    assert text.clean_menus("[Home](/) | [Blog](/b) | [About](/a)\nText") == "Text"
-    assert text.clean_menus("**Web** [Pictures](u) [Video](u)\nText") == "Text"
+    assert text.without_menus(pd.Series([f"Intro\n{bullets}\nBody text"]))[0] == "Intro\nBody text"
+    assert text.without_menus(pd.Series(["[Home](/) | [Blog](/b) | [About](/a)\nText"]))[0] == "Text"
+    assert text.without_menus(pd.Series(["**Web** [Pictures](u) [Video](u)\nText"]))[0] == "Text"
     prose = "- [one](/1) with a long explanation that is not a link\n- [two](/2) and another long explanation"
-    assert text.clean_menus(prose) == prose
+    assert text.without_menus(pd.Series([prose]))[0] == prose
 
 
 def test_quality(spark):
@@ -118,6 +119,6 @@ def test_similarity(spark):
     assert similarity.title_similarity_of("Spark streaming guide for all", "Spark streaming guide for all!") >= 0.8 > similarity.title_similarity_of("Spark guide", "Cooking rice")
 
 
-@pytest.mark.parametrize(("raw", "want"), [("2024-01-15T10:20:30Z", "2024-01-15T10:20:30"), ("2024-01-15T10:20:30+08:00", "2024-01-15T10:20:30"), ("2024-01-15", "2024-01-15T00:00:00"), ("2024年3月5日", "2024-03-05T00:00:00"), ("2024/3/5", "2024-03-05T00:00:00"), ("January 5, 2024", "2024-01-05T00:00:00"), ("Jan 5, 2024", "2024-01-05T00:00:00"), ("soon", None), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [("2024-01-15T10:20:30Z", "2024-01-15T10:20:30"), ("2024-01-15T10:20:30+08:00", "2024-01-15T10:20:30+08:00"), ("2024-01-15T10:20:30-0330", "2024-01-15T10:20:30-03:30"), ("2024-01-15", "2024-01-15T00:00:00"), ("2024年3月5日", "2024-03-05T00:00:00"), ("2024/3/5", "2024-03-05T00:00:00"), ("January 5, 2024", "2024-01-05T00:00:00"), ("Jan 5, 2024", "2024-01-05T00:00:00"), ("soon", None), (None, None)])
 def test_datetimes(spark, raw, want):
     assert one(spark, dates.normalize_datetime(F.col("t")), t=raw) == want

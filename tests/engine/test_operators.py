@@ -25,7 +25,7 @@ def test_tree(spark, nodes):
 
 
 def test_greedy_dedup_depends_on_what_stayed(spark):
-    body = "The quick brown fox jumps over the lazy dog near the river bank today. " * 4
+    body = "The quick brown fox jumps over the lazy dog near the river bank today. " * 6
     rows = [
         (1, 1, "http://a/x", "First title here", body), (1, 2, "http://www.a/x/", "Other", "short"), (1, 3, "http://a/y", "Second thing", body + "more"),
         (1, 4, "http://a/z", "First title here", "brief"), (1, 5, "http://a/q", "Unlike anything", "brief"), (2, 6, "http://a/x", "First title here", body), (2, 7, None, None, None),
@@ -36,7 +36,60 @@ def test_greedy_dedup_depends_on_what_stayed(spark):
 
 def test_pairs_with_equal_fingerprints(spark):
     df = spark.createDataFrame([(1, 0b1111), (2, 0b1111), (3, 0b1011), (4, -1)], "id long, h long")
-    assert {(r.a, r.b, r.distance) for r in dedup.near_pairs(df, 3).collect()} == {(1, 2, 0), (1, 3, 1), (2, 3, 1)}
+    assert {(r.a, r.b, r.distance) for r in dedup.near_pairs(df, 3).collect()} == {(1, 3, 1)}
+    assert {(r.id, r["class"]) for r in dedup.print_classes(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+def test_all_pairs_within_twelve_bits_are_found(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = base + [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 14))) for x in base for _ in range(4)]
+    signed = [x - 2**64 if x >= 2**63 else x for x in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, h long")
+    for most in (3, 5, 12):
+        want = {(i, j, d) for j in range(len(prints)) for i in range(j) if 0 < (d := (prints[i] ^ prints[j]).bit_count()) <= most}
+        assert {(r.a, r.b, r.distance) for r in dedup.near_pairs(df, most).collect()} == want
+
+
+def test_history_is_looked_up_by_address_fingerprint_and_title(spark):
+    old = spark.createDataFrame([("http://a/1", 0b111, "Learn Spark SQL Today"), ("http://a/2", 0, None)], "url string, h long, title string")
+    rows = [(1, "https://www.a/1/", -1, "x"), (2, "http://b/2", 0b11, "y"), (3, "http://b/3", 0, "learn spark sql today "), (4, "http://b/4", 0, "Other things"), (5, "http://b/5", -1, None)]
+    new = spark.createDataFrame(rows, "id long, url string, h long, title string")
+    assert {r.id for r in dedup.not_in_history(new, old, 3, "title").collect()} == {4, 5}
+    assert {r.id for r in dedup.not_in_history(new, old, 3).collect()} == {3, 4, 5}
+
+
+def test_titles_are_compared_without_case_and_blanks(spark):
+    rows = [(1, 1, "u1", "Learn Spark SQL Today", ""), (1, 2, "u2", " learn spark sql today", ""), (1, 3, "u3", "Learn Flink", "")]
+    df = spark.createDataFrame(rows, "task_id long, pos long, url string, title string, content string")
+    assert {r.pos: r.reason for r in dedup.greedy(df, "task_id", "pos").collect()} == {1: None, 2: "title", 3: None}
+    old = spark.createDataFrame([("u3", 0, None)], "url string, h long, title string")
+    assert {r.pos: r.reason for r in dedup.greedy(df, "task_id", "pos", history=old).collect()} == {1: None, 2: "title", 3: "history"}
+
+
+def test_sections_of_a_digest_share_what_they_have_seen(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(200))
+    rows = [(1, 1, 1, "http://a/1", "one", text(1), True), (1, 2, 1, "http://a/2", "two", text(1), True), (1, 2, 2, "http://a/3", "three", text(2), True), (1, 3, 1, "http://a/3/", "four", text(3), True), (1, 3, 2, "http://a/5", "five", "short", True), (1, 3, 3, "http://a/6", "six", text(4), False), (2, 1, 1, "http://a/1", "one", text(1), True)]
+    df = spark.createDataFrame(rows, "task_id long, section long, position long, url string, title string, content string, success boolean")
+    assert sorted((r.task_id, r.section, r.position) for r in dedup.across_sections(df).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
+
+
+def test_cascade_of_reasons(spark):
+    text = lambda k: "## Head\n\n```\ncode " + " ".join(f"w{k}x{i}" for i in range(900)) + "\n```\n- a\n- b\n"
+    good, other = text(1), text(2)
+    rows = [
+        (1, 1, "http://docs.python.org/a", "A guide", "tiny", True), (1, 2, "http://docs.python.org/forum-1/t/", "Board", good + " 楼主 沙发", True), (1, 3, "http://docs.python.org/b", "A guide", good, True),
+        (1, 4, "http://docs.python.org/b/", "Else", other, True), (1, 5, "http://x.org/c", "Unlike", good, True), (1, 6, "https://www.youtube.com/watch", "Video", text(3), True), (1, 7, "http://docs.python.org/z", "Manual", other, True),
+        (1, 8, "http://x.org/q", "Failed", "", False),
+    ]
+    df = spark.createDataFrame(rows, "task_id long, position long, url string, title string, content string, success boolean")
+    got = {r.position: r.reason for r in dedup.cascade(df, "keyword", 2025).collect()}
+    assert got == {1: "too_short", 2: "non_article", 3: None, 4: "duplicate", 5: "duplicate", 6: "low_quality", 7: None, 8: None}
+    counts = dedup.cascade_counts(dedup.cascade(df, "keyword", 2025)).first()
+    assert (counts.total, counts.passed, counts.duplicate) == (7, 2, 2)
+    assert {r.position: r.reason for r in dedup.cascade(df, "digest", 2025).collect()}[5] is None
 
 
 def test_similar_titles_equal_brute_force(spark):
@@ -46,7 +99,8 @@ def test_similar_titles_equal_brute_force(spark):
     titles = [" ".join(words[(i * k) % 8] for k in range(1, 6)) for i in range(40)] + ["的 了", "", "深度 学习 框架", "深度 学习 框架!"]
     df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
     got = {(r.a, r.b) for r in dedup.similar_titles(df).collect()}
-    assert got == {(i, j) for j in range(len(titles)) for i in range(j) if title_similarity_of(titles[i], titles[j]) >= 0.8}
+    first = sorted({titles.index(t) for t in titles})
+    assert got == {(i, j) for j in first for i in first if i < j and title_similarity_of(titles[i], titles[j]) >= 0.8}
 
 
 def test_fingerprint_append_ignores_what_is_stored(spark):
@@ -105,7 +159,7 @@ def test_digest(spark):
     broken = spark.createDataFrame([(1, "https://x.org/a/"), (1, "x.org/a"), (1, "https://x.org/b?utm=1"), (1, "https://y.org/"), (1, None)], "task_id long, url string")
     assert sorted((r.url or "", r.fixed) for r in digest.repair_urls(broken, pages).collect()) == sorted([("https://x.org/a/", "https://x.org/a/"), ("x.org/a", "https://x.org/a/"), ("https://x.org/b?utm=1", "https://x.org/b"), ("https://y.org/", ""), ("", "")])
     p = spark.createDataFrame([(1, 1, "x" * 50), (1, 2, "y" * 80), (1, 3, "z" * 10), (2, 4, None)], "task_id long, page_id long, content string")
-    assert {r.page_id: len(r.packed) if r.packed is not None else None for r in digest.pack(p, 100).collect()} == {2: 80, 1: 20, 3: None, 4: None}
+    assert {r.page_id: len(r.packed) if r.packed is not None else None for r in digest.pack(p, 100).collect()} == {2: 80, 1: 34, 3: None, 4: 0}
     s = spark.createDataFrame([(1, 9, "News", 2), (2, 9, "Tools", 1)], "id long, task_id long, category_name string, sort_order int")
     i = spark.createDataFrame([(1, 2, "T2", "o2", "u2"), (1, 1, "T1", "o1", "u1")], "section_id long, sort_order int, title string, one_liner string, url string")
     assert digest.export_markdown(digest.sections_with_items(s, i)).first().markdown == "## Tools\n\n\n## News\n- [T1](u1): o1\n- [T2](u2): o2"

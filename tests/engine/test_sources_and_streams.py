@@ -32,7 +32,7 @@ def test_metadata(spark):
     got = {r.page_id: r for r in readers.page_metadata(spark.createDataFrame(rows, "page_id long, html string, url string")).collect()}
     assert (got[1].title, got[1].description, got[1].keywords, got[1].language, got[1].canonical, got[1].published) == ("OG", "D", ["a", "b", "c"], "en", "https://x.org/c", "2024-01-15T08:00:00")
     assert (got[2].title, got[2].published) == ("Plain", "2024-02-01T00:00:00") and got[3].published == "2024-01-05T00:00:00"
-    assert (got[4].author, got[4].published) == ("N", "2024-03-01T00:00:00") and got[5].title is None and got[6].published is None
+    assert (got[4].author, got[4].published) == ("N", "2024-03-01") and got[5].title is None and got[6].published is None
 
 
 def test_result_pages(spark):

@@ -1,5 +1,6 @@
 """Keywords, relevance, strategies and the text helpers of task answers."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def test_sections_and_sources(spark):
 
 
 def test_navigation_and_cuts(spark):
-    assert text.clean_markdown("Home / Blog / Post\n[Home](/) > [Blog](/b) > [Post](/p)\nReal text with words") == "Real text with words"
+    assert text.without_navigation(pd.Series(["Home / Blog / Post\n[Home](/) > [Blog](/b) > [Post](/p)\nReal text with words"]))[0] == "Real text with words"
     one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c.alias("v")).first().v
     assert one(text.first_paragraph(F.col("t")), "# Head\n\nFirst line\nsecond line.\n\nNext") == "First line second line."
     assert one(text.first_paragraph(F.col("t"), 20), "A sentence is here. And more follows.") == "A sentence is here." and one(text.first_paragraph(F.col("t")), None) == ""
