@@ -77,6 +77,8 @@ class Vocabulary:
     @cached_property
     def coded(self) -> dict[int, int]:
         """The same with both ids in one integer, and rank and new id in another."""
+        if self.size > 1 << 20:
+            raise ValueError(f"{self.size} token ids don't fit 20 bits")
         return {a << 20 | b: r << 20 | t for (a, b), (r, t) in self.merges.items()}
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:

@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Keys that hold more than one row in HEAVY_SHARE are joined by broadcast; there can be at most HEAVY_SHARE of them.
 HEAVY_SHARE = 2000
+#: Rows that a key needs at least to count as hot; bytes that are broadcast for hot keys where rows may be large.
+HEAVY_LEAST, HEAVY_BYTES = 1000, 16 << 20
 #: Text that a Python task works on at a time.
 SLICE_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -26,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table of few files is dealt out, a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -131,13 +139,19 @@ class Shared:
         return _built[self.key]
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "left") -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "left", most_bytes: int = HEAVY_BYTES) -> DataFrame:
     """left ⋈ right on ``key``, where right holds each key once and ``counts`` (key, n) says how often left holds it.
 
     Keys with more than total / HEAVY_SHARE rows number fewer than HEAVY_SHARE, whatever the size of the input, so their part of
-    ``right`` is broadcast and their rows stay where they are; all others are shuffled and none of them can be hot.
+    ``right`` is broadcast and their rows stay where they are; all others are shuffled and none of them can be hot. Where ``counts`` has a
+    column size (bytes of a key's row in right), the hottest keys of up to ``most_bytes`` together are broadcast, and any others go with
+    the rest, where adaptive execution splits what is uneven.
     """
-    heavy = cut(counts.where(F.col("n") > max(1000, total // HEAVY_SHARE)).select(key))
+    heavy = counts.where(F.col("n") > max(HEAVY_LEAST, total // HEAVY_SHARE))
+    if "size" in counts.columns:
+        upto = F.sum("size").over(Window.orderBy(F.desc("n"), key))  # over fewer than HEAVY_SHARE rows
+        heavy = heavy.withColumn("upto", upto).where(F.col("upto") <= most_bytes)
+    heavy = cut(heavy.select(key))
     if heavy.isEmpty():
         return left.join(right, key, how)
     small = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))

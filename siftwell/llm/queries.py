@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chunks, decontam, langid, lines, neighbours, shards, simhash, suffixes, wrappers
-from .common import col, table
+from .common import col, spread, table
 
 
 def tokenizer_path() -> str:
@@ -17,7 +17,7 @@ def tokenizer_path() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found, r = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     ids = col(r)["item_ids"]
     return found.select(
@@ -27,7 +27,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     coded, r = bpe.encode_decode(docs, tokenizer_path(), keep=["doc_id"])
     tokens = col(r)["tokens"]
     return coded.select(
@@ -37,11 +37,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.digest_columns(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return suffixes.digest_columns(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, name = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    found, name = wrappers.main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")), keep=["page_id", "url"])
     return found.select("page_id", "url", col(name).alias("text"), F.length(col(name)).cast("long").alias("n_chars"))
 
 
@@ -68,14 +68,14 @@ def held_out(key: str = "doc_id"):
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = langid.fit(docs.where(~held_out()))
     told, r = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return told.select("doc_id", held_out().alias("held_out"), col(r)["lang"].alias("lang_pred"), col(r)["score"].alias("score"), col(r)["rejected"].alias("rejected"))
 
 
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunks.digest_columns(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,7 +456,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", result: st
     if size <= BROADCAST_BYTES:
         joined = base.join(F.broadcast(wrappers.select("host", "wrapper")), "host", "left")
     else:
-        joined = join_skewed(base, wrappers.select("host", "wrapper"), "host", wrappers.select("host", F.col("pages").alias("n")), total)
+        joined = join_skewed(base, wrappers.select("host", "wrapper"), "host", wrappers.select("host", F.col("pages").alias("n"), F.octet_length("wrapper").alias("size")), total, most_bytes=BROADCAST_BYTES)
     joined = joined.select(*inner, "html", "wrapper")
     kept = joined.select(*inner).schema
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "t string"])

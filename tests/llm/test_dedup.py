@@ -93,17 +93,35 @@ def test_every_window_has_one_minimizer_by_content():
     assert (alone[1] == h[own == 4]).all() and (alone[3] == offset[own == 4]).all()
 
 
+def plain_cuts(text):
+    """Ends of chunks by the rule itself: a rolling value, byte by byte, that forgets what is 32 bytes back."""
+    gear, h, at, ends = [int(x) for x in chunks.gear_table()], 0, 0, []
+    for i, c in enumerate(text):
+        h = (h * 2 + gear[c]) % 2**32
+        if i + 1 - at == chunks.MOST or h >> (32 - chunks.BITS) == 0 and i + 1 - at >= chunks.LEAST:
+            ends.append(i + 1)
+            at = i + 1
+    return ends if not text or ends and ends[-1] == len(text) else [*ends, len(text)]
+
+
+def test_cuts_equal_a_byte_by_byte_loop():
+    rng = random.Random(11)
+    for n in (0, 1, 31, 32, 33, 511, 512, 513, 6000):
+        for letters in (b"abcdefgh ", b"a", bytes(range(256))):
+            t = bytes(rng.choice(letters) for _ in range(n))
+            assert chunks.cuts(t, chunks.gear_table()) == plain_cuts(t)
+
+
 def test_chunk_dedup_keeps_the_first_of_each_chunk(spark):
     from pyspark.sql import functions as F
 
     df = frame(spark, ROWS)
     hashes = {r[0]: r[1] for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
-    gear = chunks.gear_table()
     places = sorted({(LAST if d is None else d, hashes[t or ""], t or "") for d, t in ROWS})
     seen, expected = set(), {}
     for d, _, t in places:
         b, at, spans = t.encode(), 0, []
-        for e in chunks.cuts(b, gear):
+        for e in plain_cuts(b):
             piece = b[at:e]
             if piece in seen and e - at >= chunks.SHORTEST:
                 spans.append((at, e - at))

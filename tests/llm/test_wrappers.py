@@ -56,6 +56,20 @@ def test_template_text_is_found_by_alignment(spark):
     assert wrappers.main_text(df.limit(0))[0].count() == 0
 
 
+def test_joined_and_broadcast_wrappers_give_the_same(spark, monkeypatch):
+    from siftwell.llm import common
+
+    rows = [(i, f"http://h{i % 3 if i % 2 else 0}.example/", PAGE.format(n=i)) for i in range(60)] + [(100, None, None)]
+    df = frame(spark, rows, "page_id long, url string, html string")
+    found, name = wrappers.main_text(df)
+    want = sorted((r.page_id, r[name]) for r in found.collect())
+    monkeypatch.setattr(common, "HEAVY_LEAST", 5)
+    for limit in (0, 2_000):  # all joined; some hot hosts broadcast
+        monkeypatch.setattr(wrappers, "BROADCAST_BYTES", limit)
+        found, name = wrappers.main_text(df)
+        assert sorted((r.page_id, r[name]) for r in found.collect()) == want
+
+
 def test_partial_wrappers_merge_in_any_grouping(spark):
     rows = [(i, f"http://h{i % 3}.example/", PAGE.format(n=i)) for i in range(30)]
     df = frame(spark, rows, "page_id long, url string, html string")
