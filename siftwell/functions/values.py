@@ -172,9 +172,25 @@ COVERAGE_WEIGHTS = {"angle": 0.25, "diversity": 0.20, "depth": 0.15, "temporal":
 # Strategies: thresholds below which a dimension is worked on, wider time ranges, kinds of strategy, directions, and words added to a keyword.
 STRATEGY_THRESHOLDS = {"diversity": 0.6, "perspective": 0.6, "language": 0.3, "depth": 0.6, "angle": 0.6, "temporal": 0.6}
 WIDER_RANGES = {"day": "week", "week": "month", "month": "year", "year": "all"}
-STRATEGY_KINDS = {"temporal": "time_adjust", "depth": "keyword_depth", "angle": "keyword_angle", "diversity": "engine_switch", "perspective": "keyword_perspective", "language": "cross_language"}
 DEPTH_DIMENSIONS, BREADTH_DIMENSIONS = ("depth", "angle", "temporal"), ("diversity", "perspective", "language")
-STRATEGY_SUFFIXES = {
-    "depth": ("architecture deep dive", "internals implementation", "how it works under the hood", "in-depth tutorial"),
-    "angle": ("comparison vs alternatives", "best practices", "performance optimization", "common issues troubleshooting"),
+# Words added to a keyword, the usual ones and then those of second choice; for keywords with ideographs, and for all others.
+STRATEGY_SUFFIXES_CN = {
+    "depth": ("原理 源码分析", "内部实现 实战", "深入理解 底层原理", "源码解读 实现细节", "架构设计 思路", "核心概念 详解", "实现原理 分析", "技术选型 方案"),
+    "angle": ("对比 评测", "最佳实践", "性能优化", "常见问题 解决方案", "使用场景 案例", "进阶技巧 高级用法", "替代方案 迁移", "趋势 发展方向"),
+    "perspective": ("缺点 限制", "问题 风险", "踩坑 避坑"),
 }
+STRATEGY_SUFFIXES_EN = {
+    "depth": (
+        "architecture deep dive", "internals implementation", "how it works under the hood", "in-depth tutorial", "architecture design patterns", "core concepts explained",
+        "implementation analysis", "technology selection",
+    ),
+    "angle": (
+        "comparison vs alternatives", "best practices", "performance optimization", "common issues troubleshooting", "use cases examples", "advanced techniques",
+        "alternatives migration", "trends roadmap",
+    ),
+    "perspective": ("downsides limitations", "problems risks", "pitfalls lessons learned"),
+}
+STRATEGY_SITES_CN = ("github.com", "juejin.cn", "zhihu.com", "segmentfault.com", "infoq.cn")
+STRATEGY_SITES_EN = ("github.com", "medium.com", "dev.to", "stackoverflow.com", "news.ycombinator.com")
+LATEST_CN, LATEST_EN = "最新", "latest"
+SEARCH_ENGINES = ("bing", "baidu", "sogou", "google")

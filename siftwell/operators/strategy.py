@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.text import CJK
 
 def exhausted(history: DataFrame, group: str = "task_id") -> DataFrame:
     """(group, dimension) of what the last two rounds both aimed at."""
@@ -14,32 +15,67 @@ def exhausted(history: DataFrame, group: str = "task_id") -> DataFrame:
     return last.groupBy(group, F.col("target_dimension").alias("dimension")).agg(F.count("*").alias("c")).where("c = 2").drop("c")
 
 
-def next_target(evaluations: DataFrame, history: DataFrame, dimensions: tuple[str, ...] = V.DEPTH_DIMENSIONS + V.BREADTH_DIMENSIONS, group: str = "task_id", near: float = 0.15) -> DataFrame:
-    """(group, dimension, score): the weakest dimension under its threshold that isn't exhausted. A task's ``hinted`` dimension, where the
-    column exists, goes first if it is within ``near`` of the weakest."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"), F.lit(V.STRATEGY_THRESHOLDS[d]).alias("least")) for d in dimensions]))
+def _first_unused(candidates: Column, used: Column) -> Column:
+    """The first of an array that another doesn't hold; null if it holds all."""
+    return F.try_element_at(F.filter(candidates, lambda c: ~F.array_contains(used, c)), F.lit(1))
+
+
+def _candidates(year: int) -> dict[str, Column]:
+    """What each dimension would try next, null where nothing is left: struct(kind, keyword, engine, time_range, site)."""
+    cn, keyword = F.col("keyword").rlike(CJK), F.col("keyword")
+    strings = lambda values: F.array(*map(F.lit, values))
+
+    def plan(kind: str, good: Column, **changed: Column) -> Column:
+        usual = {"keyword": keyword, "engine": F.col("engine"), "time_range": F.col("time_range"), "site": F.lit(None).cast("string")} | changed
+        return F.when(good, F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for n, c in usual.items())))
+
+    def reworded(dimension: str, last: Column | None = None) -> Column:
+        words = F.when(cn, strings(V.STRATEGY_SUFFIXES_CN[dimension])).otherwise(strings(V.STRATEGY_SUFFIXES_EN[dimension]))
+        tries = F.transform(words, lambda w: F.concat(keyword, F.lit(" "), w))
+        found = _first_unused(tries if last is None else F.concat(tries, F.array(last)), F.col("used_keywords"))
+        return plan("keyword_refine", found.isNotNull(), keyword=found)
+
+    wider = F.try_element_at(F.create_map(*[F.lit(x) for kv in V.WIDER_RANGES.items() for x in kv]), F.col("time_range"))
+    newest = F.concat(keyword, F.lit(f" {year} "), F.when(cn, V.LATEST_CN).otherwise(V.LATEST_EN))
+    # engines that haven't been used: by what they gained before, where that is known, then by priority
+    scored = F.transform(strings(V.SEARCH_ENGINES), lambda e, i: F.struct((-F.coalesce(F.try_element_at(F.col("engine_scores"), e), F.lit(0.0))).alias("s"), i.alias("i"), e.alias("e")))
+    engine = _first_unused(F.transform(F.array_sort(scored), lambda x: x["e"]), F.array_append(F.col("used_engines"), F.col("engine")))
+    sites = F.transform(F.when(cn, strings(V.STRATEGY_SITES_CN)).otherwise(strings(V.STRATEGY_SITES_EN)), lambda s: F.concat(F.lit("site:"), s))
+    site = _first_unused(sites, F.col("used_sites"))
+    return {
+        "temporal": plan("time_adjust", wider.isNotNull(), time_range=wider), "depth": reworded("depth", newest), "angle": reworded("angle"), "perspective": reworded("perspective"),
+        "diversity": F.coalesce(plan("engine_switch", engine.isNotNull(), engine=engine), plan("site_scope", site.isNotNull(), keyword=F.concat(keyword, F.lit(" "), site), site=site)),
+        "language": plan("cross_language", ~F.array_contains(F.col("used_kinds"), "cross_language")),
+    }
+
+
+def next_strategies(evaluations: DataFrame, tasks: DataFrame, history: DataFrame, year: int, dimensions: tuple[str, ...] = V.DEPTH_DIMENSIONS + V.BREADTH_DIMENSIONS, near: float = 0.15, hinted_below: float = 0.55, group: str = "task_id") -> DataFrame:
+    """(group, dimension, score, kind, keyword, engine, time_range, site): what each task should search next; tasks without an idea have no row.
+
+    Dimensions are gone through from the weakest on; those at their threshold or more and those that the last two rounds both aimed at are
+    passed over, and so are those with nothing left to try. A task's ``hinted`` dimension, where evaluations have the column, goes first
+    if it scores under ``hinted_below`` and within ``near`` of the weakest. ``tasks`` holds (group, keyword, engine, time_range) and may hold
+    engine_scores (a map); ``history`` (group, round_num, target_dimension, keyword, engine, site, kind) is what was tried.
+    """
+    of = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    used = history.groupBy(group).agg(*(F.collect_set(c).alias(n) for c, n in (("keyword", "used_keywords"), ("engine", "used_engines"), ("site", "used_sites"), ("kind", "used_kinds"))))
+    tired = exhausted(history, group).groupBy(group).agg(F.collect_set("dimension").alias("tired"))
+    scores = tasks if "engine_scores" in tasks.columns else tasks.withColumn("engine_scores", F.lit(None).cast("map<string,double>"))
     hinted = F.col("hinted") if "hinted" in evaluations.columns else F.lit(None).cast("string")
-    rows = evaluations.select(group, hinted.alias("hinted"), pairs.alias("p")).select(group, "hinted", "p.*").where(F.col("score") < F.col("least"))
-    rows = rows.join(exhausted(history, group), [group, "dimension"], "left_anti")
-    low = rows.groupBy(group).agg(
-        F.min_by(F.struct("dimension", "score"), F.struct("score", "dimension")).alias("weak"), F.max(F.when(F.col("dimension") == F.col("hinted"), F.struct("dimension", "score"))).alias("hint"),
-    )
-    use = F.coalesce(F.col("hint.score") - F.col("weak.score") <= near, F.lit(False))
-    best = F.when(use, F.col("hint")).otherwise(F.col("weak"))
-    return low.select(group, best["dimension"].alias("dimension"), best["score"].alias("score"))
-
-
-def propose(targets: DataFrame, tasks: DataFrame, group: str = "task_id") -> DataFrame:
-    """(group, dimension, kind, keyword, time_range) for targets of tasks (group, keyword, time_range, attempts)."""
-    attempt = F.col("attempts") % 4
-    dim = F.col("dimension")
-    word: Column = F.lit(None).cast("string")
-    for d, list_ in V.STRATEGY_SUFFIXES.items():
-        word = F.when(dim == d, F.element_at(F.array(*map(F.lit, list_)), (attempt + 1).cast("int"))).otherwise(word)
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in V.STRATEGY_KINDS.items() for x in kv]), dim)
-    wider = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.WIDER_RANGES.items() for x in kv]), F.col("time_range")), F.col("time_range"))
-    out = targets.join(tasks, group)
-    return out.select(group, "dimension", kind.alias("kind"), F.concat_ws(" ", "keyword", word).alias("keyword"), F.when(dim == "temporal", wider).otherwise(F.col("time_range")).alias("time_range"))
+    rows = evaluations.select(group, *dimensions, hinted.alias("hinted")).join(scores.select(group, "keyword", "engine", "time_range", "engine_scores"), group).join(used, group, "left").join(tired, group, "left")
+    rows = rows.select("*", of(F.col("tired")).alias("_tired")).drop("tired").withColumnRenamed("_tired", "tired")
+    for c in ("used_keywords", "used_engines", "used_sites", "used_kinds"):
+        rows = rows.withColumn(c, of(F.col(c)))
+    ideas, weakest = _candidates(year), F.least(*[F.col(d) for d in dimensions])
+    choices = [
+        F.when(
+            (F.col(d) < V.STRATEGY_THRESHOLDS[d]) & ~F.array_contains("tired", d) & ideas[d].isNotNull(),
+            F.struct(F.when((F.col("hinted") == d) & (F.col(d) < hinted_below) & (F.col(d) - weakest <= near), 0).otherwise(1).alias("late"), F.col(d).alias("score"), F.lit(i).alias("i"), F.lit(d).alias("dimension"), ideas[d].alias("plan")),
+        )
+        for i, d in enumerate(dimensions)
+    ]
+    best = rows.select(group, F.array_min(F.array_compact(F.array(*choices))).alias("b")).where("b is not null")
+    return best.select(group, "b.dimension", "b.score", "b.plan.*")
 
 
 def pick_section(sections: DataFrame, used: DataFrame) -> DataFrame:

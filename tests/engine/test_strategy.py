@@ -28,15 +28,29 @@ def test_robot_pages(spark):
     assert [r.v for r in df.select(keywords.asks_for_human(F.col("t")).alias("v")).collect()] == [True, False, False]
 
 
-def test_next_target(spark):
-    e = spark.createDataFrame([(1, 0.5, 0.4, 0.9, 0.9, 0.9, 0.9, None), (2, 0.5, 0.4, 0.9, 0.9, 0.9, 0.9, None), (3, 0.9, 0.9, 0.9, 0.9, 0.9, 0.35, None), (4, 0.5, 0.4, 0.9, 0.9, 0.9, 0.9, "angle")], "task_id int, angle double, depth double, temporal double, diversity double, perspective double, language double, hinted string")
-    h = spark.createDataFrame([(2, 1, "depth"), (2, 2, "depth"), (1, 1, "depth"), (1, 2, "angle"), (1, 3, "depth")], "task_id int, round_num int, target_dimension string")
-    got = {r.task_id: r.dimension for r in strategy.next_target(e, h).collect()}
-    assert got == {1: "depth", 2: "angle", 4: "angle"}
-    tasks = spark.createDataFrame([(1, "spark", "day", 1)], "task_id int, keyword string, time_range string, attempts int")
-    assert tuple(strategy.propose(strategy.next_target(e, h), tasks).first()) == (1, "depth", "keyword_depth", "spark internals implementation", "day")
-    t = spark.createDataFrame([(1, "temporal", 0.1)], "task_id int, dimension string, score double")
-    assert strategy.propose(t, tasks).first().time_range == "week"
+def test_next_strategies(spark):
+    dims = ("angle", "depth", "temporal", "diversity", "perspective", "language")
+    shape = "task_id int, " + ", ".join(f"{d} double" for d in dims) + ", hinted string"
+    high = dict.fromkeys(dims, 0.9)
+    evaluated = {
+        1: {"angle": 0.5, "depth": 0.4}, 2: {"angle": 0.5, "depth": 0.4}, 3: {"language": 0.35}, 4: {"angle": 0.5, "depth": 0.4, "hinted": "angle"}, 5: {"temporal": 0.1}, 6: {"temporal": 0.1, "perspective": 0.2},
+        7: {"diversity": 0.1}, 8: {"diversity": 0.1}, 9: {"language": 0.1, "perspective": 0.59}, 10: {"depth": 0.1}, 11: {"diversity": 0.3}, 12: {"angle": 0.58, "depth": 0.5, "hinted": "angle"},
+    }
+    e = spark.createDataFrame([(t, *((high | v)[d] for d in dims), v.get("hinted")) for t, v in evaluated.items()], shape)
+    tasks = [(t, {5: "spark", 6: "容器", 8: "容器"}.get(t, "spark"), "bing", "all" if t == 6 else "day", {"google": 0.2, "sogou": 0.1} if t == 11 else None) for t in evaluated]
+    tasks = spark.createDataFrame(tasks, "task_id int, keyword string, engine string, time_range string, engine_scores map<string,double>")
+    tried = [(1, 1, "depth", "spark architecture deep dive", "bing", None, "keyword_refine"), (1, 2, "angle", "spark", "bing", None, "x"), (2, 1, "depth", "a", "bing", None, "x"), (2, 2, "depth", "b", "bing", None, "x")]
+    tried += [(8, i, "diversity" if i < 3 else "depth", "容器", g, s, "x") for i, (g, s) in enumerate([("baidu", None), ("sogou", None), ("google", "site:github.com"), ("bing", None)], 1)] + [(9, 1, "language", "spark", "bing", None, "cross_language")]
+    words = strategy.V.STRATEGY_SUFFIXES_EN["depth"]
+    tried += [(10, i, "x", f"spark {w}", "bing", None, "x") for i, w in enumerate(words)]
+    history = spark.createDataFrame(tried, "task_id int, round_num int, target_dimension string, keyword string, engine string, site string, kind string")
+    got = {r.task_id: (r.dimension, r.kind, r.keyword, r.engine, r.time_range, r.site) for r in strategy.next_strategies(e, tasks, history, 2025).collect()}
+    assert got == {
+        1: ("depth", "keyword_refine", "spark internals implementation", "bing", "day", None), 2: ("angle", "keyword_refine", "spark comparison vs alternatives", "bing", "day", None),
+        4: ("angle", "keyword_refine", "spark comparison vs alternatives", "bing", "day", None), 5: ("temporal", "time_adjust", "spark", "bing", "week", None), 6: ("perspective", "keyword_refine", "容器 缺点 限制", "bing", "all", None),
+        7: ("diversity", "engine_switch", "spark", "baidu", "day", None), 8: ("diversity", "site_scope", "容器 site:juejin.cn", "bing", "day", "site:juejin.cn"), 9: ("perspective", "keyword_refine", "spark downsides limitations", "bing", "day", None),
+        10: ("depth", "keyword_refine", "spark 2025 latest", "bing", "day", None), 11: ("diversity", "engine_switch", "spark", "google", "day", None), 12: ("depth", "keyword_refine", "spark architecture deep dive", "bing", "day", None),
+    }
 
 
 def test_sections_and_sources(spark):
