@@ -27,7 +27,7 @@ def _md5(c):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _own_counts(spark, d):
@@ -190,13 +190,13 @@ def passing_pages(spark, d):
 
 
 def _prints(spark, d):
-    part = spread(_docs(spark, d).select(F.col("doc_id").alias("id"), similarity.preview(F.col("text")).alias("t")))
+    part = _docs(spark, d).select(F.col("doc_id").alias("id"), similarity.preview(F.col("text")).alias("t"))
     return stored(part.select("id", similarity.simhash(F.col("t")).alias("h")))
 
 
 @query
 def simhash(spark, d):
-    return spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
+    return _docs(spark, d).select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
 
 
 @query

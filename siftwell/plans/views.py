@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.readers import table
+from ..sources.stored import spread
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """(page_id, url, title, lang, content): visible text of stored pages."""
     html = F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages")).select(
         "page_id", "url", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("lang"),
         T.strip_html(html).alias("content"), "html",
     )
