@@ -117,7 +117,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     """docs' columns ``keep`` (default: all) with kept_text (binary), n_bytes, n_removed and n_spans; one row for each row that goes in.
 
     Order is by id, then by a hash of the text, then by position; a null id comes last. Rows with equal id and text are one document to
-    this operator: they get the same result. Null and empty texts have no bytes. A chunk that repeats inside one document goes too.
+    this operator: they get the same result. Null and empty texts have no bytes. A chunk that repeats inside one document goes too;
+    a text's last chunk stays if it is under SHORTEST bytes. An id that isn't a number raises. A very long text has to fit a task, its chunks
+    travel as rows. An empty frame gives an empty one; columns of any name are kept.
     """
     keep = list(docs.columns if keep is None else keep)
 

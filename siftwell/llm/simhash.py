@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     Equal fingerprints link too, so null and blank texts (fingerprint 0) form one component. A null id keeps its row and never is the
     smallest; a component of null ids alone has a null component_id. Repeated rows come out as often as they go in. Work on links is on
-    distinct fingerprints; copies are only counted and joined back, the commonest fingerprints by broadcast.
+    distinct fingerprints; copies are only counted and joined back, the commonest fingerprints by broadcast. An id that isn't a number
+    raises. A very long text is read whole, by 65,536 shingles at a time, and has to fit a task. An empty frame gives an empty one.
     """
     prints = cut(add_fingerprint(docs, text, "_fp", size, [key]).select(col(key).cast("long").alias("id"), F.col("_fp").alias("fp")))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))

@@ -307,7 +307,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     """docs' columns ``keep`` (default: all) with kept_text (binary), n_bytes, n_removed and n_spans; one row for each row that goes in.
 
     Strings are judged on the input. Null and empty texts have no bytes. A null id counts as larger than any other; rows with one id
-    never lose anything to each other.
+    never lose anything to each other, and an id that isn't a number raises. Texts are hashed in slices of a few MB; a very long one has to
+    fit a task, its windows travel as many short strings. An empty frame gives an empty one; columns of any name are kept.
     """
     keep = list(docs.columns if keep is None else keep)
 
