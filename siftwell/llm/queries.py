@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontam, langid, lines, neighbours, shards, simhash, suffixes, wrappers
+from . import bpe, chunks, decontam, filters, langid, lines, neighbours, rules, shards, simhash, suffixes, turns, turns_sql, wrappers
 from .common import col, spread, table
 
 
@@ -82,6 +82,29 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = turns.normal(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    fixed, report = turns.repair(turns.damaged(chats))
+    known = chats.select(F.col("c").alias("conv_id")).distinct()
+    told = report.join(turns.digests(fixed).withColumnRenamed("c", "d"), F.col("c").eqNullSafe(F.col("d"))).drop("d")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return known.join(told, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), table(spark, sf_dir, "labels"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = rules.fit(docs.where(~held_out()), table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out()))
+    told, name = rules.score(docs, model, keep=["doc_id"])
+    return told.select("doc_id", held_out().alias("held_out"), col(name).alias("score"), (col(name) >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -93,6 +116,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_neighbours": op10_neighbours,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality": op13_quality,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,4 +148,21 @@ ORACLE_SQL: dict[str, str] = {
             FROM parts r JOIN d ON r.doc_id = d.doc_id GROUP BY 1)
         SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
         FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op11_conversation_repair": turns_sql.SQL,
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+        f AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+                'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+                'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), FALSE)} AS fails
+            FROM d LEFT JOIN marks ON d.doc_id = marks.doc_id),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        failed AS (SELECT doc_id, part, good, toxic, (CASE WHEN fails.A THEN 'A' ELSE '' END) || (CASE WHEN fails.B THEN 'B' ELSE '' END) || (CASE WHEN fails.C THEN 'C' ELSE '' END) || (CASE WHEN fails.D THEN 'D' ELSE '' END) || (CASE WHEN fails.E THEN 'E' ELSE '' END) AS f FROM f),
+        went AS (SELECT part, good, toxic, f, filter_order, coalesce(list_min([instr(filter_order, x) FOR x IN string_split(f, '') IF x <> '']), 6) AS gone FROM failed, orders),
+        steps AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+                count(*) FILTER (gone < step AND contains(f, substr(filter_order, step, 1))) AS redundant, count(*) FILTER (f = substr(filter_order, step, 1)) AS unique_fails,
+                count(*) FILTER (gone = step AND good = 1) AS good_lost, count(*) FILTER (gone = step AND toxic = 1) AS toxic_lost
+            FROM went, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, filter_order, step)
+        SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM steps""",
 }
