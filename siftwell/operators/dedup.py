@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pages, quality, urls
 from ..functions import similarity as S
 from ..sources.stored import stored
+from .keepfirst import ranked, settle
 
 #: Hamming distances: within a task and against history, across sections, in the filter of a task, of a deep task.
 WITHIN, ACROSS, CASCADE, DEEP = 12, 5, 5, 3
@@ -38,8 +38,9 @@ def _masks(most: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(S.BAND_BITS), k)]
 
 
-def close_prints(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """(g, h) of fingerprints of left and of right (column h) that differ in at most ``most`` bits; all of them.
+def close_prints(left: DataFrame, right: DataFrame, most: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., p, q) of fingerprints of left and of right (column h of both) that differ in at most ``most`` bits and agree in the
+    columns ``within``; all of them.
 
     One of four bands differs in at most a quarter of the bits; there some word is at most half of that from one side and the rest from
     the other. So both sides meet by words near their bands, in an equi-join that Spark may split.
@@ -47,11 +48,11 @@ def close_prints(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     radius = most // S.BANDS
 
     def near(df: DataFrame, name: str, r: int) -> DataFrame:
-        bands = df.select(F.col("h").alias(name)).distinct().select(name, F.explode(S.bands(F.col(name))).alias("b")).select(name, "b.band", "b.bits")
-        return bands.select(name, "band", F.explode(F.transform(F.array(*map(F.lit, _masks(r))), lambda m: F.col("bits").bitwiseXOR(m))).alias("word"))
+        bands = df.select(*within, F.col("h").alias(name)).distinct().select(*within, name, F.explode(S.bands(F.col(name))).alias("b")).select(*within, name, "b.band", "b.bits")
+        return bands.select(*within, name, "band", F.explode(F.transform(F.array(*map(F.lit, _masks(r))), lambda m: F.col("bits").bitwiseXOR(m))).alias("word"))
 
-    met = near(left, "g", radius // 2).join(near(right, "h", radius - radius // 2), ["band", "word"])
-    return met.where(S.hamming(F.col("g"), F.col("h")) <= most).select("g", "h").distinct()
+    met = near(left, "p", radius // 2).join(near(right, "q", radius - radius // 2), [*within, "band", "word"])
+    return met.where(S.hamming(F.col("p"), F.col("q")) <= most).select(*within, "p", "q").distinct()
 
 
 def print_classes(df: DataFrame, key: str = "id", fingerprint: str = "h") -> DataFrame:
@@ -66,30 +67,30 @@ def near_pairs(df: DataFrame, most: int, key: str = "id", fingerprint: str = "h"
     Copies are never expanded into pairs. df is read twice; store it where its fingerprints are still to be computed.
     """
     classes = df.groupBy(F.col(fingerprint).alias("h")).agg(F.min(key).alias("k"))
-    links = close_prints(classes, classes, most).where("g < h")
-    left, right = classes.select(F.col("h").alias("g"), F.col("k").alias("p")), classes.select("h", F.col("k").alias("q"))
-    return links.join(left, "g").join(right, "h").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), S.hamming(F.col("g"), F.col("h")).alias("distance"))
+    links = close_prints(classes, classes, most).where("p < q")
+    left, right = classes.select(F.col("h").alias("p"), F.col("k").alias("x")), classes.select(F.col("h").alias("q"), F.col("k").alias("y"))
+    return links.join(left, "p").join(right, "q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), S.hamming(F.col("p"), F.col("q")).alias("distance"))
 
 
-def title_links(left: DataFrame, right: DataFrame, least: float = SIMILAR_TITLE) -> DataFrame:
-    """(a, b, similarity) of titles (k, t) of left and of right at ``least`` or more.
+def title_links(left: DataFrame, right: DataFrame, least: float = SIMILAR_TITLE, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., a, b, similarity) of titles (k, t) of left and of right at ``least`` or more that agree in the columns ``within``.
 
     Similarity of 0.8 needs a Jaccard similarity of two thirds, so the rarest third of a title's words (prefix filter) holds a shared one.
     """
     jaccard = (least - 0.4) / 0.6
-    words = lambda df: df.select("k", "t", S.title_words(F.col("t")).alias("w")).where(F.size("w") > 0)
+    words = lambda df: df.select(*within, "k", "t", S.title_words(F.col("t")).alias("w")).where(F.size("w") > 0)
     freq = words(left).union(words(right)).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        ranked = words(df).select("k", F.size("w").alias("m"), F.explode("w").alias("word")).join(freq, "word")
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "word")))
-        return ranked.where(F.col("r") <= F.col("m") - F.ceil(jaccard * F.col("m") - 1e-9) + 1).select(F.col("k").alias(name), "word")
+        ranked_ = words(df).select(*within, "k", F.size("w").alias("m"), F.explode("w").alias("word")).join(freq, "word")
+        ranked_ = ranked_.withColumn("r", F.row_number().over(Window.partitionBy(*within, "k").orderBy("n", "word")))
+        return ranked_.where(F.col("r") <= F.col("m") - F.ceil(jaccard * F.col("m") - 1e-9) + 1).select(*within, F.col("k").alias(name), "word")
 
-    pairs = prefix(left, "a").join(prefix(right, "b"), "word").select("a", "b").distinct()
-    side = lambda df, name: words(df).select(F.col("k").alias(name), F.col("t").alias(f"t{name}"), F.col("w").alias(f"w{name}"))
-    joined = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
+    pairs = prefix(left, "a").join(prefix(right, "b"), [*within, "word"]).select(*within, "a", "b").distinct()
+    side = lambda df, name: words(df).select(*within, F.col("k").alias(name), F.col("t").alias(f"t{name}"), F.col("w").alias(f"w{name}"))
+    joined = pairs.join(side(left, "a"), [*within, "a"]).join(side(right, "b"), [*within, "b"])
     near = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) >= jaccard - 1e-9
-    return joined.where(near).withColumn("similarity", S.title_similarity("ta", "tb")).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    return joined.where(near).withColumn("similarity", S.title_similarity("ta", "tb")).where(F.col("similarity") >= least).select(*within, "a", "b", "similarity")
 
 
 def similar_titles(df: DataFrame, key: str = "id", title: str = "title", least: float = SIMILAR_TITLE) -> DataFrame:
@@ -107,7 +108,7 @@ def not_in_history(df: DataFrame, history: DataFrame, most: int = WITHIN, title:
     ``history`` (url, h). A fingerprint of 0 is near none."""
     seen = history.select(urls.normalize_url(F.col("url")).alias("_u")).distinct()
     left = df.withColumn("_u", urls.normalize_url(F.col("url"))).join(seen, "_u", "left_anti").drop("_u")
-    near = close_prints(history.where(F.col("h") != 0), left.where(F.col("h") != 0), most).select("h").distinct()
+    near = close_prints(history.where(F.col("h") != 0), left.where(F.col("h") != 0), most).select(F.col("q").alias("h")).distinct()
     left = left.join(near, "h", "left_anti")
     if title is None:
         return left
@@ -117,65 +118,41 @@ def not_in_history(df: DataFrame, history: DataFrame, most: int = WITHIN, title:
     return left.withColumn("_t", _plain_title(title)).join(known.union(equal).distinct(), "_t", "left_anti").drop("_t")
 
 
-class _Seen:
-    """What a fold has kept so far, and why a page would repeat it. Pages are told by address, then fingerprint, then title."""
-
-    def __init__(self, most: int):
-        self.most, self.urls, self.prints, self.titles = most, set(), [], []
-
-    def reason(self, url: str | None, print_: int | None, title: str) -> str | None:
-        if url in self.urls:
-            return "url"
-        if print_ is not None and any(((print_ ^ g) & (2**64 - 1)).bit_count() <= self.most for g in self.prints):
-            return "content"
-        return "title" if title and any(S.title_similarity_of(title, x) >= SIMILAR_TITLE for x in self.titles) else None
-
-    def add(self, url: str | None, print_: int | None, title: str) -> None:
-        self.urls.add(url)
-        if print_ is not None:
-            self.prints.append(print_)
-        if title:
-            self.titles.append(title)
-
-
-def _told(df: DataFrame, url: str, title: str, content: str) -> DataFrame:
+def _told(df: DataFrame, url: str, title: str | None, content: str) -> DataFrame:
     """df with what tells pages apart: _u, _h (null where the compared part of the text is short) and _t."""
     part = S.preview(F.coalesce(F.col(content), F.lit("")))
-    return df.withColumn("_u", urls.normalize_url(F.coalesce(F.col(url), F.lit("")))).withColumn("_t", _plain_title(title)).withColumn("_h", F.when(F.length(part) >= LEAST_CONTENT, S.simhash(part)))
+    return df.withColumn("_u", urls.normalize_url(F.coalesce(F.col(url), F.lit("")))).withColumn("_t", F.lit("") if title is None else _plain_title(title)).withColumn("_h", F.when(F.length(part) >= LEAST_CONTENT, S.simhash(part)))
 
 
-def _folded(df: DataFrame, group: list[str], order: list[str], most: int, passes) -> DataFrame:
-    """df with ``reason`` by a fold over each group in order; ``passes(row)`` is null for a page that may be kept, else its own reason."""
-    kept = [c for c in df.columns if c not in ("_u", "_h", "_t", "_own")]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "reason string"])
+def _folded(df: DataFrame, group: list[str], order: list[str], most: int, own: Column) -> DataFrame:
+    """df with ``reason`` by keep-first in order over each group; ``own`` is null for rows that may stay, else their own reason.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        seen, reasons = _Seen(most), []
-        for u, h, t, own in zip(rows["_u"], rows["_h"], rows["_t"], rows["_own"], strict=True):
-            h = None if pd.isna(h) else int(h)
-            reason = seen.reason(u, h, t) or (None if pd.isna(own) else own)
-            if reason is None:
-                seen.add(u, h, t)
-            reasons.append(reason)
-        return rows[kept].assign(reason=reasons)
-
-    # fingerprints travel as strings, since a column of long with nulls would come as inexact floats
-    return df.withColumn("_own", passes).withColumn("_h", F.col("_h").cast("string")).groupBy(*group).applyInPandas(fold, schema)
-
-
-def greedy(df: DataFrame, group: str | list[str], order: str | list[str], most: int = WITHIN, url: str = "url", title: str = "title", content: str = "content", history: DataFrame | None = None) -> DataFrame:
-    """df with ``reason``: null for rows that stay, else history, url, content or title. Each row is compared with the rows kept before it.
-
-    What stays depends on what stayed before, so a group is folded row by row by one task. Groups are tasks of a few pages each; for
-    whole corpora use near_pairs. ``history`` (url, h, title) is looked up first, by joins over all groups; what it holds takes no part.
+    df has what tells rows apart: _u, _h and _t (null: not compared). Groups may be of any size: nothing is gathered by group.
+    """
+    kept = [c for c in df.columns if c not in ("_u", "_h", "_t")]
+    nodes = ranked(df.withColumn("_own", own), group, order)
+    told = nodes.select(F.col("_group").alias("g"), F.col("_node").alias("n"), F.col("_rank").alias("r"), F.col("_u").alias("u"), F.col("_h").alias("h"), F.when(F.col("_t") != "", F.col("_t")).alias("t"), F.col("_own").alias("own"))
+    # only rows that may stay need links to others, but rows with a reason of their own may learn a better one through them
+    prints = told.where("h IS NOT NULL").select("g", "h").distinct()
+    near = close_prints(prints, prints, most, ("g",)).where("p <> q").select("g", F.concat(F.lit("h"), "p").alias("c"), F.concat(F.lit("h"), "q").alias("other"))
+    titles = told.where("t IS NOT NULL").select("g", F.col("t").alias("k"), "t").distinct()
+    like = title_links(titles, titles, within=("g",)).where("a <> b").select("g", F.concat(F.lit("t"), "a").alias("c"), F.concat(F.lit("t"), "b").alias("other"))
+    reasons = settle(told, stored(near.unionByName(like)))
+    return nodes.join(reasons.withColumnRenamed("n", "_node"), "_node").select(*kept, "reason")
+
+
+def greedy(df: DataFrame, group: str | list[str], order: str | list[str], most: int = WITHIN, url: str = "url", title: str | None = "title", content: str = "content", history: DataFrame | None = None) -> DataFrame:
+    """df with ``reason``: null for rows that stay, else history, url, content or title. Each row is compared with the rows kept before it
+    in its group (no column: in the whole table); see keepfirst for how. Without ``title`` titles aren't compared.
+
+    ``history`` (url, h, title) is looked up first, by joins over all groups; what it holds takes no part. Runs jobs while it is called.
     """
     group, order = ([x] if isinstance(x, str) else list(x) for x in (group, order))
     told = _told(df, url, title, content)
     if history is None:
         return _folded(told, group, order, most, F.lit(None).cast("string"))
     told = stored(told.withColumn("_n", F.monotonically_increasing_id()))
-    new = not_in_history(told.select("_n", F.col(url).alias("url"), F.coalesce("_h", F.lit(0)).alias("h"), F.col(title).alias("title")), history, most, "title").select("_n")
+    new = not_in_history(told.select("_n", F.col(url).alias("url"), F.coalesce("_h", F.lit(0)).alias("h"), (F.lit(None).cast("string") if title is None else F.col(title)).alias("title")), history, most, None if title is None else "title").select("_n")
     fresh = _folded(told.join(new, "_n", "left_semi").drop("_n"), group, order, most, F.lit(None).cast("string"))
     known = told.join(new, "_n", "left_anti").select(*df.columns, F.lit("history").alias("reason"))
     return fresh.unionByName(known)
@@ -199,7 +176,7 @@ def cascade(df: DataFrame, task_type: str, year: int, group: str = "task_id", or
     """df with ``reason``: null for pages that pass and for those that had failed before, else too_short, non_article, duplicate or low_quality.
 
     The first two and the last are told by columns. Whether a page is a duplicate depends on which pages before it passed, so those that
-    are left are folded in order, task by task; pages of a digest aren't compared. A page that fails by quality leaves no trace.
+    are left go through keep-first in order, task by task; pages of a digest aren't compared. A page that fails by quality leaves no trace.
     """
     text = F.coalesce(F.col(content), F.lit(""))
     level, authority = urls.authority_level(F.col(url)), urls.authority_score(F.col(url))

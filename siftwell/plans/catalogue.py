@@ -235,7 +235,7 @@ def history_anti(spark, d):
 @query
 def history_semi(spark, d):
     new, old = _judged(spark, d)
-    return dedup.close_prints(old.where("h <> 0"), new.where("h <> 0"), dedup.WITHIN).select("h").distinct().join(new, "h").select("id")
+    return dedup.close_prints(old.where("h <> 0"), new.where("h <> 0"), dedup.WITHIN).select(F.col("q").alias("h")).distinct().join(new, "h").select("id")
 
 
 @query
@@ -245,13 +245,21 @@ def exact_dup_groups(spark, d):
 
 @query
 def greedy_dedup(spark, d):
-    df = _docs(spark, d).select((F.floor(F.col("doc_id") / 20)).alias("task_id"), "doc_id", F.concat(F.lit("http://h/"), F.col("doc_id")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"))
-    return dedup.greedy(df, "task_id", "doc_id").select("task_id", "doc_id", "reason")
+    """All documents are one group; those of one source and length count as one address."""
+    df = _docs(spark, d).select("doc_id", F.concat(F.lit("http://"), "source", F.lit("/"), "n_chars").alias("url"), F.col("text").alias("content"))
+    return dedup.greedy(df, [], "doc_id", title=None).select("doc_id", "reason")
+
+
+@query
+def greedy_pages(spark, d):
+    """All pages are one group, told by address, text and title."""
+    return dedup.greedy(W.pages(spark, d), [], "page_id").select("page_id", "reason")
 
 
 @query
 def digest_sections_dedup(spark, d):
-    p = W.pages(spark, d).select((F.col("page_id") % 5).alias("task_id"), "lang", F.col("page_id").alias("position"), "url", "title", "content", F.lit(True).alias("success"))
+    """All pages are one digest with a section for each language."""
+    p = W.pages(spark, d).select(F.lit(1).alias("task_id"), "lang", F.col("page_id").alias("position"), "url", "title", "content", F.lit(True).alias("success"))
     return dedup.across_sections(p, section="lang").select("task_id", "lang", "position")
 
 

@@ -119,9 +119,9 @@ def recent_highlights(spark, d):
     return lists.highlights(_tasks(spark, d), 5)
 
 
-@query(_T + "SELECT id FROM t WHERE task_type = 'digest' AND day = '1995-03-05' AND status <> 4")
+@query(_T + "SELECT id FROM t WHERE task_type = 'digest' AND day = '1996-07-25' AND status <> 4")
 def digest_of_day(spark, d):
-    return lists.digest_open(_tasks(spark, d), "1995-03-05").select("id")
+    return lists.digest_open(_tasks(spark, d), "1996-07-25").select("id")
 
 
 def _task_pages(spark, d):
@@ -221,10 +221,13 @@ def new_fingerprints(spark, d):
     return dedup.append_fingerprints(e.where("event_type = 'click'").drop("event_type"), e.drop("event_type"))
 
 
-@query("SELECT doc_id AS id, k AS known_id FROM documents JOIN (SELECT md5(text) AS m, min(doc_id) AS k FROM documents WHERE lang = 'en' GROUP BY 1) ON md5(text) = m WHERE lang <> 'en' OR lang IS NULL")
+@query("""WITH k AS (SELECT md5(text) AS m, min(doc_id) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)
+    SELECT doc_id AS id, k AS known_id FROM documents JOIN k ON md5(text) = m WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def known_files(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("md5"), "lang")
-    return lists.known_content(docs.where("lang <> 'en' OR lang IS NULL"), docs.where("lang = 'en'"))
+    """Documents with labels are the known ones."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("md5"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return lists.known_content(docs.join(labels, "id", "left_anti"), docs.join(labels, "id", "left_semi"))
 
 
 @query("""SELECT user_id AS source_id, count(*) FILTER (WHERE event_type <> 'error') AS ok, round(avg(CASE WHEN event_id % 4 <> 0 THEN value END), 6) AS mean_score FROM events GROUP BY 1""")

@@ -215,6 +215,12 @@ ORACLE_SQL: dict[str, str] = {
     "simhash_pairs_t3": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=3),
     "simhash_pairs_t5": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=5),
     "simhash_pairs_t12": f"WITH {prints(PREVIEW)}" + PAIRS.format(t=12),
+    "greedy_dedup": f"""WITH RECURSIVE {prints(PREVIEW)}, o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d.doc_id) AS i, d.doc_id, 'http://' || source || '/' || n_chars AS u, CASE WHEN length({PREVIEW}) >= 100 THEN h END AS h
+            FROM documents d JOIN prints p ON p.doc_id = d.doc_id),
+        fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS reason, CAST([] AS STRUCT(u VARCHAR, h BIGINT)[]) AS kept
+            UNION ALL SELECT i, doc_id, reason, CASE WHEN reason IS NULL THEN list_append(kept, {{'u': u, 'h': h}}) ELSE kept END FROM (SELECT o.i, o.doc_id, o.u, o.h, kept,
+                CASE WHEN len(list_filter(kept, lambda k: k.u = o.u)) > 0 THEN 'url' WHEN len(list_filter(kept, lambda k: bit_count(xor(k.h, o.h)) <= 12)) > 0 THEN 'content' END AS reason FROM fold JOIN o ON o.i = fold.i + 1))
+        SELECT doc_id, reason FROM fold WHERE i > 0""",
     "simhash_classes": f"WITH {prints(PREVIEW)} SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY h) AS class FROM prints",
     "history_anti": f"WITH {prints(PREVIEW)} SELECT doc_id AS id FROM prints x WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND NOT EXISTS (SELECT 1 FROM prints y WHERE y.doc_id IN (SELECT doc_id FROM labels) AND y.h <> 0 AND x.h <> 0 AND bit_count(xor(x.h, y.h)) <= 12)",
     "history_semi": f"WITH {prints(PREVIEW)} SELECT doc_id AS id FROM prints x WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND EXISTS (SELECT 1 FROM prints y WHERE y.doc_id IN (SELECT doc_id FROM labels) AND y.h <> 0 AND x.h <> 0 AND bit_count(xor(x.h, y.h)) <= 12)",
