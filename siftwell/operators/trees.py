@@ -28,6 +28,23 @@ def closure(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     return out
 
 
+def deep_closure(nodes: DataFrame, levels: int = 64) -> DataFrame:
+    """(ancestor, descendant, distance, cycle) of trees of any depth up to ``levels``, by recursion in SQL: no plan grows with the depth.
+
+    Where an ancestor comes back on the way up, its row is marked as the end of a cycle and isn't followed further. A way of more than
+    ``levels`` steps fails the query. Spark bounds the rows of a recursion (spark.sql.cteRecursionRowLimit).
+    """
+    return nodes.sparkSession.sql(
+        f"""WITH RECURSIVE up(ancestor, descendant, distance, way, cycle) MAX RECURSION LEVEL {int(levels)} AS (
+            SELECT id, id, 0, array(id), false FROM {{nodes}}
+            UNION ALL
+            SELECT n.parent_id, u.descendant, u.distance + 1, array_append(u.way, n.parent_id), array_contains(u.way, n.parent_id)
+            FROM up u JOIN {{nodes}} n ON n.id = u.ancestor WHERE n.parent_id IS NOT NULL AND NOT u.cycle)
+        SELECT ancestor, descendant, distance, cycle FROM up""",
+        nodes=nodes.select("id", "parent_id"),
+    )
+
+
 def rollup_all(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, total): own count and those of all descendants. ``counts`` holds (id, n)."""
     tree = closure(nodes)

@@ -23,6 +23,19 @@ def site(log: DataFrame, approximate: bool = False) -> DataFrame:
     return log.agg(F.count("*").alias("pv"), distinct.alias("uv"))
 
 
+def daily_sketches(log: DataFrame, *by: str) -> DataFrame:
+    """(by..., day, visitors, views): a sketch of the visitors of each day, a few KB however many they are, to be stored and merged."""
+    day = F.to_date("visit_time").alias("day")
+    return log.groupBy(*by, day).agg(F.hll_sketch_agg(F.col("visitor_id").cast("string"), F.lit(14)).alias("visitors"), F.count("*").alias("views"))
+
+
+def visitors_between(sketches: DataFrame, first: str, last: str, *by: str) -> DataFrame:
+    """(by..., uv, pv) of any range of days, both ends in it, from daily sketches: distinct visitors within about two percent, views exactly.
+    The visit log isn't read."""
+    days = sketches.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return days.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("uv"), F.sum("views").alias("pv"))
+
+
 def visitor_state(log: DataFrame) -> DataFrame:
     """One row for each article and visitor: first and last view, and number of views."""
     return log.groupBy("article_id", "visitor_id").agg(F.min("visit_time").alias("first_view"), F.max("visit_time").alias("last_view"), F.count("*").alias("views"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import dates, keywords, pages, quality, similarity, text, urls
 from ..functions import values as V
 from ..operators import articles, coverage, dedup, digest, lists, strategy, tasks, trees, visits
+from ..sources import postings, vectors
 from ..sources.readers import table
-from ..sources.stored import spread, stored
+from ..sources.stored import new_folder, spread, stored
 from . import views as W
 
 #: The year, the day and the time that count as now.
@@ -281,6 +282,16 @@ def site_uv(spark, d):
     return visits.site(W.visits(spark, d))
 
 
+@query
+def visitors_from_sketches(spark, d):
+    """Visitors of each type of event over a month, merged from daily sketches, beside the exact number."""
+    log = table(spark, d, "events").select("event_type", F.col("user_id").alias("visitor_id"), F.col("ts").alias("visit_time"))
+    told = visits.visitors_between(stored(visits.daily_sketches(log, "event_type")), "2024-01-01", "2024-01-31", "event_type")
+    days = log.where(F.to_date("visit_time").between(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")))
+    exact = days.groupBy("event_type").agg(F.countDistinct("visitor_id").alias("exact"))
+    return told.join(exact, "event_type").select("event_type", "pv", "exact", (F.abs(F.col("uv") - F.col("exact")) <= F.greatest(F.lit(1), 0.02 * F.col("exact"))).alias("close"))
+
+
 @query
 def visitor_state(spark, d):
     s = visits.visitor_state(W.visits(spark, d))
@@ -371,6 +382,49 @@ def fts_search(spark, d):
     return articles.search(_docs(spark, d), "the and of").select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+@query
+def fts_indexed(spark, d):
+    """The same search through a stored index, which was built of half of the documents and then brought up to date."""
+    docs, path = _docs(spark, d).select("doc_id", "text"), new_folder(spark)
+    postings.refresh(docs.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, "the and of old text").otherwise(F.col("text"))), path)
+    postings.refresh(docs, path)
+    return postings.search(spark, path, "the and of").select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query
+def fuzzy_grams(spark, d):
+    """The trigrams of a misspelt keyword that documents hold, from a stored index of trigrams."""
+    path = new_folder(spark)
+    postings.refresh(_docs(spark, d).select("doc_id", "text"), path, postings=postings.gram_postings)
+    return postings.grams_shared(spark, path, "thatandzz").select(F.col("key").alias("doc_id"), F.round("share", 6).alias("share"))
+
+
+@query
+def fuzzy_indexed(spark, d):
+    docs, path = _docs(spark, d).select("doc_id", "text"), new_folder(spark)
+    postings.refresh(docs, path, postings=postings.gram_postings)
+    return postings.fuzzy_search(docs, path, "thatandzz").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def search_order(spark, d):
+    """The first page of a public search over all documents, in the order that readers see."""
+    a = _docs(spark, d).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("title"), F.lit(None).cast("string").alias("summary"), F.col("text").alias("content"), F.lit(1).alias("status"), (F.col("doc_id") % 50 == 0).alias("is_top"),
+        F.timestamp_seconds(F.col("n_chars") * 3600).alias("publish_time"), (F.col("doc_id") % 25).alias("category_id"), F.col("n_chars").alias("view_count"),
+    )
+    found = articles.search_articles(a, W.categories(spark, d), "the and")
+    return found.limit(50).select(F.monotonically_increasing_id().alias("place"), "id", F.round("rank", 6).alias("rank"))
+
+
+@query
+def vector_lists(spark, d):
+    """The ten nearest through an inverted file of which a search reads all lists: equal to the scan."""
+    path, target = new_folder(spark), [1.0 if i % 2 else -0.5 for i in range(64)]
+    vectors.build(table(spark, d, "embeddings").select("vec_id", "embedding"), path, 16)
+    return vectors.search(spark, path, target, 10, 16).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def fts_with_fallback(spark, d):
     return articles.search_with_fallback(_docs(spark, d), "thatandzz").select("doc_id", F.round("rank", 6).alias("rank"))
@@ -391,6 +445,13 @@ def category_closure(spark, d):
     return trees.closure(W.categories(spark, d))
 
 
+@query
+def deep_closure(spark, d):
+    """Chains of twelve levels."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 12 != 0, F.col("p_partkey") - 1).alias("parent_id"))
+    return trees.deep_closure(p.where("id >= 12")).select("ancestor", "descendant", "distance", "cycle")
+
+
 @query
 def category_counts(spark, d):
     return _own_counts(spark, d)

@@ -178,6 +178,12 @@ VERDICT = "CASE WHEN score >= 70 AND NOT paywall THEN 'keep' WHEN score >= 50 OR
 PAIRS = ", k AS (SELECT h, min(doc_id) AS k FROM prints WHERE h <> 0 GROUP BY 1) SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.h, y.h)) AS BIGINT) AS distance FROM k x JOIN k y ON x.k < y.k AND bit_count(xor(x.h, y.h)) <= {t}"
 EFFECT = "SELECT {by}, count(*) AS rounds, round(avg(score_delta), 6) AS avg_delta, round(avg(overall_score), 6) AS avg_score, count(*) FILTER (WHERE score_delta > 0) AS improved, round(max(score_delta), 6) AS max_delta FROM v_rounds WHERE round_num > 1 GROUP BY 1"
 OK_RUNS = ", runs AS (SELECT visitor_id AS source_id, visit_time, event_id, value AS score, event_type <> 'error' AS ok FROM v_visits) "
+def grams(text: str) -> str:
+    """Distinct trigrams of padded words."""
+    words = f"list_filter(string_split_regex(lower({text}), '[^a-z0-9ß-ÿ一-鿿]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
 TEXT_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')"
 RESULTS = ", r AS (SELECT page_id % 12 AS g, " + domain("url") + " AS domain, CASE WHEN page_id % 5 = 0 THEN '推荐 best ' || title ELSE title END AS title, content FROM v_pages) "
 ITEMS = "WITH i AS (SELECT page_id % 7 AS section, page_id AS position, regexp_replace(url, '/[0-9].*$', '') AS url, substr(html, 100, CAST(page_id % 9 AS INTEGER)) AS one_liner FROM pages) "
@@ -248,6 +254,17 @@ ORACLE_SQL: dict[str, str] = {
         site AS (SELECT id, view_count FROM p ORDER BY view_count DESC, id LIMIT (SELECT 4 - count(*) FROM same)), fill AS (SELECT id, view_count, 1 AS tier FROM site WHERE id <> 3 AND id NOT IN (SELECT id FROM same) AND (SELECT count(*) FROM same) < 3)
         SELECT id, tier, view_count FROM (SELECT * FROM same UNION ALL SELECT * FROM fill) ORDER BY tier, view_count DESC, id LIMIT 3"""),
     "fts_search": f"SELECT doc_id, round(len(list_filter({TEXT_WORDS}, lambda w: w IN ('the', 'and', 'of'))) / len({TEXT_WORDS}), 6) AS rank FROM documents WHERE list_has_all({TEXT_WORDS}, ['the', 'and', 'of'])",
+    "fts_indexed": f"SELECT doc_id, round(len(list_filter({TEXT_WORDS}, lambda w: w IN ('the', 'and', 'of'))) / len({TEXT_WORDS}), 6) AS rank FROM documents WHERE list_has_all({TEXT_WORDS}, ['the', 'and', 'of'])",
+    "fuzzy_grams": f"""WITH q AS (SELECT {grams("'thatandzz'")} AS q), g AS (SELECT doc_id, {grams('text')} AS g FROM documents), s AS (SELECT doc_id, len(list_intersect(g, q)) / len(q) AS share FROM g, q)
+        SELECT doc_id, round(share, 6) AS share FROM s WHERE share > 0.15""",
+    "search_order": sql("categories", f""", a AS (SELECT doc_id AS id, doc_id % 50 = 0 AS is_top, n_chars, doc_id % 25 AS category_id, regexp_extract_all(lower(concat_ws(' ', source, '', text)), '[a-z0-9]+|[一-鿿]') AS w FROM documents),
+        r AS (SELECT a.id, is_top, n_chars, len(list_filter(w, lambda x: x IN ('the', 'and'))) / len(w) AS rank FROM a LEFT JOIN v_categories c ON c.id = a.category_id WHERE list_has_all(w, ['the', 'and']) OR contains(c.name, 'the and'))
+        SELECT row_number() OVER (ORDER BY is_top DESC, rank DESC, n_chars DESC, id) - 1 AS place, id, round(rank, 6) AS rank FROM r ORDER BY place LIMIT 50"""),
+    "vector_lists": f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {TARGET}), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {TARGET}) DESC, vec_id LIMIT 10",
+    "deep_closure": """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 12 <> 0 THEN p_partkey - 1 END AS parent_id FROM part WHERE p_partkey >= 12),
+        up AS (SELECT id AS ancestor, id AS descendant, 0 AS distance FROM n UNION ALL SELECT parent_id, descendant, distance + 1 FROM up JOIN n ON n.id = up.ancestor WHERE parent_id IS NOT NULL)
+        SELECT ancestor, descendant, distance, FALSE AS cycle FROM up""",
+    "visitors_from_sketches": "SELECT event_type, count(*) AS pv, count(DISTINCT user_id) AS exact, TRUE AS close FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY 1",
     "vector_topk": f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {TARGET}), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {TARGET}) DESC, vec_id LIMIT 10",
     "category_closure": sql("categories closure", "SELECT * FROM v_closure"),
     "category_counts": sql("articles own", "SELECT id, n FROM v_own"),

@@ -21,9 +21,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return told
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's name in the checkpoint folder, for an index or table of several parts."""
+    return f"{checkpoint_folder(spark)}/siftwell-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the checkpoint folder: computed once, however often it is read, and safe from lost executors."""
-    path = f"{checkpoint_folder(df.sparkSession)}/siftwell-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
