@@ -2,9 +2,11 @@
 
 A page is parsed into a tree of elements and text slots. Trees of one host are aligned step by step: what only some pages have becomes
 optional, neighbours of one kind become a repeated group, and a text that differs between pages becomes a variable slot. The wrapper tells
-where a host's pages hold their text: the part that is reached by going, from the page down, to the child whose slots hold most of the
-characters that vary and aren't links. It also tells template text: slots that pages of different articles fill alike. Element names and
-class words then take menus, adverts, forms, notices and comments out of that part.
+where a host's pages hold their text: the part that is reached by going, from the page down, to the child whose slots hold all of the
+characters that vary and aren't links. It also tells template containers: elements that nearly all pages of a host have, and in which every
+text is the same on pages of different articles. Outside of article elements those go; inside them, and in the flow of paragraphs,
+headings, quotations and lists anywhere, a shared text stays. Element names take menus, forms and footers out. Class words do so where a
+class is made of them alone; the weaker ones only propose, and inside an article the wrapper or the share of links decides.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, free_name, join_skewed
 
-#: Different articles whose pages must agree on a text before it counts as part of the template. Share of the varying characters that a
-#: child must hold for the search for the main part to go on there.
-SUPPORT, MOST = 3, 0.7
+#: Different articles whose pages must agree on a text before it counts as part of the template, and the share of a host's pages that must
+#: have its container. Share of the varying characters that a child must hold for the search for the main part to go on there: all of
+#: them, or MOST where names don't help.
+SUPPORT, NEARLY_ALL, MOST = 3, 0.75, 0.7
+#: Share of link characters from which on a proposed container is no main text.
+LINKS = 0.5
 #: An ordered list of children that has grown beyond LONGEST becomes a repeated group of any of these. Texts below DEEPEST levels stand in
 #: the list of the element there, each under a digest of the names of the elements between.
 LONGEST, DEEPEST = 48, 24
@@ -46,6 +51,14 @@ BOILERPLATE = frozenset(
     "masthead menu menubar nav navbar navigation newsletter notice notices pagination popup modal promo promotion related replies reply respond search share sharing "
     "sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert dialog".split()
 )
+#: Of these, words that only propose inside an article.
+PROPOSED = frozenset("alert banner complementary contentinfo dialog disclaimer form header masthead notice notices search toolbar widget".split())
+#: Words that say nothing about what an element holds: a class made of boilerplate words and these is boilerplate, one with others isn't.
+PLAIN = frozenset(
+    "a area article aside bar block body bottom box button buttons card center col column container content div entry fixed float global group head id in inline inner inside "
+    "item items js left link links list local main middle module on outer page pane panel part post posts primary region right row secondary section signup site sticky "
+    "tertiary the to top unit user ui view wrap wrapper zone popular recent latest".split()
+)
 #: Elements that stand in the flow of an article: their neighbours are part of it too.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure".split())
 #: Of these, the ones that mark even an article element as no main text; and the ones that don't count inside an article.
@@ -61,22 +74,32 @@ _NUMBER = re.compile(r"\d+|(?<=[-_])[0-9a-f]{6,}")
 
 class Node:
     """An element: its label (name and class), children (elements and texts in order), whether it can hold main text, whether it is inside
-    an article, and whether the wrapper calls it the main part."""
+    an article, whether its class only proposes that it holds none, and whether the wrapper calls it the main part or a template."""
 
-    __slots__ = ("name", "label", "children", "skip", "content", "main")
+    __slots__ = ("name", "label", "children", "skip", "content", "proposed", "main", "template")
 
-    def __init__(self, name: str, label: str, skip: bool, content: bool):
-        self.name, self.label, self.skip, self.content, self.main, self.children = name, label, skip, content, False, []
+    def __init__(self, name: str, label: str, skip: bool, content: bool, proposed: bool = False):
+        self.name, self.label, self.skip, self.content, self.proposed, self.main, self.template, self.children = name, label, skip, content, proposed, False, False, []
 
 
 class Text:
-    """A run of character data between two tags."""
+    """A run of character data between two tags; whether its slot is fixed, and on nearly all pages of the host."""
 
-    __slots__ = ("text", "link", "fixed")
+    __slots__ = ("text", "link", "fixed", "common")
     label = "#"
 
     def __init__(self, text: str, link: bool):
-        self.text, self.link, self.fixed = text, link, False
+        self.text, self.link, self.fixed, self.common = text, link, False, False
+
+
+def boilerplate_words(values: Iterable[str]) -> frozenset[str]:
+    """Boilerplate words of those classes, ids and roles that are made of such words, plain ones and numbers only."""
+    out: set[str] = set()
+    for token in " ".join(values).split():
+        words = {w.lower() for w in _WORD.findall(token)}
+        if words <= BOILERPLATE | PLAIN:
+            out |= words & BOILERPLATE
+    return frozenset(out)
 
 
 def parse(page: str | None, names: bool = True) -> Node:
@@ -130,12 +153,13 @@ def parse(page: str | None, names: bool = True) -> Node:
                     break
             parent = stack[-1]
         found = {a.lower(): b or c or d for a, b, c, d in _MARK.findall(marks)} if marks else {}
-        words = {w.lower() for v in found.values() for w in _WORD.findall(v)} if found else ()
         content = names and (parent.content or name in CONTENT or found.get("role", "").lower() == "main")
         told = NO_ARTICLE if name == "article" else BOILERPLATE - HEADINGS if parent.content else BOILERPLATE
-        told = name in SKIPPED or name == "header" and not parent.content or not told.isdisjoint(words) and name not in ("body", "html", "main") if names else name in RAW or name == "head"
+        words = boilerplate_words(found.values()) & told if found and name not in ("body", "html", "main") else frozenset()
+        proposed = names and parent.content and bool(words) and words <= PROPOSED
+        told = name in SKIPPED or name == "header" and not parent.content or bool(words) and not proposed if names else name in RAW or name == "head"
         # numbers in class names tell pages apart, not kinds of elements
-        node = Node(name, f"{name}.{_NUMBER.sub('0', found['class'])}" if found.get("class") else name, parent.skip or told, content)
+        node = Node(name, f"{name}.{_NUMBER.sub('0', found['class'])}" if found.get("class") else name, parent.skip or told, content, proposed)
         parent.children.append(node)
         stack.append(node)
         links += name == "a"
@@ -208,14 +232,37 @@ def infer(node: Node, depth: int = 0, article: int | None = None) -> list:
 
 
 def _general(kids: list | dict) -> list | dict:
-    if isinstance(kids, dict) or len(kids) <= LONGEST:
-        return kids
+    return kids if isinstance(kids, dict) or len(kids) <= LONGEST else _general_dict(kids)
+
+
+def _wider(label: str, step: int) -> str:
+    """A label without its class; and one that stands for all elements."""
+    return "#" if label[:1] == "#" else label.split(".")[0] if step == 0 else "*"
+
+
+def _by_label(kids: Iterable[list], label=lambda x: x) -> dict:
     out: dict = {}
     for x in kids:
-        out[x[0]] = merge(out[x[0]], x, same_page=True) if x[0] in out else x
+        k = label(x[0])
+        x = [k, *x[1:]]
+        out[k] = merge(out[k], x, same_page=True) if k in out else x
     return out
 
 
+def _bounded(kids: dict) -> dict:
+    """At most LONGEST kinds of children: beyond that classes, and then names, are no longer told apart, so that pages with class words of
+    their own don't make a wrapper grow."""
+    for step in (0, 1):
+        if len(kids) > LONGEST:
+            kids = _by_label(kids.values(), lambda x: _wider(x, step))  # noqa: B023
+    return kids
+
+
+def _slot(kids: dict, label: str) -> list | None:
+    """The slot that describes children of this label."""
+    return next((kids[k] for k in (label, _wider(label, 0), _wider(label, 1)) if k in kids), None)
+
+
 def common(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence."""
     n, m = len(a), len(b)
@@ -245,7 +292,7 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     x, y = a[4], b[4]
     if isinstance(x, dict) or isinstance(y, dict):
         x, y = (_general_dict(z) for z in (x, y))
-        kids: list | dict = {k: merge(x[k], y[k], same_page) if k in x and k in y else x.get(k) or y[k] for k in [*x, *(k for k in y if k not in x)]}
+        kids: list | dict = _bounded({k: merge(x[k], y[k], same_page) if k in x and k in y else x.get(k) or y[k] for k in [*x, *(k for k in y if k not in x)]})
     else:
         kids, i, j = [], 0, 0
         for p, q in [*common([k[0] for k in x], [k[0] for k in y]), (len(x), len(y))]:
@@ -258,12 +305,7 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
 
 
 def _general_dict(kids: list | dict) -> dict:
-    if isinstance(kids, dict):
-        return kids
-    out: dict = {}
-    for x in kids:
-        out[x[0]] = merge(out[x[0]], x, same_page=True) if x[0] in out else x
-    return out
+    return kids if isinstance(kids, dict) else _bounded(_by_label(kids))
 
 
 def is_fixed(slot: list) -> bool:
@@ -275,9 +317,9 @@ def kids_of(wrapper: list) -> list:
     return [] if wrapper[0][:1] == "#" else list(wrapper[4].values() if isinstance(wrapper[4], dict) else wrapper[4])
 
 
-def main_part(wrapper: list) -> list | None:
-    """The part of a wrapper that holds the pages' text, None if none varies: from the page down to the child that holds MOST of it, as long
-    as nothing that varies in the flow of an article is left behind."""
+def main_part(wrapper: list, most: float = 1.0) -> list | None:
+    """The part of a wrapper that holds the pages' text, None if none varies: from the page down to the child that holds the share ``most``
+    of it, as long as nothing that varies in the flow of an article is left behind."""
     weights: dict[int, int] = {}
 
     def weigh(w: list) -> int:
@@ -287,15 +329,15 @@ def main_part(wrapper: list) -> list | None:
     if not weigh(wrapper):
         return None
     while True:
-        below = [k for k in kids_of(wrapper) if k[0][:1] != "#" and not k[2] and k[0].split(".")[0] not in INLINE and weights[id(k)] >= MOST * weights[id(wrapper)]]
+        below = [k for k in kids_of(wrapper) if k[0][:1] != "#" and not k[2] and k[0].split(".")[0] not in INLINE and weights[id(k)] >= most * weights[id(wrapper)]]
         if not below or any(weights[id(k)] and k[0].split(".")[0] in FLOW for k in kids_of(wrapper) if k is not below[0]):
             return wrapper
         wrapper = below[0]
 
 
 def mark(node: Node, wrapper: list, main: list | None = None) -> None:
-    """Align a page with its host's wrapper; mark the texts that stand in slots of the template, and the main part."""
-    open_ = [(node, wrapper, 0)]
+    """Align a page with its host's wrapper; mark the texts that stand in slots of the template, template containers, and the main part."""
+    open_root, open_, pages = node, [(node, wrapper, 0)], wrapper[3]
     while open_:
         node, w, depth = open_.pop()
         node.main = w is main
@@ -303,7 +345,7 @@ def mark(node: Node, wrapper: list, main: list | None = None) -> None:
             continue
         runs = [(k, [x for _, x in g]) for k, g in groupby(described(node, depth), key=lambda x: x[0])]
         if isinstance(w[4], dict):
-            pairs = [(g, w[4][k]) for k, g in runs if k in w[4]]
+            pairs = [(g, slot) for k, g in runs if (slot := _slot(w[4], k))]
         else:
             pairs = [(runs[i][1], w[4][j]) for i, j in common([k for k, _ in runs], [k[0] for k in w[4]])]
         for group, slot in pairs:
@@ -312,6 +354,24 @@ def mark(node: Node, wrapper: list, main: list | None = None) -> None:
                     open_.append((x, slot, depth + 1))
                 else:
                     x.fixed = is_fixed(slot)
+                    x.common = x.fixed and slot[3] >= NEARLY_ALL * pages
+    mark_templates(open_root)
+
+
+def mark_templates(root: Node) -> None:
+    """Mark containers of template text: elements, no part of the flow of a text, in which every text is fixed and on nearly all pages."""
+    order, stack = [], [root]
+    while stack:
+        order.append(stack.pop())
+        stack += [x for x in order[-1].children if isinstance(x, Node)]
+    held: dict[int, tuple[int, int]] = {}  # texts below an element, and those that are common
+    for node in reversed(order):
+        n = common_ = 0
+        for x in node.children:
+            a, b = held[id(x)] if isinstance(x, Node) else (1, int(x.common)) if x.text.strip() else (0, 0)
+            n, common_ = n + a, common_ + b
+        held[id(node)] = n, common_
+        node.template = n > 0 and n == common_ and node.name not in FLOW | INLINE | CONTENT and node.name not in ("", "html", "body", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead")
 
 
 def _path(root: Node, wanted) -> list[Node] | None:
@@ -329,11 +389,26 @@ def _path(root: Node, wanted) -> list[Node] | None:
     return None
 
 
-def blocks(root: Node) -> list[str]:
+def mostly_links(node: Node) -> bool:
+    """Are LINKS of an element's characters in links?"""
+    linked = whole = 0
+    stack = [node]
+    while stack:
+        for x in stack.pop().children:
+            if isinstance(x, Node):
+                stack.append(x)
+            else:
+                n = len(x.text.strip())
+                whole, linked = whole + n, linked + n * x.link
+    return whole > 0 and linked >= LINKS * whole
+
+
+def blocks(root: Node, names: bool = True) -> list[str]:
     """Texts of the blocks of main text, in page order.
 
     The main part that the wrapper tells decides; an article or main element around it or inside it makes its borders exact. Where the
-    wrapper's part isn't on the page, any such element counts, and without one the whole page.
+    wrapper's part isn't on the page, any such element counts, and without one the whole page. Template containers outside of articles
+    go, and inside them those that their class proposes; without ``names`` every text in a slot of the template goes.
     """
     path = _path(root, lambda x: x.main and not x.skip)
     around = next((x for x in path or [] if x.content), None)
@@ -351,7 +426,7 @@ def blocks(root: Node) -> list[str]:
         now.clear()
 
     def counts(x: Text, node: Node, within: bool) -> bool:
-        if x.fixed or node.skip:
+        if node.skip or x.fixed and not names:
             return False
         return within or not roots and (node.content or not has_content)
 
@@ -371,7 +446,8 @@ def blocks(root: Node) -> list[str]:
         elif not (x.skip and x.name in VOID and x.name != "hr"):
             if x.name not in INLINE:
                 flush()
-            if not x.skip:
+            gone = names and (x.template and (x.proposed or not x.content) or x.proposed and mostly_links(x))
+            if not x.skip and not gone:
                 stack.append((x, iter(x.children), within or id(x) in roots))
     flush()
     return out
@@ -382,7 +458,7 @@ def extract(page: str | None, wrapper: list | None, main: list | None = None, na
     root = parse(page, names)
     if wrapper is not None:
         mark(root, wrapper, main)
-    return "\n\n".join(blocks(root))
+    return "\n\n".join(blocks(root, names))
 
 
 def host(url: str) -> Column:
@@ -469,7 +545,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", result: st
                 if w is not None and w not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[w] = (tree := json.loads(w), main_part(tree))
+                    known[w] = (tree := json.loads(w), main_part(tree, 1.0 if names else MOST))
                 texts.append(extract(page, *known.get(w, (None, None)), names))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string())], names=[*inner, "t"])
 

@@ -83,7 +83,7 @@ def of_host(pages, names):
     for p in pages:
         w = wrappers.infer(wrappers.parse(p, names))
         whole = w if whole is None else wrappers.merge(whole, w)
-    return whole, wrappers.main_part(whole)
+    return whole, wrappers.main_part(whole, 1.0 if names else wrappers.MOST)
 
 
 def test_wrapper_alone_finds_the_same_text_on_the_pages_table(spark):
@@ -96,7 +96,7 @@ def test_wrapper_alone_finds_the_same_text_on_the_pages_table(spark):
         for p in pages:
             text = wrappers.extract(p, w, main)
             assert text == wrappers.extract(p, v, alone, names=False)
-            shown, removed = shown + len(text), removed + len("\n\n".join(wrappers.blocks(wrappers.parse(p, names=False)))) - len(text)
+            shown, removed = shown + len(text), removed + len("\n\n".join(wrappers.blocks(wrappers.parse(p, names=False), False))) - len(text)
     assert removed > 10_000 and shown > 10 * removed
 
 
@@ -118,8 +118,105 @@ def test_template_text_goes_inside_the_main_part_without_any_class_word():
     assert "Read our rules" in wrappers.extract(copies[0], w, main)  # copies of one article are no template
 
 
-def test_deep_text_is_described_and_told_to_be_template():
+def test_deep_text_stays():
     deep = lambda n: "<div>" * 60 + f"<b>{n} " + "own words of this page " * 9 + "</b><u>shared deep text</u>" + "</div>" * 60
     pages = [f"<html><body>{deep(n)}</body></html>" for n in range(5)]
     w, main = of_host(pages, True)
-    assert all(wrappers.extract(p, w, main) == f"{n} " + ("own words of this page " * 9).strip() for n, p in enumerate(pages))
+    assert all(wrappers.extract(p, w, main) == f"{n} " + "own words of this page " * 9 + "shared deep text" for n, p in enumerate(pages))
+    w, main = of_host(pages, False)  # without names a text in a slot of the template goes
+    assert all("shared" not in wrappers.extract(p, w, main, names=False) for p in pages)
+
+
+SENTENCE = "Sentence {n} that only this page has, which goes on for a while. "
+
+
+def test_shared_texts_inside_an_article_stay():
+    pages = [f"<html><body><nav>x</nav><article><h1>T{n}</h1><h2>Introduction</h2><p>{SENTENCE.format(n=n)}</p><blockquote>To be or not to be</blockquote><h2>Conclusion</h2><p>{n}!</p></article></body></html>" for n in range(6)]
+    w, main = of_host(pages, True)
+    for n, p in enumerate(pages):
+        assert wrappers.extract(p, w, main).split("\n\n") == [f"T{n}", "Introduction", SENTENCE.format(n=n).strip(), "To be or not to be", "Conclusion", f"{n}!"]
+
+
+def test_sibling_containers_stay():
+    pages = [f"<html><body><div id=a>{SENTENCE.format(n=n) * 7}</div><div id=b>{SENTENCE.format(n=n + 50)}</div></body></html>" for n in range(6)]
+    w, main = of_host(pages, True)
+    assert all(len(wrappers.extract(p, w, main).split("\n\n")) == 2 for p in pages)
+
+
+def test_class_words_only_propose():
+    for word in ("share-price", "form-theory", "comments-on-law", "search-algorithms", "social-history", "menu-of-the-day", "ad-hoc", "notice", "widget", "header-files"):
+        pages = [f'<html><body><article><h1>T{n}</h1><p>{SENTENCE.format(n=n)}</p><div class="{word}"><p>A paragraph {n} of the article.</p></div></article></body></html>' for n in range(5)]
+        w, main = of_host(pages, True)
+        assert all(f"A paragraph {n} of" in wrappers.extract(p, w, main) for n, p in enumerate(pages)), word
+    for word in ("share-box", "comments", "comment-list", "AdBanner", "related-posts", "site-nav", "newsletter signup"):
+        page = f'<html><body><article><p>{SENTENCE}</p><div class="{word}"><p>Gone.</p></div></article></body></html>'
+        assert "Gone" not in wrappers.extract(page, None), word
+
+
+def test_the_wrapper_decides_what_words_propose_and_what_has_no_word():
+    page = '<html><body><div class=x1>All rights kept</div><article><h1>T{n}</h1><p>{s}</p><div class="notice">We use your data.</div><div class="widget"><a href=/a>Link {n}</a> or</div></article></body></html>'
+    pages = [page.format(n=n, s=SENTENCE.format(n=n)) for n in range(6)]
+    w, main = of_host(pages, True)
+    for n, p in enumerate(pages):
+        assert wrappers.extract(p, w, main) == f"T{n}\n\n{SENTENCE.format(n=n).strip()}"
+        assert "We use your data." in wrappers.extract(p, None)  # one page alone can't tell
+    plain = "<html><body><div class=lead><p>About this site</p></div><div class=text><h2>Part</h2><p>{s}</p><p>Same on all pages.</p></div><div class=end>All rights kept</div></body></html>"
+    pages = [plain.format(s=SENTENCE.format(n=n)) for n in range(6)]
+    w, main = of_host(pages, True)
+    for n, p in enumerate(pages):
+        assert wrappers.extract(p, w, main) == f"Part\n\n{SENTENCE.format(n=n).strip()}\n\nSame on all pages."
+        assert "All rights kept" in wrappers.extract(p, None)
+
+
+def test_wrappers_do_not_grow_with_class_words_of_single_pages():
+    page = lambda n: f'<html><body><div class="p{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}x"><article class="post-{chr(97 + n % 26)}q{n}"><p>{SENTENCE.format(n=n)}</p></article></div></body></html>'
+    sizes = []
+    for most in (50, 200, 800):
+        whole, _ = of_host([page(n) for n in range(most)], True)
+        sizes.append(len(json.dumps(whole)))
+    assert max(sizes) < 12_000  # 48 kinds of children at most, however many pages there are
+
+
+def by_hand(page):
+    """An extractor of its own for the test pages: their article element, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.out, self.now = False, [], []
+
+        def end_block(self):
+            if text := " ".join("".join(self.now).split()):
+                self.out.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.now.append(" ")
+            elif tag not in ("b", "a", "i", "em", "strong"):
+                self.end_block()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i", "em", "strong", "br"):
+                self.end_block()
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    return "\n\n".join(reader.out)
+
+
+def test_all_pages_equal_an_extractor_of_its_own(spark):
+    from siftwell.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    want = {r.page_id: by_hand(r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op7_html_text(spark, folder).collect()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
