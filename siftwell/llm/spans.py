@@ -56,11 +56,11 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 def cut_out(docs: DataFrame, spans: DataFrame, text: str, key: str, keep: Sequence[str], fields: str, work: Callable[[bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """docs' columns ``keep`` and the columns ``fields`` (a DDL list) that work(bytes, starts, lengths) returns for each row.
 
-    ``spans`` (d, u, start, size) are gathered by document, so a group is never larger than a document's own spans, and joined to the
-    texts in one exchange. Names of kept columns may be anything: they travel under numbers.
+    ``spans`` (d, u, start, size) are gathered by document, each once however many copies of the row told it, so a group is never larger
+    than a document's own spans, and joined to the texts in one exchange. Names of kept columns may be anything: they travel under numbers.
     """
     base = placed(docs, text, key, keep).toDF("d", "u", "t", *(f"k{i}" for i in range(len(keep))))
-    lists = spans.groupBy("d", "u").agg(F.collect_list(F.struct("start", "size")).alias("s"))
+    lists = spans.groupBy("d", "u").agg(F.collect_set(F.struct("start", "size")).alias("s"))
     joined = base.join(lists, ["d", "u"], "left").select(*(f"k{i}" for i in range(len(keep))), "t", F.col("s.start").alias("a"), F.col("s.size").alias("n"))
     names = [f.split()[0] for f in fields.split(", ")]
     schema = ", ".join([*(f"k{i} {docs.select(col(c)).schema[0].dataType.simpleString()}" for i, c in enumerate(keep)), fields])
