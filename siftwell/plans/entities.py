@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, keywords, text, urls
+from ..functions import schedules as cron
 from ..operators import articles, dedup, digest, lists, strategy, tasks, trees
 from ..sources import readers
 from ..sources.readers import table
@@ -413,9 +414,20 @@ def redirects(spark, d):
     return p.select("page_id", urls.decode_redirect(F.replace(F.replace(u, F.lit("%3A"), F.lit(":")), F.lit("%2F"), F.lit("/"))).alias("target"))
 
 
-@query("SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN '5' END AS hour FROM supplier")
+@query("""WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2024-02-27 22:31:00', TIMESTAMP '2025-03-05 00:00:00', INTERVAL 1 MINUTE)) AS t),
+    f AS (SELECT t, minute(t) AS mi, hour(t) AS h, day(t) AS d, month(t) AS mo, isodow(t) - 1 AS w FROM m),
+    s AS (SELECT s_suppkey AS id, s_suppkey % 6 AS k, s_suppkey % 60 AS a, s_suppkey % 24 AS b, s_suppkey % 28 + 1 AS c FROM supplier)
+    SELECT id, strftime(min(t), '%Y-%m-%d %H:%M') AS due FROM s LEFT JOIN f ON CASE k WHEN 0 THEN mi = a AND h = b WHEN 1 THEN mi % 7 = 0 AND h BETWEEN 8 AND 18 AND (h - 8) % 2 = 0 AND w <= 4 WHEN 2 THEN mi IN (a, 59) AND d = c AND mo IN (2, 9)
+        WHEN 3 THEN mi = 0 AND h = 0 AND d = 29 AND mo = 2 WHEN 4 THEN mi = a AND h = 23 AND d >= c AND w IN (5, 6) END GROUP BY id""")
 def schedules(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), lists.cron_fields(pick("s_suppkey", "0 5 * * 1-5", "@daily"))["hour"].alias("hour"))
+    """When each source is due next."""
+    n = lambda k, plus=0: (F.col("s_suppkey") % k + plus).cast("string")
+    a, b, c = n(60), n(24), n(28, 1)
+    kinds = (F.concat_ws(" ", a, b, F.lit("* * *")), F.lit("*/7 8-18/2 * * 0-4"), F.concat(a, F.lit(",59 * "), c, F.lit(" 2,9 *")), F.lit("0 0 29 2 *"), F.concat(a, F.lit(" 23 "), c, F.lit("-31 * 5,6")), F.lit("@daily"))
+    line = F.element_at(F.array(*kinds), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    told = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), cron.parsed(line).alias("schedule"))
+    due = cron.next_due(F.col("schedule"), F.to_timestamp(F.lit("2024-02-27 22:30:01")))
+    return told.select("id", due.alias("due")).select("id", F.date_format("due", "yyyy-MM-dd HH:mm").alias("due"))
 
 
 @query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN length(t) > 150 THEN substr(t, 1, 150) || '...' ELSE t END AS summary FROM t""")

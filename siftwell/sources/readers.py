@@ -83,6 +83,31 @@ def feed_items(xml: str | None) -> list[tuple[str | None, str | None, str | None
     return out
 
 
+def parsed_feeds(feeds: DataFrame) -> DataFrame:
+    """(feed_url, entries) of feeds (feed_url, xml): all entries of a document as one list of (position, title, url, published), in order.
+    Addresses that are relative belong to the feed's; url is null for entries without a link."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lists = [[(i, t, urljoin(u or "", link) if link else None, at) for i, (t, link, at) in enumerate(feed_items(x))] for u, x in zip(b["feed_url"], b["xml"], strict=True)]
+            yield pd.DataFrame({"feed_url": b["feed_url"], "entries": lists})
+
+    return feeds.select("feed_url", "xml").mapInPandas(parse, "feed_url string, entries array<struct<position: int, title: string, url: string, published: string>>")
+
+
+def fresh_lists(feeds: DataFrame, now: str, hours: int = 24, most: int = 10) -> DataFrame:
+    """What fresh_entries tells, for feeds (feed_url, entries) that hold each document's entries as a list, without a shuffle: in batches and
+    in streams. Freshness is asked first; then a fifth of ``most`` undated entries (at least one) may stay, and ``most`` in all."""
+    ts = F.to_timestamp(F.lit(f"{now}+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
+    timed = F.transform("entries", lambda e: F.struct((-F.unix_micros(F.coalesce(utc(e["published"]), ts))).alias("newest"), e["position"].alias("position"), utc(e["published"]).alias("at"), e["url"].alias("url"), F.coalesce(e["title"], F.lit("")).alias("title")))
+    good = F.filter("timed", lambda e: F.coalesce(e["url"], F.lit("")).rlike("^https?://"))
+    dated = F.filter(good, lambda e: e["at"].isNotNull() & (e["at"] >= ts - F.expr(f"interval {hours} hours")) & (e["at"] <= ts + F.expr("interval 1 hour")))
+    undated = F.slice(F.filter(good, lambda e: e["at"].isNull()), 1, max(1, most // 5))
+    kept = F.slice(F.array_sort(F.concat(dated, undated)), 1, most)
+    rows = feeds.withColumn("timed", timed).select("feed_url", F.explode(kept).alias("e"))
+    return rows.select("feed_url", "e.url", "e.title", F.coalesce("e.at", ts).alias("published"))
+
+
 def read_feeds(feeds: DataFrame) -> DataFrame:
     """One row for each entry of feeds (feed_url, xml)."""
 

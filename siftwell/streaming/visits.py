@@ -25,9 +25,10 @@ def daily_views(log: DataFrame, late: str = "1 day") -> DataFrame:
     ).select(F.to_date("w.start").alias("day"), "article_id", "pv", "uv")
 
 
-def first_visits(log: DataFrame, keep: str = "30 days") -> DataFrame:
-    """The first view of each visitor and article; repeats within ``keep`` are dropped, after that state is freed."""
-    return with_event_time(log, "visit_time", keep).dropDuplicatesWithinWatermark(["article_id", "visitor_id"])
+def first_visits(log: DataFrame) -> DataFrame:
+    """The first view of each visitor and article, for good: state is one key a visitor and article and never expires, so that nobody counts
+    twice. See views.record_views for state in tables."""
+    return log.dropDuplicates(["article_id", "visitor_id"])
 
 
 def unseen_pages(pages: DataFrame, keep: str = "3 days", ts: str = "crawled_at") -> DataFrame:
@@ -45,22 +46,13 @@ def unseen_across_days(pages: DataFrame, history: DataFrame, keep: str = "3 days
 def poll_feeds(spark, folder: str, now: str, hours: int = 24, most: int = 10, keep: str = "3 days") -> DataFrame:
     """Fresh entries of feeds that a fetcher drops as JSON lines (feed_url, xml) into a folder; each address once within ``keep``.
 
-    Start it with trigger(availableNow=True) to poll: every file is read once, and the query's checkpoint tells which ones were. Caps by
-    feed need all of a feed's entries, which one file holds, so they are made where the file is parsed.
+    Start it with trigger(availableNow=True) to poll: every file is read once, and the query's checkpoint tells which ones were. What a
+    feed's document holds travels as one list, so freshness and caps apply to it as in a batch.
     """
-    from ..sources.readers import FEED, feed_items, joined_url
-    from ..functions.dates import utc
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(u, i, *e) for u, x in zip(b["feed_url"], b["xml"], strict=True) for i, e in enumerate(feed_items(x))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEED.split(", ")])
-
-    at = F.to_timestamp(F.lit(f"{now}+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
-    entries = spark.readStream.schema("feed_url string, xml string").json(folder).mapInPandas(parse, FEED)
-    timed = entries.withColumn("published", F.coalesce(utc(F.col("published")), at)).withColumn("url", joined_url(F.col("feed_url"), F.coalesce("link", F.lit(""))))
-    fresh = timed.where(F.col("url").rlike("^https?://") & (F.coalesce("link", F.lit("")) != "") & F.col("published").between(at - F.expr(f"interval {hours} hours"), at + F.expr("interval 1 hour")) & (F.col("position") < most))
-    return unseen_pages(fresh.select("feed_url", "url", F.coalesce("title", F.lit("")).alias("title"), "published"), keep, "published")
+    from ..sources.readers import fresh_lists, parsed_feeds
+
+    feeds = spark.readStream.schema("feed_url string, xml string").json(folder)
+    return unseen_pages(fresh_lists(parsed_feeds(feeds), now, hours, most), keep, "published")
 
 
 def moving_quality(runs: DataFrame) -> DataFrame:

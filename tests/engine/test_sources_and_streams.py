@@ -77,7 +77,7 @@ def run(stream, tmp_path, mode):
 
 def test_first_visits_equal_batch_distinct(spark, tmp_path, events):
     batch, stream = events
-    got = run(streams.first_visits(stream, "3650 days"), tmp_path, "append")
+    got = run(streams.first_visits(stream), tmp_path, "append")
     assert got.count() == batch.select("article_id", "visitor_id").distinct().count()
 
 
@@ -94,3 +94,85 @@ def test_streamed_rate_limit_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = run(streams.rate_limited(stream, 3, 60), tmp_path, "append")
     assert {r.id: r.allowed for r in got.collect()} == {r.id: r.allowed for r in visits.rate_limited(df, 3, 60).collect()}
+
+
+def test_a_visitor_counts_once_and_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from siftwell.streaming import views
+
+    path = str(tmp_path / "views")
+    frame = lambda rows: spark.createDataFrame(rows, "article_id long, visitor_id long, s long").select("article_id", "visitor_id", F.timestamp_seconds("s").alias("visit_time"))
+    day = 86_400
+    batches = [frame([(1, 7, 10), (1, 7, 20), (2, 7, 30)]), frame([(1, 8, day), (1, 7, 60 * day)]), frame([(2, 9, 61 * day)])]
+    told = lambda: {(r.article_id, r.pv, r.uv) for r in views.article_counts(views.view_records(spark, path)).collect()}
+    for i in (0, 1, 1, 0, 1):
+        views.record_views(batches[i], i, path)
+    assert told() == {(1, 4, 2), (2, 1, 1)}
+    views.compact(spark, path)
+    views.record_views(batches[2], 2, path)
+    views.record_views(batches[2], 2, path)
+    assert told() == {(1, 4, 2), (2, 2, 2)}
+    views.compact(spark, path)
+    assert told() == {(1, 4, 2), (2, 2, 2)}
+    record = {(r.article_id, r.visitor_id): r.views for r in views.view_records(spark, path).collect()}
+    assert record == {(1, 7): 3, (1, 8): 1, (2, 7): 1, (2, 9): 1}
+
+
+def test_running_views_keep_their_state(spark, tmp_path, events):
+    from siftwell.streaming import views
+
+    batch, stream = events
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run(views.running_views(stream), tmp_path, "update").collect()
+    finally:
+        spark.conf.unset(key)
+    last = {}
+    for r in got:
+        k = (r.article_id, r.visitor_id)
+        last[k] = r if k not in last or r.views > last[k].views else last[k]
+    assert {(k, r.views) for k, r in last.items()} == {((r.article_id, r.visitor_id), r.views) for r in visits.visitor_state(batch).collect()}
+    assert sum(r.is_new for r in got) == len(last)
+
+
+def test_feed_lists_equal_the_entries_of_a_batch(spark):
+    from siftwell.sources import readers
+
+    def item(i, when):
+        return f"<item><title>t{i}</title><link>/p/{i}</link>{f'<pubDate>{when}</pubDate>' if when else ''}</item>"
+
+    dates = [None, "Mon, 15 Jan 2024 10:00:00 GMT", "Mon, 01 Jan 2024 10:00:00 GMT", None, "Mon, 15 Jan 2024 12:30:00 GMT", "Tue, 16 Jan 2024 10:00:00 GMT", None, "Sun, 14 Jan 2024 23:00:00 GMT"]
+    xml = "<rss><channel>" + "".join(item(i, dates[i % 8]) for i in range(40)) + "</channel></rss>"
+    feeds = spark.createDataFrame([("http://a/feed", xml), ("http://b/feed", "<broken"), ("http://c/feed", xml.replace("/p/1<", "mailto:x<"))], "feed_url string, xml string")
+    for most in (3, 10, 50):
+        want = sorted(map(tuple, readers.fresh_entries(readers.read_feeds(feeds), "2024-01-15 12:00:00", 24, most).collect()))
+        got = sorted(map(tuple, readers.fresh_lists(readers.parsed_feeds(feeds), "2024-01-15 12:00:00", 24, most).collect()))
+        assert got == want and got
+
+
+def test_schedules(spark):
+    from datetime import datetime, timedelta
+
+    from siftwell.functions import schedules
+
+    lines = ["*/15 * * * *", "0 8 * * 0-4", "59 23 31 12 *", "5,10-12 */6 * * *", "0 0 30 2 *", "0 0 29 2 0", "61 * * * *", "x * * * *", "* * * *", None, "0 0 1 1-12/3 *", "7/20 3 * * 6"]
+    now = datetime(2023, 12, 31, 23, 58, 30)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, line string").select("id", schedules.parsed(F.col("line")).alias("s"))
+    got = {r.id: r.due for r in df.select("id", F.date_format(schedules.next_due(F.col("s"), F.lit(now.isoformat()).cast("timestamp")), "yyyy-MM-dd HH:mm").alias("due")).collect()}
+
+    def allowed(field, low, high):
+        out = set()
+        for item in field.split(","):
+            base, _, step = item.partition("/")
+            a, _, b = base.partition("-")
+            first, last = (low, high) if base == "*" else (int(a), int(b) if b else high if step else int(a))
+            out |= set(range(first, last + 1, int(step or 1)))
+        return out
+
+    for i in (0, 1, 2, 3, 10, 11):
+        sets = [allowed(f, *schedules.RANGES[n]) for f, n in zip(lines[i].split(), schedules.RANGES, strict=True)]
+        t = datetime(2023, 12, 31, 23, 59)
+        while not (t.minute in sets[0] and t.hour in sets[1] and t.day in sets[2] and t.month in sets[3] and t.weekday() in sets[4]):
+            t += timedelta(minutes=1)
+        assert got[i] == t.strftime("%Y-%m-%d %H:%M"), lines[i]
+    assert got[5] == "2044-02-29 00:00" and [got[i] for i in (4, 6, 7, 8, 9)] == [None] * 5
