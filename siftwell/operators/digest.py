@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import CUT_MARK, cut_at_paragraph
 from .dedup import keep_first
 
 
@@ -32,84 +34,95 @@ def repair_urls(items: DataFrame, pages: DataFrame, group: str = "task_id") -> D
     loose = pages.groupBy(group, bare(F.col("url")).alias("_b")).agg(F.min("url").alias("l"))
     out = base.withColumn("e", F.col("url")).join(exact.withColumn("_hit", F.lit(True)), [group, "e"], "left").withColumn("e", F.when(F.col("_hit"), F.col("e"))).drop("_hit")
     out = out.withColumn("_b", bare(F.col("url"))).join(loose, [group, "_b"], "left").drop("_b")
-    # a page that the address continues: candidates are the address cut after each slash or mark
-    cuts = F.transform(F.sequence(F.lit(8), F.greatest(F.length("url"), F.lit(8))), lambda i: F.substring(F.col("url"), F.lit(1), i))
-    heads = base.select(group, "_n", F.explode(F.array_distinct(cuts)).alias("p")).join(exact.withColumnRenamed("e", "p"), [group, "p"]).groupBy("_n").agg(F.min("p").alias("h"))
+    # a page that the address continues: candidates are the address cut to lengths that addresses of the task's pages have
+    sizes = pages.groupBy(group).agg(F.collect_set(F.length("url")).alias("_sizes"))
+    cuts = F.transform(F.filter("_sizes", lambda i: i <= F.length("url")), lambda i: F.substring(F.col("url"), F.lit(1), i))
+    heads = base.join(sizes, group).select(group, "_n", F.explode(cuts).alias("p")).join(exact.withColumnRenamed("e", "p"), [group, "p"]).groupBy("_n").agg(F.min("p").alias("h"))
     out = out.join(heads, "_n", "left")
     return out.select(*items.columns, F.coalesce("e", "h", "l", F.lit("")).alias("fixed"))
 
 
-#: What is put after a text that was cut (a fixed value), and how much of a prompt is kept for instructions.
-CUT_MARK, RESERVED = "\n\n[...内容过长已截断]", 8000
+#: How much of a prompt is kept for instructions, the texts that a category is sent at least, and the category of pages without one.
+RESERVED, LEAST_TEXTS, USUAL = 8000, 2, "tech_article"
 #: Categories of a digest in their order, and levels of sources (fixed values).
 CATEGORY_ORDER = ("hot_trend", "open_source", "tech_article", "dev_tool", "paper", "creative")
-LEVEL_ORDER = {"official": 0, "high": 1, "medium": 2, "low": 3, "spam": 4}
+LEVEL_ORDER = ("official", "high", "medium", "low", "spam")
 
 
-def cut_text(text: str, limit: int) -> str:
-    """At most ``limit`` characters and a mark, cut before a blank line in the last fifth or a line end in the second half."""
-    if len(text) <= limit:
-        return text
-    blank, line = text.rfind("\n\n", 0, limit), text.rfind("\n", 0, limit)
-    at = blank if blank >= limit * 0.8 else line
-    return text[: at if at >= limit * 0.5 else limit] + CUT_MARK
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def pack(pages: DataFrame, budget: int = 150_000, per_page: int = 20_000, group: str = "task_id", content: str = "content") -> DataFrame:
+def _place(value: Column, order: Sequence[str], other: int) -> Column:
+    """A value's place in a fixed order, from 0; ``other`` for values that aren't in it."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.coalesce(value, F.lit("")))
+    return F.when(at > 0, at - 1).otherwise(other)
+
+
+def pack(pages: DataFrame, budget: int = 150_000, per_page: int = 20_000, group: str = "task_id", content: str = "content", key: str = "page_id") -> DataFrame:
     """pages with ``packed``: longest first, each cut to ``per_page`` and to what is left of its task's budget; null when nothing is left.
 
-    A cut text is shorter than what was left, or longer by its mark, and the next page gets the rest, so a task's few pages are folded.
+    How much a cut takes depends on where the text can be cut, so the room of a page is known only behind the one before it: the pages of
+    a task, of which a prompt has few, are folded by one expression that holds their first ``per_page`` characters.
     """
-    schema = T.StructType([*pages.schema.fields, T.StructField("packed", T.StringType())])
+    text = F.coalesce(F.col(content), F.lit(""))
+    row = F.struct((-F.length(text)).alias("order"), F.col(key).alias("key"), F.substring(text, 1, per_page + 1).alias("head"))
+    listed = pages.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_n=rows[content].fillna("").str.len()).sort_values(["_n", "page_id"], ascending=[False, True], kind="stable")
-        left, out = budget, []
-        for text in rows[content].fillna(""):
-            room = min(per_page, left)
-            out.append(cut_text(text, room) if room > 0 else None)
-            left -= len(out[-1] or "")
-        return rows.drop(columns="_n").assign(packed=out)
+    def step(s: Column, x: Column) -> Column:
+        room = F.least(F.lit(per_page), s["left"])
+        packed = F.when(room > 0, cut_at_paragraph(x["head"], room))
+        return _bound(packed, lambda p: F.struct((s["left"] - F.coalesce(F.length(p), F.lit(0))).alias("left"), F.array_append(s["out"], F.struct(x["key"].alias("key"), p.alias("packed"))).alias("out")))
 
-    return pages.groupBy(group).applyInPandas(fold, schema)
+    kind = pages.schema[key].dataType.simpleString()
+    zero = F.struct(F.lit(budget).alias("left"), F.array().cast(f"array<struct<key: {kind}, packed: string>>").alias("out"))
+    done = listed.select(group, F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("x")).select(F.col(group).alias("_g"), F.col("x.key").alias("_k"), "x.packed")
+    return pages.join(done, F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_k"))).drop("_g", "_k")
 
 
 def pack_digest(pages: DataFrame, budget: int = 100_000, per_page: int = 8000, group: str = "task_id") -> DataFrame:
     """(task_id, category, place, page_id, mode, packed): pages of a digest by category, in its order, then by level of source and title.
 
-    Categories share what is left after a reserve equally. The better half of a category (two at least) is sent as text, cut to what
-    is left; of the others the summary alone, where there is one. Blank pages are left out; a full budget omits the text.
+    Every category has an equal share of the budget, less a reserve. Its better half (LEAST_TEXTS at least) is sent as text, cut to what is
+    left of the share and of the whole; of the others the summary goes alone, where there is one. Blank pages are left out. A page for
+    which nothing is left is omitted, and behind the page that fills the budget of the last category all are left out.
+
+    Places, shares and who is sent as text come from windows; only the sizes are folded, over the pages of one digest.
     """
-    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORY_ORDER) for x in (c, i)]), F.col("category")), F.lit(99))
-    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVEL_ORDER.items() for x in kv]), F.col("source_level")), F.lit(2))
-    rows = pages.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("category", F.when(F.coalesce("category", F.lit("")) == "", "tech_article").otherwise(F.col("category")))
-    rows = rows.select(group, "category", rank.alias("_rank"), level.alias("_level"), F.coalesce("title", F.lit("")).alias("_title"), "page_id", F.coalesce("summary", F.lit("")).alias("_summary"), "content")
-    kind = rows.schema
-    schema = f"{group} {kind[group].dataType.simpleString()}, category string, place int, page_id {kind['page_id'].dataType.simpleString()}, mode string, packed string"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_rank", "category", "_level", "_title", "page_id"], kind="stable")
-        total = max(budget - RESERVED, budget // 2)
-        sizes = rows.groupby("category").size()
-        share, used, out, full = total // len(sizes), dict.fromkeys(sizes.index, 0), [], False
-        seen: dict[str, int] = {}
-        for task, c, page, summary, text in zip(*(rows[x] for x in (group, "category", "page_id", "_summary", "content")), strict=True):
-            place = seen[c] = seen.get(c, 0) + 1
-            if full:
-                out.append((task, c, place, page, "left_out", None))
-                continue
-            if place > max(2, sizes[c] // 2) and summary:
-                out.append((task, c, place, page, "summary", summary))
-                continue
-            room = min(per_page, max(0, min(total - sum(used.values()), share - used[c])))
-            packed = cut_text(text, room) if room > 0 else None
-            out.append((task, c, place, page, "text" if packed is not None else "omitted", packed))
-            if packed is not None:
-                used[c] += len(packed)
-                full = sum(used.values()) >= total and all(n >= share * 0.5 for n in used.values())
-        return pd.DataFrame(out, columns=[group, "category", "place", "page_id", "mode", "packed"])
-
-    return rows.groupBy(group).applyInPandas(fold, schema)
+    named = pages.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit(USUAL)))
+    digest_, of_category = Window.partitionBy(group), Window.partitionBy(group, "category")
+    level, title = _place(F.col("source_level"), LEVEL_ORDER, 2), F.coalesce("title", F.lit(""))
+    total = max(budget - RESERVED, budget // 2)
+    ranked = named.select(
+        group, "category", "page_id", _place(F.col("category"), CATEGORY_ORDER, 99).alias("rank"), F.coalesce("summary", F.lit("")).alias("summary"), F.substring("content", 1, per_page + 1).alias("head"),
+        F.row_number().over(of_category.orderBy(level, title, "page_id")).alias("place"), F.count(F.lit(1)).over(of_category).alias("n"), F.size(F.collect_set("category").over(digest_)).alias("categories"),
+    )
+    told = ranked.withColumn("brief", (F.col("place") > F.greatest(F.lit(LEAST_TEXTS), F.floor(F.col("n") / 2))) & (F.col("summary") != "")).withColumn("share", F.floor(F.lit(total) / F.col("categories")))
+    rows = told.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "category", "place", "page_id", "brief", "share", "categories", "summary", "head"))).alias("rows"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["category"] == x["category"]
+        own = F.when(same, s["own"]).otherwise(0)
+        met = s["met"] + F.when(~same & (s["own"] * 2 >= x["share"]) & (s["category"] != ""), 1).otherwise(0)  # categories behind that used half of their share
+        filled = (s["used"] >= total) & (met + F.when(own * 2 >= x["share"], 1).otherwise(0) == x["categories"])
+        room = F.least(F.lit(per_page), F.lit(total) - s["used"], x["share"] - own).cast("int")
+        mode = F.when(filled, "left_out").when(x["brief"], "summary").when(room <= 0, "omitted").otherwise("text")
+
+        def put(m: Column) -> Column:
+            packed = F.when(m == "text", cut_at_paragraph(x["head"], room)).when(m == "summary", x["summary"])
+            taken = lambda p: F.when(m == "text", F.length(p)).otherwise(0)
+            entry = lambda p: F.struct(x["category"].alias("category"), x["place"].alias("place"), x["page_id"].alias("page_id"), m.alias("mode"), p.alias("packed"))
+            return _bound(packed, lambda p: F.struct(
+                (s["used"] + taken(p)).cast("long").alias("used"), x["category"].alias("category"), (own + taken(p)).cast("long").alias("own"), met.cast("int").alias("met"), F.array_append(s["out"], entry(p)).alias("out")
+            ))
+
+        return _bound(mode, put)
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<category: string, place: int, page_id: {kind}, mode: string, packed: string>>")
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit("").alias("category"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("met"), empty.alias("out"))
+    return rows.select(group, F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("x")).select(group, "x.*")
 
 
 def sections_with_items(sections: DataFrame, items: DataFrame) -> DataFrame:

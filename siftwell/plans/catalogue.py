@@ -625,7 +625,7 @@ def url_repair(spark, d):
 
 @query
 def digest_pack(spark, d):
-    p = W.pages(spark, d).select((F.col("page_id") % 7).alias("task_id"), "page_id", F.regexp_replace("content", " ", "").alias("content"))
+    p = W.pages(spark, d).select(F.floor(F.col("page_id") / 20).alias("task_id"), "page_id", F.regexp_replace("content", " ", "").alias("content"))
     return digest.pack(p, 20_000, 4_000).select("task_id", "page_id", F.coalesce(F.length("packed"), F.lit(0)).cast("long").alias("packed_chars"))
 
 
@@ -634,7 +634,7 @@ def digest_prompt(spark, d):
     p = W.pages(spark, d)
     names = F.array(*map(F.lit, ["hot_trend", "paper", "", "other"]))
     rows = p.select(
-        (F.col("page_id") % 3).alias("task_id"), "page_id", F.element_at(names, (F.col("page_id") % 4 + 1).cast("int")).alias("category"), urls.authority_level(F.col("url")).alias("source_level"),
+        F.floor(F.col("page_id") / 20).alias("task_id"), "page_id", F.element_at(names, (F.col("page_id") % 4 + 1).cast("int")).alias("category"), urls.authority_level(F.col("url")).alias("source_level"),
         "title", F.when(F.col("page_id") % 2 == 0, F.substring("content", 1, 80)).alias("summary"), "content",
     )
     return digest.pack_digest(rows, 40_000, 2_000).select("task_id", "category", "place", "page_id", "mode", F.length("packed").cast("long").alias("packed_chars"))

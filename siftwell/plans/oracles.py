@@ -323,7 +323,7 @@ ORACLE_SQL: dict[str, str] = {
     "digest_item_dedup": ITEMS + "SELECT section, position, url FROM i QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(one_liner) DESC, section, position) = 1 OR url = ''",
     "url_repair": """WITH p AS (SELECT page_id % 7 AS task_id, page_id AS position, url FROM pages), i AS (SELECT *, CASE position % 4 WHEN 0 THEN regexp_replace(url, '^https?', 'ftp') WHEN 1 THEN regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') WHEN 2 THEN url || 'zz' ELSE url END AS b FROM p)
         SELECT task_id, position, coalesce((SELECT min(url) FROM p WHERE p.task_id = i.task_id AND p.url = i.b), (SELECT min(url) FROM p WHERE p.task_id = i.task_id AND starts_with(i.b, p.url)), (SELECT min(url) FROM p WHERE p.task_id = i.task_id AND rtrim(regexp_replace(p.url, '^https?://', ''), '/') = rtrim(regexp_replace(i.b, '^https?://', ''), '/')), '') AS fixed FROM i""",
-    "digest_pack": """WITH RECURSIVE """ + SQL["pages"] + """, s AS (SELECT page_id % 7 AS task_id, page_id, length(replace(content, ' ', '')) AS n, row_number() OVER (PARTITION BY page_id % 7 ORDER BY length(replace(content, ' ', '')) DESC, page_id) AS k FROM v_pages),
+    "digest_pack": """WITH RECURSIVE """ + SQL["pages"] + """, s AS (SELECT page_id // 20 AS task_id, page_id, length(replace(content, ' ', '')) AS n, row_number() OVER (PARTITION BY page_id // 20 ORDER BY length(replace(content, ' ', '')) DESC, page_id) AS k FROM v_pages),
         f AS (SELECT task_id, page_id, k, 20000 AS room, CASE WHEN n <= 4000 THEN n ELSE 4000 + 14 END AS used FROM s WHERE k = 1
         UNION ALL SELECT s.task_id, s.page_id, s.k, f.room - f.used, CASE WHEN f.room - f.used <= 0 THEN 0 WHEN n <= least(4000, f.room - f.used) THEN n ELSE least(4000, f.room - f.used) + 14 END FROM f JOIN s ON f.task_id = s.task_id AND s.k = f.k + 1)
         SELECT task_id, page_id, CAST(used AS BIGINT) AS packed_chars FROM f""",

@@ -32,11 +32,10 @@ def test_base_domain(spark, url, want):
 
 
 def test_texts_are_cut_before_paragraphs(spark):
-    t = "a" * 70 + "\n\n" + "b" * 10 + "\n" + "c" * 100
-    for limit in (80, 90, 120, 400, 10):
-        want = digest.cut_text(t, limit)
-        assert spark.range(1).select(text.cut_at_paragraph(F.lit(t), limit)).first()[0] == want
-    assert digest.cut_text(t, 80) == "a" * 70 + digest.CUT_MARK and digest.cut_text(t, 120).startswith("a" * 70 + "\n\n" + "b" * 10 + digest.CUT_MARK)
+    t, mark = "a" * 70 + "\n\n" + "b" * 10 + "\n" + "c" * 100, text.CUT_MARK
+    want = {80: t[:70] + mark, 90: t[:82] + mark, 120: t[:82] + mark, 400: t, 10: t[:10] + mark, 200: t, 183: t}
+    for limit, cut in want.items():
+        assert spark.range(1).select(text.cut_at_paragraph(F.lit(t), limit).alias("a"), text.cut_at_paragraph(F.lit(t), F.lit(limit)).alias("b")).first() == (cut, cut)
 
 
 def test_digest_prompt_shares_a_budget(spark):
