@@ -28,7 +28,7 @@ LENGTH, GRAM = 50, 20
 CHUNK, GATHER, STRINGS, SORTED = 1 << 20, 1_500_000, 200_000, 40_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xD6E8FEB86659FD93)
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW, _TOP16 = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF << 48)
 _SIGN = np.uint64(1 << 63)
 
 
@@ -110,7 +110,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         shared = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), np.diff(np.append(at, len(h))))
         kind = np.where(shared, np.where(new, 1, 2), 0)
         with np.errstate(over="ignore"):
-            key = np.where(kind == 2, ((d ^ v).astype(np.uint64) * _B ^ p.astype(np.uint64)) * _C, h)
+            key = np.where(kind == 2, ((d ^ v).astype(np.uint64) * _B ^ p.astype(np.uint64)) * _C & ~_LOW, h)
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d), pa.array(v), pa.array(p << 2 | kind)], names=["key", "d", "v", "p"])
 
     def emit(batches):
@@ -163,7 +163,7 @@ def _strings(batches):
         later = d[order] > d[lead_of]
         settled[order[later]] = [strings[i] == strings[j] for i, j in zip(order[later].tolist(), lead_of[later].tolist(), strict=True)]
         with np.errstate(over="ignore"):
-            spread = ((u.astype(np.uint64) ^ first.astype(np.uint64)) * _B).view(np.int64)
+            spread = ((u.astype(np.uint64) ^ first.astype(np.uint64)) * _B & _TOP16).view(np.int64)  # zeros travel for nothing
         blobs = pa.array([None if s else x for s, x in zip(settled.tolist(), strings, strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(np.where(settled, spread, lead)), pa.array(d), pa.array(u), pa.array(first), pa.array(shape), blobs], names=["lead", "d", "u", "first", "shape", "string"])
 
