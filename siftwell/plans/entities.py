@@ -56,9 +56,12 @@ def public_settings(spark, d):
     return lists.settings_of(p, "Brand#11", public=True)
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'a:url:k1,b:rss:' WHEN 1 THEN 'usual:keyword:spark' ELSE 'usual:keyword:spark' END AS sections FROM supplier""")
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN s_name || ':url:' || s_nationkey || ',n' || s_nationkey || ':rss:' WHEN 1 THEN 'usual:keyword:spark' WHEN 2 THEN 'usual:keyword:spark' ELSE s_name || ':url:' || s_nationkey END AS sections FROM supplier""")
 def section_settings(spark, d):
-    config = pick("s_suppkey", '[{"name": "a", "source_type": "url", "keyword": "k1"}, {"name": "b", "source_type": "rss", "keyword": ""}]', "[]", "{broken", None)
+    """Settings made of suppliers: two sections, an empty list, a broken one, one section and an object without a name."""
+    one, two = F.struct(F.col("s_name").alias("name"), F.lit("url").alias("source_type"), F.col("s_nationkey").cast("string").alias("keyword")), F.struct(F.concat(F.lit("n"), "s_nationkey").alias("name"), F.lit("rss").alias("source_type"), F.lit("").alias("keyword"))
+    whole, k = F.to_json(F.array(one, two)), F.col("s_suppkey") % 4
+    config = F.when(k == 0, whole).when(k == 1, "[]").when(k == 2, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(F.concat(F.substring(F.to_json(F.array(one)), F.lit(1), F.length(F.to_json(F.array(one))) - 1), F.lit(', {"keyword": "x"}]')))
     found = readers.sections_of(config, [("usual", "keyword", "spark")])
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["name"], x["source_type"], x["keyword"])), ",").alias("sections"))
 
@@ -199,9 +202,12 @@ def search_rank(spark, d):
     return lists.ranked(r, "task_id", F.desc("l_extendedprice"), F.asc("n")).select("task_id", "n", "search_rank")
 
 
-@query("SELECT page_id, page_id % 5 = 0 AS robot FROM pages")
+@query(f"SELECT page_id, regexp_matches(lower(CASE WHEN page_id % 5 = 0 THEN replace(html, '<h1>', '<h1>' || CASE WHEN page_id % 2 = 0 THEN 'Please VERIFY you are human. ' ELSE '{keywords.ROBOT_PHRASES[0]} ' END) ELSE html END), '{text.alternation(x.lower() for x in keywords.ROBOT_PHRASES).replace(chr(39), chr(39) * 2)}') AS robot FROM pages")
 def robot_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", keywords.asks_for_human(F.concat(F.lit("<p>"), pick("page_id", "Please VERIFY you are human", "", "x", "y", "z"))).alias("robot"))
+    """Whole pages, one in five with such a phrase in its heading."""
+    phrase = F.when(F.col("page_id") % 2 == 0, "Please VERIFY you are human. ").otherwise(f"{keywords.ROBOT_PHRASES[0]} ")
+    page = F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<h1>"), F.concat(F.lit("<h1>"), phrase))).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", keywords.asks_for_human(page).alias("robot"))
 
 
 @query(over("pages", "SELECT page_id, page_id % 3 <> 0 AND CAST(floor(length(regexp_replace(content, '[^一-鿿]', '', 'g')) + 1.5 * len(regexp_extract_all(content, '[a-zA-Z]+'))) AS BIGINT) >= 300 AS success FROM v_pages"))
@@ -357,9 +363,9 @@ def sections_nested(spark, d):
 # Functions
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language FROM pages WHERE NOT regexp_matches(html, '<title>[^<]*&')""")
+@query(r"""SELECT page_id, trim(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp(;|$)', '&', 'g'), '&quot;', '"'), '&#39;', '''')) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language FROM pages""".replace("\\'", "'"))
 def page_metadata(spark, d):
-    m = readers.page_metadata(table(spark, d, "pages").where(~F.col("html").rlike("<title>[^<]*&")))  # character references are decoded; SQL can't
+    m = readers.page_metadata(table(spark, d, "pages"))
     return m.select("page_id", F.coalesce("title", F.lit("")).alias("title"), "language")
 
 
@@ -389,21 +395,37 @@ def search_windows(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), keywords.baidu_window(start, start + F.expr("interval 1 day")).alias("part"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 ELSE 0 END AS n FROM documents")
+@query("""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE len(w) END AS n, md5(CASE WHEN doc_id % 3 = 2 THEN '' ELSE array_to_string(w, '|') END) AS words FROM w""")
 def json_lists(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(readers.json_list(pick("doc_id", '["a", "b"]', "", "[broken", None))).alias("n"))
+    """Whole texts as JSON lists of their words; every third has lost its end."""
+    whole = F.to_json(F.split(F.coalesce("text", F.lit("")), " "))
+    found = table(spark, d, "documents").select("doc_id", readers.json_list(F.when(F.col("doc_id") % 3 == 2, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)).alias("x"))
+    return found.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|").cast("binary")).alias("words"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'T' WHEN 1 THEN 'U' WHEN 4 THEN 'T' END AS title, CASE doc_id % 5 WHEN 2 THEN 'no_json' WHEN 3 THEN 'no_title' WHEN 4 THEN 'no_summary' END AS error, CASE doc_id % 5 WHEN 0 THEN 'x,y' ELSE '' END AS tags FROM documents""")
+@query("""WITH a AS (SELECT doc_id, doc_id % 5 AS k, source || ' ' || doc_id AS t, coalesce(text, '') AS s, coalesce(lang, '') AS l, source FROM documents)
+    SELECT doc_id, CASE WHEN k IN (0, 1, 4) THEN t END AS title, CASE WHEN k = 2 THEN 'no_json' WHEN k = 3 THEN 'no_title' WHEN k = 4 OR trim(s) = '' THEN 'no_summary' END AS error,
+        CASE WHEN k = 2 THEN '' ELSE concat_ws(',', nullif(l, ''), CASE WHEN source <> l THEN source END) END AS tags, CASE WHEN k IN (0, 1, 3) THEN md5(s) END AS summary FROM a""")
 def model_answers(spark, d):
-    a = pick("doc_id", 'Here: ```json\n{"title": "T", "summary": "S", "tags": ["x", "", "y", "x"]}\n```', 'so {"title": "U", "summary": "S {x}"} end', "none {at all", '{"summary": "S"}', '{"title": "T"}')
-    return table(spark, d, "documents").select("doc_id", digest.parse_answer(a).alias("a")).select("doc_id", "a.title", "a.error", F.array_join("a.tags", ",").alias("tags"))
+    """Answers about whole documents: fenced, inside prose, prose only, and without title or summary."""
+    k, title, summary = F.col("doc_id") % 5, F.concat("source", F.lit(" "), "doc_id"), F.coalesce("text", F.lit(""))
+    tags = F.array(F.coalesce("lang", F.lit("")), F.col("source"), F.coalesce("lang", F.lit("")), F.lit(" "))
+    body = F.to_json(F.struct(F.when(k != 3, title).alias("title"), F.when(k != 4, summary).alias("summary"), tags.alias("tags")))
+    answer = F.when(k == 0, F.concat(F.lit("Here: ```json\n"), body, F.lit("\n```"))).when(k == 2, F.translate(summary, "{}", "()")).otherwise(F.concat(F.lit("so {not this} but "), body, F.lit(" as {asked}")))
+    told = table(spark, d, "documents").select("doc_id", digest.parse_answer(answer).alias("a"))
+    return told.select("doc_id", "a.title", "a.error", F.array_join("a.tags", ",").alias("tags"), F.md5(F.col("a.summary").cast("binary")).alias("summary"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 0 END AS items, CASE doc_id % 3 WHEN 1 THEN 'no_json' WHEN 2 THEN 'no_sections' END AS error FROM documents")
+@query("""WITH n AS (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n ELSE 0 END AS items, CASE WHEN doc_id % 3 = 1 THEN 'no_json' WHEN doc_id % 3 = 2 OR n = 0 THEN 'no_sections' END AS error FROM n""")
 def digest_answers(spark, d):
-    a = pick("doc_id", '{"highlight": "h", "sections": [{"category": "c", "items": [{"title": "a"}, {"title": ""}]}, {"category": "e", "items": []}, {"category": "f", "items": [{"title": "b"}]}]}', "nothing", '{"sections": []}')
-    return table(spark, d, "documents").select("doc_id", digest.parse_digest(a).alias("a")).select("doc_id", "a.items", "a.error")
+    """Digests with an item for each line of a document, prose without JSON, and digests without sections."""
+    items = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(x.alias("title"), F.lit("o").alias("one_liner")))
+    none = F.filter(items, lambda x: F.lit(False))
+    sections = F.array(F.struct(F.col("source").alias("category"), items.alias("items")), F.struct(F.lit("empty").alias("category"), none.alias("items")))
+    body = F.to_json(F.struct(F.col("source").alias("highlight"), F.when(F.col("doc_id") % 3 == 0, sections).otherwise(F.filter(sections, lambda x: F.lit(False))).alias("sections")))
+    answer = F.when(F.col("doc_id") % 3 == 1, F.translate(F.coalesce("text", F.lit("")), "{}", "()")).otherwise(F.concat(F.lit("Today: "), body))
+    return table(spark, d, "documents").select("doc_id", digest.parse_digest(answer).alias("a")).select("doc_id", "a.items", "a.error")
 
 
 @query("SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'http://www.bing.com/search' ELSE url END AS target FROM pages WHERE NOT regexp_matches(url, '[&#%]')")
@@ -435,9 +457,9 @@ def html_summary(spark, d):
     return table(spark, d, "pages").select("page_id", text.strip_summary(F.col("html")).alias("summary"))
 
 
-@query("SELECT page_id, length(replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS chars FROM pages")
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM pages".replace("\\", ""))
 def html_escaped(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(text.html_escape(F.substring("html", 1, 400))).cast("long").alias("chars"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.html_escape(F.col("html")).cast("binary")).alias("escaped"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM documents WHERE text IS NOT NULL), k AS (SELECT *, length(regexp_extract(h, '(?s)^(.*)\\n\\n', 1)) AS b, length(regexp_extract(h, '(?s)^(.*)\\n', 1)) AS l FROM c)
@@ -457,20 +479,33 @@ def base_domains(spark, d):
     return table(spark, d, "pages").select("page_id", urls.base_domain(F.col("url")).alias("base"))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 4 THEN false ELSE true END AS private FROM pages")
+@query("""WITH n AS (SELECT l_orderkey AS task_id, l_linenumber AS n, l_partkey % 256 AS a, (l_suppkey * 7 + l_orderkey) % 256 AS b FROM lineitem)
+    SELECT task_id, n, CASE WHEN n = 1 THEN (task_id % 3 <> 1) ELSE a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b BETWEEN 18 AND 19) END AS private FROM n""")
 def private_addresses(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.is_private(pick("page_id", "http://127.0.0.1/", "https://192.168.1.5:80/x", "http://localhost/", "http://[::1]/", "https://example.org/")).alias("private"))
+    """Addresses whose numbers come from order lines; first lines have names."""
+    a, b = F.col("l_partkey") % 256, (F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 256
+    named = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("http://n"), "l_orderkey", F.lit(".local/"))).when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("http://n"), "l_orderkey", F.lit(".example.org/localhost"))).otherwise(F.lit("https://[fe80::1]/"))
+    url = F.when(F.col("l_linenumber") == 1, named).otherwise(F.concat(F.lit("http://"), a.cast("string"), F.lit("."), b.cast("string"), F.lit(".1.2:80/x")))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("n"), urls.is_private(url).alias("private"))
 
 
 def feeds(spark, d) -> DataFrame:
-    """A feed for each nation, with entries before and after now, in another zone, undated, untitled, and relative."""
-    item = lambda title, link, date: F.concat(F.lit("<item>"), F.lit(f"<title>{title}</title>" if title else ""), F.lit(f"<link>{link}</link>"), F.lit(f"<pubDate>{date}</pubDate>" if date else ""), F.lit("</item>"))
-    body = F.concat(F.lit("<rss><channel>"), item("new", "https://x.org/new", "Mon, 15 Jan 2024 10:00:00 +0800"), item("old", "https://x.org/old", "Fri, 12 Jan 2024 10:00:00 GMT"), item("", "rel/a", "Mon, 15 Jan 2024 11:00:00 GMT"), item("undated", "/root", ""), item("also", "/b", ""), item("ahead", "https://x.org/f", "Wed, 17 Jan 2024 10:00:00 GMT"), F.lit("</channel></rss>"))
-    return table(spark, d, "nation").select(F.concat(F.lit("https://feeds.org/"), "n_nationkey", F.lit("/rss.xml")).alias("feed_url"), body.alias("xml"))
-
-
-@query("""SELECT 'https://feeds.org/' || n_nationkey || '/rss.xml' AS feed_url, u AS url, t AS title, p AS published FROM nation, (VALUES ('https://x.org/new', 'new', '2024-01-15 02:00:00'), ('https://feeds.org/root', 'undated', '2024-01-15 12:00:00')) v(u, t, p)
-    UNION ALL SELECT 'https://feeds.org/' || n_nationkey || '/rss.xml', 'https://feeds.org/' || n_nationkey || '/rel/a', '', '2024-01-15 11:00:00' FROM nation""")
+    """A feed for each nation, with an entry for each of its customers: up to four days old or two hours ahead, some undated, untitled, with
+    relative addresses or without any."""
+    k = F.col("c_custkey")
+    at = F.timestamp_seconds(F.lit(1_705_320_000) + 7_200 - (k * 37 % 98) * 3_600 - k % 60)
+    date = F.when(k % 7 != 0, F.concat(F.lit("<pubDate>"), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate>"))).otherwise("")
+    link = F.when(k % 11 == 0, "").when(k % 3 == 0, F.concat(F.lit("<link>/c/"), k, F.lit("</link>"))).otherwise(F.concat(F.lit("<link>https://x.org/"), k, F.lit("</link>")))
+    item = F.concat(F.lit("<item>"), F.when(k % 5 != 0, F.concat(F.lit("<title>"), F.col("c_name"), F.lit("</title>"))).otherwise(""), link, date, F.lit("</item>"))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("item")))).alias("items"))
+    return rows.select(F.concat(F.lit("https://feeds.org/"), "c_nationkey", F.lit("/rss.xml")).alias("feed_url"), F.concat(F.lit("<rss><channel>"), F.array_join("items.item", ""), F.lit("</channel></rss>")).alias("xml"))
+
+
+@query("""WITH e AS (SELECT c_nationkey AS f, c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_name ELSE '' END AS title, CASE WHEN c_custkey % 3 = 0 THEN 'https://feeds.org/c/' ELSE 'https://x.org/' END || c_custkey AS url,
+        CASE WHEN c_custkey % 7 <> 0 THEN 7200 - (c_custkey * 37 % 98) * 3600 - c_custkey % 60 END AS s FROM customer WHERE c_custkey % 11 <> 0),
+    good AS (SELECT *, row_number() OVER (PARTITION BY f, s IS NULL ORDER BY k) AS n FROM e WHERE s IS NULL OR s BETWEEN -86400 AND 3600),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY coalesce(s, 0) DESC, k) AS m FROM good WHERE s IS NOT NULL OR n <= 2)
+    SELECT 'https://feeds.org/' || f || '/rss.xml' AS feed_url, url, title, strftime(TIMESTAMP '2024-01-15 12:00:00' + to_seconds(coalesce(s, 0)), '%Y-%m-%d %H:%M:%S') AS published FROM kept WHERE m <= 10""")
 def feed_filter(spark, d):
-    e = readers.fresh_entries(readers.read_feeds(feeds(spark, d)), "2024-01-15 12:00:00", 24, 5)
+    e = readers.fresh_entries(readers.read_feeds(feeds(spark, d)), "2024-01-15 12:00:00", 24, 10)
     return e.select("feed_url", "url", "title", F.date_format(F.to_utc_timestamp("published", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"))
