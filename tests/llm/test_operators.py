@@ -190,7 +190,7 @@ def test_counts_beyond_the_library_follow_the_same_law(monkeypatch):
 
 def test_shard_places_are_uniform():
     counts = np.array([400, 0, 100, 500])
-    caps = shards.cell_sizes(1000, 4, 300)[:, 2]
+    caps = shards.shard_sizes(1000, 4)
     rows = np.array([[shards.matrix_row(counts, caps, p, s) for p in range(4)] for s in range(300)])
     assert (rows.sum(2) == counts).all() and (rows.sum(1) == caps).all()
     assert np.abs(rows.mean(0) - np.outer(counts, caps) / 1000).max() < 2
