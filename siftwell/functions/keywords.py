@@ -56,3 +56,13 @@ def baidu_window(start: Column, end: Column) -> Column:
     """The time window part of a search address."""
     raw = F.concat(F.lit("stf="), F.unix_timestamp(start).cast("string"), F.lit(","), F.unix_timestamp(end).cast("string"), F.lit("|stftype=1"))
     return F.concat(F.lit("&gpc="), F.base64(raw.cast("binary")))
+
+
+def time_filter(engine: Column, time_range: Column, now: Column) -> Column:
+    """What a search address adds for a time range (day, week, month, year); nothing for all times and for unknown engines or ranges."""
+    out = F.lit("")
+    for name, parts in V.SERP_TIMES.items():
+        for span, part in parts.items():
+            out = F.when((engine == name) & (time_range == span), part).otherwise(out)
+    days = F.when(time_range == "day", 1).when(time_range == "week", 7).when(time_range == "month", 30).when(time_range == "year", 365)
+    return F.when((engine == "baidu") & days.isNotNull(), baidu_window(now - F.make_dt_interval(days), now)).otherwise(out)

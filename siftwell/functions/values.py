@@ -194,3 +194,17 @@ STRATEGY_SITES_CN = ("github.com", "juejin.cn", "zhihu.com", "segmentfault.com",
 STRATEGY_SITES_EN = ("github.com", "medium.com", "dev.to", "stackoverflow.com", "news.ycombinator.com")
 LATEST_CN, LATEST_EN = "最新", "latest"
 SEARCH_ENGINES = ("bing", "baidu", "sogou", "google")
+
+# Where result pages of each engine hold their items, and within an item the title, link and snippet; fallbacks are tried in order (fixed values).
+SERP_SELECTORS = {
+    "sogou": {"item": ".vrwrap", "title": ".vrTitle a, h3 a", "link": ".vrTitle a, h3 a", "snippet": ".str-text, .star-w", "fallbacks": (".results .rb", ".result")},
+    "bing": {"item": "li.b_algo", "title": "h2 a", "link": "h2 a", "snippet": "p.b_lineclamp2, p.b_caption, .b_caption p, p", "fallbacks": ("#b_results li", "ol#b_results > li")},
+    "baidu": {"item": ".result.c-container", "title": "h3 a", "link": "h3 a", "snippet": ".c-abstract, .content-right", "fallbacks": (".c-container", ".result")},
+    "google": {"item": "div.tF2Cxc", "title": "h3", "link": "div.yuRUbf a", "snippet": ".VwiC3b, .s3v94d, span.aCOpRe", "fallbacks": ("div[data-sokoban-container]", "div.g")},
+}
+# What a search address adds for a time range (fixed values); the fourth engine takes a window of seconds instead.
+SERP_TIMES = {
+    "bing": {"day": '&filters=ex1:"ez5_4251_4252"', "week": '&filters=ex1:"ez5_4251_4253"', "month": '&filters=ex1:"ez5_4251_4254"', "year": '&filters=ex1:"ez5_4251_4255"', "all": ""},
+    "google": {"day": "&tbs=qdr:d", "week": "&tbs=qdr:w", "month": "&tbs=qdr:m", "year": "&tbs=qdr:y", "all": ""},
+    "sogou": {"day": "&intime=1", "week": "&intime=7", "month": "&intime=30", "year": "&intime=365", "all": ""},
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, keywords, text, urls
 from ..functions import schedules as cron
+from ..functions import values as V
 from ..operators import articles, dedup, digest, lists, strategy, tasks, trees
 from ..sources import readers
 from ..sources.readers import table
@@ -395,6 +396,65 @@ def search_windows(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), keywords.baidu_window(start, start + F.expr("interval 1 day")).alias("part"))
 
 
+_EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
+_DAYS = "CASE range WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 WHEN 'year' THEN 365 END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, ts, ['bing', 'baidu', 'sogou', 'google'][1 + event_id % 4] AS engine, ['day', 'week', 'month', 'year', 'all', 'hour'][1 + event_id % 6] AS range FROM events)
+    SELECT id, CASE WHEN engine = 'baidu' THEN CASE WHEN {_DAYS} IS NULL THEN '' ELSE '&gpc=' || to_base64(encode('stf=' || ({_EPOCH} - 86400 * {_DAYS}) || ',' || {_EPOCH} || '|stftype=1')) END
+      ELSE coalesce(map_extract(MAP {{{", ".join(f"'{e}:{r}': '{v}'" for e, parts in V.SERP_TIMES.items() for r, v in parts.items())}}}, engine || ':' || range)[1], '') END AS part FROM e""")
+def search_time_filters(spark, d):
+    engine, span = pick("event_id", "bing", "baidu", "sogou", "google"), pick("event_id", "day", "week", "month", "year", "all", "hour")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), keywords.time_filter(engine, span, F.col("ts").cast("timestamp")).alias("part"))
+
+
+#: An item of each engine's result page, once as its own selector takes it and once as only a fallback does, and what holds the items then.
+_ITEMS = {
+    "bing": ('<li class="b_algo x"><h2>{a}</h2><div class="b_caption"><p>{s}</p></div></li>', "<li><h2>{a}</h2><p class=b_lineclamp2>{s}</p></li>", "ol id=b_results"),
+    "baidu": ('<div class="result c-container"><h3>{a}</h3><div class="c-abstract">{s}</div></div>', '<div class="c-container"><h3>{a}</h3><span class="content-right">{s}</span></div>', "div"),
+    "sogou": ('<div class="vrwrap"><div class="vrTitle">{a}</div><p class="star-w">{s}</p></div>', '<div class="rb"><h3>{a}</h3><div class="str-text">{s}</div></div>', 'div class="results"'),
+    "google": ('<div class="tF2Cxc"><div class="yuRUbf">{a}</div><div class="VwiC3b">{s}</div></div>', '<div data-sokoban-container="1"><div class="yuRUbf">{a}</div><span class="aCOpRe">{s}</span></div>', "div"),
+}
+
+
+def result_pages(spark, d):
+    """Result pages (engine, query, html) that show the stored pages, eight on each. The fourth item has no link; every other four result
+    pages hold only what fallback selectors take; two engines wrap addresses."""
+    g = F.col("page_id").cast("long") - F.col("page_id") % 8
+    engine = pick("_n", *_ITEMS)
+    p = table(spark, d, "pages").withColumn("g", g).withColumn("_n", (g / 8).cast("long")).withColumn("engine", engine).withColumn("late", (F.floor(F.col("_n") / 4) % 2 == 1).cast("int"))
+    title, snippet = F.regexp_extract("html", "<title>(.*?)</title>", 1), F.regexp_extract("html", "<p>([^<]*)</p>", 1)
+    target = F.when(F.col("engine") == "google", F.concat(F.lit("/url?q="), F.url_encode("url"), F.lit("&amp;sa=U")))
+    target = F.when(F.col("engine") == "bing", F.concat(F.lit("https://www.bing.com/ck/a?p=1&amp;u=a1"), F.rtrim(F.translate(F.base64(F.col("url").cast("binary")), "+/", "-_"), F.lit("=")), F.lit("&amp;ntb=1"))).otherwise(target)
+    href = F.coalesce(target, F.replace("url", F.lit("&"), F.lit("&amp;")))
+    head = F.when(F.col("engine") == "google", F.concat(F.lit("<h3> "), title, F.lit("</h3>"))).otherwise(title)
+    anchor = F.when(F.col("page_id") % 8 == 3, F.concat(F.lit("<b>"), head, F.lit("</b>"))).otherwise(F.concat(F.lit('<a href="'), href, F.lit('">'), head, F.lit("</a>")))
+    item = F.lit(None).cast("string")
+    for name, forms in _ITEMS.items():
+        for late, form in enumerate(forms[:2]):
+            before, rest = form.split("{a}")
+            middle, after = rest.split("{s}")
+            item = F.when((F.col("engine") == name) & (F.col("late") == late), F.concat(F.lit(before), anchor, F.lit(middle), snippet, F.lit(after))).otherwise(item)
+    around = F.when(F.col("late") == 0, "div")
+    for name, forms in _ITEMS.items():
+        around = F.when((F.col("late") == 1) & (F.col("engine") == name), forms[2]).otherwise(around)
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x["i"]), "")
+    rows = p.groupBy("g", "engine", around.alias("around")).agg(items.alias("items"))
+    end = F.concat(F.lit("</"), F.regexp_extract("around", r"^(\w+)", 1), F.lit(">"))
+    html = F.concat(F.lit("<!DOCTYPE html><body><ul><li><a href='/images'>Images</a></ul><"), F.col("around"), F.lit(">"), F.col("items"), end, F.lit("<footer><a href='/about'>About</a></footer>"))
+    return rows.select("engine", F.col("g").cast("string").alias("query"), html.alias("html"))
+
+
+_PLAIN = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""WITH p AS (SELECT *, page_id - page_id % 8 AS g FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY page_id) AS rank FROM p)
+    SELECT ['bing', 'baidu', 'sogou', 'google'][1 + (g // 8) % 4] AS engine, CAST(g AS VARCHAR) AS query, rank, url, trim({_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS title,
+      trim({_PLAIN.format("regexp_extract(html, '<p>([^<]*)</p>', 1)")}) AS snippet FROM r WHERE page_id % 8 <> 3""")
+def result_items(spark, d):
+    return readers.serp_results(result_pages(spark, d))
+
+
 @query("""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE len(w) END AS n, md5(CASE WHEN doc_id % 3 = 2 THEN '' ELSE array_to_string(w, '|') END) AS words FROM w""")
 def json_lists(spark, d):
     """Whole texts as JSON lists of their words; every third has lost its end."""

@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import keywords as keyword_functions
+from ..functions import text, urls
+from ..functions import values as V
 from ..functions.dates import normalize_datetime, utc
+from . import selectors
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -335,38 +338,73 @@ def sections_of(config: Column, default: list[tuple[str, str, str]]) -> Column:
 
 # Result pages of search engines
 
-#: Item, title and snippet patterns of each engine's result page (fixed values), and how engines stand in for each other.
-SERP = {
-    "bing": (r'<li class="b_algo".*?(?=<li class="b_algo"|</ol>|\Z)', r'<h2[^>]*>\s*<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', r"<p[^>]*>(.*?)</p>"),
-    "baidu": (r'<div[^>]*class="[^"]*\bresult\b.*?(?=<div[^>]*class="[^"]*\bresult\b|\Z)', r'<h3[^>]*>\s*<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', r'<span class="content-right[^>]*>(.*?)</span>'),
-    "sogou": (r'<div class="vrwrap".*?(?=<div class="vrwrap"|\Z)', r'<h3[^>]*>\s*<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', r'<p class="star-wiki[^>]*>(.*?)</p>'),
-    "google": (r'<div class="g".*?(?=<div class="g"|\Z)', r'<a[^>]*href="([^"]+)"[^>]*>.*?<h3[^>]*>(.*?)</h3>', r'<div class="VwiC3b[^>]*>(.*?)</div>'),
-}
-ENGINES = ("bing", "baidu", "sogou", "google")
-
-
-def serp_results(pages: DataFrame) -> DataFrame:
-    """(engine, query, rank, url, title, snippet) of stored result pages (engine, query, html)."""
-    from ..functions.text import strip_html
-    from ..functions.urls import decode_redirect
-
-    out = None
-    for engine, (item, title, snippet) in SERP.items():
-        own = pages.where(F.col("engine") == engine)
-        items = own.select("engine", "query", F.posexplode(F.regexp_extract_all("html", F.lit(f"(?s){item}"), F.lit(0))).alias("at", "i"))
-        rows = items.select(
-            "engine", "query", (F.col("at") + 1).alias("rank"), decode_redirect(F.replace(F.regexp_extract("i", f"(?s){title}", 1), F.lit("&amp;"), F.lit("&"))).alias("url"),
-            strip_html(F.regexp_extract("i", f"(?s){title}", 2)).alias("title"), strip_html(F.regexp_extract("i", f"(?s){snippet}", 1)).alias("snippet"),
-        ).where((F.col("url") != "") & (F.col("title") != ""))
-        out = rows if out is None else out.unionByName(rows)
+SERP_ROWS = "engine string, query string, rank int, href string, title string, snippet string"
+
+
+def parsed_results(pages: DataFrame) -> DataFrame:
+    """(engine, query, rank, href, title, snippet) of result pages (engine, query, html), by each engine's selectors.
+
+    Items are what the first selector of the engine takes that takes anything: its own, then the fallbacks in order. Ranks count all
+    items of a page, items without a link give no row. A page of an unknown engine, or without items, gives none.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(e, q, *r) for e, q, h in zip(b["engine"], b["query"], b["html"], strict=True) if e in V.SERP_SELECTORS for r in result_items(e, h)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SERP_ROWS.split(", ")])
+
+    return pages.select("engine", "query", "html").mapInPandas(parse, SERP_ROWS)
+
+
+def result_items(engine: str, html: str | None) -> list[tuple[int, str, str, str]]:
+    """(rank, href, title, snippet) of one page."""
+    by = V.SERP_SELECTORS[engine]
+    root = selectors.tree(html)
+    items = next((found for s in (by["item"], *by["fallbacks"]) if (found := selectors.select(root, s))), [])
+    out = []
+    for rank, item in enumerate(items, 1):
+        link = selectors.select_one(item, by["link"])
+        if link is not None:
+            title, snippet = selectors.select_one(item, by["title"]), selectors.select_one(item, by["snippet"])
+            out.append((rank, link.attrs.get("href", ""), (link if title is None else title).text(), snippet.text() if snippet is not None else ""))
     return out
 
 
+def serp_results(pages: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(engine, query, rank, url, title, snippet) of stored result pages (engine, query, html): targets of redirects that tell them, and only
+    addresses of the web.
+
+    Two engines' redirects tell nothing; what a fetcher found behind them comes as ``resolved`` (href, target), and links that it doesn't hold
+    give no row. An engine's links to its own pages go too.
+    """
+    rows = parsed_results(pages)
+    engine, href = F.col("engine"), F.col("href")
+    mute = (engine == "sogou") & href.startswith("/link?url=") | (engine == "baidu") & href.contains("baidu.com/link?url=")
+    if resolved is not None:
+        known = resolved.where(F.col("href").isNotNull()).groupBy("href").agg(F.min("target").alias("target"))
+        rows = rows.join(known, "href", "left")
+    target = F.col("target") if resolved is not None else F.lit(None).cast("string")
+    plain = urls.decode_redirect(href)
+    told = F.when((engine == "bing") & href.contains("/ck/a") & F.contains(plain, F.lit("bing.com")), href).when(engine.isin("bing", "google"), plain).otherwise(href)
+    url = F.when(mute, F.when(~((engine == "sogou") & target.contains("sogou.com")), target)).otherwise(told)
+    good = rows.withColumn("url", url).where(F.col("url").rlike("^https?://") & ~((engine == "sogou") & href.contains("weixin.sogou.com")))
+    return good.select("engine", "query", "rank", "url", "title", "snippet")
+
+
+def wanted_results(results: DataFrame, keyword: str, most: int = 10, a_domain: int = 2) -> DataFrame:
+    """Results of one keyword that aren't excluded and have to do with it, at most ``a_domain`` a host and ``most`` in all, by engine and rank."""
+    order = F.array_position(F.array(*map(F.lit, V.SEARCH_ENGINES)), F.col("engine"))
+    about = keyword_functions.is_relevant(keyword, F.col("title"), F.col("snippet"))
+    good = results.where((F.col("query") == keyword) & ~urls.is_excluded(F.col("url")) & about).withColumn("_h", urls.netloc(F.col("url")))
+    at = F.row_number().over(Window.partitionBy("_h").orderBy(order, "rank", "url"))
+    return good.withColumn("_a", at).where(F.col("_a") <= a_domain).orderBy(order, "rank", "url").limit(most).drop("_a", "_h")
+
+
 def merged_results(results: DataFrame, most: int = 10) -> DataFrame:
     """One row for each address of a query, of the first engine that has it; ``most`` a query, by engine and rank."""
     from ..operators.dedup import keep_first
 
-    order = F.array_position(F.array(*map(F.lit, ENGINES)), F.col("engine"))
+    order = F.array_position(F.array(*map(F.lit, V.SEARCH_ENGINES)), F.col("engine"))
     once = keep_first(results, F.struct("query", "url"), order, F.col("rank"))
     w = Window.partitionBy("query").orderBy(order, "rank", "url")
     return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)

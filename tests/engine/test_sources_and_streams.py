@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import visits
-from siftwell.sources import readers, sinks
+from siftwell.sources import readers, selectors, sinks
 from siftwell.streaming import visits as streams
 
 RSS = """<rss version="2.0"><channel><item><title>New</title><link>https://f.org/1</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item>
@@ -37,12 +37,41 @@ def test_metadata(spark):
 
 def test_result_pages(spark):
     bing = '<ol><li class="b_algo"><h2><a href="https://x.org/1">One <b>x</b></a></h2><p>Snippet 1</p></li><li class="b_algo"><h2><a href="https://x.org/2">Two</a></h2><p>S2</p></li></ol>'
-    google = '<div class="g"><a href="/url?q=https://x.org/1&amp;sa=U"><h3>One</h3></a><div class="VwiC3b">s</div></div><div class="g"><a href="https://x.org/9"><h3>Nine</h3></a></div>'
-    results = readers.serp_results(spark.createDataFrame([("bing", "q", bing), ("google", "q", google)], "engine string, query string, html string"))
-    assert {(r.engine, r["rank"], r.url, r.title) for r in results.collect()} == {("bing", 1, "https://x.org/1", "One x"), ("bing", 2, "https://x.org/2", "Two"), ("google", 1, "https://x.org/1", "One"), ("google", 2, "https://x.org/9", "Nine")}
+    google = '<div class="g"><div class="yuRUbf"><a href="/url?q=https://x.org/1&amp;sa=U"><h3>One</h3></a></div><div class="VwiC3b">s</div></div><div class="g"><div class=yuRUbf><a href="https://x.org/9"><h3>Nine</h3></a></div></div>'
+    results = readers.serp_results(spark.createDataFrame([("bing", "q", bing), ("google", "q", google), ("other", "q", bing), ("sogou", "q", None)], "engine string, query string, html string"))
+    assert {(r.engine, r["rank"], r.url, r.title, r.snippet) for r in results.collect()} == {
+        ("bing", 1, "https://x.org/1", "Onex", "Snippet 1"), ("bing", 2, "https://x.org/2", "Two", "S2"), ("google", 1, "https://x.org/1", "One", "s"), ("google", 2, "https://x.org/9", "Nine", ""),
+    }
     assert [r.url for r in readers.merged_results(results).orderBy("n").collect()] == ["https://x.org/1", "https://x.org/2", "https://x.org/9"]
 
 
+def test_redirects_of_result_pages(spark):
+    sogou = '<div class="vrwrap"><h3><a href="/link?url=a">A</a></h3></div><div class="vrwrap"><h3><a href="/link?url=b">B</a></h3></div><div class="vrwrap"><h3><a href="http://weixin.sogou.com/x">W</a></h3></div><div class="vrwrap"><h3><a href="https://d.org/">D</a></h3></div>'
+    bing = '<li class="b_algo"><h2><a href="https://www.bing.com/ck/a?u=a1aHR0cHM6Ly93d3cuYmluZy5jb20vYQ">own</a></h2></li><li class="b_algo"><h2><a href="javascript:void(0)">none</a></h2></li>'
+    pages = spark.createDataFrame([("sogou", "q", sogou), ("bing", "q", bing)], "engine string, query string, html string")
+    found = spark.createDataFrame([("/link?url=a", "https://a.org/"), ("/link?url=a", "https://a.org/"), ("/link?url=b", "https://www.sogou.com/b"), (None, "x")], "href string, target string")
+    assert {(r["rank"], r.url) for r in readers.serp_results(pages).collect()} == {(4, "https://d.org/"), (1, "https://www.bing.com/ck/a?u=a1aHR0cHM6Ly93d3cuYmluZy5jb20vYQ")}
+    assert {r.url for r in readers.serp_results(pages, found).where("engine = 'sogou'").collect()} == {"https://a.org/", "https://d.org/"}
+
+
+def test_wanted_results(spark):
+    rows = [("google", "spark", 1, "https://a.org/1", "Spark one", ""), ("bing", "spark", 2, "https://a.org/2", "Spark two", ""), ("bing", "spark", 1, "https://a.org/3", "Spark three", ""), ("bing", "spark", 3, "https://b.org/", "No title", "spark"), ("bing", "other", 1, "https://c.org/", "Spark", "")]
+    got = readers.wanted_results(spark.createDataFrame(rows, "engine string, query string, rank int, url string, title string, snippet string"), "spark").collect()
+    assert [r.url for r in got] == ["https://a.org/3", "https://a.org/2"]
+
+
+def test_selectors():
+    root = selectors.tree('<ul id="u"><li class="a b">1<li class="b">2<p>x<p>y</ul><div><ul><li data-k="v w">3</li></ul><br><i>4</i></div><script>var a="<b>"</script>')
+    texts = lambda s: [n.text() for n in selectors.select(root, s)]
+    assert texts("li") == ["1", "2xy", "3"] and texts("#u li") == ["1", "2xy"] and texts(".b.a") == ["1"] and texts("div > li") == [] and texts("div > ul > li, p") == ["x", "y", "3"]
+    assert texts("[data-k]") == ["3"] and texts('li[data-k="v w"]') == ["3"] and texts("li[data-k=x]") == [] and texts("div i") == ["4"] and texts("div *") == ["3", "3", "", "4"]
+    assert selectors.select_one(root, "i, p").text() == "x" and selectors.select_one(root, "table") is None and root.text() == "12xy34"
+    with pytest.raises(ValueError):
+        selectors.compiled("li:hover")
+    deep = selectors.tree("<div>" * 20000 + "end")
+    assert len(selectors.select(deep, "div > div")) == 19999 and deep.text() == "end"
+
+
 def test_tables_and_lists(spark):
     df = spark.createDataFrame([(1, False, '["a"]'), (2, True, "x"), (3, None, None)], "id long, is_deleted boolean, j string")
     assert [r.id for r in readers.live(df).collect()] == [1, 3]
