@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, keywords, pages, quality, similarity, text, urls
 from ..functions import values as V
-from ..operators import articles, coverage, dedup, digest, lists, strategy, tasks, trees, visits
+from ..operators import articles, coverage, dedup, digest, lists, segment, strategy, tasks, trees, visits
 from ..sources import postings, vectors
 from ..sources.readers import table
 from ..sources.stored import new_folder, spread, stored
