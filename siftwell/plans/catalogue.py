@@ -688,6 +688,15 @@ def keyword_relevance(spark, d):
     return W.pages(spark, d).select("page_id", keywords.is_relevant("the and", F.col("title"), F.substring("content", 1, 80)).alias("relevant"))
 
 
+@query
+def titles_without_blanks(spark, d):
+    """Titles of pages, written without blanks, split into the words that the whole table teaches."""
+    p = W.pages(spark, d).select("page_id", F.translate(F.lower("title"), " ", "").alias("text"))
+    how = {"pattern": "[a-zà-ÿ]+"}
+    split = segment.words(p, segment.learn(p, longest=6, **how), others="[0-9]+", **how)
+    return split.select("page_id", F.size("words").cast("long").alias("n"), F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("words"))
+
+
 @query
 def section_overrides(spark, d):
     s = _runs(spark, d).groupBy("source_id").agg(F.count("*").alias("total_runs"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.avg("score").alias("avg_quality"))

@@ -370,6 +370,29 @@ def page_metadata(spark, d):
     return m.select("page_id", F.coalesce("title", F.lit("")).alias("title"), "language")
 
 
+#: What the heads of four kinds of pages tell, by page_id % 4: Open Graph, plain names, JSON-LD with a person, and a graph of JSON-LD.
+_HEADS = (
+    '<meta property="og:title" content="OG {n}"><meta name="twitter:title" content="TW"><meta property="og:description" content="D &amp; {n}"><meta name="description" content="plain"><meta name="keywords" content="a{n}, b ,, c"><meta name="author" content="A {n}"><meta property="article:published_time" content="2024-01-05T08:00:00Z"><link rel="canonical" href="/c/{n}">',
+    '<meta name="description" content="plain {n}"><meta name="twitter:creator" content="@{n}"><meta name="publish_date" content="2024-02-03"><link rel="alternate" href="/rss"><link rel="canonical" href="https://c.org/{n}">',
+    '<script type="application/ld+json">{"@type": "BlogPosting", "author": {"name": "P {n}"}, "datePublished": "2024-03-01"}</script>',
+    '<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": "NewsArticle", "author": "Q {n}", "datePublished": "2024-04-01T10:00:00"}]}</script><meta property="article:author" content="">',
+)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'OG ' || page_id END AS og_title, CASE page_id % 4 WHEN 0 THEN 'D & ' || page_id WHEN 1 THEN 'plain ' || page_id END AS description,
+    CASE WHEN page_id % 4 = 0 THEN 'a' || page_id || '|b|c' ELSE '' END AS keywords, ['A ', '@', 'P ', 'Q '][1 + page_id % 4] || page_id AS author,
+    ['2024-01-05T08:00:00', '2024-02-03T00:00:00', '2024-03-01', '2024-04-01T10:00:00'][1 + page_id % 4] AS published,
+    CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/c/' || page_id WHEN 1 THEN 'https://c.org/' || page_id END AS canonical FROM pages
+    WHERE NOT regexp_matches(html, '[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}')""")
+def metadata_fields(spark, d):
+    """All fields of pages whose heads tell them in four ways, and whose own text tells no date."""
+    head = F.replace(pick("page_id", *_HEADS), F.lit("{n}"), F.col("page_id").cast("string"))
+    p = table(spark, d, "pages").where(~F.col("html").rlike(r"[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}"))
+    m = readers.page_metadata(p.withColumn("html", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), head))))
+    og = F.when(F.col("title").rlike("^OG [0-9]+$"), F.col("title"))
+    return m.select("page_id", og.alias("og_title"), "description", F.array_join("keywords", "|").alias("keywords"), "author", "published", "canonical")
+
+
 @query()
 def crawl_results(spark, d):
     return readers.crawl_results(table(spark, d, "pages")).select("page_id", "title", "success", "word_count", F.length("raw_markdown").alias("raw_chars"), F.length("markdown").alias("chars"))
