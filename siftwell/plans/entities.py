@@ -361,6 +361,62 @@ def sections_nested(spark, d):
     return digest.sections_with_items(s, i).select("id", F.array_join(F.transform("items", lambda x: x["title"]), ",").alias("titles"))
 
 
+# Strategies
+
+_DIMENSIONS = V.DEPTH_DIMENSIONS + V.BREADTH_DIMENSIONS
+_SCORE = dict(zip(_DIMENSIONS, (7, 11, 13, 17, 19, 23), strict=True))  # a dimension's score is (order * this) % 100 / 100
+_TRIED_CN, _TRIED_EN = ([w for d in ("depth", "angle", "perspective") for w in words[d]] for words in (V.STRATEGY_SUFFIXES_CN, V.STRATEGY_SUFFIXES_EN))
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _reworded(dimension: str, last: str = "[]") -> str:
+    """SQL for the first way to word a keyword anew that wasn't tried."""
+    words = f"CASE WHEN cn THEN {_listed(V.STRATEGY_SUFFIXES_CN[dimension])} ELSE {_listed(V.STRATEGY_SUFFIXES_EN[dimension])} END"
+    return f"list_filter(list_concat(list_transform({words}, lambda w: keyword || ' ' || w), {last}), lambda x: NOT list_contains(keywords, x))[1]"
+
+
+_CHOICES = {
+    "depth": ("'keyword_refine'", _reworded("depth", f"[keyword || ' 2025 ' || CASE WHEN cn THEN '{V.LATEST_CN}' ELSE '{V.LATEST_EN}' END]"), "engine", "time_range", "NULL"),
+    "angle": ("'keyword_refine'", _reworded("angle"), "engine", "time_range", "NULL"),
+    "temporal": ("'time_adjust'", "CASE WHEN time_range <> 'all' THEN keyword END", "engine", "MAP {" + ", ".join(f"'{x}': '{y}'" for x, y in V.WIDER_RANGES.items()) + "}[time_range]", "NULL"),
+    "diversity": ("CASE WHEN other IS NULL THEN 'site_scope' ELSE 'engine_switch' END", "CASE WHEN other IS NULL THEN keyword || ' ' || place ELSE keyword END", "coalesce(other, engine)", "time_range", "CASE WHEN other IS NULL THEN place END"),
+    "perspective": ("'keyword_refine'", _reworded("perspective"), "engine", "time_range", "NULL"),
+    "language": ("'cross_language'", "CASE WHEN NOT list_contains(kinds, 'cross_language') THEN keyword END", "engine", "time_range", "NULL"),
+}
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS cn, CASE WHEN o_orderkey % 5 = 0 THEN '订单 ' ELSE 'order ' END || o_orderkey AS keyword, {_listed(V.SEARCH_ENGINES)}[1 + o_orderkey % 4] AS engine,
+      ['day', 'week', 'month', 'year', 'all'][1 + (o_orderkey // 4) % 5] AS time_range, {_listed(_DIMENSIONS)}[1 + o_orderkey % 6] AS hinted, {", ".join(f"(o_orderkey * {m}) % 100 / 100 AS {d}" for d, m in _SCORE.items())} FROM orders),
+    h AS (SELECT l_orderkey AS k, l_linenumber AS r, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+    tried AS (SELECT k, r, {_listed(_DIMENSIONS)}[1 + p % 3] AS dim, keyword || ' ' || CASE WHEN cn THEN {_listed(_TRIED_CN)} ELSE {_listed(_TRIED_EN)} END[1 + s % {len(_TRIED_EN)}] AS keyword, {_listed(V.SEARCH_ENGINES)}[1 + s % 4] AS engine,
+      CASE WHEN r % 3 = 0 THEN 'site:' || {_listed(V.STRATEGY_SITES_EN)}[1 + s % 5] END AS site, CASE WHEN p % 4 = 0 THEN 'cross_language' ELSE 'other' END AS kind FROM h JOIN t USING (k)),
+    used AS (SELECT k, list(keyword) AS keywords, list(engine) AS engines, list(site) AS sites, list(kind) AS kinds FROM tried GROUP BY k),
+    two AS (SELECT k, dim FROM tried QUALIFY row_number() OVER (PARTITION BY k ORDER BY r DESC) <= 2), tired AS (SELECT k, dim FROM two GROUP BY ALL HAVING count(*) = 2),
+    a AS (SELECT t.*, coalesce(keywords, []) AS keywords, coalesce(kinds, []) AS kinds, list_filter({_listed(V.SEARCH_ENGINES)}, lambda x: x <> t.engine AND NOT list_contains(coalesce(engines, []), x))[1] AS other, least({", ".join(_SCORE)}) AS weakest,
+      list_filter(list_transform(CASE WHEN cn THEN {_listed(V.STRATEGY_SITES_CN)} ELSE {_listed(V.STRATEGY_SITES_EN)} END, lambda x: 'site:' || x), lambda x: NOT list_contains(coalesce(sites, []), x))[1] AS place FROM t LEFT JOIN used USING (k)),
+    c AS ({" UNION ALL ".join(f"SELECT k, {i} AS i, '{d}' AS dimension, {d} AS score, {_CHOICES[d][0]} AS kind, {_CHOICES[d][1]} AS keyword, {_CHOICES[d][2]} AS engine, {_CHOICES[d][3]} AS time_range, {_CHOICES[d][4]} AS site, hinted = '{d}' AND {d} < 0.55 AND {d} - weakest <= 0.15 AS first FROM a WHERE {d} < {V.STRATEGY_THRESHOLDS[d]}" for i, d in enumerate(_DIMENSIONS))})
+    SELECT k AS task_id, dimension, score, kind, keyword, engine, time_range, site FROM c WHERE keyword IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tired WHERE tired.k = c.k AND tired.dim = c.dimension)
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY NOT first, score, i) = 1""")
+def next_strategies(spark, d):
+    """What tasks made of orders should search next, after the rounds that their lines are."""
+    key = F.col("o_orderkey")
+    orders = table(spark, d, "orders").withColumn("_q", F.floor(key / 4)).select(
+        key.alias("task_id"), F.concat(F.when(key % 5 == 0, "订单 ").otherwise("order "), key).alias("keyword"), pick("o_orderkey", *V.SEARCH_ENGINES).alias("engine"),
+        pick("_q", "day", "week", "month", "year", "all").alias("time_range"), pick("o_orderkey", *_DIMENSIONS).alias("hinted"), *((key * m % 100 / 100).alias(n) for n, m in _SCORE.items()),
+    )
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("round_num")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    rounds = lines.join(orders.select("task_id", "keyword"), "task_id")
+    words = F.when(F.col("task_id") % 5 == 0, pick("s", *_TRIED_CN)).otherwise(pick("s", *_TRIED_EN))
+    tried = rounds.select(
+        "task_id", "round_num", pick("p", *_DIMENSIONS[:3]).alias("target_dimension"), F.concat_ws(" ", "keyword", words).alias("keyword"), pick("s", *V.SEARCH_ENGINES).alias("engine"),
+        F.when(F.col("round_num") % 3 == 0, F.concat(F.lit("site:"), pick("s", *V.STRATEGY_SITES_EN))).alias("site"), F.when(F.col("p") % 4 == 0, "cross_language").otherwise("other").alias("kind"),
+    )
+    return strategy.next_strategies(orders.select("task_id", "hinted", *_DIMENSIONS), orders.select("task_id", "keyword", "engine", "time_range"), tried, 2025)
+
+
 # Functions
 
 
