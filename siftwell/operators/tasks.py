@@ -179,3 +179,32 @@ def crawl(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int, sa
         seen = seen.union(front)
     best = seen.orderBy("depth", "url").limit(max_pages)
     return best.withColumn("position", F.row_number().over(Window.orderBy("depth", "url")))
+
+
+def section_sources(sources: DataFrame) -> DataFrame:
+    """(name, url_sources, rss_sources, effectiveness): what each section of ``sections`` crawls, as arrays of structs in the order of ids, and
+    how well that has done.
+
+    ``sources`` holds (id, category, type, value, name, crawl_mode, max_depth, max_pages, freshness_hours, success_count, fail_count,
+    avg_quality_score, last_result_count), a table that people keep. Unset settings are single, 1, 10 and 24; unset counts 0. A section of
+    keywords only counts as dead; one of addresses is dead after three runs with under a fifth of successes. Means and rates round half to even.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0))
+    known = sources.where(F.coalesce("type", F.lit("keyword")).isin("keyword", "url", "rss"))
+    did = F.struct(F.col("id").alias("source_id"), *(number(F.col(c)).alias(c) for c in ("success_count", "fail_count", "avg_quality_score", "last_result_count")))
+    whose = [F.col("id").alias("source_id"), F.coalesce("name", F.lit("")).alias("source_name"), did.alias("effectiveness")]
+    unset = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
+    page = F.struct(F.col("value").alias("url"), unset("crawl_mode", "single"), unset("max_depth", 1), unset("max_pages", 10), *whose)
+    entries = F.when(number(F.col("max_pages")) == 0, 10).otherwise(F.col("max_pages")).alias("max_entries")
+    feed = F.struct(F.col("value").alias("feed_url"), unset("freshness_hours", 24), entries, *whose)
+    gathered = lambda kind, s: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("id", s.alias("s"))))), lambda x: x["s"])
+    crawled = F.col("type").isin("url", "rss")
+    good, bad = (F.coalesce(F.sum(F.when(crawled, number(F.col(c)))), F.lit(0)) for c in ("success_count", "fail_count"))
+    rate = F.coalesce(F.try_divide(good, good + bad), F.lit(0.0))
+    quality = F.coalesce(F.avg(F.when(crawled & (F.col("avg_quality_score") > 0), F.col("avg_quality_score"))), F.lit(0.0))
+    dead = (F.count_if(crawled) == 0) | (good + bad >= 3) & (rate < 0.2)
+    name = F.when(F.coalesce("category", F.lit("")) == "", "tech_article").otherwise(F.col("category"))
+    return known.groupBy(name.alias("section")).agg(
+        gathered("url", page).alias("url_sources"), gathered("rss", feed).alias("rss_sources"),
+        F.struct(F.bround(quality, 1).alias("avg_quality"), F.bround(rate, 2).alias("success_rate"), (good + bad).alias("total_runs"), dead.alias("dead")).alias("effectiveness"),
+    ).withColumnRenamed("section", "name")

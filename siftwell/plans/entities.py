@@ -417,6 +417,31 @@ def next_strategies(spark, d):
     return strategy.next_strategies(orders.select("task_id", "hinted", *_DIMENSIONS), orders.select("task_id", "keyword", "engine", "time_range"), tried, 2025)
 
 
+@query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_nationkey % 5 = 0 THEN 'tech_article' ELSE 'c' || (s_nationkey % 5) || CASE WHEN s_suppkey % 4 = 1 THEN 'k' ELSE '' END END AS name, CASE WHEN s_suppkey % 4 = 1 AND s_nationkey % 5 <> 0 OR s_suppkey % 13 = 0 THEN 'keyword' WHEN s_suppkey % 11 = 0 THEN 'other' WHEN s_suppkey % 3 = 0 THEN 'url' ELSE 'rss' END AS type,
+      s_name AS value, CASE WHEN s_nationkey % 6 = 1 THEN 10 ELSE s_nationkey END AS pages, CASE WHEN s_suppkey % 7 = 0 THEN 24 ELSE s_suppkey % 7 * 12 END AS hours, s_suppkey % 9 // 4 AS good, s_suppkey % 4 AS bad, s_nationkey * 4 AS q FROM supplier)
+    SELECT name, coalesce(string_agg(value || '|' || CASE WHEN id % 2 = 0 THEN 'deep' ELSE 'single' END || '|1|' || pages || '|' || id || '|' || good || '|' || q, ',' ORDER BY id) FILTER (type = 'url'), '') AS url_sources,
+      coalesce(string_agg(value || '|' || hours || '|' || CASE WHEN pages = 0 THEN 10 ELSE pages END || '|' || id || '|' || bad || '|' || id % 3, ',' ORDER BY id) FILTER (type = 'rss'), '') AS rss_sources,
+      coalesce(round_even(avg(q) FILTER (type IN ('url', 'rss') AND q > 0), 1), 0) AS avg_quality, coalesce(round_even(sum(good) FILTER (type IN ('url', 'rss')) / nullif(sum(good + bad) FILTER (type IN ('url', 'rss')), 0), 2), 0) AS success_rate,
+      CAST(coalesce(sum(good + bad) FILTER (type IN ('url', 'rss')), 0) AS BIGINT) AS total_runs, count(*) FILTER (type IN ('url', 'rss')) = 0 OR sum(good + bad) FILTER (type IN ('url', 'rss')) >= 3 AND sum(good) FILTER (type IN ('url', 'rss')) / sum(good + bad) FILTER (type IN ('url', 'rss')) < 0.2 AS dead
+    FROM s WHERE type <> 'other' GROUP BY name""")
+def section_sources(spark, d):
+    """Sections of suppliers: arrays of what they crawl, shown as text, and how well that did."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    asks = (key % 4 == 1) & (nation % 5 != 0)
+    s = table(spark, d, "supplier").select(
+        key.alias("id"), F.when(nation % 5 != 0, F.concat(F.lit("c"), nation % 5, F.when(asks, "k").otherwise(""))).alias("category"),
+        F.when(key % 26 == 0, None).when(asks | (key % 13 == 0), "keyword").when(key % 11 == 0, "other").when(key % 3 == 0, "url").otherwise("rss").alias("type"), F.col("s_name").alias("value"), F.col("s_name").alias("name"),
+        F.when(key % 2 == 0, "deep").alias("crawl_mode"), F.lit(None).cast("int").alias("max_depth"), F.when(nation % 6 != 1, nation).alias("max_pages"), F.when(key % 7 != 0, key % 7 * 12).alias("freshness_hours"),
+        F.expr("s_suppkey % 9 div 4").alias("success_count"), F.when(key % 4 != 0, key % 4).alias("fail_count"), (nation * 4).alias("avg_quality_score"), (key % 3).alias("last_result_count"),
+    )
+    shown = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(x[f] if isinstance(f, str) else x[f[0]][f[1]] for f in fields))), ",").alias(c)
+    did = lambda f: ("effectiveness", f)
+    return tasks.section_sources(s).select(
+        "name", shown("url_sources", "url", "crawl_mode", "max_depth", "max_pages", "source_id", did("success_count"), did("avg_quality_score")),
+        shown("rss_sources", "feed_url", "freshness_hours", "max_entries", "source_id", did("fail_count"), did("last_result_count")), "effectiveness.*",
+    )
+
+
 # Functions
 
 

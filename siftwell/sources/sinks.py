@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import append_fingerprints
@@ -19,7 +21,11 @@ def replace_tasks(rows: DataFrame, path: str) -> None:
 
 
 def insert_fingerprints(new: DataFrame, path: str) -> None:
-    """Append fingerprints whose (url_hash, digest_date) isn't stored. Only partitions of the new dates are read."""
+    """Append fingerprints whose (url_hash, digest_date) isn't stored. Only partitions of the new dates are read.
+
+    There is no lock: two writers at once may both store a key. Rows carry when and by whom they were written, and ``fingerprints`` counts
+    the first of a key only.
+    """
     spark = new.sparkSession
     new = new.dropDuplicates(["url_hash", "digest_date"])
     try:
@@ -28,7 +34,17 @@ def insert_fingerprints(new: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = spark.createDataFrame([], new.schema)
-    append_fingerprints(old.join(new.select("digest_date").distinct(), "digest_date", "left_semi"), new).write.mode("append").partitionBy("digest_date").parquet(path)
+    fresh = append_fingerprints(old.join(new.select("digest_date").distinct(), "digest_date", "left_semi"), new)
+    fresh.withColumn("written_at", F.current_timestamp()).withColumn("writer", F.lit(uuid.uuid4().hex)).write.mode("append").partitionBy("digest_date").parquet(path)
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """Stored fingerprints, one row for each (url_hash, digest_date): the first written, of equal times the first writer's. Rows of tables
+    that were made without these columns count as the earliest. Filters on digest_date reach the partitions."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    others = [c for c in rows.columns if c not in ("url_hash", "digest_date", "written_at", "writer")]
+    first = F.min_by(F.struct(*others), F.struct("written_at", "writer")) if "writer" in rows.columns else F.first(F.struct(*others))
+    return rows.groupBy("url_hash", "digest_date").agg(first.alias("_r")).select("url_hash", *(f"_r.{c}" for c in others), "digest_date")
 
 
 def append_rounds(rounds: DataFrame, path: str) -> None:

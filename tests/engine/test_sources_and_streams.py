@@ -90,6 +90,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(prints).count() == 2
 
 
+def test_two_writers_of_fingerprints(spark, tmp_path):
+    path, shape = str(tmp_path / "prints"), "url_hash string, simhash long, digest_date string"
+    spark.createDataFrame([("h0", 1, "2024-01-01")], shape).write.partitionBy("digest_date").parquet(path)  # of a time without writers
+    sinks.insert_fingerprints(spark.createDataFrame([("h0", 9, "2024-01-01"), ("h1", 2, "2024-01-01")], shape), path)
+    late = spark.createDataFrame([("h0", 8, "2024-01-01"), ("h1", 7, "2024-01-01"), ("h1", 3, "2024-01-02")], shape)  # didn't see the others
+    late.withColumn("written_at", F.current_timestamp() + F.expr("interval 1 second")).withColumn("writer", F.lit("x")).write.mode("append").partitionBy("digest_date").parquet(path)
+    got = sinks.fingerprints(spark, path)
+    assert sorted((r.url_hash, r.simhash, str(r.digest_date)) for r in got.collect()) == [("h0", 1, "2024-01-01"), ("h1", 2, "2024-01-01"), ("h1", 3, "2024-01-02")]
+    assert got.columns == ["url_hash", "simhash", "digest_date"]
+    sinks.insert_fingerprints(late, path)
+    assert got.count() == sinks.fingerprints(spark, path).count() == 3
+
+
 @pytest.fixture
 def events(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("article_id"), F.col("user_id").alias("visitor_id"), F.col("ts").alias("visit_time"))
