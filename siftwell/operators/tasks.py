@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from math import ceil, floor, isnan, nan
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +119,83 @@ def retained(rounds: DataFrame, now: str, days: int = 90) -> DataFrame:
     return rounds.where(F.col("created_at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
 
 
+#: States of a moving quality, in hundredths, that a table of all of them may have.
+STATES = 2_000_000
+
+
+def _moved(a: float, score: float) -> float:
+    """The state after one more score: it alone where none is set, else three tenths of it; rounded half up."""
+    x = score if a == 0 else 0.7 * a + 0.3 * score
+    return x if isnan(x) else floor(x * 100 + 0.5) / 100
+
+
+def _pieces(low: int, high: int):
+    """A function of sorted batches (source_id, score): for each source of a task its rows, its state from nothing, and of the task's first
+    source, which may have begun in the task before, also the state that each state before would lead to, as steps (cell, state)."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        key, n, values, leads, first = None, 0, [0.0], None, True
+
+        def told() -> dict:
+            """leads tells which of the values each state has come to: nothing first, then the cells in order."""
+            steps = []
+            if first:
+                ends = np.array(values)[leads]
+                at = np.flatnonzero(np.r_[True, ends[2:] != ends[1:-1]])
+                steps = [{"cell": low + int(i), "state": float(ends[1 + i])} for i in at]
+            return {"source_id": key, "part": part, "n": n, "state": float(values[leads[0] if first else 0]), "steps": steps}
+
+        for b in batches:
+            done = []
+            for k, s in zip(b.column("source_id").to_pylist(), b.column("score").to_pylist(), strict=True):
+                if n and k != key:
+                    done.append(told())
+                    n, first = 0, False
+                if not n:
+                    key, values = k, [0.0, *(np.arange(low, high + 1) / 100).tolist()] if first else [0.0]
+                    leads = np.arange(len(values))
+                n += 1
+                score = nan if s is None else s
+                values = [_moved(a, score) for a in values]
+                if len(values) > 1 and len(set(values)) < len(values):  # states that have met stay together
+                    values, met = np.unique(values, return_inverse=True)
+                    values, leads = values.tolist(), met[leads]
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=_PIECE)
+        if n:
+            yield pa.RecordBatch.from_pylist([told()], schema=_PIECE)
+
+    return fold
+
+
+_PIECE = pa.schema([("source_id", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("state", pa.float64()), ("steps", pa.list_(pa.struct([("cell", pa.int64()), ("state", pa.float64())])))])
+
+
 def moving_quality(runs: DataFrame, *order: str) -> DataFrame:
     """(source_id, quality, runs): the first score, then 0.7 of the value before and 0.3 of the new one, two decimals at each step.
 
-    A value of 0 counts as unset, so the next score starts anew. Each step is rounded, so scores are folded in order; a source's scores
-    are gathered as one array of numbers.
+    A value of 0 counts as unset, so the next score starts anew. After a run without a score quality is null.
+
+    Each step is rounded, so scores count in order. Runs are dealt by ranges of source and order, so a source may lie in many tasks: each
+    folds its piece for all states that a source can have before it (few are left after some steps), and pieces are then put together.
+    Scores so far apart that there are over STATES states are folded in one array a source. This runs a job for the least and the greatest
+    score while the query is built.
     """
+    scores = runs.select(F.col("source_id").cast("long"), *order, F.col("score").cast("double"))
+    low, high = scores.agg(F.least(F.min("score"), F.lit(0.0)), F.greatest(F.max("score"), F.lit(0.0))).first()
+    if not (high - low) * 100 < STATES:
+        return _folded(scores, *order)
+    cells = floor(low * 100) - 1, ceil(high * 100) + 1
+    dealt = scores.repartitionByRange("source_id", *order).sortWithinPartitions("source_id", *order).select("source_id", "score")
+    pieces = dealt.mapInArrow(_pieces(*cells), "source_id long, part int, n long, state double, steps array<struct<cell: long, state: double>>")
+    held = F.array_sort(F.collect_list(F.struct("part", "state", "steps")))  # a piece a task
+    after = lambda a, p: F.try_element_at(F.filter(p["steps"], lambda s: s["cell"] <= F.round(a * 100)), F.lit(-1))["state"]
+    value = F.aggregate(F.slice("held", 2, F.size("held")), F.element_at("held", 1)["state"], after)
+    return pieces.groupBy("source_id").agg(held.alias("held"), F.sum("n").alias("runs")).select("source_id", F.when(~F.isnan(value), value).alias("quality"), "runs")
+
+
+def _folded(runs: DataFrame, *order: str) -> DataFrame:
     half_up = lambda x: F.floor(x * 100 + 0.5) / 100
     scores = F.array_sort(F.collect_list(F.struct(*order, "score")))
     fold = F.aggregate(scores, F.lit(0.0), lambda a, s: F.when(a == 0, half_up(s["score"].cast("double"))).otherwise(half_up(0.7 * a + 0.3 * s["score"])))

@@ -549,7 +549,7 @@ def result_pages(spark, d):
     return rows.select("engine", F.col("g").cast("string").alias("query"), html.alias("html"))
 
 
-_PLAIN = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+_PLAIN = "regexp_replace(replace({}, '&quot;', '\"'), '&amp;?', '&', 'g')"  # a title may be cut within its last reference
 
 
 @query(f"""WITH p AS (SELECT *, page_id - page_id % 8 AS g FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY page_id) AS rank FROM p)

@@ -1,5 +1,7 @@
 """Operators on small frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,20 @@ def test_search(spark):
 def test_related_articles_fill_up(spark):
     a = spark.createDataFrame([(1, 1, 5), (2, 1, 9), (3, 2, 100), (4, 2, 50), (5, 3, 70)], "id long, category_id long, view_count long")
     assert [(r.id, r.tier) for r in articles.related_articles(a, 1).collect()] == [(2, 0), (3, 1), (5, 1)]
+
+
+def test_quality_of_sources_over_several_tasks(spark):
+    rng = random.Random(5)
+    rows = [(1, i, rng.choice([0.0, 0.004, 0.01, -1.5, rng.uniform(0, 100)]) if i % 50 < 3 else rng.uniform(0, 100)) for i in range(3000)]
+    rows += [(k, i, float(rng.randint(0, 2))) for k in range(2, 40) for i in range(rng.randint(1, 90))] + [(None, 1, 50.0), (99, 1, 5.0), (99, 2, None), (99, 3, 7.0)]
+    df = spark.createDataFrame(rows, "source_id long, t int, score double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # small ranges stay apart
+    try:
+        got = {r.source_id: (r.quality, r.runs) for r in tasks.moving_quality(df, "t").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {r.source_id: (r.quality, r.runs) for r in tasks._folded(df, "t").collect()}
+    assert got == want and len(want) == 41 and want[99] == (None, 3)
+    wide = df.withColumn("score", F.col("score") * 1e6)
+    assert {tuple(r) for r in tasks.moving_quality(wide, "t").collect()} == {tuple(r) for r in tasks._folded(wide, "t").collect()}
+    assert tasks.moving_quality(df.where("t < 0"), "t").collect() == []
