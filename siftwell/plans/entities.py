@@ -529,7 +529,7 @@ def result_pages(spark, d):
     p = table(spark, d, "pages").withColumn("g", g).withColumn("_n", (g / 8).cast("long")).withColumn("engine", engine).withColumn("late", (F.floor(F.col("_n") / 4) % 2 == 1).cast("int"))
     title, snippet = F.regexp_extract("html", "<title>(.*?)</title>", 1), F.regexp_extract("html", "<p>([^<]*)</p>", 1)
     target = F.when(F.col("engine") == "google", F.concat(F.lit("/url?q="), F.url_encode("url"), F.lit("&amp;sa=U")))
-    target = F.when(F.col("engine") == "bing", F.concat(F.lit("https://www.bing.com/ck/a?p=1&amp;u=a1"), F.rtrim(F.translate(F.base64(F.col("url").cast("binary")), "+/", "-_"), F.lit("=")), F.lit("&amp;ntb=1"))).otherwise(target)
+    target = F.when(F.col("engine") == "bing", F.concat(F.lit("https://www.bing.com/ck/a?p=1&amp;u=a1"), F.translate(F.base64(F.col("url").cast("binary")), "+/=\r\n", "-_"), F.lit("&amp;ntb=1"))).otherwise(target)
     href = F.coalesce(target, F.replace("url", F.lit("&"), F.lit("&amp;")))
     head = F.when(F.col("engine") == "google", F.concat(F.lit("<h3> "), title, F.lit("</h3>"))).otherwise(title)
     anchor = F.when(F.col("page_id") % 8 == 3, F.concat(F.lit("<b>"), head, F.lit("</b>"))).otherwise(F.concat(F.lit('<a href="'), href, F.lit('">'), head, F.lit("</a>")))
@@ -595,7 +595,7 @@ def digest_answers(spark, d):
 @query("SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'http://www.bing.com/search' ELSE url END AS target FROM pages WHERE NOT regexp_matches(url, '[&#%]')")
 def redirects(spark, d):
     p = table(spark, d, "pages").where(~F.col("url").rlike("[&#%]"))
-    packed = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.rtrim(F.translate(F.base64(F.col("url").cast("binary")), "+/", "-_"), F.lit("=")), F.lit("&ntb=1"))
+    packed = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.translate(F.base64(F.col("url").cast("binary")), "+/=\r\n", "-_"), F.lit("&ntb=1"))
     u = F.when(F.col("page_id") % 3 == 0, packed).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://www.google.com/url?sa=t&q="), F.url_encode("url"), F.lit("&ved=1"))).otherwise("http://www.bing.com/search")
     return p.select("page_id", urls.decode_redirect(F.replace(F.replace(u, F.lit("%3A"), F.lit(":")), F.lit("%2F"), F.lit("/"))).alias("target"))
 
