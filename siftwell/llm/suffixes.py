@@ -2,7 +2,8 @@
 
 Sorting every suffix would move many times the input, so the suffixes that can have a partner are found first. Each 50-byte window has a
 minimizer: the place of the 20-byte string in it with the smallest hash, the leftmost of equals. Equal windows have equal minimizers at
-equal distances. Windows whose minimizer string occurs in one document only have no partner; the others go on.
+equal distances. Windows whose minimizer string occurs in one document only have no partner; the others go on. Whole copies of an earlier
+text are known beforehand: all of their bytes go, and what only copies of one text hold needs no partner either.
 
 Neighbouring windows share a minimizer and travel as one string of 50 to 80 bytes. Spark's sampled splitters deal these strings out by the
 leading bytes of the minimizer string, then by document, so that a hot string spreads over several buckets. In a bucket all windows are
@@ -93,34 +94,49 @@ def _pack(first: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarra
     return (first << 12) | (offset << 6) | count
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(d, v, p): packed runs of windows of rows (d, u, t) whose minimizer string has the hash of one in a document with another d; v is the
-    low half of u, so that rows with one d, null ids above all, don't gather each other's windows.
+def whole_copies(rows: DataFrame) -> DataFrame | None:
+    """(d, u, start, size) of rows (d, u, t) whose text is that of a smaller d and holds a window; None should two texts share a hash u."""
+    heads = cut(rows.select("d", "u", F.octet_length("t").cast("long").alias("size"), F.unhex(F.sha2("t", 256)).alias("h")).distinct())
+    least = heads.groupBy("u").agg(F.min("d").alias("least"), F.max("d").alias("last"), F.min("h").alias("a"), F.max("h").alias("b"))
+    several = cut(least.where("least < last or a <> b"))
+    if not several.where("a <> b").isEmpty():
+        return None
+    later = heads.join(several, "u").where((F.col("d") > F.col("least")) & (F.col("size") >= LENGTH))
+    return cut(later.select("d", "u", F.lit(0).cast("long").alias("start"), "size"))
+
+
+def candidates(rows: DataFrame, by_text: bool = False) -> DataFrame:
+    """(d, u, p): packed runs of windows of rows (d, u, t) whose minimizer string has the hash of one in a document with another d and, with
+    ``by_text``, another u; by u too, so that rows with one d, null ids above all, don't gather each other's windows.
 
     What a task knows to be shared among its own documents needs no partner elsewhere: of these only one row for each string is dealt by
     the string's hash, so a hot string never gathers more rows than there are such lots. Kinds: 0 asks, 1 knows and tells, 2 knows.
     """
 
+    def differ(at, *ids):
+        """Of groups that begin at ``at``: do their rows differ in each id? Then two rows do in all of them."""
+        return np.logical_and.reduce([np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at) for x in ids[: 1 + by_text]])
+
     def settle(parts):
-        h, d, v, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, d, u, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h)
-        h, d, v, p = h[order], d[order], v[order], p[order]
+        h, d, u, p = h[order], d[order], u[order], p[order]
         new = starts_of(h)
         at = np.flatnonzero(new)
-        shared = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), np.diff(np.append(at, len(h))))
+        shared = np.repeat(differ(at, d, u), np.diff(np.append(at, len(h))))
         kind = np.where(shared, np.where(new, 1, 2), 0)
         with np.errstate(over="ignore"):
-            key = np.where(kind == 2, ((d ^ v).astype(np.uint64) * _B ^ p.astype(np.uint64)) * _C & ~_LOW, h)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d), pa.array(v), pa.array(p << 2 | kind)], names=["key", "d", "v", "p"])
+            key = np.where(kind == 2, ((d ^ u).astype(np.uint64) * _B ^ p.astype(np.uint64)) * _C & ~_LOW, h)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d), pa.array(u), pa.array(p << 2 | kind)], names=["key", "d", "u", "p"])
 
     def emit(batches):
         parts, size = [], 0
         for batch in slices(batches, 2):
-            d, v, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            d, u, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for s in _chunks(texts):
                 own, h, first, offset, count = minimizers(texts[s])
                 if len(own):
-                    parts.append((h, d[s][own], v[s][own], _pack(first, offset, count)))
+                    parts.append((h, d[s][own], u[s][own], _pack(first, offset, count)))
                     size += len(own)
                 if size >= GATHER:
                     yield settle(parts)
@@ -129,19 +145,18 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield settle(parts)
 
     def decide(batches):
-        for key, d, v, p in sorted_groups(batches, 1):
+        for key, d, u, p in sorted_groups(batches, 1):
             kind = p & 3
             open_ = np.flatnonzero(kind < 2)
             good = kind == 2
             if len(open_):
                 new = np.flatnonzero(starts_of(key[open_]))
-                dd, known = d[open_], kind[open_]
-                shared = (np.minimum.reduceat(dd, new) != np.maximum.reduceat(dd, new)) | (np.maximum.reduceat(known, new) == 1)
+                shared = differ(new, d[open_], u[open_]) | (np.maximum.reduceat(kind[open_], new) == 1)
                 good[open_] = np.repeat(shared, np.diff(np.append(new, len(open_))))
-            yield pa.RecordBatch.from_arrays([pa.array(d[good]), pa.array(v[good]), pa.array(p[good] >> 2)], names=["d", "v", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[good]), pa.array(u[good]), pa.array(p[good] >> 2)], names=["d", "u", "p"])
 
-    sent = rows.select("d", F.expr("cast((u & 4294967295) - 2147483648 as int)").alias("v"), "t").mapInArrow(emit, "key long, d long, v int, p long")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(decide, "d long, v int, p long")
+    sent = rows.select("d", "u", "t").mapInArrow(emit, "key long, d long, u long, p long")
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(decide, "d long, u long, p long")
 
 
 def _strings(batches):
@@ -292,15 +307,19 @@ def _sort_bucket(batches):
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(d, u, start, size): byte spans made of 50-byte windows that also start in a document with a smaller d."""
     rows = placed(docs, text, key)
-    found = store(candidates(rows))
-    lists = found.groupBy("d", "v").agg(F.collect_set("p").alias("p"))  # repeated rows tell their windows once
-    strings = rows.withColumn("v", F.expr("cast((u & 4294967295) - 2147483648 as int)")).join(lists, ["d", "v"]).select("d", "u", "t", "p").mapInArrow(_strings, "lead long, d long, u long, first long, shape long, string binary")
+    copies = whole_copies(rows)
+    found = store(candidates(rows, copies is not None))
+    lists = found.groupBy("d", "u").agg(F.collect_set("p").alias("p"))  # repeated rows tell their windows once
+    if copies is not None:
+        lists = lists.join(copies, ["d", "u"], "left_anti")
+    strings = rows.join(lists, ["d", "u"]).select("d", "u", "t", "p").mapInArrow(_strings, "lead long, d long, u long, first long, shape long, string binary")
     sorted_ = strings.repartitionByRange("lead", "d").sortWithinPartitions("lead", "d").mapInArrow(_sort_bucket, "d long, u long, start long, size long, window binary")
     spans = store(sorted_)
     open_ = spans.where(F.col("window").isNotNull())
     least = cut(open_.groupBy("window").agg(F.min("d").alias("least")))  # stored, so that a hot window can be split in the join
     across = open_.join(least, "window").where("d > least").select("d", "u", "start", "size")
-    return spans.where(F.col("window").isNull()).select("d", "u", "start", "size").union(across)
+    settled = spans.where(F.col("window").isNull()).select("d", "u", "start", "size").union(across)
+    return settled if copies is None else settled.union(copies)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] | None = None) -> DataFrame:

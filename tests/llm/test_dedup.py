@@ -242,3 +242,27 @@ def test_thousands_of_copies_of_one_row(spark):
     for module in (chunks, suffixes):
         got = Counter((r["doc_id"], r["n_removed"] > 0) for r in module.digest_columns(df).collect())
         assert got == {(None, True): 4000, (5, False): 4000, (7, True): 1, (None, False): 1}, module
+
+
+def test_whole_copies_are_no_candidates(spark):
+    """What only copies of one text hold needs no partner; their bytes go all the same, and a copy's passages still count for other texts."""
+    import random
+
+    from siftwell.llm import suffixes
+    from siftwell.llm.spans import placed
+
+    from .helpers import frame, prose
+
+    rng = random.Random(4)
+    a, b, part = prose(rng, 120), prose(rng, 90), prose(rng, 30, 30)
+    rows = [(2, a), (7, a), (3, a), (None, a), (9, b), (None, b), (None, b), (4, "short"), (5, "short")]
+    for by_text, some in ((False, True), (True, False)):
+        assert bool(suffixes.candidates(placed(frame(spark, rows), "text", "doc_id"), by_text).count()) == some
+    rows += [(8, prose(rng, 20) + part), (1, part + b), (6, part + b)]
+    want = {}
+    for d, t in rows:
+        early = {x.encode()[i : i + 50] for e, x in rows if e is not None and (d is None or e < d) for i in range(len(x.encode()) - 49)}
+        raw = t.encode()
+        want[d, t] = len({i + k for i in range(len(raw) - 49) if raw[i : i + 50] in early for k in range(50)})
+    got = {(r.doc_id, r.text): r.n_removed for r in suffixes.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == want
