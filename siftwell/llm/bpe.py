@@ -175,11 +175,18 @@ class Encoder:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.known: dict[str, bytes] = {}  # piece -> its tokens as 32-bit integers, with the blank before it
         self.older: dict[str, bytes] = {}  # the generation before; what is used again moves on
+        self.words: dict[str, bytes] = {}  # the same for words, which several pieces share
+        self.older_words: dict[str, bytes] = {}
 
     def _learn(self, pieces: Sequence[str], lead: str = " ") -> dict[str, bytes]:
         found = [self.word.findall(lead + p) for p in pieces]
-        words = list({w for x in found for w in x})
-        tokens = dict(zip(words, (np.array(t, "<i4").tobytes() for t in self.v.encode_words([w.encode() for w in words])), strict=True))
+        if len(self.words) > MEMORY:
+            self.words, self.older_words = {}, self.words
+        new = {w for x in found for w in x}.difference(self.words)
+        self.words |= {w: x for w in new if (x := self.older_words.get(w)) is not None}
+        new = list(new.difference(self.words))
+        self.words |= zip(new, (np.array(t, "<i4").tobytes() for t in self.v.encode_words([w.encode() for w in new])), strict=True)
+        tokens = self.words
         return {p: b"".join([tokens[w] for w in x]) for p, x in zip(pieces, found, strict=True)}
 
     def _block(self, texts: Sequence[str]) -> list[bytes]:

@@ -371,3 +371,20 @@ def test_queries_return_the_agreed_columns(spark, name):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert set(columns[name.split("_")[0]].split()) <= set(df.columns)
     assert df.count() == {"op7": 50, "op10": 50}.get(name.split("_")[0], 200)
+
+
+@pytest.mark.parametrize("memory", [100_000, 3])
+def test_words_of_several_pieces_are_encoded_once(monkeypatch, memory):
+    from siftwell.llm import bpe
+    from siftwell.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(bpe, "MEMORY", memory)
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    texts = ["so zqxjk, end", "so zqxjk! end", "so zqxjk. It ends; zqxjk", "one two three four five", "so zqxjk, end"]
+    whole = [np.concatenate([vocabulary.merge(w.encode()) for w in bpe.regex.findall(bpe.WORD_PATTERN, t)]).tolist() for t in texts]
+    asked, plain = [], vocabulary.encode_words
+    vocabulary.encode_words = lambda words: asked.extend(words) or plain(words)
+    encoder = bpe.Encoder(vocabulary)
+    assert [encoder.encode([t])[0].tolist() for t in texts] == whole
+    assert memory == 3 or len(asked) == len(set(asked))
