@@ -3,11 +3,12 @@
 Greedy longest match proposes tokens for each new word. A proposal is the BPE encoding exactly if its tokens encode themselves and every
 adjacent pair is compatible: undoing the latest merges on both sides of their border, one after another, never meets a merge that would
 have crossed the border first. All adjacent pairs of a block of words are tested at once on arrays; only words with a failing pair are
-merged step by step.
+merged step by step, the short ones of a block together, one merge of each a step.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 from collections.abc import Iterable, Sequence
@@ -25,8 +26,8 @@ from .common import Shared, annotate, free_name
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's memory of encoded words holds before it starts anew, and characters that it encodes at a time.
 MEMORY, BLOCK_CHARS = 100_000, 1_000_000
-#: Bytes up to which a word is merged by rescanning instead of with a heap.
-SHORT = 32
+#: Bytes up to which a word is merged by rescanning instead of with a heap, and words whose steps are taken together.
+SHORT, TOGETHER = 32, 4096
 _NEVER = np.int64(1) << 40
 
 ENCODED = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -63,7 +64,7 @@ class Vocabulary:
         keys = pair[:, 0] * self.size + pair[:, 1]
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], order.astype(np.int64)
-        self.byte_id = [ids[s] for s, _ in sorted(symbols.items(), key=lambda x: x[1])]
+        self.made, self.byte_id = made, [ids[s] for s, _ in sorted(symbols.items(), key=lambda x: x[1])]
         whole = made[self.compatible(pair[:, 0], pair[:, 1], np.arange(len(made)))]  # tokens that encode themselves
         match = {self.texts[i]: i for i in [*self.byte_id, *whole.tolist()]}
         #: every beginning of a token -> the token, or -1 if it is none itself
@@ -74,6 +75,10 @@ class Vocabulary:
         made = np.flatnonzero(self.rank >= 0)
         return {(int(self.left[i]), int(self.right[i])): (int(self.rank[i]), int(i)) for i in made}
 
+    @cached_property
+    def byte_ids(self) -> np.ndarray:
+        return np.array(self.byte_id, np.int64)
+
     @cached_property
     def coded(self) -> dict[int, int]:
         """The same with both ids in one integer, and rank and new id in another."""
@@ -143,6 +148,36 @@ class Vocabulary:
                     heapq.heappush(heap, (m[0], p, m[1], ids[p], ids[q]))
         return [t for t, a in zip(ids, alive, strict=True) if a]
 
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of tokens."""
+        key = a * self.size + b
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[place] == key) & (a >= 0) & (b >= 0), self.key_rank[place], _NEVER)
+
+    def merge_together(self, words: Sequence[bytes]) -> list[list[int]]:
+        """Exact merging of words of similar lengths: in each step every word has its leftmost merge of the lowest rank made."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        ids = np.full((len(words), width + 2), -1, np.int64)  # with nothing (-1) before and behind each word
+        ids[:, 1:-1][np.arange(width) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full(ids.shape, _NEVER)  # of a token and the one after it
+        rank[:, 1:-1] = self.rank_of(ids[:, 1:-1], ids[:, 2:])
+        after, before = np.tile(np.arange(1, width + 3), (len(words), 1)), np.tile(np.arange(-1, width + 1), (len(words), 1))
+        row = np.arange(len(words))
+        while len(row):
+            at = rank[row].argmin(1)
+            low = rank[row, at]
+            go = low < _NEVER
+            row, at, low = row[go], at[go], low[go]
+            gone, ahead = after[row, at], before[row, at]
+            behind = after[row, gone]
+            made = self.made[low]
+            ids[row, at], ids[row, gone], rank[row, gone], after[row, at], before[row, behind] = made, -1, _NEVER, behind, at
+            rank[row, at], rank[row, ahead] = self.rank_of(made, ids[row, behind]), self.rank_of(ids[row, ahead], made)
+        left = ids >= 0
+        flat, ends = ids[left].tolist(), np.cumsum(left.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def encode_words(self, words: Sequence[bytes]) -> list[list[int]]:
         """The encoding of each word."""
         out = [self.propose(w) for w in words]
@@ -152,7 +187,13 @@ class Vocabulary:
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)
-        for k in np.unique(owner[inside[~good[which]]]).tolist():
+        failed = sorted(np.unique(owner[inside[~good[which]]]).tolist(), key=lambda k: len(words[k]))
+        short = bisect.bisect_right(failed, SHORT, key=lambda k: len(words[k]))
+        for at in range(0, short, TOGETHER):
+            some = failed[at : min(at + TOGETHER, short)]
+            for k, x in zip(some, self.merge_together([words[k] for k in some]), strict=True):
+                out[k] = x
+        for k in failed[short:]:
             out[k] = self.merge(words[k])
         return out
 

@@ -388,3 +388,16 @@ def test_words_of_several_pieces_are_encoded_once(monkeypatch, memory):
     encoder = bpe.Encoder(vocabulary)
     assert [encoder.encode([t])[0].tolist() for t in texts] == whole
     assert memory == 3 or len(asked) == len(set(asked))
+
+
+def test_short_words_are_merged_together():
+    """As each alone is: random bytes, runs of one byte with merges of equal rank, and words of every length up to SHORT."""
+    with open(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b" etaoinshrdlu") for _ in range(rng.randint(1, bpe.SHORT))) for _ in range(1500)]
+    words += [bytes(rng.randrange(256) for _ in range(rng.randint(1, bpe.SHORT))) for _ in range(300)] + [b"a" * n for n in range(1, bpe.SHORT + 1)]
+    want = [vocabulary.merge(w) for w in words]
+    assert vocabulary.merge_together(words) == want
+    vocabulary.merge = None
+    assert vocabulary.encode_words(words) == want
