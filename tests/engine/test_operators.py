@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import similarity
 from siftwell.operators import articles, coverage, dedup, digest, tasks, trees, visits
 
 TREE = [(1, "root", None, 1), (2, "mid", 1, 2), (3, "leaf a", 2, 1), (4, "leaf b", 2, None), (5, "other", None, 3)]
@@ -55,6 +56,27 @@ def test_all_pairs_within_twelve_bits_are_found(spark):
         assert {(r.a, r.b, r.distance) for r in dedup.near_pairs(df, most).collect()} == want
 
 
+def test_fingerprints_are_compared_on_arrays_and_only_found_pairs_become_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 60, np.uint64)
+    a, b = (base[rng.integers(0, 60, n)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (9, n)).astype(np.uint64)) for n in (700, 900))
+    ga, gb = (np.concatenate([np.full(400, 5), rng.integers(0, 90, n - 400)]) for n in (700, 900))
+    apart = np.bitwise_count(a[:, None] ^ b)
+    for most in (0, 3, 5, 12):
+        want = set(zip(*map(np.ndarray.tolist, np.nonzero(apart <= most)), strict=True))
+        for way in (similarity._close_by_scan, similarity._close_by_words):
+            found = [pair for i, j in way(a, b, most) for pair in zip(i.tolist(), j.tolist(), strict=True)]
+            assert len(found) == len(set(found)) and set(found) == want
+        i, j = similarity.close_in_groups(ga, a, gb, b, most)
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted((x, y) for x, y in want if ga[x] == gb[y])
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 3), (None, 2)], "g long, h long")
+    met = dedup.close_prints(df, df, 1, ("g",), once=True)
+    assert {tuple(r) for r in met.collect()} == {(1, 0, 1)} and "Join" not in met._jdf.queryExecution().toString()
+    assert {tuple(r) for r in dedup.close_prints(df, df, 1).collect()} == {(x, y) for x in range(4) for y in range(4) if (x ^ y).bit_count() <= 1}
+
+
 def test_history_is_looked_up_by_address_fingerprint_and_title(spark):
     old = spark.createDataFrame([("http://a/1", 0b111, "Learn Spark SQL Today"), ("http://a/2", 0, None)], "url string, h long, title string")
     rows = [(1, "https://www.a/1/", -1, "x"), (2, "http://b/2", 0b11, "y"), (3, "http://b/3", 0, "learn spark sql today "), (4, "http://b/4", 0, "Other things"), (5, "http://b/5", -1, None)]
