@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 #: A category has at most so many levels.
 LEVELS = 5
 
@@ -29,20 +33,25 @@ def closure(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def deep_closure(nodes: DataFrame, levels: int = 64) -> DataFrame:
-    """(ancestor, descendant, distance, cycle) of trees of any depth up to ``levels``, by recursion in SQL: no plan grows with the depth.
+    """(ancestor, descendant, distance, cycle) of trees of any depth up to ``levels``, a join and a stored table for each level that is found:
+    no plan grows with the depth, and no limit of Spark's bounds the rows, as it does for recursion in SQL.
 
     Where an ancestor comes back on the way up, its row is marked as the end of a cycle and isn't followed further. A way of more than
-    ``levels`` steps fails the query. Spark bounds the rows of a recursion (spark.sql.cteRecursionRowLimit).
+    ``levels`` steps fails the query. Runs jobs while it is called.
     """
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE up(ancestor, descendant, distance, way, cycle) MAX RECURSION LEVEL {int(levels)} AS (
-            SELECT id, id, 0, array(id), false FROM {{nodes}}
-            UNION ALL
-            SELECT n.parent_id, u.descendant, u.distance + 1, array_append(u.way, n.parent_id), array_contains(u.way, n.parent_id)
-            FROM up u JOIN {{nodes}} n ON n.id = u.ancestor WHERE n.parent_id IS NOT NULL AND NOT u.cycle)
-        SELECT ancestor, descendant, distance, cycle FROM up""",
-        nodes=nodes.select("id", "parent_id"),
-    )
+    edges = stored(nodes.where(F.col("id").isNotNull() & F.col("parent_id").isNotNull()).select(F.col("id").alias("ancestor"), F.col("parent_id").alias("parent")))
+    now = nodes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance"), F.array("id").alias("way"), F.lit(False).alias("cycle"))
+    found = [now := stored(now)]
+    while True:
+        back = F.array_contains("way", F.col("parent"))
+        up = now.where(~F.col("cycle")).join(edges, "ancestor").select(F.col("parent").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"), F.array_append("way", F.col("parent")).alias("way"), back.alias("cycle"))
+        now = stored(up)
+        if now.isEmpty():
+            break
+        if len(found) > levels:
+            raise RuntimeError(f"RECURSION_LEVEL_LIMIT_EXCEEDED: a way of more than {levels} steps")
+        found.append(now)
+    return reduce(DataFrame.unionByName, [x.select("ancestor", "descendant", "distance", "cycle") for x in found])
 
 
 def rollup_all(nodes: DataFrame, counts: DataFrame) -> DataFrame:

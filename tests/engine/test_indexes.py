@@ -85,6 +85,14 @@ def test_deep_trees_and_cycles(spark):
         trees.deep_closure(spark.createDataFrame(rows, "id long, parent_id long"), 5).collect()
 
 
+def test_rows_of_a_deep_closure_are_not_limited(spark):
+    """1.3 million rows, where a recursion in SQL ends at a million."""
+    nodes = spark.range(200_000).selectExpr("id", "CASE WHEN id % 12 <> 0 THEN id - 1 END AS parent_id")
+    got = trees.deep_closure(nodes)
+    assert {r.distance: r["count"] for r in got.groupBy("distance").count().collect()} == {k: sum(1 for i in range(200_000) if i % 12 >= k) for k in range(12)}
+    assert got.where("cycle OR ancestor <> descendant - distance").count() == 0
+
+
 def test_sketches_merge_over_days(spark):
     log = spark.range(60000).selectExpr("id % 7 AS article_id", "pmod(xxhash64(id), 20000) AS visitor_id", "timestamp_seconds(id * 30) AS visit_time")
     days = visits.daily_sketches(log, "article_id")
