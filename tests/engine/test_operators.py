@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import similarity
 from siftwell.operators import articles, coverage, dedup, digest, tasks, trees, visits
+from siftwell.plans import catalogue
 
 TREE = [(1, "root", None, 1), (2, "mid", 1, 2), (3, "leaf a", 2, 1), (4, "leaf b", 2, None), (5, "other", None, 3)]
 
@@ -77,6 +78,13 @@ def test_fingerprints_are_compared_on_arrays_and_only_found_pairs_become_rows(sp
     assert {tuple(r) for r in dedup.close_prints(df, df, 1).collect()} == {(x, y) for x in range(4) for y in range(4) if (x ^ y).bit_count() <= 1}
 
 
+@pytest.mark.parametrize("name", ["simhash_pairs_t5", "history_anti", "history_semi"])
+def test_no_query_of_fingerprints_meets_by_words(spark, name):
+    """Rows of words near each band, and their joins, grow with the square of the fingerprints."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "word" not in plan and "band" not in plan
+
+
 def test_history_is_looked_up_by_address_fingerprint_and_title(spark):
     old = spark.createDataFrame([("http://a/1", 0b111, "Learn Spark SQL Today"), ("http://a/2", 0, None)], "url string, h long, title string")
     rows = [(1, "https://www.a/1/", -1, "x"), (2, "http://b/2", 0b11, "y"), (3, "http://b/3", 0, "learn spark sql today "), (4, "http://b/4", 0, "Other things"), (5, "http://b/5", -1, None)]
