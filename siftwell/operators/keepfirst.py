@@ -7,6 +7,9 @@ rounds as the longest chain of rows that wait for each other; on orders unrelate
 
 Rows of equal addresses, fingerprints or titles are a class. Conflicts inside a class are never expanded: a class is represented by its
 least open row, and links run between classes.
+
+Links and members grow with the table, and names of classes are stored in far fewer bytes than they take in memory, so a join of
+them has a hint that it sorts and merges: Spark would take them for small and broadcast them.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def classes(nodes: DataFrame) -> DataFrame:
 def reached(members: DataFrame, links: DataFrame) -> DataFrame:
     """(g, c, m): the least rank among the members of each class and of the classes linked to it."""
     least = members.groupBy("g", "c").agg(F.min("r").alias("m"))
-    near = links.join(least, ["g", "c"]).select("g", F.col("other").alias("c"), "m")
+    near = links.hint("merge").join(least, ["g", "c"]).select("g", F.col("other").alias("c"), "m")
     return least.unionByName(near).groupBy("g", "c").agg(F.min("m").alias("m"))
 
 
@@ -42,13 +45,13 @@ def first_independent(members: DataFrame, links: DataFrame) -> DataFrame:
     """
     kept, left = [], stored(members)
     while not left.isEmpty():
-        blocked = left.join(reached(left, links), ["g", "c"]).groupBy("n").agg(F.min("m").alias("m"), F.first("r").alias("r"))
+        blocked = left.hint("merge").join(reached(left, links), ["g", "c"]).groupBy("n").agg(F.min("m").alias("m"), F.first("r").alias("r"))
         now = stored(blocked.where(F.col("m") == F.col("r")).select("n"))
-        chosen = left.join(now, "n", "left_semi").select("g", "c").distinct()
-        hit = chosen.unionByName(links.join(chosen, ["g", "c"], "left_semi").select("g", F.col("other").alias("c"))).distinct()
-        gone = left.join(hit, ["g", "c"], "left_semi").select("n").distinct()
+        chosen = left.hint("merge").join(now, "n", "left_semi").select("g", "c").distinct()
+        hit = chosen.unionByName(links.hint("merge").join(chosen, ["g", "c"], "left_semi").select("g", F.col("other").alias("c"))).distinct()
+        gone = left.hint("merge").join(hit, ["g", "c"], "left_semi").select("n").distinct()
         kept.append(now)
-        left = stored(left.join(gone, "n", "left_anti"))
+        left = stored(left.hint("merge").join(gone, "n", "left_anti"))
     out = members.select("n").limit(0)
     for part in kept:
         out = out.unionByName(part)
@@ -61,12 +64,12 @@ def settle(nodes: DataFrame, links: DataFrame) -> DataFrame:
     members = stored(classes(nodes.where(F.col("own").isNull())))
     bare = nodes.where("own IS NULL AND u IS NULL AND h IS NULL AND t IS NULL").select("n")  # in no class: in conflict with none
     kept = stored(first_independent(members, links).unionByName(bare))
-    found = reached(members.join(kept, "n", "left_semi"), links)
-    hits = classes(nodes.join(kept, "n", "left_anti")).join(found, ["g", "c"]).where(F.col("m") < F.col("r"))
+    found = reached(members.hint("merge").join(kept, "n", "left_semi"), links)
+    hits = classes(nodes.hint("merge").join(kept, "n", "left_anti")).hint("merge").join(found, ["g", "c"]).where(F.col("m") < F.col("r"))
     rank = F.array_position(F.array(*map(F.lit, REASONS)), F.substring("c", 1, 1))
     why = hits.groupBy("n").agg(F.min(rank).alias("k"))
     reason = F.element_at(F.array(*map(F.lit, REASONS.values())), F.col("k").cast("int"))
-    told = nodes.select("n", "own").join(kept.withColumn("stays", F.lit(True)), "n", "left").join(why, "n", "left")
+    told = nodes.select("n", "own").hint("merge").join(kept.withColumn("stays", F.lit(True)), "n", "left").hint("merge").join(why, "n", "left")
     return told.select("n", F.when(F.col("stays"), F.lit(None)).when(F.col("k").isNotNull(), reason).otherwise(F.col("own")).alias("reason"))
 
 
