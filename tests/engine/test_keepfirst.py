@@ -61,3 +61,19 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "pos long, _u string, _h long, _t string")
     assert dedup._folded(df, [], ["pos"], 3, F.lit(None).cast("string")).count() == 0
     assert keepfirst.reached(spark.createDataFrame([], "g int, c string, r long"), spark.createDataFrame([], "g int, c string, other string")).count() == 0
+
+
+def test_links_are_never_broadcast(spark):
+    """A stored table of class names is few bytes and much memory, and Spark goes by the bytes."""
+    from siftwell.sources.stored import stored
+
+    links = stored(spark.range(1000).selectExpr("0 AS g", "CONCAT('t', id % 10) AS c", "CONCAT('t', id % 9) AS other"))
+    members = stored(spark.range(10).selectExpr("0 AS g", "CONCAT('t', id) AS c", "id AS n", "id AS r"))
+    assert "Broadcast" not in keepfirst.reached(members, links)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_early_reasons_of_pages_are_computed_once(spark):
+    """A condition on a stored reason doesn't hold the page's text expression again."""
+    pages = catalogue._cascade_pages(spark, "/root/testdata/sf0.001")
+    plan = dedup.cascade(pages, "digest", catalogue.YEAR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan
